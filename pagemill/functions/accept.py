@@ -20,12 +20,12 @@ def accept_ranges(accept: Column) -> Column:
     quality 1.0.  The last q parameter wins."""
     def parse(v):
         parts = F.transform(F.split(v, ";"), lambda p: _trim(p))
-        media = F.lower(F.element_at(parts, 1))
+        media = F.lower(F.try_element_at(parts, F.lit(1)))
         params = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
         qvals = F.transform(F.filter(params, lambda p: p.rlike(Q_PARAM_RX)),
                             lambda p: _trim(F.regexp_extract(p, Q_PARAM_RX, 1)))
         valid = F.forall(qvals, lambda q: q.rlike(Q_VALUE_RX))
-        quality = F.coalesce(F.element_at(qvals, -1).cast("double"), F.lit(1.0))
+        quality = F.coalesce(F.try_element_at(qvals, F.lit(-1)).cast("double"), F.lit(1.0))
         return F.struct(F.regexp_extract(media, MEDIA_RX, 1).alias("type"),
                         F.regexp_extract(media, MEDIA_RX, 2).alias("subtype"),
                         quality.alias("quality"), (media.rlike(MEDIA_RX) & valid).alias("ok"))

@@ -251,7 +251,7 @@ def table_blocks(units: DataFrame) -> DataFrame:
     padded = F.transform("rows", lambda r: F.concat(r, F.array_repeat(F.lit(""), ncol - F.size(r))))
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
     sep = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), ncol), " | "), F.lit(" |"))
-    md = F.array_join(F.concat(F.array(line(F.element_at(padded, 1)), sep),
+    md = F.array_join(F.concat(F.array(line(F.try_element_at(padded, F.lit(1))), sep),
                                F.transform(F.slice(padded, 2, F.greatest(F.size(padded) - 1, F.lit(0))), line)), "\n")
     return tables.select("page_id", F.col("tbl_id").alias("upos"), F.lit(1).alias("sub"), F.lit("table").alias("bkind"),
                          md.alias("text"), "q_d", F.lit(0).alias("l_d"), F.lit(None).cast("int").alias("list_id"),

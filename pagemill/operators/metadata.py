@@ -34,7 +34,7 @@ def decode_entities(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
                                lambda s: s["s"]), "").alias("_dec"))
     parts = F.split(F.col("_dec"), _SEP, -1)
     for i, c in enumerate(cols):
-        g = g.withColumn(c, F.when(F.col(c).isNotNull(), F.coalesce(F.element_at(parts, i + 1), F.lit(""))))
+        g = g.withColumn(c, F.when(F.col(c).isNotNull(), F.coalesce(F.try_element_at(parts, F.lit(i + 1)), F.lit(""))))
     return g.drop("_dec")
 
 
@@ -123,7 +123,7 @@ def yaml_block(fm: Column) -> Column:
     lines = F.transform(entries, lambda e: F.when(
         e["l"], F.concat(e["k"], F.lit(":"), F.coalesce(F.concat(F.lit("\n"), F.array_join(
             F.transform(e["v"], lambda v: F.concat(F.lit("  - "), T.yaml_scalar(v))), "\n")), F.lit(""))))
-        .otherwise(F.concat(e["k"], F.lit(": "), T.yaml_scalar(F.element_at(e["v"], 1)))))
+        .otherwise(F.concat(e["k"], F.lit(": "), T.yaml_scalar(F.try_element_at(e["v"], F.lit(1))))))
     return F.concat(F.array_join(lines, "\n"), F.lit("\n"))
 
 

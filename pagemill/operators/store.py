@@ -15,7 +15,7 @@ def fingerprint(site_id: Column, page_id: Column, modified_at: Column, html: Col
     parts = [F.coalesce(site_id.cast("string"), F.lit("")), F.lit(str(cfg.generation)),
              F.coalesce(page_id.cast("string"), F.lit("")),
              F.coalesce(F.date_format(modified_at, "yyyy-MM-dd HH:mm:ss"), F.lit("")),
-             F.lit(cfg.locale), F.lit(cfg.options_hash), F.coalesce(F.xxhash64(html).cast("string"), F.lit(""))]
+             F.lit(cfg.locale), F.lit(cfg.options_hash), F.coalesce(F.md5(html), F.lit(""))]
     return F.md5(F.concat_ws("|", *parts))
 
 

@@ -22,7 +22,7 @@ SQL_CONF = {
 
 def local_session(cores: int | str = "*", partitions: int = 8, app: str = "pagemill") -> SparkSession:
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
-               .config("spark.ui.enabled", "false")
+               .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.shuffle.partitions", str(partitions))
                .config("spark.driver.memory", "16g"))
     for k, v in SQL_CONF.items():
