@@ -1,19 +1,23 @@
-"""Markdown from content tokens, with no recursive walk.
+"""Markdown from content tokens, with no recursive walk and no branching plan.
 
 Each content token is assigned to a *unit* by running windows:
 
-* a table cell (inside a table: the cell at table depth 1; rows and tables are
-  further ordered aggregations of cells),
+* a table cell (the cell at table depth 1; rows and tables are further ordered
+  aggregations of cells),
 * a `pre` block (outermost `pre`),
 * a list item (last item opened at the token's list depth),
+* a rule (`hr`),
 * otherwise a segment: the run of tokens since the last block-boundary tag.
 
 Every token emits a piece (text, emphasis sentinels, line-break sentinel, image
-Markdown); links and inline code are flattened spans aggregated on their own and put
-back at their start.  `groupBy(page_id, unit)` concatenates pieces in order, string
-rules finish the unit, and `groupBy(page_id)` joins the blocks, the separator
-between two blocks coming from `lag`.  All aggregation keys include page_id, so the
-single page_id exchange before tokenizing serves every step."""
+Markdown).  Links and inline code are flattened spans.  The plan is one linear chain
+of aggregations, all keyed by page_id (so the single page_id exchange before
+tokenizing serves every step and nothing is computed twice):
+
+    tokens -> (span | run) -> unit -> table row -> block -> page
+
+String rules finish each level; the separator between two blocks comes from the
+previous non-empty block (running `last` window)."""
 
 from __future__ import annotations
 
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text as T
-from .nodes import BLOCK_TAGS, LIST_TAGS, CELL_TAGS, TABLE_SECTION_TAGS, before, nest_depth, running
+from .nodes import BLOCK_TAGS, CELL_TAGS, LIST_TAGS, TABLE_SECTION_TAGS, before, nest_depths, running
 
 # Private-use sentinels; any occurrence in input text is removed first.
 MARK, BR, LNL = "\ue001", "\ue002", "\ue003"
@@ -31,8 +35,6 @@ EMPH_TAGS = {"b": ["b", "strong"], "i": ["i", "em"], "d": ["del", "s", "strike"]
 SENTINELS = "[\ue000-\ue01f]"
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 SPAN_TAGS = ["a", "code"]
-UNIT_META = [("q_d", "int"), ("l_d", "int"), ("level", "int"), ("list_id", "int"), ("ordered", "boolean"),
-             ("idx", "long"), ("root_list", "int")]
 # Characters that count as whitespace next to an emphasis sentinel.
 _EDGE = rf"(?:(?U)\s|[{MARK}{BR}{LNL}])+"
 
@@ -45,6 +47,12 @@ def _cls(tags) -> Column:
     return (F.col("kind") == "close") & F.col("tag").isin(tags)
 
 
+def _ordered(key: str, val: Column, sep: str = "") -> Column:
+    """Concatenate `val` in `key` order within an aggregation group."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), val.alias("v")))),
+                                    lambda x: x["v"]), sep)
+
+
 def image_source(attrs: Column) -> Column:
     """First non-blank of src, data-src, data-lazy-src, data-original ('' if none)."""
     cands = [T.trim_ws(F.coalesce(attrs.getItem(k), F.lit(""))) for k in
@@ -75,100 +83,82 @@ def _last_struct(cond: Column, fields: dict, w: Window) -> Column:
 
 
 def assign_units(content: DataFrame) -> DataFrame:
-    """Context depths and unit keys for every content token."""
+    """Context depths and unit keys (ukind, uid) for every content token."""
     w = running(Window.partitionBy("page_id").orderBy("pos"))
-    df = content
-    # Elements that render nothing, with their content.
-    df = df.withColumn("_drop", F.coalesce(F.max(F.when(_opn(["iframe"]), F.col("hi"))).over(w)
-                                           >= F.col("pos"), F.lit(False)))
+    # Elements that render nothing, with their content; does the page have any
+    # non-blank content at all (blank extraction = failure)?
+    nonblank = ~((F.col("kind") == "text") & (F.regexp_replace("text", r"[ \t\n\r\x00\x0B]", "") == ""))
+    df = content.withColumns({
+        "_drop": F.coalesce(F.max(F.when(_opn(["iframe"]), F.col("hi"))).over(w) >= F.col("pos"), F.lit(False)),
+        "has_content": F.max(nonblank).over(Window.partitionBy("page_id"))})
     df = df.filter(~F.col("_drop") & ~F.col("kind").isin("raw", "decl")).drop("_drop")
-    df = nest_depth(df, "q_d", _opn(["blockquote"]), _cls(["blockquote"]))
-    df = nest_depth(df, "l_d", _opn(LIST_TAGS), _cls(LIST_TAGS))
-    df = nest_depth(df, "t_d", _opn(["table"]), _cls(["table"]))
-    df = nest_depth(df, "pre_d", _opn(["pre"]), _cls(["pre"]))
+    df = nest_depths(df, {"q_d": (_opn(["blockquote"]), _cls(["blockquote"])),
+                          "l_d": (_opn(LIST_TAGS), _cls(LIST_TAGS)),
+                          "t_d": (_opn(["table"]), _cls(["table"])),
+                          "pre_d": (_opn(["pre"]), _cls(["pre"]))})
     boundary = F.col("kind").isin("open", "close") & F.col("tag").isin(BLOCK_TAGS)
     top = F.col("t_d") == 1
-    df = (df
-          .withColumn("_seg", _last_struct(boundary, {"pos": F.col("pos"), "kind": F.col("kind"),
-                                                      "tag": F.col("tag")}, w))
-          .withColumn("_pre", F.last(F.when(_opn(["pre"]) & (F.col("pre_d") == 1), F.col("pos")),
-                                     ignorenulls=True).over(w))
-          .withColumn("_tbl", F.last(F.when(_opn(["table"]) & top, F.col("pos")), ignorenulls=True).over(w))
-          .withColumn("_row", _last_struct(top & (F.col("tag").isin(["tr", "table"] + TABLE_SECTION_TAGS))
-                                           & F.col("kind").isin("open", "close"),
-                                           {"pos": F.col("pos"), "on": _opn(["tr"])}, w))
-          .withColumn("_cell", _last_struct(top & F.col("tag").isin(["tr", "table"] + CELL_TAGS + TABLE_SECTION_TAGS)
-                                            & F.col("kind").isin("open", "close"),
-                                            {"pos": F.col("pos"), "on": _opn(CELL_TAGS)}, w))
-          .withColumn("root_list", F.last(F.when(_opn(LIST_TAGS) & (F.col("l_d") == 1), F.col("pos")),
-                                          ignorenulls=True).over(w)))
+    df = df.withColumns({
+        "_seg": _last_struct(boundary, {"pos": F.col("pos"), "kind": F.col("kind"), "tag": F.col("tag")}, w),
+        "_pre": F.last(F.when(_opn(["pre"]) & (F.col("pre_d") == 1), F.col("pos")), ignorenulls=True).over(w),
+        "_tbl": F.last(F.when(_opn(["table"]) & top, F.col("pos")), ignorenulls=True).over(w),
+        "_row": _last_struct(top & F.col("tag").isin(["tr", "table"] + TABLE_SECTION_TAGS)
+                             & F.col("kind").isin("open", "close"), {"pos": F.col("pos"), "on": _opn(["tr"])}, w),
+        "_cell": _last_struct(top & F.col("tag").isin(["tr", "table"] + CELL_TAGS + TABLE_SECTION_TAGS)
+                              & F.col("kind").isin("open", "close"), {"pos": F.col("pos"), "on": _opn(CELL_TAGS)}, w),
+        "root_list": F.last(F.when(_opn(LIST_TAGS) & (F.col("l_d") == 1), F.col("pos")), ignorenulls=True).over(w)})
     # List items: events at the token's own list depth.
     wl = running(Window.partitionBy("page_id", "l_d").orderBy("pos"))
-    li_ev = (F.col("kind").isin("open", "close") & F.col("tag").isin(["li"] + LIST_TAGS))
-    df = (df.withColumn("_item", _last_struct(li_ev, {"pos": F.col("pos"), "on": _opn(["li"])}, wl))
-          .withColumn("_nli", F.sum(F.when(_opn(["li"]), 1).otherwise(0)).over(wl))
-          .withColumn("_list", _last_struct(_opn(LIST_TAGS), {"pos": F.col("pos"), "ol": F.col("tag") == "ol"}, wl)))
+    li_ev = F.col("kind").isin("open", "close") & F.col("tag").isin(["li"] + LIST_TAGS)
+    df = df.withColumns({
+        "_item": _last_struct(li_ev, {"pos": F.col("pos"), "on": _opn(["li"])}, wl),
+        "_nli": F.sum(F.when(_opn(["li"]), 1).otherwise(0)).over(wl),
+        "_list": _last_struct(_opn(LIST_TAGS), {"pos": F.col("pos"), "ol": F.col("tag") == "ol"}, wl)})
     df = df.withColumn("_list0", F.last(F.when(_opn(LIST_TAGS), F.col("_nli")), ignorenulls=True).over(wl))
     ukind = (F.when(F.col("t_d") >= 1, F.lit("cell")).when(F.col("pre_d") >= 1, F.lit("pre"))
-             .when(F.col("l_d") >= 1, F.lit("item")).otherwise(F.lit("seg")))
-    uid = (F.when(ukind == "cell", F.when(F.col("_cell.on") & F.col("_row.on"), F.col("_cell.pos")))
-           .when(ukind == "pre", F.col("_pre"))
-           .when(ukind == "item", F.when(F.col("_item.on"), F.col("_item.pos")))
+             .when(F.col("l_d") >= 1, F.lit("item")).when(_opn(["hr"]), F.lit("hr")).otherwise(F.lit("seg")))
+    df = df.withColumn("ukind", ukind)
+    uid = (F.when(F.col("ukind") == "cell", F.when(F.col("_cell.on") & F.col("_row.on"), F.col("_cell.pos")))
+           .when(F.col("ukind") == "pre", F.col("_pre"))
+           .when(F.col("ukind") == "item", F.when(F.col("_item.on"), F.col("_item.pos")))
+           .when(F.col("ukind") == "hr", F.col("pos"))
            .otherwise(F.coalesce(F.col("_seg.pos"), F.lit(-1))))
     heading = F.when((F.col("_seg.kind") == "open") & F.col("_seg.tag").isin(HEADINGS),
                      F.substring(F.col("_seg.tag"), 2, 1).cast("int"))
-    df = (df.withColumn("ukind", ukind).withColumn("uid", uid)
-          .withColumn("level", F.when(ukind == "seg", heading))
-          .withColumn("list_id", F.col("_list.pos")).withColumn("ordered", F.col("_list.ol"))
-          .withColumn("idx", F.col("_nli") - F.col("_list0"))
-          .withColumn("row_id", F.col("_row.pos")).withColumn("tbl_id", F.col("_tbl")))
-    return df.filter(F.col("uid").isNotNull()).drop("_seg", "_pre", "_tbl", "_row", "_cell", "_item", "_nli",
-                                                    "_list", "_list0", "q_d_stray", "l_d_stray", "t_d_stray",
-                                                    "pre_d_stray")
+    df = df.withColumns({"uid": uid, "level": F.when(F.col("ukind") == "seg", heading),
+                         "list_id": F.col("_list.pos"), "ordered": F.col("_list.ol"),
+                         "idx": F.col("_nli") - F.col("_list0"),
+                         "row_id": F.col("_row.pos"), "tbl_id": F.col("_tbl")})
+    return df.filter(F.col("uid").isNotNull()).drop(
+        "_seg", "_pre", "_tbl", "_row", "_cell", "_item", "_nli", "_list", "_list0",
+        "q_d_stray", "l_d_stray", "t_d_stray", "pre_d_stray")
 
 
 def _clean_text(c: Column) -> Column:
     return F.regexp_replace(c, SENTINELS, "")
 
 
-def inline_pieces(units: DataFrame, cfg: Config) -> DataFrame:
-    """(page_id, ukind, uid, pos, piece, eb, ei, ed) for segment and item tokens, plus
-    one row per flattened span (link / inline code) carrying its Markdown."""
-    df = units.filter(F.col("ukind").isin("seg", "item"))
-    w = running(Window.partitionBy("page_id").orderBy("pos"))
-    # Outermost link / code span containing (or opened by) the token.
-    span_open = _opn(SPAN_TAGS)
-    best = F.max(F.when(span_open, F.struct(F.col("hi").alias("h"), (-F.col("pos")).alias("nlo"),
-                                            F.col("tag").alias("t"), F.col("attrs").getItem("href").alias("href"))
-                        )).over(w)
-    df = df.withColumn("_sp", best)
-    df = df.withColumn("span_lo", F.when(F.col("_sp.h") >= F.col("pos"), -F.col("_sp.nlo")))
-    spans = (df.filter(F.col("span_lo").isNotNull())
-             .groupBy("page_id", "span_lo")
-             .agg(F.first(F.when(F.col("pos") == F.col("span_lo"), F.struct("ukind", "uid")), ignorenulls=True).alias("u"),
-                  F.first(F.when(F.col("pos") == F.col("span_lo"), F.col("_sp")), ignorenulls=True).alias("sp"),
-                  F.array_join(F.transform(F.array_sort(F.collect_list(F.when(
-                      F.col("text").isNotNull(), F.struct("pos", _clean_text(F.col("text")).alias("t"))))),
-                      lambda x: x["t"]), "").alias("raw")))
-    link_text = T.normalize_inline(F.col("raw"))
-    href = T.trim_ws(F.coalesce(F.col("sp.href"), F.lit("")))
-    link = (F.when(href == "", link_text)
-            .otherwise(F.concat(F.lit("["), F.when(link_text == "", href).otherwise(link_text),
-                                F.lit("]("), href, F.lit(")"), F.lit(LNL))))
-    code = T.inline_code(F.regexp_replace(F.col("raw"), r"(?U)[ ]", " "))
-    span_rows = spans.select("page_id", F.col("u.ukind").alias("ukind"), F.col("u.uid").alias("uid"),
-                             F.col("span_lo").alias("pos"),
-                             F.when(F.col("sp.t") == "a", link).otherwise(code).alias("piece"),
-                             *[F.lit(0).alias(f"e{k}") for k in EMPH],
-                             *[F.lit(None).cast(t).alias(c) for c, t in UNIT_META])
-    # Token pieces outside spans.
-    df = df.filter(F.col("span_lo").isNull())
-    df = df.withColumn("_ph", F.when(F.col("ukind") == "item", F.col("uid")))
-    wu = ["ukind", "uid"]
-    for k, tags in EMPH_TAGS.items():
-        df = nest_depth(df, f"_d{k}", _opn(tags), _cls(tags), wu)
+def token_pieces(units: DataFrame, cfg: Config) -> DataFrame:
+    """Per token: its piece and its group `g` within the unit (a flattened span, or a
+    run of tokens between spans), plus emphasis bookkeeping.  One sort:
+    (page_id, ukind, uid, pos)."""
+    wu = Window.partitionBy("page_id", "ukind", "uid").orderBy("pos")
+    inl = F.col("ukind").isin("seg", "item")
+    span_open = inl & _opn(SPAN_TAGS)
+    df = units.withColumn("_sp", F.max(F.when(span_open, F.struct(
+        F.col("hi").alias("h"), (-F.col("pos")).alias("nlo"), F.col("tag").alias("t"),
+        F.col("attrs").getItem("href").alias("href")))).over(running(wu)))
+    df = df.withColumn("in_span", F.coalesce(F.col("_sp.h") >= F.col("pos"), F.lit(False)))
+    df = nest_depths(df, {f"_d{k}": (_opn(t) & inl & ~F.col("in_span"), _cls(t) & inl & ~F.col("in_span"))
+                          for k, t in EMPH_TAGS.items()}, ["ukind", "uid"])
+    prev_span = F.lag("in_span").over(wu)
+    start = F.col("in_span") | prev_span.isNull() | prev_span
+    df = df.withColumn("_start", F.when(F.col("in_span"), -F.col("_sp.nlo")).when(start, F.col("pos")))
+    df = df.withColumn("g", F.last("_start", ignorenulls=True).over(running(wu)))
+    # Pieces.
+    text = _clean_text(F.col("text"))
     level_prefix = F.concat(F.lit(MARK), F.repeat(F.lit("#"), F.substring("tag", 2, 1).cast("int")), F.lit(" "))
-    piece = F.when(F.col("kind").isin("text", "entity"), _clean_text(F.col("text")))
+    piece = F.when(F.col("kind").isin("text", "entity"), text)
     for k, tags in EMPH_TAGS.items():
         o, c, _ = EMPH[k]
         piece = piece.when(_opn(tags), F.lit(o)).when(_cls(tags) & ~F.col(f"_d{k}_stray"), F.lit(c))
@@ -181,12 +171,12 @@ def inline_pieces(units: DataFrame, cfg: Config) -> DataFrame:
     piece = piece.when(in_item & F.col("kind").isin("open", "close") & F.col("tag").isin(BLOCK_TAGS),
                        F.lit(MARK + " "))
     piece = piece.otherwise(F.lit(MARK))
-    # hr outside lists is a block of its own (emitted below); its piece is a mark.
-    eff = {k: F.when(_opn(t), 1).when(_cls(t) & ~F.col(f"_d{k}_stray"), -1).otherwise(0)
+    piece = (F.when(F.col("ukind").isin("cell", "pre") | F.col("in_span"), F.coalesce(text, F.lit("")))
+             .when(F.col("ukind") == "hr", F.lit("---")).otherwise(piece))
+    eff = {f"e{k}": F.when(_opn(t) & inl & ~F.col("in_span"), 1)
+           .when(_cls(t) & inl & ~F.col("in_span") & ~F.col(f"_d{k}_stray"), -1).otherwise(0)
            for k, t in EMPH_TAGS.items()}
-    tok_rows = df.select("page_id", "ukind", "uid", "pos", piece.alias("piece"),
-                         *[eff[k].alias(f"e{k}") for k in EMPH], *[c for c, _ in UNIT_META])
-    return tok_rows.unionByName(span_rows)
+    return df.withColumns({"piece": piece, **eff})
 
 
 def finish_inline(s: Column) -> Column:
@@ -231,96 +221,104 @@ def quote_blank(q: Column) -> Column:
             .otherwise(F.concat(F.repeat(F.lit("> "), q - 1), F.lit(">"))))
 
 
-def table_blocks(units: DataFrame) -> DataFrame:
-    """Cells -> rows -> Markdown tables.  First row is the header; rows padded to the
-    widest; pipes escaped; rows without cells dropped."""
-    cells = (units.filter(F.col("ukind") == "cell")
-             .groupBy("page_id", "tbl_id", "row_id", "uid")
-             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(
-                 F.col("text").isNotNull(), F.struct("pos", _clean_text(F.col("text")).alias("t"))))),
-                 lambda x: x["t"]), "").alias("raw"),
-                  F.first("q_d").alias("q_d")))
-    rows = (cells.withColumn("cell", T.table_cell_escape(T.normalize_inline(F.col("raw"))))
-            .groupBy("page_id", "tbl_id", "row_id")
-            .agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("uid").alias("p"), "cell"))),
-                             lambda x: x["cell"]).alias("cells"), F.min("q_d").alias("q_d")))
-    tables = (rows.groupBy("page_id", "tbl_id")
-              .agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col("row_id").alias("p"), "cells"))),
-                               lambda x: x["cells"]).alias("rows"), F.min("q_d").alias("q_d")))
-    ncol = F.array_max(F.transform("rows", lambda r: F.size(r)))
-    padded = F.transform("rows", lambda r: F.concat(r, F.array_repeat(F.lit(""), ncol - F.size(r))))
+def _first(c: str) -> Column:
+    return F.first(c, ignorenulls=True)
+
+
+# Metadata carried up the aggregation chain: column -> how groups combine it.
+_META = {"q_d": F.min, "l_d": F.min, "level": _first, "list_id": _first, "ordered": _first, "idx": F.max,
+         "root_list": _first, "row_id": _first, "tbl_id": _first, "has_content": F.max}
+
+
+def _meta_aggs() -> list[Column]:
+    return [f(c).alias(c) for c, f in _META.items()]
+
+
+def table_markdown(rows: Column) -> Column:
+    """Rows of cell strings -> Markdown table: first row is the header, rows padded
+    to the widest, `---` separator."""
+    ncol = F.array_max(F.transform(rows, lambda r: F.size(r)))
+    padded = F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), ncol - F.size(r))))
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
     sep = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), ncol), " | "), F.lit(" |"))
-    md = F.array_join(F.concat(F.array(line(F.try_element_at(padded, F.lit(1))), sep),
-                               F.transform(F.slice(padded, 2, F.greatest(F.size(padded) - 1, F.lit(0))), line)), "\n")
-    return tables.select("page_id", F.col("tbl_id").alias("upos"), F.lit(1).alias("sub"), F.lit("table").alias("bkind"),
-                         md.alias("text"), "q_d", F.lit(0).alias("l_d"), F.lit(None).cast("int").alias("list_id"),
-                         F.lit(None).cast("int").alias("root_list"))
+    return F.array_join(F.concat(F.array(line(F.try_element_at(padded, F.lit(1))), sep),
+                                 F.transform(F.slice(padded, 2, F.greatest(F.size(padded) - 1, F.lit(0))), line)), "\n")
 
 
 def markdown_blocks(content: DataFrame, cfg: Config) -> DataFrame:
-    """(page_id, upos, sub, bkind, text, q_d, l_d, list_id, root_list): one row per
-    Markdown block, in document order by (upos, sub)."""
-    units = assign_units(content)
-    pieces = inline_pieces(units, cfg)
-    agg = (pieces.groupBy("page_id", "ukind", "uid")
-           .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))),
-                                         lambda x: x["piece"]), "").alias("s"),
-                *[F.sum(f"e{k}").alias(f"e{k}") for k in EMPH],
-                F.coalesce(F.min("q_d"), F.lit(0)).alias("q_d"), F.coalesce(F.min("l_d"), F.lit(0)).alias("l_d"),
-                F.first("level", ignorenulls=True).alias("level"),
-                F.first("list_id", ignorenulls=True).alias("list_id"),
-                F.coalesce(F.first("ordered", ignorenulls=True), F.lit(False)).alias("ordered"),
-                F.max("idx").alias("idx"), F.first("root_list", ignorenulls=True).alias("root_list")))
+    """(page_id, upos, sub, bkind, text, q_d, l_d, list_id, root_list, has_content):
+    one row per block in document order by (upos, sub); `text` '' renders nothing."""
+    pieces = token_pieces(assign_units(content), cfg)
+    # Level 1: flattened spans and runs.
+    g1 = pieces.groupBy("page_id", "ukind", "uid", "g").agg(
+        _ordered("pos", F.col("piece")).alias("s"), F.max("in_span").alias("is_span"),
+        F.first(F.when(F.col("pos") == F.col("g"), F.col("_sp")), ignorenulls=True).alias("sp"),
+        *[F.sum(f"e{k}").alias(f"e{k}") for k in EMPH], *_meta_aggs())
+    link_text = T.normalize_inline(F.col("s"))
+    href = T.trim_ws(F.coalesce(F.col("sp.href"), F.lit("")))
+    link = (F.when(href == "", link_text)
+            .otherwise(F.concat(F.lit("["), F.when(link_text == "", href).otherwise(link_text),
+                                F.lit("]("), href, F.lit(")"), F.lit(LNL))))
+    code = T.inline_code(F.col("s"))
+    g1 = g1.withColumn("s", F.when(F.col("is_span") & (F.col("sp.t") == "a"), link)
+                       .when(F.col("is_span"), code).otherwise(F.col("s")))
+    # Level 2: units.
+    u = g1.groupBy("page_id", "ukind", "uid").agg(
+        _ordered("g", F.col("s")).alias("s"), *[F.sum(f"e{k}").alias(f"e{k}") for k in EMPH], *_meta_aggs())
     closers = F.concat(*[F.repeat(F.lit(EMPH[k][1]), F.greatest(F.col(f"e{k}"), F.lit(0))) for k in ("d", "i", "b")])
-    inl = agg.withColumn("t", finish_inline(F.concat("s", closers)))
-    heading = F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), T.collapse_ws(F.col("t")))
+    t = finish_inline(F.concat("s", closers))
+    heading = F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), T.collapse_ws(t))
     marker = F.when(F.col("ordered"), F.concat(F.col("idx").cast("string"), F.lit(". "))).otherwise(F.lit("- "))
-    item = F.concat(F.repeat(F.lit("  "), F.col("l_d") - 1), marker, T.collapse_ws(F.col("t")))
-    text = (F.when(F.col("ukind") == "item", item)
-            .when(F.col("t") == "", F.lit(None))
-            .when(F.col("level").isNotNull(), heading)
-            .otherwise(F.col("t")))
-    inline_blocks = inl.select("page_id", F.col("uid").alias("upos"), F.lit(1).alias("sub"),
-                               F.when(F.col("ukind") == "item", "item").when(F.col("level").isNotNull(), "heading")
-                               .otherwise("para").alias("bkind"),
-                               cleanup_lines(text).alias("text"), "q_d", "l_d", "list_id", "root_list") \
-        .filter(F.col("text").isNotNull() & ((F.col("text") != "") | (F.col("bkind") == "item")))
-    # pre: raw text content, CR normalised, outer newlines trimmed, fenced.
-    pre = (units.filter(F.col("ukind") == "pre").groupBy("page_id", "uid")
-           .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(
-               F.col("text").isNotNull(), F.struct("pos", _clean_text(F.col("text")).alias("t"))))),
-               lambda x: x["t"]), "").alias("raw"), F.min("q_d").alias("q_d")))
-    pre_blocks = (pre.select("page_id", F.col("uid").alias("upos"), F.lit(1).alias("sub"), F.lit("code").alias("bkind"),
-                             T.fenced_code(T.normalize_code_block(F.col("raw"))).alias("text"), "q_d",
-                             F.lit(0).alias("l_d"), F.lit(None).cast("int").alias("list_id"),
-                             F.lit(None).cast("int").alias("root_list"))
-                  .filter(F.col("text") != ""))
-    hr_blocks = (units.filter((F.col("ukind") == "seg") & _opn(["hr"]))
-                 .select("page_id", F.col("pos").alias("upos"), F.lit(0).alias("sub"), F.lit("rule").alias("bkind"),
-                         F.lit("---").alias("text"), "q_d", F.lit(0).alias("l_d"),
-                         F.lit(None).cast("int").alias("list_id"), F.lit(None).cast("int").alias("root_list")))
-    return inline_blocks.unionByName(pre_blocks).unionByName(hr_blocks).unionByName(table_blocks(units))
+    item = F.concat(F.repeat(F.lit("  "), F.col("l_d") - 1), marker, T.collapse_ws(t))
+    kind = F.col("ukind")
+    text = (F.when(kind == "cell", T.table_cell_escape(T.normalize_inline(F.col("s"))))
+            .when(kind == "pre", T.fenced_code(T.normalize_code_block(F.col("s"))))
+            .when(kind == "hr", F.lit("---"))
+            .when(kind == "item", cleanup_lines(item))
+            .when(t == "", F.lit(""))
+            .when(F.col("level").isNotNull(), cleanup_lines(heading))
+            .otherwise(cleanup_lines(t)))
+    u = u.withColumns({"text": text,
+                       "bkind": F.when(kind == "cell", "table").when(kind == "pre", "code").when(kind == "hr", "rule")
+                       .when(kind == "item", "item").when(F.col("level").isNotNull(), "heading").otherwise("para"),
+                       "bkey": F.when(kind == "cell", F.col("tbl_id")).otherwise(F.col("uid")),
+                       "rkey": F.when(kind == "cell", F.col("row_id")).otherwise(F.lit(0))})
+    # Level 3: table rows (other blocks pass through as one-cell rows).
+    r = u.groupBy("page_id", "bkind", "bkey", "rkey").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("uid", "text"))), lambda x: x["text"]).alias("cells"),
+        *_meta_aggs())
+    # Level 4: blocks.
+    b = r.groupBy("page_id", "bkind", "bkey").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rkey", "cells"))), lambda x: x["cells"]).alias("rows"),
+        *_meta_aggs())
+    btext = F.when(F.col("bkind") == "table", table_markdown(F.col("rows"))) \
+        .otherwise(F.try_element_at(F.try_element_at(F.col("rows"), F.lit(1)), F.lit(1)))
+    return b.select("page_id", F.col("bkey").alias("upos"),
+                    F.when(F.col("bkind") == "rule", 0).otherwise(1).alias("sub"), "bkind",
+                    F.coalesce(btext, F.lit("")).alias("text"), F.coalesce("q_d", F.lit(0)).alias("q_d"),
+                    F.coalesce("l_d", F.lit(0)).alias("l_d"), "list_id", "root_list", "has_content")
 
 
 def assemble_body(blocks: DataFrame) -> DataFrame:
-    """(page_id, body): blocks joined in order.  Items of one list are separated by a
-    newline, except after a nested list ends or between two lists (blank line); any
-    other pair by a blank line, quoted when both sides are quoted."""
-    w = Window.partitionBy("page_id").orderBy("upos", "sub")
-    prev = lambda c: F.lag(c).over(w)
-    same_list = ((F.col("bkind") == "item") & (prev("bkind") == "item") & (F.col("root_list") == prev("root_list")))
-    tight = same_list & ((F.col("l_d") > prev("l_d")) |
-                         ((F.col("l_d") == prev("l_d")) & (F.col("list_id") == prev("list_id"))))
-    qmin = F.least(F.col("q_d"), prev("q_d"))
-    sep = (F.when(prev("bkind").isNull(), F.lit(""))
+    """(page_id, body, has_content): blocks joined in order.  Items of one list are
+    separated by a newline, except after a nested list ends or between two lists
+    (blank line); any other pair by a blank line, quoted when both are quoted."""
+    w = before(Window.partitionBy("page_id").orderBy("upos", "sub"))
+    keep = (F.col("text") != "") | (F.col("bkind") == "item")
+    prev = F.last(F.when(keep, F.struct("bkind", "l_d", "q_d", "list_id", "root_list")), ignorenulls=True).over(w)
+    b = blocks.withColumns({"_keep": keep, "_p": prev})
+    p = lambda c: F.col(f"_p.{c}")
+    same_list = (F.col("bkind") == "item") & (p("bkind") == "item") & (F.col("root_list") == p("root_list"))
+    tight = same_list & ((F.col("l_d") > p("l_d")) | ((F.col("l_d") == p("l_d")) & (F.col("list_id") == p("list_id"))))
+    sep = (F.when(F.col("_p").isNull(), F.lit(""))
            .when(tight, F.lit("\n"))
-           .otherwise(F.concat(F.lit("\n"), quote_blank(qmin), F.lit("\n"))))
-    b = blocks.withColumn("piece", F.concat(sep, quote_prefix(F.col("text"), F.col("q_d"))))
+           .otherwise(F.concat(F.lit("\n"), quote_blank(F.least(F.col("q_d"), p("q_d"))), F.lit("\n"))))
+    b = b.withColumn("piece", F.when(F.col("_keep"), F.concat(sep, quote_prefix(F.col("text"), F.col("q_d")))))
     return (b.groupBy("page_id")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("upos", "sub", "piece"))),
-                                          lambda x: x["piece"]), "").alias("body"))
-            .select("page_id", T.trim_ws(F.col("body")).alias("body")))
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(
+                F.col("piece").isNotNull(), F.struct("upos", "sub", "piece")))), lambda x: x["piece"]), "").alias("body"),
+                 F.max("has_content").alias("has_content"))
+            .select("page_id", T.trim_ws(F.col("body")).alias("body"), "has_content"))
 
 
 def markdown_body(content: DataFrame, cfg: Config) -> DataFrame:

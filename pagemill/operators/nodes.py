@@ -59,63 +59,71 @@ def is_close(tags=None) -> Column:
     return c if tags is None else c & F.col("tag").isin(tags)
 
 
-def nest_depth(df: DataFrame, name: str, opens: Column, closes: Column,
-               partition: list[str] | None = None) -> DataFrame:
-    """Depth of nesting for one family of tags, per token, in document order.
+def nest_depths(df: DataFrame, fams: dict, partition: list[str] | None = None) -> DataFrame:
+    """Depth of nesting for families of tags, per token, in document order.
 
-    Opens count themselves; a close reports the depth of what it closes; stray
-    closes (nothing open) are ignored.  Adds `name` and `{name}_stray`."""
+    `fams` maps a column name to (opens, closes).  Opens count themselves; a close
+    reports the depth of what it closes; stray closes (nothing open) are ignored and
+    flagged in `{name}_stray`.  Two window passes over one sort, whatever the number
+    of families."""
     keys = ["page_id"] + (partition or [])
     w = Window.partitionBy(*keys).orderBy("pos")
-    delta = F.when(opens, 1).when(closes, -1).otherwise(0)
-    r, mn, prev = f"_{name}_r", f"_{name}_mn", f"_{name}_pm"
-    df = df.withColumn(r, F.sum(delta).over(running(w)))
-    df = df.withColumn(mn, F.min(r).over(running(w))).withColumn(
-        prev, F.coalesce(F.min(r).over(before(w)), F.lit(0)))
-    stray = closes & (F.col(r) < F.least(F.lit(0), F.col(prev)))
-    eff = F.col(r) - F.least(F.lit(0), F.col(mn))
-    df = df.withColumn(f"{name}_stray", stray)
-    df = df.withColumn(name, F.when(closes & ~stray, eff + 1).otherwise(eff))
-    return df.drop(r, mn, prev)
-
-
-def next_pos(df: DataFrame, name: str, event: Column, partition: list[str] | None = None) -> DataFrame:
-    """Position of the next `event` row after each row (NULL if none).  Uses a
-    descending running frame so each partition is scanned once."""
+    df = df.withColumns({f"_{n}_r": F.sum(F.when(o, 1).when(c, -1).otherwise(0)).over(running(w))
+                         for n, (o, c) in fams.items()})
+    mins = {}
+    for n in fams:
+        mins[f"_{n}_mn"] = F.min(f"_{n}_r").over(running(w))
+        mins[f"_{n}_pm"] = F.coalesce(F.min(f"_{n}_r").over(before(w)), F.lit(0))
+    df = df.withColumns(mins)
+    out = {}
+    for n, (o, c) in fams.items():
+        r, mn, pm = F.col(f"_{n}_r"), F.col(f"_{n}_mn"), F.col(f"_{n}_pm")
+        stray = c & (r < F.least(F.lit(0), pm))
+        eff = r - F.least(F.lit(0), mn)
+        out[f"{n}_stray"] = stray
+        out[n] = F.when(c & ~stray, eff + 1).otherwise(eff)
+    df = df.withColumns(out)
+    return df.drop(*[f"_{n}_{x}" for n in fams for x in ("r", "mn", "pm")])
+
+
+def nest_depth(df: DataFrame, name: str, opens: Column, closes: Column,
+               partition: list[str] | None = None) -> DataFrame:
+    return nest_depths(df, {name: (opens, closes)}, partition)
+
+
+def next_pos(df: DataFrame, events: dict, partition: list[str] | None = None) -> DataFrame:
+    """For each name -> event condition: position of the next event row after each
+    row (NULL if none).  A descending running frame scans each partition once."""
     keys = ["page_id"] + (partition or [])
     w = Window.partitionBy(*keys).orderBy(F.col("pos").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn(name, F.min(F.when(event, F.col("pos"))).over(w))
+    return df.withColumns({n: F.min(F.when(e, F.col("pos"))).over(w) for n, e in events.items()})
 
 
 def element_spans(tokens: DataFrame) -> DataFrame:
     """Adds to every token: `list_d`, `tbl_d` (list / table nesting) and, on element
     open rows, `hi` (last position inside the element, inclusive) and `closed`."""
-    df = tokens
-    df = df.withColumn("_last", F.max("pos").over(Window.partitionBy("page_id")))
+    df = tokens.withColumn("_last", F.max("pos").over(Window.partitionBy("page_id")))
     # Family depths needed by the implicit-close rules.
-    df = nest_depth(df, "list_d", is_open(LIST_TAGS), is_close(LIST_TAGS))
-    df = nest_depth(df, "tbl_d", is_open(["table"]), is_close(["table"]))
+    df = nest_depths(df, {"list_d": (is_open(LIST_TAGS), is_close(LIST_TAGS)),
+                          "tbl_d": (is_open(["table"]), is_close(["table"]))})
     # Per-tag pairing of explicit closes: depth within the tag, then the next event
     # at the same tag and depth is the close when it is one.
     tagged = F.col("kind").isin("open", "close") & ~F.col("is_void")
     df = nest_depth(df.withColumn("_tg", F.when(tagged, F.col("tag"))), "_td",
                     is_open() & F.col("_tg").isNotNull(), is_close() & F.col("_tg").isNotNull(), ["_tg"])
     wp = Window.partitionBy("page_id", "_tg", "_td").orderBy("pos")
-    nxt_kind = F.lead("kind").over(wp)
-    nxt_pos = F.lead("pos").over(wp)
-    df = df.withColumn("_pair", F.when(is_open() & (nxt_kind == "close"), nxt_pos))
+    df = df.withColumn("_pair", F.when(is_open() & (F.lead("kind").over(wp) == "close"), F.lead("pos").over(wp)))
     # Terminators of `p` and open inline tags: any block-tag open or close.
     block_ev = F.col("kind").isin("open", "close") & F.col("tag").isin(BLOCK_TAGS)
-    df = next_pos(df, "_nblk", block_ev)
+    df = next_pos(df, {"_nblk": block_ev})
     # `li`: next item or list end at the same list depth.
     li_ev = (F.col("kind").isin("open", "close") & (F.col("tag") == "li")) | is_close(LIST_TAGS)
-    df = next_pos(df, "_nli", li_ev, ["list_d"])
+    df = next_pos(df, {"_nli": li_ev}, ["list_d"])
     # Cells and rows: next cell / row / section event or table end at the same depth.
     row_ev = (F.col("kind").isin("open", "close") & F.col("tag").isin(["tr"] + TABLE_SECTION_TAGS)) \
         | is_close(["table"])
     cell_ev = row_ev | (F.col("kind").isin("open", "close") & F.col("tag").isin(CELL_TAGS))
-    df = next_pos(df, "_ncell", cell_ev, ["tbl_d"])
-    df = next_pos(df, "_nrow", row_ev, ["tbl_d"])
+    df = next_pos(df, {"_ncell": cell_ev, "_nrow": row_ev}, ["tbl_d"])
     tag = F.col("tag")
     term = (F.when(tag.isin(["p"] + INLINE_TAGS), F.col("_nblk"))
             .when(tag == "li", F.col("_nli"))

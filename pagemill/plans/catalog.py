@@ -188,7 +188,7 @@ def q_md_headings(spark, sf):
 
 def q_md_paragraphs(spark, sf):
     b = M.markdown_blocks(S.content_subtree(_structured(spark, sf)), Config())
-    return b.filter(F.col("bkind") == "para").select("page_id", F.col("upos").cast("long").alias("upos"), "text") \
+    return b.filter((F.col("bkind") == "para") & (F.col("text") != "")).select("page_id", F.col("upos").cast("long").alias("upos"), "text") \
         .groupBy("page_id").agg(F.count("*").alias("n_para"), F.array_join(F.transform(
             F.array_sort(F.collect_list(F.struct("upos", "text"))), lambda x: x["text"]), "\n\n").alias("paras"))
 
@@ -200,7 +200,7 @@ def q_md_breaks(spark, sf):
 def q_md_strong(spark, sf):
     """Bold lead-ins of the fixture pages (`<p><b>...<br>`, never closed)."""
     b = M.markdown_blocks(S.content_subtree(_structured(spark, sf)), Config())
-    s = b.filter(F.col("text").startswith("**"))
+    s = b.filter(F.col("text").startswith("**") & (F.col("bkind") == "para"))
     return s.groupBy("page_id").agg(F.count("*").alias("n_strong"), F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("upos", "text"))), lambda x: x["text"]), "\n").alias("strong"))
 

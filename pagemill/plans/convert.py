@@ -26,22 +26,10 @@ def structured_tokens(pages: DataFrame, cfg: Config, partitioned: bool = False)
     return S.drop_excluded(t, cfg)
 
 
-def extract_status(structured: DataFrame) -> DataFrame:
-    """(page_id, has_root, has_content): extraction fails when no root is found or the
-    root's remaining inner HTML is blank."""
-    inside = (F.col("pos") > F.col("root_lo")) & (F.col("pos") <= F.col("root_hi")) & ~F.col("excluded")
-    nonblank = inside & ~((F.col("kind") == "text") & (F.regexp_replace("tok", r"[ \t\n\r\x00\x0B]", "") == ""))
-    return structured.groupBy("page_id").agg(
-        F.max(F.col("root_lo").isNotNull()).alias("has_root"),
-        F.coalesce(F.max(nonblank), F.lit(False)).alias("has_content"))
-
-
 def html_to_markdown(pages: DataFrame, cfg: Config, partitioned: bool = False) -> DataFrame:
-    """(page_id, body, extracted): `extracted` false means the page fails (no root
-    or blank content); `body` is the Markdown body ('' when nothing renders)."""
-    st = structured_tokens(pages, cfg, partitioned).cache() if False else structured_tokens(pages, cfg, partitioned)
-    status = extract_status(st)
+    """(page_id, body, extracted) for pages that have a root: `extracted` false means
+    a blank extraction (failure).  Pages with no root produce no row.  One linear
+    plan from tokens to body."""
+    st = structured_tokens(pages, cfg, partitioned)
     body = M.markdown_body(S.content_subtree(st), cfg)
-    out = status.join(body, "page_id", "left")
-    return out.select("page_id", F.coalesce("body", F.lit("")).alias("body"),
-                      (F.col("has_root") & F.col("has_content")).alias("extracted"))
+    return body.select("page_id", "body", F.coalesce("has_content", F.lit(False)).alias("extracted"))
