@@ -44,18 +44,31 @@ def _kind(tok: Column) -> Column:
             .otherwise(F.lit("text")))
 
 
+def _key_is(key: str):
+    return lambda p: p["k"] == key
+
+
+# The attributes the conversion reads.
+ATTR_KEYS = ["id", "class", "href", "src", "data-src", "data-lazy-src", "data-original", "alt", "title"]
+
+
 def tag_attributes(tok: Column) -> Column:
-    """MAP<name, value> for an open tag; names lower-cased, first occurrence wins,
-    values entity-decoded (attribute subset, see functions.text.decode_attr)."""
-    body = F.regexp_replace(tok, r"^<[A-Za-z][^\s/>]*|/?>$", "")
+    """MAP<name, value> of the attributes the conversion reads (ATTR_KEYS) for an
+    open tag: names lower-cased, first occurrence wins, values entity-decoded
+    (attribute subset, see functions.text.decode_attr).  Linear in the number of
+    attributes (one pass to split, one filter per key), so a tag with tens of
+    thousands of attributes stays cheap."""
+    body = F.regexp_replace(tok, r"^<[A-Za-z][^\s/>]*+|/?>$", "")
     parts = F.regexp_extract_all(body, F.lit(ATTR_RX), 0)
     pairs = F.transform(parts, lambda a: F.struct(
-        T.ascii_lower(F.regexp_extract(a, r"^([^\s=]+)", 1)).alias("k"),
-        T.decode_attr(F.regexp_replace(F.regexp_extract(a, r"^[^\s=]+\s*=\s*(.*)$", 1),
-                                       r"""^"(.*)"$|^'(.*)'$""", "$1$2")).alias("v")))
-    names = F.transform(pairs, lambda p: p["k"])
-    firsts = F.filter(pairs, lambda p, i: F.array_position(names, p["k"]) == i + 1)
-    return F.map_from_entries(firsts)
+        T.ascii_lower(F.regexp_extract(a, r"^([^\s=]+)", 1)).alias("k"), a.alias("a")))
+    kv = []
+    for key in ATTR_KEYS:
+        first = F.try_element_at(F.filter(pairs, _key_is(key)), F.lit(1))["a"]
+        raw = F.regexp_extract(first, r"^[^\s=]+\s*=\s*(.*)$", 1)
+        val = T.decode_attr(F.regexp_replace(raw, r"""^"(.*)"$|^'(.*)'$""", "$1$2"))
+        kv += [F.lit(key), F.when(first.isNotNull(), val)]
+    return F.create_map(*kv)
 
 
 def page_tokens(pages: DataFrame, entities: DataFrame | None = None,
