@@ -95,6 +95,10 @@ class Config:
     locale: str = "en_US"
     site_front_page_id: int | None = None
     max_html_bytes: int = 8 * 1024 * 1024
+    # Target input bytes per task for the page_id exchange.  Tokenizing expands a
+    # page into thousands of rows and every later step runs in the same tasks, so
+    # this exchange is sized by input size, not left to byte-based coalescing.
+    partition_bytes: int = 32 * 1024 * 1024
     root_steps: tuple = field(default=(), compare=False, repr=False)
     ignore_steps: tuple = field(default=(), compare=False, repr=False)
 

@@ -44,8 +44,8 @@ def excerpt_words(excerpt: Column, content: Column) -> Column:
     decoding can split a word (e.g. '&nbsp;') but never join two."""
     e = T.strip_tags(F.coalesce(excerpt, F.lit("")))
     src = F.when(e != "", e).otherwise(T.strip_tags(F.coalesce(content, F.lit(""))))
-    words = F.split(F.regexp_replace(src, r"^(?U)\s+", ""), r"(?U)\s+")
-    return F.array_join(F.slice(words, 1, 41), " ")
+    head = F.regexp_extract(src, r"^(?U)\s*+((?:\S++\s++){0,40}\S*+)", 1)
+    return F.array_join(F.filter(F.split(head, r"(?U)\s+"), lambda w: w != ""), " ")
 
 
 def excerpt_finish(decoded: Column) -> Column:
@@ -89,7 +89,12 @@ def front_matter(meta: DataFrame, pages: DataFrame, terms: DataFrame | None = No
     """(page_id, site_id, url, markdown_url, fm: ARRAY<STRUCT<key, is_list, vals>>)
     in output order: title, id, type, slug, published_at, modified_at, url,
     markdown_url, excerpt (if any), taxonomies."""
-    m = meta.join(pages.select("page_id", "url"), "page_id")
+    return front_matter_rows(meta.join(pages.select("page_id", "url"), "page_id"), terms, include_taxonomy)
+
+
+def front_matter_rows(m: DataFrame, terms: DataFrame | None = None,
+                      include_taxonomy: Column | None = None) -> DataFrame:
+    """front_matter over rows that already hold the metadata and the page URL."""
     m = m.withColumn("ex_raw", excerpt_words(F.col("excerpt"), F.col("content")))
     m = m.select("page_id", "site_id", "type", "slug", "title", "ex_raw", "url", "published_at", "modified_at")
     m = decode_entities(m, "page_id", ["title", "ex_raw"])

@@ -115,7 +115,8 @@ def element_spans(tokens: DataFrame) -> DataFrame:
     df = df.withColumn("_pair", F.when(is_open() & (F.lead("kind").over(wp) == "close"), F.lead("pos").over(wp)))
     # Terminators of `p` and open inline tags: any block-tag open or close.
     block_ev = F.col("kind").isin("open", "close") & F.col("tag").isin(BLOCK_TAGS)
-    df = next_pos(df, {"_nblk": block_ev})
+    df = df.withColumn("_bev", F.when(block_ev, F.col("pos")))
+    df = df.withColumn("_nblk", F.expr("lead(_bev, 1) IGNORE NULLS OVER (PARTITION BY page_id ORDER BY pos)"))
     # `li`: next item or list end at the same list depth.
     li_ev = (F.col("kind").isin("open", "close") & (F.col("tag") == "li")) | is_close(LIST_TAGS)
     df = next_pos(df, {"_nli": li_ev}, ["list_d"])
@@ -138,7 +139,7 @@ def element_spans(tokens: DataFrame) -> DataFrame:
                 .otherwise(F.least(F.coalesce(term - 1, F.lit(BIG)), F.col("_last")))))
     df = df.withColumn("hi", hi)
     df = df.withColumn("closed", F.when(F.col("kind") == "open", pair.isNotNull() & (pair == F.col("hi"))))
-    return df.drop("_tg", "_td", "_td_stray", "_pair", "_nblk", "_nli", "_ncell", "_nrow", "_last",
+    return df.drop("_tg", "_td", "_td_stray", "_pair", "_nblk", "_bev", "_nli", "_ncell", "_nrow", "_last",
                    "list_d_stray", "tbl_d_stray")
 
 

@@ -71,6 +71,18 @@ def tag_attributes(tok: Column) -> Column:
     return F.create_map(*kv)
 
 
+def page_partitions(df: DataFrame, partition_bytes: int = 32 * 1024 * 1024) -> int:
+    """Number of tasks for the page_id exchange: the planned input size over the
+    target bytes per task, never fewer than the cluster's default parallelism.
+    Uses the optimizer's size estimate (file sizes for a scan), so no job runs."""
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - estimate unavailable: fall back to parallelism
+        size = 0
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return max(par, -(-size // partition_bytes))
+
+
 def page_tokens(pages: DataFrame, entities: DataFrame | None = None,
                 partitioned: bool = False) -> DataFrame:
     """(page_id, pos, tok, kind, tag, is_void, attrs, text).
@@ -81,7 +93,7 @@ def page_tokens(pages: DataFrame, entities: DataFrame | None = None,
     instance the output of a join on page_id)."""
     spark = pages.sparkSession
     if not partitioned:
-        pages = pages.repartition("page_id")
+        pages = pages.repartition(page_partitions(pages), "page_id")
     toks = pages.select("page_id", F.posexplode(F.regexp_extract_all(
         F.col("html"), F.lit(TOKEN_RX), 0)).alias("pos", "tok"))
     kind = _kind(F.col("tok"))

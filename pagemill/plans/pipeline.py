@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..operators import metadata as MD
 from ..operators import store as ST
+from ..operators import tokens as K
 from ..sources.pages import admit_pages
 from .convert import html_to_markdown
 
@@ -16,20 +17,25 @@ def convert_pages(pages: DataFrame, meta: DataFrame, cfg: Config, terms: DataFra
                   as_of: Column | None = None, front_matter_fn=None) -> DataFrame:
     """One row per page: (page_id, site_id, url, markdown_url, front_matter, body,
     document, fingerprint, generation, converted_at, fail_reason).  A rejected page
-    or a blank extraction is a failure (document NULL), never an empty document."""
+    or a blank extraction is a failure (document NULL), never an empty document.
+
+    Pages are joined to their metadata once; that join's page_id exchange is the
+    only shuffle of the HTML, and tokenizing, fingerprinting and front matter all
+    run on its output partitions."""
     as_of = as_of if as_of is not None else F.current_timestamp()
-    p = admit_pages(pages.select("page_id", "url", "html", *[c for c in ("http_status", "content_type")
-                                                              if c in pages.columns]), cfg.max_html_bytes)
-    ok = p.filter(F.col("reject_reason").isNull()).select("page_id", "url", "html")
-    md = html_to_markdown(ok, cfg)
-    fm = MD.front_matter(meta, pages.select("page_id", "url"), terms)
+    extra = [c for c in ("http_status", "content_type") if c in pages.columns]
+    n = K.page_partitions(pages, cfg.partition_bytes)
+    pm = (pages.select("page_id", "url", "html", *extra).repartition(n, "page_id")
+          .join(meta.repartition(n, "page_id"), "page_id", "left"))
+    pm = admit_pages(pm, cfg.max_html_bytes).withColumn(
+        "fingerprint", ST.fingerprint(F.col("site_id"), F.col("page_id"), F.col("modified_at"), F.col("html"), cfg))
+    md = html_to_markdown(pm.filter(F.col("reject_reason").isNull()).select("page_id", "url", "html"), cfg,
+                          partitioned=True)
+    fm = MD.front_matter_rows(pm.filter(F.col("site_id").isNotNull()).drop("html"), terms)
     if front_matter_fn is not None:
         fm = front_matter_fn(fm)
-    fp = meta.join(pages.select("page_id", "html"), "page_id").select(
-        "page_id", ST.fingerprint(F.col("site_id"), F.col("page_id"), F.col("modified_at"), F.col("html"), cfg)
-        .alias("fingerprint"))
-    out = (p.select("page_id", "reject_reason").join(md, "page_id", "left").join(fm, "page_id", "left")
-           .join(fp, "page_id", "left"))
+    out = (pm.select("page_id", "reject_reason", "fingerprint").join(md, "page_id", "left")
+           .join(fm, "page_id", "left"))
     fail = (F.when(F.col("reject_reason").isNotNull(), F.col("reject_reason"))
             .when(F.col("fm").isNull(), F.lit("no_metadata"))
             .when(~F.coalesce(F.col("extracted"), F.lit(False)), F.lit("no_content")))

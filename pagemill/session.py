@@ -24,7 +24,10 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "pagem
     builder = (SparkSession.builder.master(f"local[{cores}]").appName(app)
                .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.shuffle.partitions", str(partitions))
-               .config("spark.driver.memory", "16g"))
+               .config("spark.driver.memory", "16g")
+               # The conversion plan generates several hundred classes; with the
+               # default cache (100 entries) every run recompiles them.
+               .config("spark.sql.codegen.cache.maxEntries", "4000"))
     for k, v in SQL_CONF.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
