@@ -49,9 +49,6 @@ def classify_requests(requests: DataFrame, pages: DataFrame, servable: DataFrame
     page_state = (servable.select("page_id", "deny_reason")
                   .join(documents.select("page_id").distinct().withColumn("has_doc", F.lit(True)), "page_id", "left"))
     rr = resolve_requests(requests, pages, cfg).join(page_state, "page_id", "left")
-    found = F.col("page_id").isNotNull() & F.col("deny_reason").isNull() & F.col("page_id").isNotNull()
-    known = F.col("page_id").isNotNull() & (F.col("deny_reason").isNotNull() | F.col("has_doc").isNotNull()
-                                           | F.col("deny_reason").isNull())
     servable_now = F.col("page_id").isNotNull() & F.col("deny_reason").isNull()
     has_doc = F.coalesce(F.col("has_doc"), F.lit(False))
     safe = F.upper(F.col("method")).isin("GET", "HEAD")
@@ -72,7 +69,6 @@ def classify_requests(requests: DataFrame, pages: DataFrame, servable: DataFrame
     reason = (F.when(md_route & F.col("page_id").isNull(), F.lit("unresolved"))
               .when(md_route & ~servable_now, F.col("deny_reason"))
               .when((md_route | (negotiate & wants)) & ~has_doc, F.lit("no_document")))
-    del found, known
     return rr.select("req_id", "page_id", "is_md", representation.alias("representation"),
                      status.cast("int").alias("status"), reason.alias("reason"),
                      negotiate.alias("varies_on_accept"))

@@ -79,7 +79,10 @@ def page_partitions(df: DataFrame, partition_bytes: int = 32 * 1024 * 1024) -> i
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - estimate unavailable: fall back to parallelism
         size = 0
-    par = df.sparkSession.sparkContext.defaultParallelism
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001 - no SparkContext (remote session): use the shuffle setting
+        par = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return max(par, -(-size // partition_bytes))
 
 

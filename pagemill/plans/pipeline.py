@@ -14,7 +14,7 @@ from .convert import html_to_markdown
 
 
 def convert_pages(pages: DataFrame, meta: DataFrame, cfg: Config, terms: DataFrame | None = None,
-                  as_of: Column | None = None, front_matter_fn=None) -> DataFrame:
+                  as_of: Column | None = None, front_matter_fn=None, only: DataFrame | None = None) -> DataFrame:
     """One row per page: (page_id, site_id, url, markdown_url, front_matter, body,
     document, fingerprint, generation, converted_at, fail_reason).  A rejected page
     or a blank extraction is a failure (document NULL), never an empty document.
@@ -25,8 +25,12 @@ def convert_pages(pages: DataFrame, meta: DataFrame, cfg: Config, terms: DataFra
     as_of = as_of if as_of is not None else F.current_timestamp()
     extra = [c for c in ("http_status", "content_type") if c in pages.columns]
     n = K.page_partitions(pages, cfg.partition_bytes)
-    pm = (pages.select("page_id", "url", "html", *extra).repartition(n, "page_id")
-          .join(meta.repartition(n, "page_id"), "page_id", "left"))
+    pm = pages.select("page_id", "url", "html", *extra).repartition(n, "page_id")
+    if only is not None:
+        # Restrict to the given page ids on the already partitioned side: the HTML
+        # is shuffled once, whatever the restriction.
+        pm = pm.join(only.select("page_id").repartition(n, "page_id"), "page_id", "left_semi")
+    pm = pm.join(meta.repartition(n, "page_id"), "page_id", "left")
     pm = admit_pages(pm, cfg.max_html_bytes).withColumn(
         "fingerprint", ST.fingerprint(F.col("site_id"), F.col("page_id"), F.col("modified_at"), F.col("html"), cfg))
     md = html_to_markdown(pm.filter(F.col("reject_reason").isNull()).select("page_id", "url", "html"), cfg,
@@ -50,12 +54,14 @@ def convert_pages(pages: DataFrame, meta: DataFrame, cfg: Config, terms: DataFra
 def refresh_documents(pages: DataFrame, meta: DataFrame, store: DataFrame, cfg: Config, as_of: Column,
                       terms: DataFrame | None = None) -> DataFrame:
     """New store snapshot: live entries whose fingerprint still matches are kept; only
-    stale pages are converted; failures are not stored."""
-    fp = meta.join(pages.select("page_id", "html"), "page_id").select(
-        "page_id", ST.fingerprint(F.col("site_id"), F.col("page_id"), F.col("modified_at"), F.col("html"), cfg)
-        .alias("fingerprint"))
+    stale pages are converted; failures are not stored.  The HTML is hashed before
+    any join and shuffled once, by the conversion of the stale pages."""
+    hashed = pages.select("page_id", F.md5("html").alias("html_md5"))
+    fp = meta.join(hashed, "page_id").select(
+        "page_id", ST.fingerprint_of_hash(F.col("site_id"), F.col("page_id"), F.col("modified_at"),
+                                          F.col("html_md5"), cfg).alias("fingerprint"))
     stale = ST.stale_pages(fp, store, as_of, cfg).select("page_id")
-    todo = pages.join(stale, "page_id", "left_semi")
-    fresh = convert_pages(todo, meta, cfg, terms, as_of).filter(F.col("fail_reason").isNull()).drop("fail_reason")
+    fresh = convert_pages(pages, meta, cfg, terms, as_of, only=stale) \
+        .filter(F.col("fail_reason").isNull()).drop("fail_reason")
     kept = ST.live_documents(store, as_of, cfg).join(fp, ["page_id", "fingerprint"], "left_semi")
     return kept.select(*fresh.columns).unionByName(fresh)
