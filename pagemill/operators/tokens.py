@@ -83,7 +83,9 @@ def page_partitions(df: DataFrame, partition_bytes: int = 32 * 1024 * 1024) -> i
         par = df.sparkSession.sparkContext.defaultParallelism
     except Exception:  # noqa: BLE001 - no SparkContext (remote session): use the shuffle setting
         par = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(par, -(-size // partition_bytes))
+    if size >= 2 ** 60:  # no real estimate (Spark's default for unknown sizes)
+        size = 0
+    return int(min(max(par, -(-size // partition_bytes)), 1_000_000))
 
 
 def page_tokens(pages: DataFrame, entities: DataFrame | None = None,
