@@ -93,8 +93,11 @@ def front_matter(meta: DataFrame, pages: DataFrame, terms: DataFrame | None = No
 
 
 def front_matter_rows(m: DataFrame, terms: DataFrame | None = None,
-                      include_taxonomy: Column | None = None) -> DataFrame:
-    """front_matter over rows that already hold the metadata and the page URL."""
+                      include_taxonomy: Column | None = None, partitions: int | None = None) -> DataFrame:
+    """front_matter over rows that already hold the metadata and the page URL.  With
+    `partitions`, terms are hash-partitioned by page_id into the same number of
+    partitions as `m`, so the taxonomy join and later page_id joins need no
+    further exchange."""
     m = m.withColumn("ex_raw", excerpt_words(F.col("excerpt"), F.col("content")))
     m = m.select("page_id", "site_id", "type", "slug", "title", "ex_raw", "url", "published_at", "modified_at")
     m = decode_entities(m, "page_id", ["title", "ex_raw"])
@@ -112,6 +115,8 @@ def front_matter_rows(m: DataFrame, terms: DataFrame | None = None,
     fm = F.when(ex.isNotNull(), F.concat(base, F.array(_entry("excerpt", ex)))).otherwise(base)
     m = m.withColumn("fm", fm)
     if terms is not None:
+        if partitions:
+            terms = terms.repartition(partitions, "page_id")
         tx = taxonomy_terms(terms, include_taxonomy)
         m = m.join(tx, "page_id", "left")
         m = m.withColumn("fm", F.concat("fm", F.coalesce(F.transform("tax", lambda x: F.struct(

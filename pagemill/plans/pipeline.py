@@ -35,7 +35,7 @@ def convert_pages(pages: DataFrame, meta: DataFrame, cfg: Config, terms: DataFra
         "fingerprint", ST.fingerprint(F.col("site_id"), F.col("page_id"), F.col("modified_at"), F.col("html"), cfg))
     md = html_to_markdown(pm.filter(F.col("reject_reason").isNull()).select("page_id", "url", "html"), cfg,
                           partitioned=True)
-    fm = MD.front_matter_rows(pm.filter(F.col("site_id").isNotNull()).drop("html"), terms)
+    fm = MD.front_matter_rows(pm.filter(F.col("site_id").isNotNull()).drop("html"), terms, partitions=n)
     if front_matter_fn is not None:
         fm = front_matter_fn(fm)
     out = (pm.select("page_id", "reject_reason", "fingerprint").join(md, "page_id", "left")
