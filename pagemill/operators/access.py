@@ -38,10 +38,11 @@ def not_noindex(meta: DataFrame, flags: DataFrame, cfg: Config) -> DataFrame:
     return meta.join(noindex_pages(flags), "page_id", "left_anti")
 
 
-def servable_pages(meta: DataFrame, flags: DataFrame, cfg: Config, extra_rule: Column | None = None) -> DataFrame:
+def servable_pages(meta: DataFrame, flags: DataFrame, cfg: Config, extra_rule: Column | None = None,
+                   extra_noindex: Column | None = None) -> DataFrame:
     """meta + deny_reason (NULL = servable): type, password, visibility, noindex,
     extra rule — checked in that order, the first failing one is the reason."""
-    m = meta.join(noindex_pages(flags), "page_id", "left") if cfg.respect_noindex else \
+    m = meta.join(noindex_pages(flags, extra_noindex), "page_id", "left") if cfg.respect_noindex else \
         meta.withColumn("noindex", F.lit(None).cast("boolean"))
     types = list(cfg.enabled_types)
     reason = (F.when(~F.col("type").isin(types) if types else F.lit(True), F.lit("type_disabled"))
