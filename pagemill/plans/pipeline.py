@@ -19,20 +19,24 @@ def convert_pages(pages: DataFrame, meta: DataFrame, cfg: Config, terms: DataFra
     document, fingerprint, generation, converted_at, fail_reason).  A rejected page
     or a blank extraction is a failure (document NULL), never an empty document.
 
-    Pages are joined to their metadata once; that join's page_id exchange is the
-    only shuffle of the HTML, and tokenizing, fingerprinting and front matter all
-    run on its output partitions."""
+    Pages and metadata are hash-partitioned by page_id into the same number of
+    partitions and joined.  Admission and the HTML hash are computed before the
+    exchange, so only the token branch moves HTML; fingerprint and front matter move
+    small columns."""
     as_of = as_of if as_of is not None else F.current_timestamp()
     extra = [c for c in ("http_status", "content_type") if c in pages.columns]
     n = K.page_partitions(pages, cfg.partition_bytes)
-    pm = pages.select("page_id", "url", "html", *extra).repartition(n, "page_id")
+    # Row-local work before the exchange: admission and the HTML hash, so branches
+    # that need only those (fingerprint, failure reason) never move the HTML.
+    pm = admit_pages(pages.select("page_id", "url", "html", *extra), cfg.max_html_bytes) \
+        .withColumn("html_md5", F.md5("html")).repartition(n, "page_id")
     if only is not None:
         # Restrict to the given page ids on the already partitioned side: the HTML
         # is shuffled once, whatever the restriction.
         pm = pm.join(only.select("page_id").repartition(n, "page_id"), "page_id", "left_semi")
     pm = pm.join(meta.repartition(n, "page_id"), "page_id", "left")
-    pm = admit_pages(pm, cfg.max_html_bytes).withColumn(
-        "fingerprint", ST.fingerprint(F.col("site_id"), F.col("page_id"), F.col("modified_at"), F.col("html"), cfg))
+    pm = pm.withColumn("fingerprint", ST.fingerprint_of_hash(F.col("site_id"), F.col("page_id"), F.col("modified_at"),
+                                                             F.col("html_md5"), cfg))
     md = html_to_markdown(pm.filter(F.col("reject_reason").isNull()).select("page_id", "url", "html"), cfg,
                           partitioned=True)
     fm = MD.front_matter_rows(pm.filter(F.col("site_id").isNotNull()).drop("html"), terms, partitions=n)
