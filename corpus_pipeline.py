@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import documents, read_table, stash
+from pagemill.llm.decontam import leaks
 from pagemill.llm.mixing import mix, word_count
+from pagemill.llm.queries import ship
 from pagemill.llm.quality import line_rules, row_id
 from pagemill.llm.sharding import minimax_shards
 from pagemill.llm.simhash import simhash_groups
@@ -16,6 +18,7 @@ from pagemill.llm.simhash import simhash_groups
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the line-frequency rule keep."""
+    ship(spark)
     kept = line_rules(docs).filter("kept").select("row_id").distinct()
     return documents(documents(docs).withColumn("row_id", row_id()).join(kept, "row_id", "left_semi"))
 
@@ -28,7 +31,6 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark question, verbatim or re-parameterised."""
-    from pagemill.llm.decontam import leaks
     bad = leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
     return documents(docs).join(bad, "doc_id", "left_anti")
 
@@ -55,6 +57,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stash(stage(spark, docs, sf_dir), f"stage-{name.split()[0].lower()}")

@@ -2,12 +2,47 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding, simhash
+import tempfile
+import zipfile
+from collections.abc import Callable
+from pathlib import Path
 
-QUERIES = {
+from pyspark.sql import DataFrame, SparkSession
+
+from . import chat, decontam, mixing, quality, sharding, simhash, tokencount, tokenids
+
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a session, as --py-files would."""
+    context = spark.sparkContext
+    if getattr(context, "_pagemill_shipped", False):
+        return
+    package = Path(__file__).resolve().parents[1]
+    path = Path(tempfile.mkdtemp(prefix="pagemill-")) / "pagemill.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(str(path))
+    context._pagemill_shipped = True
+
+
+def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+    run.__name__ = query.__name__
+    return run
+
+
+QUERIES = {k: shipped(v) for k, v in {
     "op1_sharding": sharding.query,
     "op2_quality": quality.query,
+    "op3_tokenids": tokenids.query,
+    "op5_tokencount": tokencount.query,
+    "op6_chat": chat.query,
     "op8_mixing": mixing.query,
+    "op9_decontam": decontam.query,
     "op10_simhash": simhash.query,
-}
-ORACLES = {"op2_quality": quality.ORACLE, "op8_mixing": mixing.ORACLE}
+}.items()}
+ORACLES = {"op2_quality": quality.ORACLE, "op6_chat": chat.ORACLE, "op8_mixing": mixing.ORACLE}
