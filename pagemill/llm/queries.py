@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, mixing, quality, sharding, simhash, tokencount, tokenids
+from . import chat, decontam, mixing, quality, repeats, sharding, simhash, tokencount, tokenids
 
 
 
@@ -39,6 +39,7 @@ QUERIES = {k: shipped(v) for k, v in {
     "op1_sharding": sharding.query,
     "op2_quality": quality.query,
     "op3_tokenids": tokenids.query,
+    "op4_repeats": repeats.query,
     "op5_tokencount": tokencount.query,
     "op6_chat": chat.query,
     "op8_mixing": mixing.query,
