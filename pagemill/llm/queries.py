@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, mixing, quality, repeats, sharding, simhash, tokencount, tokenids
+from . import chat, decontam, lm, mixing, quality, repeats, sharding, simhash, tokencount, tokenids
 
 
 
@@ -42,6 +42,7 @@ QUERIES = {k: shipped(v) for k, v in {
     "op4_repeats": repeats.query,
     "op5_tokencount": tokencount.query,
     "op6_chat": chat.query,
+    "op7_lm": lm.query,
     "op8_mixing": mixing.query,
     "op9_decontam": decontam.query,
     "op10_simhash": simhash.query,
