@@ -14,49 +14,47 @@ from pyspark.sql import functions as F
 from .common import read_table, running_totals, stash
 
 #: Capacities tested at once in a round of the search.
-WIDTH = 8192
+WIDTH = 4096
 
 
-def _probe(groups: DataFrame, xs: np.ndarray, largest: int, up: bool) -> list[tuple[int, int] | None]:
-    """For each offset x the last group end at or below x (`up`: the first at or above x), with
-    that group's key.  Only groups within `largest` of an offset are read."""
-    low, high = (int(xs.min()), int(xs.max()) + largest) if up else (int(xs.min()) - largest, int(xs.max()))
+def _containing(groups: DataFrame, xs: np.ndarray, total: int) -> list[tuple[int, int, int | None]]:
+    """(start, end, key) of the group that holds each offset x: start <= x < end.  An offset at
+    the total gives (total, total, None).  One row an offset, from the groups near them."""
+    xs = np.asarray(xs, np.int64)
 
     def find(batches):
         for b in batches:
-            ends, keys = (np.asarray(b.column(i)) for i in range(2))
-            if not len(ends):
-                continue
-            order = np.lexsort((keys, ends))
-            ends, keys = ends[order], keys[order]
-            if up:
-                i = np.searchsorted(ends, xs, "left")
-                m = np.flatnonzero((i < len(ends)) & (xs + largest >= ends[0]))
-            else:
-                i = np.searchsorted(ends, xs, "right") - 1
-                m = np.flatnonzero((i >= 0) & (xs - largest <= ends[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(m.astype(np.int32)), pa.array(ends[i[m]]), pa.array(keys[i[m]])], names=["m", "end", "key"])
-
-    near = groups.filter(F.col("end").between(low, high)).select("end", "key").mapInArrow(find, "m int, end long, key long")
-    best = (F.min if up else F.max)(F.struct("end", "key")).alias("e")
-    out: list[tuple[int, int] | None] = [None] * len(xs)
-    for r in near.groupBy("m").agg(best).collect():  # at most one row an offset
-        out[r["m"]] = (r["e"]["end"], r["e"]["key"])
+            start, end, key = (np.asarray(b.column(i)) for i in range(3))
+            if len(start):
+                order = np.argsort(start)
+                start, end, key = start[order], end[order], key[order]
+                i = np.searchsorted(start, xs, "right") - 1
+                m = np.flatnonzero((i >= 0) & (xs < end[i]))
+                i = i[m]
+                yield pa.RecordBatch.from_arrays([pa.array(m.astype(np.int32)), pa.array(start[i]), pa.array(end[i]), pa.array(key[i])], names=["m", "start", "end", "key"])
+
+    near = groups.filter((F.col("end") > int(xs.min())) & (F.col("start") <= int(xs.max())))
+    found = near.select("start", "end", "key").mapInArrow(find, "m int, start long, end long, key long")
+    out: list[tuple[int, int, int | None]] = [(total, total, None)] * len(xs)
+    for r in found.collect():
+        out[r["m"]] = (r["start"], r["end"], r["key"])
     return out
 
 
-def _floor(groups, xs, largest):
-    return np.array([e[0] if e else 0 for e in _probe(groups, xs, largest, False)], np.int64)
+def _floor(groups: DataFrame, xs: np.ndarray, total: int) -> np.ndarray:
+    """The last place at or below each offset where groups can be cut."""
+    return np.array([e[0] for e in _containing(groups, xs, total)], np.int64)
 
 
 def minimax_cuts(groups: DataFrame, total: int, largest: int, shards: int) -> tuple[int, list[int | None]]:
-    """(smallest capacity, the last key of each shard but the last).  `groups`: end, key - the
-    running total of the sizes in key order; total and largest: of the sizes.
+    """(smallest capacity, the first key of each shard but the first; None: no group is left for
+    it).  groups: start, end, key - the running totals before and after each group, in key
+    order; total and largest: of the sizes.
 
     A round tests WIDTH capacities at once: the greedy filling of all of them advances by one
-    shard with each lookup job.  Within the capacity found, each cut goes to the group end
-    nearest to an even split of what is left; forward and backward greedy fillings bound where
-    it may be, so no shard exceeds the capacity."""
+    shard with each lookup job.  Within the capacity found, each cut goes to the place nearest
+    to an even split of what is left; forward and backward greedy fillings bound where it may
+    be, so no shard exceeds the capacity."""
     if total == 0 or shards == 1:
         return total, [None] * (shards - 1)
     low, high = max(-(-total // shards), largest), -(-total // shards) + largest
@@ -64,7 +62,7 @@ def minimax_cuts(groups: DataFrame, total: int, largest: int, shards: int) -> tu
         caps = np.unique(np.linspace(low, high - 1, min(WIDTH, high - low)).astype(np.int64))
         at = np.zeros(len(caps), np.int64)
         for _ in range(shards - 1):
-            at = _floor(groups, np.minimum(at + caps, total), largest)
+            at = _floor(groups, np.minimum(at + caps, total), total)
         good = np.flatnonzero(total - at <= caps)
         if len(good):
             high = int(caps[good[0]])
@@ -74,21 +72,21 @@ def minimax_cuts(groups: DataFrame, total: int, largest: int, shards: int) -> tu
     cap = high
     latest, earliest = [0], [total]
     for _ in range(shards - 1):
-        latest.append(int(_floor(groups, np.array([min(latest[-1] + cap, total)]), largest)[0]))
-        x = earliest[-1] - cap
-        e = _probe(groups, np.array([x]), largest, True)[0] if x > 0 else (0, 0)
-        earliest.append(e[0])
+        x = max(earliest[-1] - cap, 0)
+        forward, back = _containing(groups, np.array([min(latest[-1] + cap, total), x]), total)
+        latest.append(forward[0])
+        earliest.append(x if back[0] == x else back[1])
     earliest = [0, *earliest[::-1]]
     cuts: list[int | None] = []
     at = 0
     for k in range(1, shards):
         first, last = max(earliest[k], at), min(latest[k], at + cap)
-        x = np.array([min(max(at + (total - at) // (shards - k + 1), first), last)])
-        down, over = _probe(groups, x, largest, False)[0], _probe(groups, x, largest, True)[0]
-        fit = [e for e in (down or (0, None), over) if e and first <= e[0] <= last]
-        best = min(fit, key=lambda e: abs(e[0] - int(x[0])))
-        at = best[0]
-        cuts.append(best[1])
+        x = min(max(at + (total - at) // (shards - k + 1), first), last)
+        start, end, key = _containing(groups, np.array([x]), total)[0]
+        if start < first or end <= last and end - x < x - start:
+            start, _, key = _containing(groups, np.array([end]), total)[0]
+        at = start
+        cuts.append(key)
     return cap, cuts
 
 
@@ -101,14 +99,14 @@ def minimax_shards(df: DataFrame, key: str, size: str, shards: int, order: list[
     one group, which comes first."""
     base = stash(df, f"{name}-rows")
     sums = base.groupBy(F.coalesce(F.col(key), F.lit(-(1 << 63))).alias("key")).agg(F.sum(size).cast("long").alias("_sum"))
-    groups = stash(running_totals(sums, ["key"], "_sum", "end", name=f"{name}-groups").sortWithinPartitions("end"), f"{name}-ends")
+    groups = running_totals(sums, ["key"], "_sum", "end", name=f"{name}-groups").withColumn("start", F.col("end") - F.col("_sum"))
+    groups = stash(groups.sortWithinPartitions("end"), f"{name}-ends")
     r = groups.agg(F.sum("_sum"), F.max("_sum")).first()
     _, cuts = minimax_cuts(groups, r[0] or 0, r[1] or 0, shards)
     shard = F.lit(0)
     for c in cuts:
-        shard = shard + (F.lit(1) if c is None else (F.coalesce(F.col(key), F.lit(-(1 << 63))) > F.lit(c)).cast("int"))
-    if not r[0]:
-        shard = F.lit(0)
+        if c is not None:
+            shard = shard + (F.coalesce(F.col(key), F.lit(-(1 << 63))) >= F.lit(c)).cast("int")
     placed = base.withColumn("shard", shard.cast("int")).withColumn("_one", F.lit(1).cast("long"))
     return running_totals(placed, order, "_one", "slot", group="shard", name=f"{name}-slots").withColumn("slot", F.col("slot") - 1).drop("_one")
 
