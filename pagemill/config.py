@@ -69,6 +69,8 @@ def compile_selector(selector: str) -> tuple[Step, ...]:
         rest = m.group(2) or ""
         ids = re.findall(r"#([A-Za-z0-9_-]+)", rest)
         classes = tuple(dict.fromkeys(re.findall(r"\.([A-Za-z0-9_-]+)", rest)))
+        if len(set(ids)) > 1:
+            raise ConfigError(f"selector {selector!r}: an element has one id")
         steps.append(Step(tag=tag, id=ids[0] if ids else None, classes=classes, child=child))
         child = False
     if child:
@@ -93,20 +95,25 @@ class Config:
     cache_ttl_seconds: int = CACHE_TTL_SECONDS
     generation: int = 1
     locale: str = "en_US"
-    site_front_page_id: int | None = None
-    max_html_bytes: int = 8 * 1024 * 1024
-    # Target input bytes per task for the page_id exchange.  Tokenizing expands a
-    # page into thousands of rows and every later step runs in the same tasks, so
-    # this exchange is sized by input size, not left to byte-based coalescing.
-    partition_bytes: int = 32 * 1024 * 1024
+    # The page that a site's '/' and '/index.md' stand for: one for all sites, or (site, page) pairs.
+    site_front_page_id: int | tuple[tuple[int, int], ...] | None = None
+    # Pages over this size are refused with a reason; no limit unless a job sets one.
+    max_html_bytes: int | None = None
+    # Tasks of the page_id exchange (None: the session's shuffle partitions).  Tokenizing
+    # expands a page into thousands of rows and every later step runs in the same tasks,
+    # so a large job sets this for about 32 MB of HTML a task.
+    page_partitions: int | None = None
     root_steps: tuple = field(default=(), compare=False, repr=False)
     ignore_steps: tuple = field(default=(), compare=False, repr=False)
 
     def __post_init__(self):
-        root = (self.document_root_selector or "").strip()[:ROOT_SELECTOR_MAX]
+        root = (self.document_root_selector or "").strip()
         if not root:
             root = DEFAULT_ROOT_SELECTOR
-        ignore = (self.ignore_selectors or "").strip()[:IGNORE_SELECTORS_MAX]
+        ignore = (self.ignore_selectors or "").strip()
+        for what, text, most in (("document_root_selector", root, ROOT_SELECTOR_MAX), ("ignore_selectors", ignore, IGNORE_SELECTORS_MAX)):
+            if len(text) > most:
+                raise ConfigError(f"{what}: {len(text)} characters, at most {most}")
         object.__setattr__(self, "document_root_selector", root)
         object.__setattr__(self, "ignore_selectors", ignore)
         object.__setattr__(self, "generation", max(1, int(self.generation)))

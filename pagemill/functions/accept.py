@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The patterns of a media type, a q parameter and a valid q.
 MEDIA_RX = r"^([a-z0-9!#$&^_.+*\-]+)/([a-z0-9!#$&^_.+*\-]+)$"
 Q_PARAM_RX = r"(?i)^q\s*=\s*(.+)$"
 Q_VALUE_RX = r"^(?:0(?:\.\d{0,3})?|1(?:\.0{0,3})?)$"
@@ -25,7 +26,7 @@ def accept_ranges(accept: Column) -> Column:
         qvals = F.transform(F.filter(params, lambda p: p.rlike(Q_PARAM_RX)),
                             lambda p: _trim(F.regexp_extract(p, Q_PARAM_RX, 1)))
         valid = F.forall(qvals, lambda q: q.rlike(Q_VALUE_RX))
-        quality = F.coalesce(F.try_element_at(qvals, F.lit(-1)).cast("double"), F.lit(1.0))
+        quality = F.coalesce(F.try_element_at(qvals, F.lit(-1)).try_cast("double"), F.lit(1.0))
         return F.struct(F.regexp_extract(media, MEDIA_RX, 1).alias("type"),
                         F.regexp_extract(media, MEDIA_RX, 2).alias("subtype"),
                         quality.alias("quality"), (media.rlike(MEDIA_RX) & valid).alias("ok"))
@@ -52,7 +53,11 @@ def media_quality(ranges: Column, mtype: str, subtype: str) -> Column:
 def prefers_markdown(accept: Column, wildcards: bool = False) -> Column:
     """Markdown preferred: specificity >= 2 (>= 1 with wildcards), quality > 0 and
     >= max(0, quality of text/html).  Empty header -> False."""
-    r = accept_ranges(accept)
+    return markdown_preferred(accept_ranges(accept), wildcards)
+
+
+def markdown_preferred(r: Column, wildcards: bool = False) -> Column:
+    """prefers_markdown over parsed ranges."""
     md = media_quality(r, "text", "markdown")
     html = media_quality(r, "text", "html")
     need = 1 if wildcards else 2

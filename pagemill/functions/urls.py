@@ -18,7 +18,7 @@ def markdown_url(url: Column) -> Column:
     """Canonical URL -> Markdown URL: empty path or '/' -> '/index'; trailing slashes
     trimmed; '.md' appended unless present; port, query and fragment kept; user info
     dropped.  An unparsable URL is returned unchanged."""
-    ok = url.rlike(URL_RX) & ((_part(url, 3) == "") | (_part(url, 3).cast("int") <= 65535))
+    ok = url.rlike(URL_RX) & ((_part(url, 3) == "") | (_part(url, 3).try_cast("int") <= 65535))
     scheme, host, port, path, query, frag = (_part(url, i) for i in range(1, 7))
     has_auth = url.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//")
     p = F.when((path == "") | (path == "/"), F.lit("/index")).otherwise(F.regexp_replace(path, r"[/\\]+$", ""))
@@ -26,7 +26,7 @@ def markdown_url(url: Column) -> Column:
     out = F.concat(
         F.when(scheme != "", F.concat(scheme, F.lit("://"))).otherwise(F.lit("")),
         F.when(has_auth, host).otherwise(F.lit("")),
-        F.when(port != "", F.concat(F.lit(":"), port.cast("int").cast("string"))).otherwise(F.lit("")),
+        F.when(port != "", F.concat(F.lit(":"), port.try_cast("int").cast("string"))).otherwise(F.lit("")),
         p,
         F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")),
         F.when(frag != "", F.concat(F.lit("#"), frag)).otherwise(F.lit("")))

@@ -40,12 +40,13 @@ def not_noindex(meta: DataFrame, flags: DataFrame, cfg: Config) -> DataFrame:
 
 def servable_pages(meta: DataFrame, flags: DataFrame, cfg: Config, extra_rule: Column | None = None,
                    extra_noindex: Column | None = None) -> DataFrame:
-    """meta + deny_reason (NULL = servable): type, password, visibility, noindex,
+    """meta + deny_reason (NULL = servable; a NULL type is refused): type, password, visibility, noindex,
     extra rule — checked in that order, the first failing one is the reason."""
     m = meta.join(noindex_pages(flags, extra_noindex), "page_id", "left") if cfg.respect_noindex else \
         meta.withColumn("noindex", F.lit(None).cast("boolean"))
     types = list(cfg.enabled_types)
-    reason = (F.when(~F.col("type").isin(types) if types else F.lit(True), F.lit("type_disabled"))
+    enabled = F.coalesce(F.col("type").isin(types), F.lit(False)) if types else F.lit(False)
+    reason = (F.when(~enabled, F.lit("type_disabled"))
               .when(F.coalesce(F.col("password_protected"), F.lit(False)), F.lit("password_protected"))
               .when(F.coalesce(F.col("status"), F.lit("")) != "publish", F.lit("not_public"))
               .when(F.coalesce(F.col("noindex"), F.lit(False)), F.lit("noindex")))

@@ -90,12 +90,17 @@ def assign_units(content: DataFrame) -> DataFrame:
     nonblank = ~((F.col("kind") == "text") & (F.regexp_replace("text", r"[ \t\n\r\x00\x0B]", "") == ""))
     df = content.withColumns({
         "_drop": F.coalesce(F.max(F.when(_opn(["iframe"]), F.col("hi"))).over(w) >= F.col("pos"), F.lit(False)),
+        # Inside a link or code span: flattened to text, so tags there structure nothing.
+        "_flat": F.coalesce(F.max(F.when(_opn(SPAN_TAGS), F.col("hi"))).over(before(Window.partitionBy("page_id").orderBy("pos"))) > F.col("pos"), F.lit(False)),
         "has_content": F.max(nonblank).over(Window.partitionBy("page_id"))})
     df = df.filter(~F.col("_drop") & ~F.col("kind").isin("raw", "decl")).drop("_drop")
+    df = df.withColumn("kind", F.when(F.col("_flat") & F.col("kind").isin("open", "close"), F.lit("flat")).otherwise(F.col("kind")))
     df = nest_depths(df, {"q_d": (_opn(["blockquote"]), _cls(["blockquote"])),
                           "l_d": (_opn(LIST_TAGS), _cls(LIST_TAGS)),
                           "t_d": (_opn(["table"]), _cls(["table"])),
-                          "pre_d": (_opn(["pre"]), _cls(["pre"]))})
+                          "pre_d": (_opn(["pre"]), _cls(["pre"])),
+                          # Emphasis that has its close, over whatever blocks it holds.
+                          **{f"_m{k}": (_opn(t) & F.col("closed"), _cls(t)) for k, t in EMPH_TAGS.items()}})
     boundary = F.col("kind").isin("open", "close") & F.col("tag").isin(BLOCK_TAGS)
     top = F.col("t_d") == 1
     df = df.withColumns({
@@ -131,7 +136,7 @@ def assign_units(content: DataFrame) -> DataFrame:
                          "row_id": F.col("_row.pos"), "tbl_id": F.col("_tbl")})
     return df.filter(F.col("uid").isNotNull()).drop(
         "_seg", "_pre", "_tbl", "_row", "_cell", "_item", "_nli", "_list", "_list0",
-        "q_d_stray", "l_d_stray", "t_d_stray", "pre_d_stray")
+        "q_d_stray", "l_d_stray", "t_d_stray", "pre_d_stray", "_flat")
 
 
 def _clean_text(c: Column) -> Column:
@@ -149,8 +154,6 @@ def token_pieces(units: DataFrame, cfg: Config) -> DataFrame:
         F.col("hi").alias("h"), (-F.col("pos")).alias("nlo"), F.col("tag").alias("t"),
         F.col("attrs").getItem("href").alias("href")))).over(running(wu)))
     df = df.withColumn("in_span", F.coalesce(F.col("_sp.h") >= F.col("pos"), F.lit(False)))
-    df = nest_depths(df, {f"_d{k}": (_opn(t) & inl & ~F.col("in_span"), _cls(t) & inl & ~F.col("in_span"))
-                          for k, t in EMPH_TAGS.items()}, ["ukind", "uid"])
     prev_span = F.lag("in_span").over(wu)
     start = F.col("in_span") | prev_span.isNull() | prev_span
     df = df.withColumn("_start", F.when(F.col("in_span"), -F.col("_sp.nlo")).when(start, F.col("pos")))
@@ -161,7 +164,7 @@ def token_pieces(units: DataFrame, cfg: Config) -> DataFrame:
     piece = F.when(F.col("kind").isin("text", "entity"), text)
     for k, tags in EMPH_TAGS.items():
         o, c, _ = EMPH[k]
-        piece = piece.when(_opn(tags), F.lit(o)).when(_cls(tags) & ~F.col(f"_d{k}_stray"), F.lit(c))
+        piece = piece.when(_opn(tags), F.lit(o)).when(_cls(tags) & ~F.col(f"_m{k}_stray"), F.lit(c))
     piece = piece.when(_opn(["br"]), F.lit(BR))
     piece = piece.when(_opn(["img"]), image_markdown(F.col("attrs")) if cfg.include_images else F.lit(""))
     # Inside a list item, blocks are flattened onto the item's line.
@@ -174,9 +177,11 @@ def token_pieces(units: DataFrame, cfg: Config) -> DataFrame:
     piece = (F.when(F.col("ukind").isin("cell", "pre") | F.col("in_span"), F.coalesce(text, F.lit("")))
              .when(F.col("ukind") == "hr", F.lit("---")).otherwise(piece))
     eff = {f"e{k}": F.when(_opn(t) & inl & ~F.col("in_span"), 1)
-           .when(_cls(t) & inl & ~F.col("in_span") & ~F.col(f"_d{k}_stray"), -1).otherwise(0)
+           .when(_cls(t) & inl & ~F.col("in_span") & ~F.col(f"_m{k}_stray"), -1).otherwise(0)
            for k, t in EMPH_TAGS.items()}
-    return df.withColumns({"piece": piece, **eff})
+    # Emphasis open before a token: at a unit's first token, what earlier blocks carry over.
+    carry = {f"c{k}": F.col(f"_m{k}") - F.when(_opn(t) & F.col("closed"), 1).otherwise(0) for k, t in EMPH_TAGS.items()}
+    return df.withColumns({"piece": piece, **eff, **carry})
 
 
 def finish_inline(s: Column) -> Column:
@@ -188,18 +193,41 @@ def finish_inline(s: Column) -> Column:
     closes = "".join(c for _, c, _ in EMPH.values())
     v = F.regexp_replace(v, rf"([{opens}]){_EDGE}", "$1")
     v = F.regexp_replace(v, rf"{_EDGE}([{closes}])", "$1")
-    empty = "|".join(o + f"[{MARK}]*" + c for o, c, _ in EMPH.values())
-    for _ in range(4):
-        v = F.regexp_replace(v, empty, "")
+    v = drop_empty_emphasis(v)
     for o, c, m in EMPH.values():
         v = F.replace(F.replace(v, F.lit(o), F.lit(m)), F.lit(c), F.lit(m))
     v = F.replace(F.replace(F.replace(v, F.lit(BR), F.lit("  \n")), F.lit(LNL), F.lit("\n")), F.lit(MARK), F.lit(""))
     return T.trim_ws(v)
 
 
+def drop_empty_emphasis(v: Column) -> Column:
+    """Emphasis with nothing inside removed, however deeply it is nested: in each run of
+    sentinels, a close takes away the open of its kind that comes just before it."""
+    empty = "|".join(o + f"[{MARK}]*" + c for o, c, _ in EMPH.values())
+    marks = MARK + "".join(o + c for o, c, _ in EMPH.values())
+
+    def step(acc: Column, ch: Column) -> Column:
+        bare = F.regexp_replace(acc, f"[{MARK}]+$", "")
+        out = F.concat(acc, ch)
+        for o, c, _ in EMPH.values():
+            out = F.when((ch == c) & bare.endswith(o), F.left(bare, F.length(bare) - 1)).otherwise(out)
+        return out
+
+    def reduced(run: Column) -> Column:
+        return F.when(run.rlike(empty), F.aggregate(F.split(run, ""), F.lit(""), step)).otherwise(run)
+    runs = F.regexp_extract_all(v, F.lit(f"[{marks}]+|[^{marks}]+"), 0)
+    return F.when(v.rlike(empty), F.array_join(F.transform(runs, reduced), "")).otherwise(v)
+
+
 def cleanup_lines(c: Column) -> Column:
+    """The line rules, then the outer white space trimmed."""
+    return T.trim_ws(line_rules(c))
+
+
+def line_rules(c: Column) -> Column:
     """Leading whitespace before a heading marker removed; one leading whitespace
     character before a list marker removed; 3+ newlines -> 2."""
+    # The patterns of the line rules.
     v = F.regexp_replace(c, r"\r\n?", "\n")
     v = F.regexp_replace(v, r"(?mU)^[^\S\n]+(#{1,6}[^\S\n]+)", "$1")
     v = F.regexp_replace(v, r"(?mU)^[^\S\n]([-*+][^\S\n]|\d+\.[^\S\n])", "$1")
@@ -253,7 +281,7 @@ def markdown_blocks(content: DataFrame, cfg: Config) -> DataFrame:
     g1 = pieces.groupBy("page_id", "ukind", "uid", "g").agg(
         _ordered("pos", F.col("piece")).alias("s"), F.max("in_span").alias("is_span"),
         F.first(F.when(F.col("pos") == F.col("g"), F.col("_sp")), ignorenulls=True).alias("sp"),
-        *[F.sum(f"e{k}").alias(f"e{k}") for k in EMPH], *_meta_aggs())
+        *[F.sum(f"e{k}").alias(f"e{k}") for k in EMPH], *[F.min_by(f"c{k}", "pos").alias(f"c{k}") for k in EMPH], *_meta_aggs())
     link_text = T.normalize_inline(F.col("s"))
     href = T.trim_ws(F.coalesce(F.col("sp.href"), F.lit("")))
     link = (F.when(href == "", link_text)
@@ -264,9 +292,11 @@ def markdown_blocks(content: DataFrame, cfg: Config) -> DataFrame:
                        .when(F.col("is_span"), code).otherwise(F.col("s")))
     # Level 2: units.
     u = g1.groupBy("page_id", "ukind", "uid").agg(
-        _ordered("g", F.col("s")).alias("s"), *[F.sum(f"e{k}").alias(f"e{k}") for k in EMPH], *_meta_aggs())
-    closers = F.concat(*[F.repeat(F.lit(EMPH[k][1]), F.greatest(F.col(f"e{k}"), F.lit(0))) for k in ("d", "i", "b")])
-    t = finish_inline(F.concat("s", closers))
+        _ordered("g", F.col("s")).alias("s"), *[F.sum(f"e{k}").alias(f"e{k}") for k in EMPH],
+        *[F.min_by(f"c{k}", "g").alias(f"c{k}") for k in EMPH], *_meta_aggs())
+    openers = F.concat(*[F.repeat(F.lit(EMPH[k][0]), F.col(f"c{k}").cast("int")) for k in ("b", "i", "d")])
+    closers = F.concat(*[F.repeat(F.lit(EMPH[k][1]), F.greatest(F.col(f"e{k}") + F.col(f"c{k}"), F.lit(0)).cast("int")) for k in ("d", "i", "b")])
+    t = finish_inline(F.concat(openers, "s", closers))
     heading = F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), T.collapse_ws(t))
     marker = F.when(F.col("ordered"), F.concat(F.col("idx").cast("string"), F.lit(". "))).otherwise(F.lit("- "))
     item = F.concat(F.repeat(F.lit("  "), F.col("l_d") - 1), marker, T.collapse_ws(t))
@@ -274,10 +304,10 @@ def markdown_blocks(content: DataFrame, cfg: Config) -> DataFrame:
     text = (F.when(kind == "cell", T.table_cell_escape(T.normalize_inline(F.col("s"))))
             .when(kind == "pre", T.fenced_code(T.normalize_code_block(F.col("s"))))
             .when(kind == "hr", F.lit("---"))
-            .when(kind == "item", cleanup_lines(item))
+            .when(kind == "item", line_rules(item))
             .when(t == "", F.lit(""))
-            .when(F.col("level").isNotNull(), cleanup_lines(heading))
-            .otherwise(cleanup_lines(t)))
+            .when(F.col("level").isNotNull(), line_rules(heading))
+            .otherwise(line_rules(t)))
     u = u.withColumns({"text": text,
                        "bkind": F.when(kind == "cell", "table").when(kind == "pre", "code").when(kind == "hr", "rule")
                        .when(kind == "item", "item").when(F.col("level").isNotNull(), "heading").otherwise("para"),

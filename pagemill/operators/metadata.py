@@ -10,7 +10,6 @@ from ..config import Config
 from ..functions import text as T
 from ..functions.urls import markdown_url
 
-ENTITY_RX = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});|[^&]++|&"
 _SEP = "\ue0ff"
 
 
@@ -22,7 +21,7 @@ def decode_entities(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     spark = df.sparkSession
     joined = F.concat_ws(_SEP, *[F.regexp_replace(F.coalesce(F.col(c), F.lit("")), _SEP, "") for c in cols])
     others = [c for c in df.columns if c != key]
-    x = df.select(key, *others, F.posexplode_outer(F.regexp_extract_all(joined, F.lit(ENTITY_RX), 0)).alias("_p", "_t"))
+    x = df.select(key, *others, F.posexplode_outer(F.regexp_extract_all(joined, F.lit(T.REFERENCE_RX), 0)).alias("_p", "_t"))
     ents = T.entity_table(spark)
     name = F.regexp_extract("_t", r"^&([A-Za-z][A-Za-z0-9]*);$", 1)
     x = x.withColumn("_k", F.when(F.col("_t").startswith("&") & (name != ""), name))
@@ -38,14 +37,11 @@ def decode_entities(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     return g.drop("_dec")
 
 
-def excerpt_words(excerpt: Column, content: Column) -> Column:
-    """Excerpt source: stripped excerpt, else stripped content.  Only the first 41
-    whitespace-separated words are kept before decoding; this is exact, because
-    decoding can split a word (e.g. '&nbsp;') but never join two."""
+def excerpt_source(excerpt: Column, content: Column) -> Column:
+    """Excerpt source: stripped excerpt, else stripped content, whole - how many words
+    there are is known only once references are decoded."""
     e = T.strip_tags(F.coalesce(excerpt, F.lit("")))
-    src = F.when(e != "", e).otherwise(T.strip_tags(F.coalesce(content, F.lit(""))))
-    head = F.regexp_extract(src, r"^(?U)\s*+((?:\S++\s++){0,40}\S*+)", 1)
-    return F.array_join(F.filter(F.split(head, r"(?U)\s+"), lambda w: w != ""), " ")
+    return F.when(e != "", e).otherwise(T.strip_tags(F.coalesce(content, F.lit(""))))
 
 
 def excerpt_finish(decoded: Column) -> Column:
@@ -98,7 +94,7 @@ def front_matter_rows(m: DataFrame, terms: DataFrame | None = None,
     `partitions`, terms are hash-partitioned by page_id into the same number of
     partitions as `m`, so the taxonomy join and later page_id joins need no
     further exchange."""
-    m = m.withColumn("ex_raw", excerpt_words(F.col("excerpt"), F.col("content")))
+    m = m.withColumn("ex_raw", excerpt_source(F.col("excerpt"), F.col("content")))
     m = m.select("page_id", "site_id", "type", "slug", "title", "ex_raw", "url", "published_at", "modified_at")
     m = decode_entities(m, "page_id", ["title", "ex_raw"])
     m = m.withColumn("markdown_url", markdown_url(F.col("url")))

@@ -10,10 +10,10 @@ exchange beyond the one before tokenizing):
 * global depth = running sum over open/close events; parent = last element opened
   one level up (a window partitioned by (page_id, depth)).
 
-Broken-markup contract: void tags never open; `p` and inline tags end at the next
-block boundary; `li` ends at the next item or the end of its list; `td`/`th`/`tr`
-at the next cell/row or the end of their table; stray closes are dropped; any
-other unclosed element ends at the end of the page."""
+Broken-markup contract: void tags never open; `p` ends at the next block boundary, and so
+does an inline tag without a close of its own in its parent; `li` ends at the next item or
+the end of its list; `td`/`th`/`tr` at the next cell/row or the end of their table; stray
+closes are dropped; any other unclosed element ends where its parent ends."""
 
 from __future__ import annotations
 
@@ -113,6 +113,14 @@ def element_spans(tokens: DataFrame) -> DataFrame:
                     is_open() & F.col("_tg").isNotNull(), is_close() & F.col("_tg").isNotNull(), ["_tg"])
     wp = Window.partitionBy("page_id", "_tg", "_td").orderBy("pos")
     df = df.withColumn("_pair", F.when(is_open() & (F.lead("kind").over(wp) == "close"), F.lead("pos").over(wp)))
+    # Where the innermost enclosing container that has a close ends: the next close at its
+    # depth, counting only containers with a close (so opens and closes balance).
+    wpair = Window.partitionBy("page_id", "_tg", "_td").orderBy("pos")
+    paired_close = is_close() & (F.lag("kind").over(wpair) == "open")
+    inline = F.col("tag").isin(["p"] + INLINE_TAGS)
+    df = df.withColumns({"_po": F.col("_pair").isNotNull() & ~inline, "_pc": paired_close & ~inline})
+    df = nest_depth(df, "_pd", F.col("_po"), F.col("_pc"))
+    df = next_pos(df, {"_pend": F.col("_pc")}, ["_pd"])
     # Terminators of `p` and open inline tags: any block-tag open or close.
     block_ev = F.col("kind").isin("open", "close") & F.col("tag").isin(BLOCK_TAGS)
     df = df.withColumn("_bev", F.when(block_ev, F.col("pos")))
@@ -131,22 +139,26 @@ def element_spans(tokens: DataFrame) -> DataFrame:
             .when(tag.isin(CELL_TAGS), F.col("_ncell"))
             .when(tag == "tr", F.col("_nrow")))
     pair = F.col("_pair")
-    # An element ends at its close unless a terminator comes first.
+    parent_end = F.coalesce(F.col("_pend") - 1, F.lit(BIG))
+    # An inline element with a close inside its parent ends there, whatever blocks it
+    # holds; any other element ends at its close unless a terminator comes first.
+    term = F.when(F.col("tag").isin(INLINE_TAGS) & (pair <= parent_end), F.lit(None)).otherwise(term)
     hi = (F.when(F.col("kind") == "raw", F.col("pos"))
           .when(F.col("is_void"), F.col("pos"))
           .when(F.col("kind") == "open",
                 F.when(pair.isNotNull() & (pair <= F.coalesce(term, F.lit(BIG))), pair)
-                .otherwise(F.least(F.coalesce(term - 1, F.lit(BIG)), F.col("_last")))))
+                .otherwise(F.least(F.coalesce(term - 1, F.lit(BIG)), parent_end, F.col("_last")))))
     df = df.withColumn("hi", hi)
     df = df.withColumn("closed", F.when(F.col("kind") == "open", pair.isNotNull() & (pair == F.col("hi"))))
     return df.drop("_tg", "_td", "_td_stray", "_pair", "_nblk", "_bev", "_nli", "_ncell", "_nrow", "_last",
+                   "_po", "_pc", "_pd", "_pd_stray", "_pend",
                    "list_d_stray", "tbl_d_stray")
 
 
 def with_tree(spans: DataFrame) -> DataFrame:
-    """Adds `depth` (elements containing the token, itself included for element rows)
-    and `parent` (open position of the innermost strictly enclosing element) to every
-    token row.  Two explode-and-window passes; partitioning is kept."""
+    """Adds `depth` (elements containing the token, itself included for element rows),
+    `parent` (open position of the innermost strictly enclosing element) and `parent_tag`
+    to every token row.  Two explode-and-window passes; partitioning is kept."""
     elem = (F.col("kind").isin("open", "raw"))
     # Pass 1: +1 at an element's open, -1 just after its last position.
     ev = F.when(elem & ~F.col("is_void") & (F.col("kind") == "open"), F.array(
@@ -164,15 +176,38 @@ def with_tree(spans: DataFrame) -> DataFrame:
     # Element rows take part twice: as a candidate at their own depth, and as a
     # child looking one level up.
     own_level = F.when(elem, F.col("depth") - 1).otherwise(F.col("depth"))
+    none = F.lit(None).cast("struct<pos: int, tag: string>")
     roles = F.when(elem, F.array(
-        F.struct(F.col("depth").alias("key"), F.lit(0).alias("role"), F.col("pos").alias("cand")),
-        F.struct(own_level.alias("key"), F.lit(1).alias("role"), F.lit(None).cast("int").alias("cand"))
-    )).otherwise(F.array(F.struct(own_level.alias("key"), F.lit(1).alias("role"),
-                                  F.lit(None).cast("int").alias("cand"))))
+        F.struct(F.col("depth").alias("key"), F.lit(0).alias("role"), F.struct("pos", "tag").alias("cand")),
+        F.struct(own_level.alias("key"), F.lit(1).alias("role"), none.alias("cand"))
+    )).otherwise(F.array(F.struct(own_level.alias("key"), F.lit(1).alias("role"), none.alias("cand"))))
     y = x.withColumn("_r", F.explode(roles)).select("*", "_r.*").drop("_r")
     w2 = Window.partitionBy("page_id", "key").orderBy("pos", "role")
-    y = y.withColumn("parent", F.last("cand", ignorenulls=True).over(running(w2)))
-    return y.filter(F.col("role") == 1).drop("key", "role", "cand")
+    y = y.withColumn("_p", F.last("cand", ignorenulls=True).over(running(w2)))
+    return y.withColumns({"parent": F.col("_p.pos"), "parent_tag": F.col("_p.tag")}).filter(F.col("role") == 1).drop("key", "role", "cand", "_p")
+
+
+# Parents in which white space next to an element is only indentation.
+PADDING_PARENTS = ["body", "div", "section", "article", "main", "header", "footer", "aside",
+                   "ul", "ol", "li", "table", "thead", "tbody", "tr", "td", "th"]
+
+
+def is_padding() -> Column:
+    """Over rows of with_tree() with `prev_kind`, `prev_void`, `next_kind`: a text node of
+    white space alone, in one of PADDING_PARENTS, with an element as a neighbour."""
+    blank = (F.col("kind") == "text") & (F.regexp_replace("text", r"[ \t\n\r\x00\x0B]", "") == "")
+    text = ["text", "entity"]
+    alone = ~F.coalesce(F.col("prev_kind").isin(text), F.lit(False)) & ~F.coalesce(F.col("next_kind").isin(text), F.lit(False))
+    after = F.col("prev_kind").isin("close", "raw") | ((F.col("prev_kind") == "open") & F.col("prev_void"))
+    return blank & alone & F.coalesce(F.col("parent_tag").isin(PADDING_PARENTS), F.lit(False)) & \
+        (F.coalesce(after, F.lit(False)) | F.coalesce(F.col("next_kind").isin("open", "raw"), F.lit(False)))
+
+
+def drop_padding(tree: DataFrame) -> DataFrame:
+    """Tokens (rows of with_tree()) without the white space that only indents elements."""
+    w = page_order()
+    t = tree.withColumns({"prev_kind": F.lag("kind").over(w), "prev_void": F.lag("is_void").over(w), "next_kind": F.lead("kind").over(w)})
+    return t.filter(~is_padding()).drop("prev_kind", "prev_void", "next_kind")
 
 
 def class_list(attrs: Column) -> Column:

@@ -2,40 +2,95 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Config
-from ..functions.accept import prefers_markdown
-from ..functions.urls import markdown_route, raw_url_decode, url_path
+from ..config import Config, ConfigError
+from ..functions.accept import accept_ranges, markdown_preferred
+from ..functions.urls import T_lower, markdown_route, raw_url_decode, url_host, url_path
 
 
-def _key(path_col):
+#: Tasks over which the requests of one route are spread.
+SALTS = 16
+#: The route that '/index.md' asks for.
+INDEX = "\x00index"
+
+
+def _key(path_col: Column) -> Column:
     return F.regexp_replace(F.trim(raw_url_decode(path_col)), r"^/+|/+$", "")
 
 
 def page_routes(pages: DataFrame) -> DataFrame:
-    """(route_key, page_id): URL path without surrounding slashes, decoded; when
-    several pages share a path (different hosts, queries) the lowest page_id wins."""
-    return (pages.select("page_id", _key(url_path(F.col("url"))).alias("route_key"))
-            .groupBy("route_key").agg(F.min("page_id").alias("page_id")))
+    """(route_host, route, routed_id): the page of each host's URL path (without surrounding
+    slashes, decoded).  '' is the host's root, INDEX the page named index, else the root.
+    Where several pages of a host share a path (queries), the lowest page_id wins."""
+    p = pages.select("page_id", url_host(F.col("url")).alias("route_host"), _key(url_path(F.col("url"))).alias("route"))
+    own = p.select("route_host", "route", F.lit(0).alias("rank"), "page_id")
+    index = p.filter(F.lower("route").isin("index", "")).select("route_host", F.lit(INDEX).alias("route"), F.when(F.col("route") == "", 1).otherwise(0).alias("rank"), "page_id")
+    return (own.unionByName(index).groupBy("route_host", "route").agg(F.min(F.struct("rank", "page_id")).alias("first"))
+            .select("route_host", "route", F.col("first.page_id").alias("routed_id")))
 
 
-def resolve_requests(requests: DataFrame, pages: DataFrame, cfg: Config) -> DataFrame:
-    """requests + is_md, route_key, page_id (NULL when unresolved).  `.md` routes
-    use the captured route ('index' -> front page when one is set); other requests
-    their own path.  One equi-join on the route key; a hot key on the request side
-    is split by AQE's skew-join handling (the page side has one row per key)."""
+def _front_page(cfg: Config, site: Column | None) -> Column | None:
+    front = cfg.site_front_page_id
+    if front is None:
+        return None
+    if isinstance(front, int):
+        return F.lit(front).cast("long")
+    if site is None:
+        raise ConfigError("front pages by site need requests with site_id")
+    out = F.lit(None).cast("long")
+    for s, page in front:
+        out = F.when(site == s, F.lit(page).cast("long")).otherwise(out)
+    return out
+
+
+def _routed(requests: DataFrame) -> DataFrame:
     route = markdown_route(F.col("path"))
-    r = requests.withColumn("is_md", route.isNotNull()).withColumn(
-        "route_key", F.when(route.isNotNull(), route).otherwise(_key(F.col("path"))))
-    r = r.withColumn("route_key", F.when(F.col("route_key") == "", F.lit(None)).otherwise(F.col("route_key")))
+    own = F.when(route.isNotNull(), F.when(F.lower(route) == "index", F.lit(INDEX)).otherwise(route)).otherwise(_key(F.col("path")))
+    return requests.withColumns({"is_md": route.isNotNull(), "route_key": own})
+
+
+def _resolve(keys: DataFrame, pages: DataFrame, cfg: Config) -> DataFrame:
+    """Distinct keys + page_id (NULL when unresolved)."""
     routes = page_routes(pages)
-    out = r.join(routes, "route_key", "left")
-    if cfg.site_front_page_id is not None:
-        front = F.col("is_md") & (F.lower(F.col("route_key")) == "index")
-        out = out.withColumn("page_id", F.when(front, F.lit(cfg.site_front_page_id)).otherwise(F.col("page_id")))
-    return out
+    if "host" in keys.columns:
+        out = keys.join(routes, (T_lower(F.col("host")) == F.col("route_host")) & (F.col("route_key") == F.col("route")), "left")
+    else:  # one site: the host doesn't matter
+        any_host = routes.groupBy("route").agg(F.min("routed_id").alias("routed_id"))
+        out = keys.join(any_host, F.col("route_key") == F.col("route"), "left")
+    front = _front_page(cfg, F.col("site_id") if "site_id" in keys.columns else None)
+    page = F.col("routed_id")
+    if front is not None:
+        page = F.when(F.col("route_key").isin("", INDEX), F.coalesce(front, page)).otherwise(page)
+    return out.withColumn("page_id", page).drop("route_host", "route", "routed_id")
+
+
+def _attach(requests: DataFrame, decided: DataFrame, keys: list[str]) -> DataFrame:
+    """Requests with the columns decided for their (distinct) keys.  The requests of a hot
+    key are spread over SALTS tasks, where the few rows of the other side are repeated."""
+    left = requests.withColumn("_salt", F.pmod(F.xxhash64("req_id"), F.lit(SALTS)).cast("int"))
+    right = decided.withColumnsRenamed({k: f"_r_{k}" for k in keys}).withColumn("_r_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    on = F.col("_salt") == F.col("_r_salt")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
+    return left.join(right, on, "left").drop("_salt", "_r_salt", *[f"_r_{k}" for k in keys])
+
+
+def _route_keys(requests: DataFrame) -> list[str]:
+    return [*[c for c in ("host", "site_id") if c in requests.columns], "is_md", "route_key"]
+
+
+def resolve_requests(requests: DataFrame, pages: DataFrame, cfg: Config) -> DataFrame:
+    """requests + is_md, route_key, page_id (NULL when unresolved).
+
+    requests: req_id, path, and host where there are several sites (site_id for front pages by
+    site).  '.md' routes use the captured route, other requests their own path; '/' and
+    '/index.md' are the front page.  Each distinct route is resolved once: requests are
+    aggregated to their routes before the join with the pages, then take the answer back."""
+    r = _routed(requests)
+    keys = _route_keys(requests)
+    return _attach(r, _resolve(r.select(*keys).distinct(), pages, cfg), keys)
 
 
 def classify_requests(requests: DataFrame, pages: DataFrame, servable: DataFrame, documents: DataFrame,
@@ -45,30 +100,34 @@ def classify_requests(requests: DataFrame, pages: DataFrame, servable: DataFrame
     `.md` route: 404 when unresolved or refused, 503 when no document, else 200
     Markdown.  Canonical request: with negotiation on, a safe method and a servable
     page, the answer varies on Accept and is Markdown when preferred (503 without a
-    document); otherwise HTML (status NULL: not decided here)."""
-    page_state = (servable.select("page_id", "deny_reason")
+    document); otherwise HTML (status NULL: not decided here).
+
+    Decisions are made once for each distinct (route, method, Accept)."""
+    r = _routed(requests)
+    keys = [*_route_keys(requests), "method", "accept"]
+    page_state = (servable.select("page_id", "deny_reason", F.lit(True).alias("known"))
                   .join(documents.select("page_id").distinct().withColumn("has_doc", F.lit(True)), "page_id", "left"))
-    rr = resolve_requests(requests, pages, cfg).join(page_state, "page_id", "left")
-    servable_now = F.col("page_id").isNotNull() & F.col("deny_reason").isNull()
-    has_doc = F.coalesce(F.col("has_doc"), F.lit(False))
-    safe = F.upper(F.col("method")).isin("GET", "HEAD")
-    negotiate = F.lit(bool(cfg.enable_content_negotiation)) & ~F.col("is_md") & safe & servable_now
-    wants = prefers_markdown(F.col("accept"), cfg.accept_markdown_wildcards)
-    md_route = F.col("is_md")
-    representation = (F.when(md_route & servable_now & has_doc, F.lit("markdown"))
-                      .when(md_route, F.lit("error"))
-                      .when(negotiate & wants & has_doc, F.lit("markdown"))
-                      .when(negotiate & wants, F.lit("error"))
+    rr = _resolve(r.select(*keys).distinct(), pages, cfg).join(page_state, "page_id", "left")
+    rr = rr.withColumn("_ranges", accept_ranges(F.col("accept")))
+    rr = rr.withColumn("wants", markdown_preferred(F.col("_ranges"), cfg.accept_markdown_wildcards))
+    servable_now = F.col("page_id").isNotNull() & F.coalesce(F.col("known"), F.lit(False)) & F.col("deny_reason").isNull()
+    safe = F.coalesce(F.upper(F.col("method")).isin("GET", "HEAD"), F.lit(False))
+    rr = rr.withColumns({"ok": servable_now, "has_doc": F.coalesce(F.col("has_doc"), F.lit(False)),
+                         "negotiate": F.lit(bool(cfg.enable_content_negotiation)) & ~F.col("is_md") & safe & servable_now})
+    md, ok, has_doc, neg, wants = (F.col(c) for c in ("is_md", "ok", "has_doc", "negotiate", "wants"))
+    representation = (F.when(md & ok & has_doc, F.lit("markdown"))
+                      .when(md, F.lit("error"))
+                      .when(neg & wants & has_doc, F.lit("markdown"))
+                      .when(neg & wants, F.lit("error"))
                       .otherwise(F.lit("html")))
-    status = (F.when(md_route & F.col("page_id").isNull(), F.lit(404))
-              .when(md_route & ~servable_now, F.lit(404))
-              .when(md_route & ~has_doc, F.lit(503))
-              .when(md_route, F.lit(200))
-              .when(negotiate & wants & ~has_doc, F.lit(503))
-              .when(negotiate & wants, F.lit(200)))
-    reason = (F.when(md_route & F.col("page_id").isNull(), F.lit("unresolved"))
-              .when(md_route & ~servable_now, F.col("deny_reason"))
-              .when((md_route | (negotiate & wants)) & ~has_doc, F.lit("no_document")))
-    return rr.select("req_id", "page_id", "is_md", representation.alias("representation"),
-                     status.cast("int").alias("status"), reason.alias("reason"),
-                     negotiate.alias("varies_on_accept"))
+    status = (F.when(md & ~ok, F.lit(404))
+              .when(md & ~has_doc, F.lit(503))
+              .when(md, F.lit(200))
+              .when(neg & wants & ~has_doc, F.lit(503))
+              .when(neg & wants, F.lit(200)))
+    reason = (F.when(md & F.col("page_id").isNull(), F.lit("unresolved"))
+              .when(md & ~ok, F.coalesce("deny_reason", F.lit("no_metadata")))
+              .when((md | (neg & wants)) & ~has_doc, F.lit("no_document")))
+    decided = rr.select(*keys, "page_id", representation.alias("representation"), status.cast("int").alias("status"),
+                        reason.alias("reason"), neg.alias("varies_on_accept"))
+    return _attach(r, decided, keys).select("req_id", "page_id", "is_md", "representation", "status", "reason", "varies_on_accept")

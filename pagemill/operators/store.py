@@ -41,17 +41,17 @@ def expire_documents(store: DataFrame, as_of: Column, cfg: Config, ttl: Column |
     return store.join(live, ["page_id", "fingerprint"], "left_anti")
 
 
-def stale_pages(pages_fp: DataFrame, store: DataFrame, as_of: Column, cfg: Config) -> DataFrame:
+def stale_pages(pages_fp: DataFrame, store: DataFrame, as_of: Column, cfg: Config, ttl: Column | None = None) -> DataFrame:
     """Pages (with `fingerprint`) that need converting: no live entry with the same
     page_id and fingerprint."""
-    live = live_documents(store, as_of, cfg).select("page_id", "fingerprint")
+    live = live_documents(store, as_of, cfg, ttl).select("page_id", "fingerprint")
     return pages_fp.join(live, ["page_id", "fingerprint"], "left_anti")
 
 
 def purge_site(store: DataFrame, site_ids: list[int]) -> DataFrame:
-    """Store without the given sites (with a site-partitioned layout this is a
+    """Store without the given sites; entries of no site stay (with a site-partitioned layout this is a
     partition drop)."""
-    return store.filter(~F.col("site_id").isin(site_ids))
+    return store.filter(~F.coalesce(F.col("site_id").isin(site_ids), F.lit(False)))
 
 
 def retired_documents(store: DataFrame, servable: DataFrame) -> DataFrame:

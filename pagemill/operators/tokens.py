@@ -21,7 +21,7 @@ TOKEN_RX = (
     r"|<style\b[^>]*+>[\s\S]*?</style\s*>"
     r"|</?[a-z][^\s/>]*+(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
     r"|<[!?][^>]*+>"
-    r"|&(?:#[0-9]{1,7}|#x[0-9a-f]{1,6}|[a-z][a-z0-9]{0,31});"
+    r"|&(?:#[0-9]++|#x[0-9a-f]++|[a-z][a-z0-9]{0,31});"
     r"|[^<&]++"
     r"|[<&]"
 )
@@ -31,7 +31,7 @@ VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "keygen
              "meta", "param", "source", "track", "wbr"]
 
 # Attribute pattern: name, optional = value (double, single or unquoted).
-ATTR_RX = r"""([^\s"'>/=]+)(?:\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s"'=<>`]++))?"""
+ATTR_RX = r"""([^\s"'>/=]+)(?:\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?"""
 
 
 def _kind(tok: Column) -> Column:
@@ -39,7 +39,7 @@ def _kind(tok: Column) -> Column:
             .when(tok.rlike(r"(?is)^<(script|style)\b.*</(script|style)\s*>$"), F.lit("raw"))
             .when(tok.rlike(r"^</[A-Za-z]"), F.lit("close"))
             .when(tok.rlike(r"^<[A-Za-z]"), F.lit("open"))
-            .when(tok.rlike(r"^<[!?].*>$"), F.lit("decl"))
+            .when(tok.rlike(r"(?s)^<[!?].*>$"), F.lit("decl"))
             .when(tok.rlike(r"^&.+;$"), F.lit("entity"))
             .otherwise(F.lit("text")))
 
@@ -54,42 +54,28 @@ ATTR_KEYS = ["id", "class", "href", "src", "data-src", "data-lazy-src", "data-or
 
 def tag_attributes(tok: Column) -> Column:
     """MAP<name, value> of the attributes the conversion reads (ATTR_KEYS) for an
-    open tag: names lower-cased, first occurrence wins, values entity-decoded
-    (attribute subset, see functions.text.decode_attr).  Linear in the number of
+    open tag: names lower-cased, first occurrence wins, character references decoded
+    once.  Linear in the number of
     attributes (one pass to split, one filter per key), so a tag with tens of
     thousands of attributes stays cheap."""
     body = F.regexp_replace(tok, r"^<[A-Za-z][^\s/>]*+|/?>$", "")
     parts = F.regexp_extract_all(body, F.lit(ATTR_RX), 0)
     pairs = F.transform(parts, lambda a: F.struct(
         T.ascii_lower(F.regexp_extract(a, r"^([^\s=]+)", 1)).alias("k"), a.alias("a")))
-    kv = []
+    raws = []
     for key in ATTR_KEYS:
         first = F.try_element_at(F.filter(pairs, _key_is(key)), F.lit(1))["a"]
-        raw = F.regexp_extract(first, r"^[^\s=]+\s*=\s*(.*)$", 1)
-        val = T.decode_attr(F.regexp_replace(raw, r"""^"(.*)"$|^'(.*)'$""", "$1$2"))
-        kv += [F.lit(key), F.when(first.isNotNull(), val)]
-    return F.create_map(*kv)
-
-
-def page_partitions(df: DataFrame, partition_bytes: int = 32 * 1024 * 1024) -> int:
-    """Number of tasks for the page_id exchange: the planned input size over the
-    target bytes per task, never fewer than the cluster's default parallelism.
-    Uses the optimizer's size estimate (file sizes for a scan), so no job runs."""
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - estimate unavailable: fall back to parallelism
-        size = 0
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001 - no SparkContext (remote session): use the shuffle setting
-        par = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    if size >= 2 ** 60:  # no real estimate (Spark's default for unknown sizes)
-        size = 0
-    return int(min(max(par, -(-size // partition_bytes)), 1_000_000))
-
-
-def page_tokens(pages: DataFrame, entities: DataFrame | None = None,
-                partitioned: bool = False) -> DataFrame:
+        raws.append(F.regexp_extract(first, r"(?s)^[^\s=]+\s*=\s*(.*)$", 1))
+    unquoted = F.transform(F.array(*raws), lambda r: T.decode_references(F.regexp_replace(r, r"""(?s)^"(.*)"$|^'(.*)'$""", "$1$2")))
+    return F.map_from_arrays(F.lit(ATTR_KEYS), unquoted)
+
+
+def page_partitions(df: DataFrame, partitions: int | None = None) -> int:
+    """Number of tasks for the page_id exchange: the job's setting, else the session's."""
+    return partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def page_tokens(pages: DataFrame, partitioned: bool = False, partitions: int | None = None) -> DataFrame:
     """(page_id, pos, tok, kind, tag, is_void, attrs, text).
 
     `kind`: comment | raw | open | close | decl | entity | text.  `text` is the
@@ -98,7 +84,7 @@ def page_tokens(pages: DataFrame, entities: DataFrame | None = None,
     instance the output of a join on page_id)."""
     spark = pages.sparkSession
     if not partitioned:
-        pages = pages.repartition(page_partitions(pages), "page_id")
+        pages = pages.repartition(page_partitions(pages, partitions), "page_id")
     toks = pages.select("page_id", F.posexplode(F.regexp_extract_all(
         F.col("html"), F.lit(TOKEN_RX), 0)).alias("pos", "tok"))
     kind = _kind(F.col("tok"))
@@ -110,8 +96,7 @@ def page_tokens(pages: DataFrame, entities: DataFrame | None = None,
     toks = toks.withColumn("attrs", F.when(F.col("kind") == "open", tag_attributes(F.col("tok"))))
     # Character references: numeric ones by arithmetic, named ones through a
     # broadcast lookup of the bounded HTML5 table.
-    if entities is None:
-        entities = T.entity_table(spark)
+    entities = T.entity_table(spark)
     key = F.when(F.col("kind") == "entity", F.regexp_extract("tok", r"^&([A-Za-z][A-Za-z0-9]*);$", 1))
     toks = toks.withColumn("ent_key", key)
     toks = toks.join(F.broadcast(entities), toks["ent_key"] == entities["ent_name"], "left")

@@ -24,7 +24,7 @@ from ..operators import tokens as K
 from ..session import scratch_dir, tune
 from ..sources import fixtures as FX
 from ..sources import synthetic as SY
-from ..sources.pages import admit_pages, read_table, write_documents
+from ..sources.pages import admit_pages, load_pages, read_table, write_documents
 from .convert import html_to_markdown
 from .pipeline import convert_pages, refresh_documents
 
@@ -51,7 +51,8 @@ def _tokens(spark, sf) -> DataFrame:
 # ---------------------------------------------------------------- 2.1 sources / sinks
 
 def q_load_pages(spark, sf):
-    return _pages(spark, sf).select("page_id", "url", F.length("html").cast("long").alias("n_chars"))
+    pages = load_pages(spark, f"{sf.rstrip('/')}/pages.parquet")
+    return pages.select("page_id", "url", F.length("html").cast("long").alias("n_chars"))
 
 
 def q_admit_pages(spark, sf):
@@ -95,12 +96,21 @@ def q_page_nodes(spark, sf):
 
 
 def q_tag_attributes(spark, sf):
-    t = _tokens(spark, sf).filter((F.col("kind") == "open") & (F.col("tag") == "a"))
+    pages = _pages(spark, sf).unionByName(_apart(SY.attribute_pages(spark, sf)))
+    t = K.page_tokens(pages).filter((F.col("kind") == "open") & (F.col("tag") == "a"))
     return t.groupBy("page_id").agg(F.count("*").alias("n_links"), F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", F.col("attrs").getItem("href").alias("h")))),
         lambda x: x["h"]), " ").alias("hrefs"))
 
 
+#: Page ids of pages built from base rows, beside those of the pages table.
+APART = 10_000_000_000
+
+
+def _apart(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("page_id", F.col("page_id") + APART)
+
+
 def q_normalize_text(spark, sf):
     d = read_table(spark, sf, "documents")
     return d.select("doc_id", T.normalize_text(F.col("text")).alias("norm"),
@@ -108,18 +118,16 @@ def q_normalize_text(spark, sf):
 
 
 def q_drop_padding(spark, sf):
-    """Whitespace-only text between two tags under a block-ish parent (pages with
-    line feeds between tags), counted per page."""
-    t = _tokens(spark, sf)
-    w = N.page_order()
-    ws = (F.col("kind") == "text") & (F.regexp_replace("tok", r"[ \t\n\r\x0B]", "") == "")
-    t = t.withColumn("prev_kind", F.lag("kind").over(w)).withColumn("next_kind", F.lead("kind").over(w))
-    pad = ws & F.col("prev_kind").isin("open", "close", "raw", "comment") & F.col("next_kind").isin("open", "close", "raw", "comment")
-    return t.groupBy("page_id").agg(F.sum(pad.cast("int")).cast("long").alias("n_padding"))
+    """Tokens removed and kept per page."""
+    t = N.with_tree(N.element_spans(_tokens(spark, sf)))
+    kept = N.drop_padding(t).groupBy("page_id").agg(F.count("*").alias("n_kept"))
+    return t.groupBy("page_id").agg(F.count("*").alias("n")).join(kept, "page_id", "left").select(
+        "page_id", (F.col("n") - F.coalesce("n_kept", F.lit(0))).alias("n_padding"))
 
 
 def q_decode_entities(spark, sf):
-    t = _tokens(spark, sf).filter(F.col("kind") == "entity")
+    pages = _pages(spark, sf).unionByName(_apart(SY.reference_pages(spark, sf)))
+    t = K.page_tokens(pages).filter(F.col("kind") == "entity")
     return t.groupBy("page_id").agg(F.count("*").alias("n_entities"), F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "").alias("decoded"))
 
@@ -173,7 +181,8 @@ def _visible_text(t: DataFrame) -> DataFrame:
 
 
 def q_drop_excluded(spark, sf):
-    return _visible_text(_structured(spark, sf, BODY_ROOT))
+    pages = _pages(spark, sf).unionByName(_apart(SY.open_nav_pages(spark, sf)))
+    return _visible_text(_structured(spark, sf, BODY_ROOT, pages))
 
 
 def q_content_subtree(spark, sf):
@@ -201,6 +210,11 @@ def q_md_strong(spark, sf):
     """Bold lead-ins of the fixture pages (`<p><b>...<br>`, never closed)."""
     b = M.markdown_blocks(S.content_subtree(_structured(spark, sf)), Config())
     s = b.filter(F.col("text").startswith("**") & (F.col("bkind") == "para"))
+    return _bold_counts(s).unionByName(_bold_counts(M.markdown_blocks(
+        S.content_subtree(_structured(spark, sf, pages=_apart(SY.bold_block_pages(spark, sf)))), Config()).filter(F.col("text") != "")))
+
+
+def _bold_counts(s: DataFrame) -> DataFrame:
     return s.groupBy("page_id").agg(F.count("*").alias("n_strong"), F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("upos", "text"))), lambda x: x["text"]), "\n").alias("strong"))
 
@@ -209,7 +223,8 @@ def q_md_emphasis(spark, sf):
     return _body(SY.emphasis_pages(spark, sf))
 
 
-q_md_strikethrough = q_md_emphasis
+def q_md_strikethrough(spark, sf):
+    return _body(SY.strike_pages(spark, sf))
 
 
 def q_md_inline_code(spark, sf):
@@ -227,10 +242,11 @@ def q_longest_run(spark, sf):
 
 
 def q_md_links(spark, sf):
-    return _body(_pages(spark, sf), NAV_ROOT)
+    return _body(_pages(spark, sf), NAV_ROOT).unionByName(_body(_apart(SY.card_pages(spark, sf))))
 
 
-q_md_unordered_lists = q_md_links
+def q_md_unordered_lists(spark, sf):
+    return _body(SY.bullet_pages(spark, sf))
 
 
 def q_md_ordered_lists(spark, sf):
@@ -245,15 +261,20 @@ def q_md_blockquotes(spark, sf):
     return _body(SY.quote_pages(spark, sf))
 
 
-q_md_rules = q_md_blockquotes
+def q_md_rules(spark, sf):
+    return _body(SY.rule_pages(spark, sf))
 
 
 def q_md_images(spark, sf):
     return _body(SY.image_pages(spark, sf), IMAGES)
 
 
-q_md_figures = q_md_images
-q_md_captions = q_md_images
+def q_md_figures(spark, sf):
+    return _body(SY.figure_pages(spark, sf), IMAGES)
+
+
+def q_md_captions(spark, sf):
+    return _body(SY.caption_pages(spark, sf))
 
 
 def q_image_source(spark, sf):
@@ -278,14 +299,16 @@ def q_md_tables(spark, sf):
         _body(SY.uneven_table_pages(spark, sf)).withColumn("page_id", F.col("page_id") + 100))
 
 
-q_md_table_cells = q_md_tables
+def q_md_table_cells(spark, sf):
+    return _body(SY.cell_pages(spark, sf))
 
 
 def q_drop_elements(spark, sf):
     return _body(SY.transparent_pages(spark, sf))
 
 
-q_transparent_elements = q_drop_elements
+def q_transparent_elements(spark, sf):
+    return _body(SY.wrapper_pages(spark, sf))
 
 
 def q_cleanup_lines(spark, sf):
@@ -353,12 +376,21 @@ def q_alternate_link(spark, sf):
     return ok.select("page_id", MD.alternate_link(markdown_url(F.col("url"))).alias("link"))
 
 
+def _failing(spark, sf) -> DataFrame:
+    """The pages with response columns (some refused), one in eight without content."""
+    p = SY.response_pages(spark, sf)
+    return p.withColumn("html", F.when(F.col("page_id") % 8 == 5, F.lit("<html><body><article> </article></body></html>")).otherwise(F.col("html")))
+
+
 def q_convert_pages(spark, sf):
-    d = convert_pages(_pages(spark, sf), FX.pages_meta(spark, sf), Config(), FX.terms(spark, sf))
+    d = convert_pages(_failing(spark, sf), FX.pages_meta(spark, sf).filter(F.col("page_id") % 31 != 8), Config(), FX.terms(spark, sf))
     return d.select("page_id", "document", "fail_reason")
 
 
-q_assemble_document = q_convert_pages
+def q_assemble_document(spark, sf):
+    c = read_table(spark, sf, "conversations")
+    yaml = F.concat(F.lit("role: "), T.yaml_scalar(F.col("role")), F.lit("\n"))
+    return c.select("conv_id", "turn", MD.assemble_document(yaml, F.col("text")).alias("document"))
 
 
 # ---------------------------------------------------------------- 2.6 access / requests
@@ -419,13 +451,14 @@ def q_prefers_markdown(spark, sf):
                     A.prefers_markdown(F.col("accept"), True).alias("wildcards"))
 
 
-def _docs_store(spark, sf, cfg=Config()):
-    """The document store fixture: half of the pages, converted_at spread over the
-    24 hours before AS_OF, one in six stored under other options."""
+def _docs_store(spark, sf, cfg=Config(), absent=False):
+    """A document store: converted_at spread over the 24 hours before AS_OF, one in six
+    stored under other options; with `absent`, pages of odd id were never stored."""
     meta = FX.pages_meta(spark, sf)
     pages = _pages(spark, sf)
     pid = F.col("page_id")
-    j = meta.join(pages, "page_id").filter(pid % 2 == 0)
+    j = meta.join(pages, "page_id")
+    j = j.filter(pid % 2 == 0) if absent else j
     gen_now = ST.fingerprint(F.col("site_id"), pid, F.col("modified_at"), F.col("html"), cfg)
     # Entries written under other options (images on): their fingerprint no longer matches.
     gen_old = ST.fingerprint(F.col("site_id"), pid, F.col("modified_at"), F.col("html"), cfg.replace(include_images=True))
@@ -437,17 +470,17 @@ def _docs_store(spark, sf, cfg=Config()):
                     (_as_of() - F.make_interval(hours=(pid % 24).cast("int"), mins=F.lit(30))).alias("converted_at"))
 
 
+def _classified(spark, sf):
+    live = ST.live_documents(_docs_store(spark, sf, NEGOTIATE), _as_of(), NEGOTIATE)
+    return RQ.classify_requests(FX.requests(spark, sf), _pages(spark, sf), _servable(spark, sf, NEGOTIATE), live, NEGOTIATE)
+
+
 def q_classify_requests(spark, sf):
-    docs = convert_pages(_pages(spark, sf), FX.pages_meta(spark, sf), NEGOTIATE).filter(F.col("fail_reason").isNull())
-    c = RQ.classify_requests(FX.requests(spark, sf), _pages(spark, sf), _servable(spark, sf, NEGOTIATE),
-                             docs.filter(F.col("page_id") % 10 != 9), NEGOTIATE)
-    return c.select("req_id", "page_id", "representation", "status", "reason")
+    return _classified(spark, sf).select("req_id", "page_id", "representation", "status", "reason")
 
 
 def q_varies_on_accept(spark, sf):
-    c = RQ.classify_requests(FX.requests(spark, sf), _pages(spark, sf), _servable(spark, sf, NEGOTIATE),
-                             _docs_store(spark, sf), NEGOTIATE)
-    return c.select("req_id", "varies_on_accept")
+    return _classified(spark, sf).select("req_id", "varies_on_accept")
 
 
 # ---------------------------------------------------------------- 2.7 store
@@ -466,7 +499,7 @@ def _fp(spark, sf, cfg):
 
 
 def q_stale_pages(spark, sf):
-    return ST.stale_pages(_fp(spark, sf, Config()), _docs_store(spark, sf), _as_of(), Config()).select("page_id")
+    return ST.stale_pages(_fp(spark, sf, Config()), _docs_store(spark, sf, absent=True), _as_of(), Config()).select("page_id")
 
 
 def q_expire_documents(spark, sf):
@@ -475,12 +508,12 @@ def q_expire_documents(spark, sf):
 
 def q_bump_generation(spark, sf):
     cfg2 = Config().bump_generation()
-    return ST.stale_pages(_fp(spark, sf, cfg2), _docs_store(spark, sf), _as_of(), cfg2).select("page_id")
+    return ST.stale_pages(_fp(spark, sf, cfg2), _docs_store(spark, sf, absent=True), _as_of(), cfg2).select("page_id")
 
 
 def q_refresh_documents(spark, sf):
-    snap = refresh_documents(_pages(spark, sf), FX.pages_meta(spark, sf), _docs_store(spark, sf), Config(), _as_of())
-    return snap.select("page_id", "generation", (F.col("body") == "stored").alias("from_store"))
+    snap = refresh_documents(_pages(spark, sf), FX.pages_meta(spark, sf), _docs_store(spark, sf, absent=True), Config(), _as_of(), FX.terms(spark, sf))
+    return snap.select("page_id", "generation", "document", (F.col("body") == "stored").alias("from_store"))
 
 
 def q_purge_site(spark, sf):

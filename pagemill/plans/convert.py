@@ -21,7 +21,7 @@ def structured_tokens(pages: DataFrame, cfg: Config, partitioned: bool = False)
     """Tokens with element spans, root range and exclusion flag."""
     # Only what later steps read: the raw token text (script bodies included) is
     # dropped so every sort moves narrow rows.
-    t = K.page_tokens(pages, partitioned=partitioned).select("page_id", "pos", "kind", "tag", "is_void", "attrs", "text")
+    t = K.page_tokens(pages, partitioned, cfg.page_partitions).select("page_id", "pos", "kind", "tag", "is_void", "attrs", "text")
     t = N.element_spans(t)
     if _needs_tree(cfg):
         t = N.with_tree(t)

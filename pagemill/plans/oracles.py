@@ -8,15 +8,11 @@ Markdown from the base rows the pages were built from.  Column names match
 from __future__ import annotations
 
 from ..config import Config
-from ..functions.urls import URL_RX
-from ..operators.tokens import TOKEN_RX
 from ..sources.fixtures import ACCEPT_HEADERS, AS_OF, METHODS
 
 WS = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 TRIM = r"[ \t\n\r\x{00}\x{0B}]"
-# RE2 has no possessive quantifiers: the plain form of the token pattern.
-TOKEN_RE2 = TOKEN_RX.replace("*+", "*").replace("++", "+")
-ENTITY_RE2 = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]{0,31});"
+ENTITY_RE2 = r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
 
 
 def lit(s: str) -> str:
@@ -49,7 +45,19 @@ def yaml_scalar(x: str) -> str:
 
 
 def url_part(x: str, i: int) -> str:
-    return f"regexp_extract({x}, {lit(URL_RX)}, {i})"
+    """scheme (1), host (2), port (3), path (4), query (5), fragment (6), by cutting the string
+    at the delimiters, not by a pattern."""
+    page = f"split_part({x}, '#', 1)"
+    if i == 6:
+        return f"(CASE WHEN strpos({x}, '#') > 0 THEN substr({x}, strpos({x}, '#') + 1) ELSE '' END)"
+    if i == 5:
+        return f"(CASE WHEN strpos({page}, '?') > 0 THEN substr({page}, strpos({page}, '?') + 1) ELSE '' END)"
+    base = f"split_part({page}, '?', 1)"
+    rest = f"(CASE WHEN strpos({base}, '://') > 0 THEN substr({base}, strpos({base}, '://') + 3) ELSE {base} END)"
+    authority = f"split_part({rest}, '/', 1)"
+    host = f"substr({authority}, strpos({authority}, '@') + 1)"
+    return {1: f"(CASE WHEN strpos({base}, '://') > 0 THEN split_part({base}, '://', 1) ELSE '' END)",
+            2: f"split_part({host}, ':', 1)", 3: f"split_part({host}, ':', 2)", 4: f"substr({rest}, length({authority}) + 1)"}[i]
 
 
 def md_url(u: str) -> str:
@@ -77,7 +85,7 @@ def longest(x: str) -> str:
 
 META = f"""meta AS (
   SELECT p.page_id, p.url, p.html, p.page_id % 4 AS site_id,
-    ['post','page','product'][p.page_id % 3 + 1] AS type,
+    CASE WHEN p.page_id % 29 <> 0 THEN ['post','page','product'][p.page_id % 3 + 1] END AS type,
     regexp_extract({url_part('p.url', 4)}, '([^/]+)/*$', 1) AS slug,
     regexp_extract(p.html, '(?is)<title>(.*?)</title>', 1) AS title,
     CASE WHEN p.page_id % 7 = 0 THEN 'Short <em>excerpt</em> &amp; more for page ' || p.page_id ELSE '' END AS excerpt,
@@ -89,7 +97,7 @@ META = f"""meta AS (
   FROM pages p LEFT JOIN documents d ON d.doc_id = p.page_id)"""
 
 SERVABLE = """servable AS (
-  SELECT m.page_id, CASE WHEN m.type NOT IN ('post', 'page') THEN 'type_disabled'
+  SELECT m.page_id, CASE WHEN coalesce(m.type, '') NOT IN ('post', 'page') THEN 'type_disabled'
     WHEN m.password_protected THEN 'password_protected'
     WHEN m.status <> 'publish' THEN 'not_public'
     WHEN l.doc_id IS NOT NULL THEN 'noindex' END AS deny_reason
@@ -119,7 +127,7 @@ FM = f"""fm AS (
   SELECT page_id, site_id, url,
     'title: ' || {yaml_scalar(dec('title'))} || chr(10) ||
     'id: ' || {yaml_scalar('CAST(page_id AS VARCHAR)')} || chr(10) ||
-    'type: ' || {yaml_scalar('type')} || chr(10) ||
+    'type: ' || {yaml_scalar(chr(99) + "oalesce(type, '')")} || chr(10) ||
     'slug: ' || {yaml_scalar('slug')} || chr(10) ||
     'published_at: ' || {yaml_scalar(_iso('published_at'))} || chr(10) ||
     'modified_at: ' || {yaml_scalar(_iso('modified_at'))} || chr(10) ||
@@ -154,12 +162,12 @@ def _with(*ctes: str) -> str:
 
 
 REQ = f"""req AS (
-  SELECT e.event_id AS req_id, e.event_type, e.event_id, {url_part('p.url', 4)} AS upath,
+  SELECT e.event_id AS req_id, e.event_type, e.event_id, {url_part('p.url', 4)} AS upath, lower({url_part('p.url', 2)}) AS host,
     {'CASE ' + ' '.join(f"WHEN e.event_type = {lit(k)} THEN {lit(v)}" for k, v in METHODS.items()) + " ELSE 'GET' END"} AS method,
-    {('[' + ', '.join(lit(a) for a in ACCEPT_HEADERS) + ']')}[e.event_id % 11 + 1] AS accept
+    {('[' + ', '.join(lit(a) for a in ACCEPT_HEADERS) + ']')}[e.event_id % {len(ACCEPT_HEADERS)} + 1] AS accept
   FROM events e LEFT JOIN pages p ON p.page_id = e.event_id % (SELECT count(*) FROM pages)),
 req2 AS (
-  SELECT *, CASE WHEN event_id % 2 = 0 THEN
+  SELECT *, CASE WHEN event_id % 19 = 0 THEN '/' WHEN event_id % 2 = 0 THEN
       (CASE WHEN event_id % 17 = 0 THEN '/no-such-page-' || event_id
             ELSE (CASE WHEN regexp_replace(upath, '/+$', '') = '' THEN '/index' ELSE regexp_replace(upath, '/+$', '') END) END) || '.md'
     ELSE (CASE WHEN event_id % 17 = 0 THEN '/no-such-page-' || event_id WHEN upath = '' THEN '/' ELSE upath END) END AS path
@@ -177,12 +185,13 @@ def _key(path: str) -> str:
     return f"regexp_replace(trim(url_decode(replace({path}, '+', '%2B'))), '^/+|/+$', '', 'g')"
 
 
-RESOLVED = f"""routes AS (SELECT {_key(url_part('url', 4))} AS route_key, min(page_id) AS page_id FROM pages GROUP BY 1),
+RESOLVED = f"""paths AS (SELECT page_id, lower({url_part('url', 2)}) AS host, {_key(url_part('url', 4))} AS k FROM pages),
 resolved AS (
-  SELECT r.*, k.is_md, rt.page_id FROM req2 r
-  CROSS JOIN LATERAL (SELECT {_route('r.path')} IS NOT NULL AS is_md,
-      nullif(coalesce({_route('r.path')}, {_key('r.path')}), '') AS route_key) k
-  LEFT JOIN routes rt ON rt.route_key = k.route_key)"""
+  SELECT r.*, {_route('r.path')} IS NOT NULL AS is_md,
+    CASE WHEN lower({_route('r.path')}) = 'index'
+      THEN coalesce((SELECT min(page_id) FROM paths p WHERE p.host = r.host AND lower(p.k) = 'index'), (SELECT min(page_id) FROM paths p WHERE p.host = r.host AND p.k = ''))
+      ELSE (SELECT min(page_id) FROM paths p WHERE p.host = r.host AND p.k = coalesce({_route('r.path')}, {_key('r.path')})) END AS page_id
+  FROM req2 r)"""
 
 
 def _ranges(a: str) -> str:
@@ -212,8 +221,8 @@ def _prefers(a: str, need: int) -> str:
     return f"coalesce(({md}).s >= {need} AND ({md}).q > 0 AND ({md}).q >= greatest(0.0, ({html}).q), false)"
 
 
-def _store(cfg: Config) -> str:
-    """Document store fixture: even pages; one in six under other options."""
+def _store(cfg: Config, absent: bool = False) -> str:
+    """Document store fixture; one in six under other options; with `absent`, even pages only."""
     other = cfg.replace(include_images=True)
     return f"""store AS (
   SELECT m.page_id, m.site_id,
@@ -221,7 +230,7 @@ def _store(cfg: Config) -> str:
         strftime(m.modified_at, '%Y-%m-%d %H:%M:%S'), '{cfg.locale}',
         CASE WHEN m.page_id % 6 = 0 THEN '{other.options_hash}' ELSE '{cfg.options_hash}' END, md5(m.html))) AS fingerprint,
     TIMESTAMP '{AS_OF}' - to_hours(CAST(m.page_id % 24 AS BIGINT)) - INTERVAL 30 MINUTE AS converted_at
-  FROM meta m WHERE m.page_id % 2 = 0)"""
+  FROM meta m{' WHERE m.page_id % 2 = 0' if absent else ''})"""
 
 
 def _fp(cfg: Config) -> str:
@@ -233,12 +242,10 @@ LIVE = f"""live AS (SELECT * FROM store WHERE epoch(TIMESTAMP '{AS_OF}') - epoch
   AND epoch(TIMESTAMP '{AS_OF}') - epoch(converted_at) >= 0)"""
 
 
-def _tok_kind(t: str) -> str:
-    return (f"CASE WHEN starts_with({t}, '<!--') AND length({t}) >= 7 THEN 'comment' "
-            f"WHEN regexp_matches({t}, '(?is)^<(script|style)\\b.*</(script|style)\\s*>$') THEN 'raw' "
-            f"WHEN regexp_matches({t}, '^</[A-Za-z]') THEN 'close' WHEN regexp_matches({t}, '^<[A-Za-z]') THEN 'open' "
-            f"WHEN regexp_matches({t}, '(?s)^<[!?].*>$') THEN 'decl' WHEN regexp_matches({t}, '^&.+;$') THEN 'entity' "
-            f"ELSE 'text' END")
+#: Pages with comments, then raw elements, cut out and counted; what is left is counted by kind.
+CUT = """cut AS (SELECT page_id, html, len(regexp_extract_all(html, '(?s)<!--.*?-->')) AS n_comment,
+    len(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(?:script|style)[ >].*?</(?:script|style)>')) AS n_raw,
+    regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', chr(1), 'g'), '(?is)<(?:script|style)[ >].*?</(?:script|style)>', chr(1), 'g') AS rest FROM pages)"""
 
 
 # Element depth of each tag in the fixture page layout.
@@ -258,28 +265,32 @@ def oracles() -> dict[str, str]:
     md["write_documents"] = _with(META, FM, ART, BODY, DOCS) + \
         "SELECT site_id, count(*) AS n_docs, CAST(sum(length(document)) AS BIGINT) AS n_chars FROM docs GROUP BY site_id"
     md["stream_pages"] = _with(META, FM, ART, BODY, DOCS) + "SELECT page_id, md5(document) AS doc_md5 FROM docs"
-    tok = f"tk AS (SELECT page_id, unnest(regexp_extract_all(html, {lit(TOKEN_RE2)})) AS tok FROM pages)"
-    md["page_tokens"] = _with(tok) + f"""SELECT page_id, count(*) AS n_tokens, CAST(sum(length(tok)) AS BIGINT) AS n_chars,
-      CAST(count(*) FILTER (WHERE k = 'open') AS BIGINT) AS n_open, CAST(count(*) FILTER (WHERE k = 'close') AS BIGINT) AS n_close,
-      CAST(count(*) FILTER (WHERE k = 'comment') AS BIGINT) AS n_comment, CAST(count(*) FILTER (WHERE k = 'raw') AS BIGINT) AS n_raw,
-      CAST(count(*) FILTER (WHERE k = 'entity') AS BIGINT) AS n_entity
-    FROM (SELECT page_id, tok, {_tok_kind('tok')} AS k FROM tk) GROUP BY page_id"""
+    bare = "regexp_replace(rest, '<[^>]*>', chr(1), 'g')"
+    cut_refs = f"regexp_replace({bare}, {lit(ENTITY_RE2)}, chr(1), 'g')"
+    md["page_tokens"] = _with(CUT) + f"""SELECT page_id,
+      n_comment + n_raw + len(regexp_extract_all(rest, '<[^>]*>')) + n_entity + len(list_filter(string_split({cut_refs}, chr(1)), lambda t: t <> '')) AS n_tokens,
+      CAST(length(html) AS BIGINT) AS n_chars, len(regexp_extract_all(rest, '<[A-Za-z]')) AS n_open, len(regexp_extract_all(rest, '</[A-Za-z]')) AS n_close,
+      n_comment, n_raw, n_entity
+    FROM (SELECT *, len(regexp_extract_all({bare}, {lit(ENTITY_RE2)})) AS n_entity FROM cut)"""
     depth = "CASE tag " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in FIXTURE_DEPTH.items()) + " END"
-    md["page_nodes"] = _with(tok) + f"""SELECT page_id, tag, count(*) FILTER (WHERE k IN ('open', 'raw')) AS n_nodes,
-      CAST(CASE WHEN tag IN ('meta', 'br', 'script', 'style') THEN 0 ELSE least(count(*) FILTER (WHERE k = 'open'),
-        count(*) FILTER (WHERE k = 'close')) END AS BIGINT) AS n_closed, CAST({depth} AS BIGINT) AS max_depth
-    FROM (SELECT page_id, {_tok_kind('tok')} AS k, lower(regexp_extract(tok, '^</?([A-Za-z][^\\s/>]*)', 1)) AS tag FROM tk)
-    WHERE k IN ('open', 'close', 'raw') GROUP BY page_id, tag HAVING count(*) FILTER (WHERE k IN ('open', 'raw')) > 0"""
+    md["page_nodes"] = _with(CUT) + f"""SELECT page_id, tag, CAST(sum(o) AS BIGINT) AS n_nodes,
+      CAST(CASE WHEN tag IN ('meta', 'br', 'script', 'style') THEN 0 ELSE least(sum(o), sum(c)) END AS BIGINT) AS n_closed, CAST({depth} AS BIGINT) AS max_depth
+    FROM (SELECT page_id, lower(unnest(regexp_extract_all(rest, '<([A-Za-z][^ >/]*)', 1))) AS tag, 1 AS o, 0 AS c FROM cut
+      UNION ALL SELECT page_id, lower(unnest(regexp_extract_all(rest, '</([A-Za-z][^ >/]*)', 1))) AS tag, 0 AS o, 1 AS c FROM cut
+      UNION ALL SELECT page_id, lower(unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)[ >].*?</(?:script|style)>', 1))) AS tag, 1 AS o, 0 AS c FROM cut)
+    GROUP BY page_id, tag HAVING sum(o) > 0"""
     attr_dec = lambda x: dec(x)
     md["tag_attributes"] = f"""SELECT page_id, CAST(len(regexp_extract_all(html, '<a[\\s>]')) AS BIGINT) AS n_links,
       array_to_string(list_transform(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1), lambda h: {attr_dec('h')}), ' ') AS hrefs
-    FROM pages WHERE len(regexp_extract_all(html, '<a[\\s>]')) > 0"""
+    FROM pages WHERE len(regexp_extract_all(html, '<a[\\s>]')) > 0
+    UNION ALL SELECT 10000000000 + p_partkey, 1, ['/q?a=1&b=2', '/é=&amp;', '/a' || chr(10) || 'b', '/AB'][p_partkey % 4 + 1] FROM part"""
     md["normalize_text"] = f"SELECT doc_id, {norm('text')} AS norm, {inline('text')} AS inline FROM documents"
     md["drop_padding"] = ("SELECT page_id, CAST(len(regexp_extract_all(html, '>[ \\t\\n\\r\\x{0B}]+<')) AS BIGINT) "
                           "AS n_padding FROM pages")
     ent = "lambda e: CASE e WHEN '&amp;' THEN '&' WHEN '&quot;' THEN '\"' WHEN '&copy;' THEN '©' WHEN '&middot;' THEN '·' WHEN '&lt;' THEN '<' WHEN '&gt;' THEN '>' ELSE e END"
     md["decode_entities"] = f"""SELECT page_id, CAST(len(es) AS BIGINT) AS n_entities, array_to_string(list_transform(es, {ent}), '') AS decoded
-    FROM (SELECT page_id, regexp_extract_all(html, {lit(ENTITY_RE2)}) AS es FROM pages) WHERE len(es) > 0"""
+    FROM (SELECT page_id, regexp_extract_all(html, {lit(ENTITY_RE2)}) AS es FROM pages) WHERE len(es) > 0
+    UNION ALL SELECT 10000000000 + p_partkey, 3, chr(CAST(p_partkey % 26 + 65 AS INTEGER)) || chr(CAST(p_partkey % 26 + 97 AS INTEGER)) || chr(65533) FROM part"""
     stripped = _strip("html")
     md["plain_text"] = f"SELECT page_id, {trim(chr(10).join([]) or dec(stripped))} AS text FROM pages"
     md["match_selector"] = """SELECT n_regionkey AS page_id,
@@ -300,7 +311,7 @@ def oracles() -> dict[str, str]:
         return inline(dec(v))
     body_in = "regexp_extract(html, '(?s)<body>(.*?)(?:</body>|$)', 1)"
     cut = f"regexp_replace(regexp_replace(regexp_replace({body_in}, '(?s)<nav>.*?</nav>', ' ', 'g'), '(?s)<footer>.*?</footer>', ' ', 'g'), '(?s)<div class=\"ad\">.*?</div>', ' ', 'g')"
-    md["drop_excluded"] = f"SELECT page_id, {vis(cut)} AS text FROM pages"
+    md["drop_excluded"] = f"SELECT page_id, {vis(cut)} AS text FROM pages UNION ALL SELECT 10000000000 + p_partkey, {inline('p_brand')} FROM part"
     md["content_subtree"] = f"SELECT page_id, {vis(chr(40) + 'regexp_extract(html, ' + lit('(?s)<article>(.*)</article>') + ', 1))')} AS text FROM pages"
     md["md_headings"] = f"SELECT p_partkey AS page_id, repeat('#', CAST(p_partkey % 6 + 1 AS INTEGER)) || ' ' || {inline('p_name')} AS body FROM part"
     md["md_paragraphs"] = _with(ART) + """SELECT page_id, CAST(len(paras) AS BIGINT) AS n_para, array_to_string(paras, chr(10) || chr(10)) AS paras
@@ -308,9 +319,10 @@ def oracles() -> dict[str, str]:
     md["md_breaks"] = f"""SELECT p_partkey AS page_id, {inline('p_name')} || '  ' || chr(10) || {inline('p_brand')} || chr(10) || chr(10) || '**' || {inline('p_type')} || '**' AS body FROM part"""
     md["md_strong"] = _with(ART) + """SELECT page_id, CAST(len(list_filter(paras, lambda t: starts_with(t, '**'))) AS BIGINT) AS n_strong,
       array_to_string(list_filter(paras, lambda t: starts_with(t, '**')), chr(10)) AS strong FROM art
-      WHERE len(list_filter(paras, lambda t: starts_with(t, '**'))) > 0"""
+      WHERE len(list_filter(paras, lambda t: starts_with(t, '**'))) > 0
+      UNION ALL SELECT 10000000000 + p_partkey, 3, '**' || """ + inline("p_name") + """ || '**' || chr(10) || '**' || """ + inline("p_brand") + """ || '**' || chr(10) || 'xy' FROM part"""
     md["md_emphasis"] = f"SELECT p_partkey AS page_id, '*' || {inline('p_name')} || '* ~~' || {inline('p_brand')} || '~~' AS body FROM part"
-    md["md_strikethrough"] = md["md_emphasis"]
+    md["md_strikethrough"] = f"SELECT p_partkey AS page_id, '~~' || {inline('p_name')} || '~~ x ~~' || {inline('p_brand')} || '~~ *~~' || {inline('p_type')} || '~~*' AS body FROM part"
     bt = ("(CASE p_partkey % 3 WHEN 0 THEN repeat('`', CAST(p_partkey % 5 AS INTEGER)) || p_name WHEN 1 THEN p_name || "
           "repeat('`', CAST(p_partkey % 5 AS INTEGER)) ELSE 'a ' || repeat('`', CAST(p_partkey % 5 AS INTEGER)) || ' ' || p_name END)")
     ti = trim(f"regexp_replace({bt}, '[ \\t]+', ' ', 'g')")
@@ -325,8 +337,9 @@ def oracles() -> dict[str, str]:
             "ELSE '[' || ts[i] || '](' || trim(h) || ')' END")
     md["md_links"] = f"""SELECT page_id, array_to_string(list_transform(hs, lambda h, i: {item}), chr(10)) AS body
       FROM (SELECT page_id, list_transform(regexp_extract_all({nav}, '<a href="([^"]*)">', 1), lambda h: {dec('h')}) AS hs,
-        list_transform(regexp_extract_all({nav}, '<a href="[^"]*">(.*?)</a>', 1), lambda t: {inline(dec('t'))}) AS ts FROM pages)"""
-    md["md_unordered_lists"] = md["md_links"]
+        list_transform(regexp_extract_all({nav}, '<a href="[^"]*">(.*?)</a>', 1), lambda t: {inline(dec('t'))}) AS ts FROM pages)
+      UNION ALL SELECT 10000000000 + p_partkey, '[' || {inline('p_name || p_brand')} || '](/p?id=' || p_partkey || ')' FROM part"""
+    md["md_unordered_lists"] = "SELECT o_custkey AS page_id, string_agg('- ' || o_orderkey || ' **' || o_orderstatus || '**', chr(10) ORDER BY o_orderkey) AS body FROM orders GROUP BY o_custkey"
     md["md_ordered_lists"] = f"""SELECT o_custkey AS page_id, string_agg(rn || '. ' || o_orderkey || ' ' || {inline('o_orderpriority')}, chr(10) ORDER BY o_orderkey) AS body
       FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) GROUP BY o_custkey"""
     md["md_nested_lists"] = f"""SELECT r.r_regionkey AS page_id, '- ' || {inline('r.r_name || ' + lit('tail'))} || chr(10) || n.items || chr(10) || chr(10) || '- after' AS body
@@ -334,7 +347,8 @@ def oracles() -> dict[str, str]:
       ON n.n_regionkey = r.r_regionkey"""
     md["md_blockquotes"] = f"""SELECT conv_id AS page_id, string_agg(CASE WHEN {inline('text')} = '' THEN '---' ELSE '> ' || {inline('text')} || chr(10) || chr(10) || '---' END,
       chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id"""
-    md["md_rules"] = md["md_blockquotes"]
+    nl = " || chr(10) || chr(10) || "
+    md["md_rules"] = f"SELECT p_partkey AS page_id, {inline('p_name')}{nl}'---'{nl}{inline('p_brand')}{nl}'---'{nl}'---'{nl}{inline('p_type')} AS body FROM part"
     src_attr = "['src', 'data-src', 'data-lazy-src', 'data-original', ''][p_partkey % 5 + 1]"
     url = "(CASE WHEN p_partkey % 7 = 0 THEN 'data:image/png;base64,AAAA' ELSE '/img/' || p_partkey || '.png' END)"
     alt = "(CASE WHEN p_partkey % 4 = 0 THEN '' ELSE '[' || p_brand || '] ' || p_name END)"
@@ -345,8 +359,8 @@ def oracles() -> dict[str, str]:
     img = (f"'![' || {alt_esc} || '](' || {url} || CASE WHEN {title_esc} <> '' THEN ' \"' || {title_esc} || '\"' ELSE '' END || ')'")
     has = f"({src_attr} <> '' AND p_partkey % 7 <> 0)"
     md["md_images"] = f"SELECT p_partkey AS page_id, CASE WHEN {has} THEN {img} || chr(10) || chr(10) ELSE '' END || {inline('p_name')} AS body FROM part"
-    md["md_figures"] = md["md_images"]
-    md["md_captions"] = md["md_images"]
+    md["md_figures"] = f"SELECT p_partkey AS page_id, 'before'{nl}'![' || {inline('p_brand')} || '](/i?k=' || p_partkey || ')'{nl}{inline('p_name')} AS body FROM part"
+    md["md_captions"] = f"SELECT p_partkey AS page_id, {inline('p_type')}{nl}{inline('p_name')} || ' *' || {inline('p_brand')} || '*'{nl}'tail' AS body FROM part"
     md["image_source"] = f"SELECT p_partkey AS page_id, CASE WHEN {src_attr} = '' THEN '' ELSE {url} END AS src FROM part"
     md["image_escape"] = (f"SELECT p_partkey AS page_id, {inline(chr(40) + 'replace(replace(' + alt + ', ' + lit('[') + ', ' + lit('\\[') + '), ' + lit(']') + ', ' + lit('\\]') + ')' + chr(41))} AS alt, "
                           f"{title_esc} AS title FROM part")
@@ -362,14 +376,14 @@ def oracles() -> dict[str, str]:
             FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn,
                    max(CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE 2 END) OVER (PARTITION BY n_regionkey) AS ncol FROM nation))
       GROUP BY n_regionkey"""
-    md["md_table_cells"] = md["md_tables"]
+    md["md_table_cells"] = f"SELECT p_partkey AS page_id, '| a\\|b | c |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || {inline('p_name')} || ' x | ' || {inline('p_brand')} || '\\| |' AS body FROM part"
     md["drop_elements"] = f"SELECT p_partkey AS page_id, {inline(chr(40) + 'p_name || ' + lit(' ') + ' || p_brand || ' + lit(' ') + ' || p_type' + chr(41))} AS body FROM part"
-    md["transparent_elements"] = md["drop_elements"]
+    md["transparent_elements"] = f"SELECT p_partkey AS page_id, {inline('p_name')} || ' and ' || {inline('p_brand')} AS body FROM part"
     cl = "regexp_replace(text, '\\r\\n?', chr(10), 'g')"
     cl = f"regexp_replace({cl}, '(?m)^[^\\S\\n]+(#{{1,6}}[^\\S\\n]+)', '\\1', 'g')"
     cl = f"regexp_replace({cl}, '(?m)^[^\\S\\n]([-*+][^\\S\\n]|\\d+\\.[^\\S\\n])', '\\1', 'g')"
     cl = f"regexp_replace({cl}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
-    md["cleanup_lines"] = f"SELECT conv_id, turn, {cl} AS cleaned FROM conversations"
+    md["cleanup_lines"] = f"SELECT conv_id, turn, {trim(cl)} AS cleaned FROM conversations"
     md["markdown_body"] = _with(ART, BODY) + "SELECT page_id, body FROM body"
     md["front_matter"] = _with(META, FM) + "SELECT page_id, yaml FROM fm"
     md["excerpt"] = _with(META) + f"SELECT page_id, {_excerpt('excerpt', 'content')} AS excerpt FROM meta"
@@ -386,8 +400,11 @@ def oracles() -> dict[str, str]:
     href = f"replace(replace(replace({md_url('m.url')}, '&', '&#038;'), '\"', '&quot;'), '''', '&#039;')"
     md["alternate_link"] = _with(META, SERVABLE) + f"""SELECT m.page_id, '<link rel="alternate" type="text/markdown" title="Markdown version" href="' || {href} || '" />' AS link
       FROM meta m JOIN servable s USING (page_id) WHERE s.deny_reason IS NULL"""
-    md["convert_pages"] = _with(META, FM, ART, BODY, DOCS) + "SELECT page_id, document, CAST(NULL AS VARCHAR) AS fail_reason FROM docs"
-    md["assemble_document"] = md["convert_pages"]
+    md["convert_pages"] = _with(META, FM, ART, BODY, DOCS) + """SELECT page_id, CASE WHEN fail_reason IS NULL THEN document END AS document, fail_reason FROM (
+      SELECT page_id, document, CASE WHEN page_id % 5 > 1 THEN 'http_status' WHEN page_id % 4 = 3 THEN 'content_type'
+        WHEN page_id % 31 = 8 THEN 'no_metadata' WHEN page_id % 8 = 5 THEN 'no_content' END AS fail_reason FROM docs)"""
+    md["assemble_document"] = f"""SELECT conv_id, turn, '---' || chr(10) || 'role: ' || {yaml_scalar('role')} || chr(10) || '---' || chr(10) || chr(10) ||
+      {trim('text')} || chr(10) AS document FROM conversations"""
     md["enabled_types"] = _with(META) + "SELECT page_id, type FROM meta WHERE type IN ('post', 'page')"
     md["not_protected"] = _with(META) + "SELECT page_id FROM meta WHERE NOT password_protected AND status = 'publish'"
     md["not_noindex"] = _with(META) + "SELECT page_id FROM meta WHERE page_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"
@@ -401,9 +418,9 @@ def oracles() -> dict[str, str]:
     md["media_quality"] = _with(REQ) + f"""SELECT req_id, CAST(({mq_md}).s AS BIGINT) AS md_spec, CAST(round(({mq_md}).q * 1000) AS BIGINT) AS md_q,
       CAST(({mq_html}).s AS BIGINT) AS html_spec, CAST(round(({mq_html}).q * 1000) AS BIGINT) AS html_q FROM req2"""
     md["prefers_markdown"] = _with(REQ) + f"SELECT req_id, {_prefers('accept', 2)} AS conservative, {_prefers('accept', 1)} AS wildcards FROM req2"
-    cls = _with(META, SERVABLE, REQ, RESOLVED) + f"""SELECT req_id, page_id, representation, CAST(status AS INTEGER) AS status, reason FROM (
+    cls = _with(META, SERVABLE, REQ, RESOLVED, _store(cfg), LIVE) + f"""SELECT req_id, page_id, representation, CAST(status AS INTEGER) AS status, reason FROM (
       SELECT r.req_id, r.page_id,
-        r.page_id IS NOT NULL AND s.deny_reason IS NULL AS ok, r.page_id IS NOT NULL AND r.page_id % 10 <> 9 AS has_doc, r.is_md,
+        r.page_id IS NOT NULL AND s.deny_reason IS NULL AS ok, r.page_id IN (SELECT page_id FROM live) AS has_doc, r.is_md,
         NOT r.is_md AND upper(r.method) IN ('GET', 'HEAD') AND r.page_id IS NOT NULL AND s.deny_reason IS NULL AS neg,
         {_prefers('r.accept', 2)} AS wants, s.deny_reason
       FROM resolved r LEFT JOIN servable s ON s.page_id = r.page_id) x,
@@ -419,13 +436,15 @@ def oracles() -> dict[str, str]:
       coalesce(NOT r.is_md AND upper(r.method) IN ('GET', 'HEAD') AND r.page_id IS NOT NULL AND s.deny_reason IS NULL, false) AS varies_on_accept
       FROM resolved r LEFT JOIN servable s ON s.page_id = r.page_id"""
     md["fingerprint"] = _with(META, _fp(cfg)) + "SELECT page_id, fingerprint FROM fp"
-    md["stale_pages"] = _with(META, _store(cfg), LIVE, _fp(cfg)) + \
+    md["stale_pages"] = _with(META, _store(cfg, True), LIVE, _fp(cfg)) + \
         "SELECT page_id FROM fp WHERE (page_id, fingerprint) NOT IN (SELECT (page_id, fingerprint) FROM live)"
     md["expire_documents"] = _with(META, _store(cfg), LIVE) + "SELECT page_id FROM store WHERE page_id NOT IN (SELECT page_id FROM live)"
-    md["bump_generation"] = _with(META, _store(cfg), LIVE, _fp(cfg.bump_generation())) + \
+    md["bump_generation"] = _with(META, _store(cfg, True), LIVE, _fp(cfg.bump_generation())) + \
         "SELECT page_id FROM fp WHERE (page_id, fingerprint) NOT IN (SELECT (page_id, fingerprint) FROM live)"
-    md["refresh_documents"] = _with(META, _store(cfg), LIVE, _fp(cfg)) + f"""SELECT page_id, {cfg.generation} AS generation,
-        (page_id, fingerprint) IN (SELECT (page_id, fingerprint) FROM live) AS from_store FROM fp"""
+    md["refresh_documents"] = _with(META, FM, ART, BODY, DOCS, _store(cfg, True), LIVE, _fp(cfg)) + f"""SELECT page_id, {cfg.generation} AS generation,
+        from_store, CASE WHEN from_store THEN '---' || chr(10) || 'url: ' || url || chr(10) || '---' || chr(10) || chr(10) || 'stored' || chr(10) ELSE document END AS document
+      FROM (SELECT fp.page_id, url, document, (fp.page_id, fingerprint) IN (SELECT (page_id, fingerprint) FROM live) AS from_store
+        FROM fp JOIN meta USING (page_id) JOIN docs USING (page_id))"""
     md["purge_site"] = _with(META, _store(cfg)) + "SELECT page_id, site_id FROM store WHERE site_id <> 2"
     md["retired_documents"] = _with(META, SERVABLE, _store(cfg)) + \
         "SELECT st.page_id FROM store st LEFT JOIN servable s USING (page_id) WHERE s.deny_reason IS NOT NULL OR s.page_id IS NULL"

@@ -9,63 +9,85 @@ from ..config import Config
 from ..operators import metadata as MD
 from ..operators import store as ST
 from ..operators import tokens as K
+from ..session import scratch_dir
 from ..sources.pages import admit_pages
 from .convert import html_to_markdown
 
 
 def convert_pages(pages: DataFrame, meta: DataFrame, cfg: Config, terms: DataFrame | None = None,
-                  as_of: Column | None = None, front_matter_fn=None, only: DataFrame | None = None) -> DataFrame:
+                  as_of: Column | None = None, front_matter_fn=None, include_taxonomy: Column | None = None,
+                  document_fn=None) -> DataFrame:
     """One row per page: (page_id, site_id, url, markdown_url, front_matter, body,
     document, fingerprint, generation, converted_at, fail_reason).  A rejected page
     or a blank extraction is a failure (document NULL), never an empty document.
 
-    Pages and metadata are hash-partitioned by page_id into the same number of
-    partitions and joined.  Admission and the HTML hash are computed before the
-    exchange, so only the token branch moves HTML; fingerprint and front matter move
-    small columns."""
+    Admission and the HTML hash are computed where the pages are read.  The token branch alone
+    moves HTML; it needs no metadata.  The other branch joins narrow page columns, metadata and
+    terms.  All sides are hash-partitioned by page_id into the same number of partitions, so the
+    last joins move nothing.
+
+    Hooks: front_matter_fn (DataFrame -> DataFrame, over the front matter rows), include_taxonomy
+    (Column over terms), document_fn (Column -> Column, over the finished document)."""
     as_of = as_of if as_of is not None else F.current_timestamp()
     extra = [c for c in ("http_status", "content_type") if c in pages.columns]
-    n = K.page_partitions(pages, cfg.partition_bytes)
-    # Row-local work before the exchange: admission and the HTML hash, so branches
-    # that need only those (fingerprint, failure reason) never move the HTML.
-    pm = admit_pages(pages.select("page_id", "url", "html", *extra), cfg.max_html_bytes) \
-        .withColumn("html_md5", F.md5("html")).repartition(n, "page_id")
-    if only is not None:
-        # Restrict to the given page ids on the already partitioned side: the HTML
-        # is shuffled once, whatever the restriction.
-        pm = pm.join(only.select("page_id").repartition(n, "page_id"), "page_id", "left_semi")
-    pm = pm.join(meta.repartition(n, "page_id"), "page_id", "left")
+    n = K.page_partitions(pages, cfg.page_partitions)
+    admitted = admit_pages(pages.select("page_id", "url", "html", *extra), cfg.max_html_bytes)
+    pm = admitted.select("page_id", "url", "reject_reason", F.md5("html").alias("html_md5")).repartition(n, "page_id")
+    pm = pm.join(meta.withColumn("has_meta", F.lit(True)).repartition(n, "page_id"), "page_id", "left")
     pm = pm.withColumn("fingerprint", ST.fingerprint_of_hash(F.col("site_id"), F.col("page_id"), F.col("modified_at"),
                                                              F.col("html_md5"), cfg))
-    md = html_to_markdown(pm.filter(F.col("reject_reason").isNull()).select("page_id", "url", "html"), cfg,
-                          partitioned=True)
-    fm = MD.front_matter_rows(pm.filter(F.col("site_id").isNotNull()).drop("html"), terms, partitions=n)
+    md = html_to_markdown(admitted.filter(F.col("reject_reason").isNull()).select("page_id", "html"), cfg)
+    fm = MD.front_matter_rows(pm.filter("has_meta"), terms, include_taxonomy, partitions=n)
     if front_matter_fn is not None:
         fm = front_matter_fn(fm)
-    out = (pm.select("page_id", "reject_reason", "fingerprint").join(md, "page_id", "left")
+    out = (pm.select("page_id", "reject_reason", "fingerprint", "has_meta").join(md, "page_id", "left")
            .join(fm, "page_id", "left"))
     fail = (F.when(F.col("reject_reason").isNotNull(), F.col("reject_reason"))
-            .when(F.col("fm").isNull(), F.lit("no_metadata"))
+            .when(F.col("has_meta").isNull(), F.lit("no_metadata"))
             .when(~F.coalesce(F.col("extracted"), F.lit(False)), F.lit("no_content")))
     yaml = MD.yaml_block(F.col("fm"))
+    document = MD.assemble_document(yaml, F.col("body"))
+    if document_fn is not None:
+        document = document_fn(document)
     return out.select("page_id", "site_id", "url", "markdown_url", yaml.alias("front_matter"),
                       F.when(fail.isNull(), F.col("body")).alias("body"),
-                      F.when(fail.isNull(), MD.assemble_document(yaml, F.col("body"))).alias("document"),
+                      F.when(fail.isNull(), document).alias("document"),
                       "fingerprint", F.lit(cfg.generation).alias("generation"),
                       as_of.cast("timestamp").alias("converted_at"), fail.alias("fail_reason"))
 
 
+#: Stale page ids (8 bytes each) up to which they are sent to every task.
+BROADCAST_IDS = 1_000_000
+
+
 def refresh_documents(pages: DataFrame, meta: DataFrame, store: DataFrame, cfg: Config, as_of: Column,
-                      terms: DataFrame | None = None) -> DataFrame:
+                      terms: DataFrame | None = None, ttl: Column | None = None, **hooks) -> DataFrame:
     """New store snapshot: live entries whose fingerprint still matches are kept; only
-    stale pages are converted; failures are not stored.  The HTML is hashed before
-    any join and shuffled once, by the conversion of the stale pages."""
+    stale pages are converted; failures are not stored.
+
+    One scan hashes the HTML; the fingerprints, a narrow table, are written to the shared scratch
+    folder with a stale flag.  Stale pages are then picked from the pages as these are read, before
+    any exchange, so only their HTML moves; beyond BROADCAST_IDS stale pages Spark's own join
+    picks them.  With nothing stale no page is read again.  ttl: seconds, a Column over the
+    store (default: the job's)."""
+    spark = pages.sparkSession
     hashed = pages.select("page_id", F.md5("html").alias("html_md5"))
     fp = meta.join(hashed, "page_id").select(
         "page_id", ST.fingerprint_of_hash(F.col("site_id"), F.col("page_id"), F.col("modified_at"),
                                           F.col("html_md5"), cfg).alias("fingerprint"))
-    stale = ST.stale_pages(fp, store, as_of, cfg).select("page_id")
-    fresh = convert_pages(pages, meta, cfg, terms, as_of, only=stale) \
+    live = ST.live_documents(store, as_of, cfg, ttl)
+    known = live.select("page_id", "fingerprint").distinct().withColumn("live", F.lit(True))
+    state = fp.join(known, ["page_id", "fingerprint"], "left").withColumn("stale", F.col("live").isNull()).drop("live")
+    path = scratch_dir(spark, "fingerprints")
+    state.write.parquet(path)
+    state = spark.read.schema(state.schema).parquet(path)
+    kept = live.join(state.filter("not stale").select("page_id", "fingerprint"), ["page_id", "fingerprint"], "left_semi")
+    stale = state.filter("stale").select("page_id")
+    n_stale = stale.count()
+    if not n_stale:
+        return kept
+    ids = F.broadcast(stale) if n_stale <= BROADCAST_IDS else stale
+    pick = lambda df: df.join(ids, "page_id", "left_semi")
+    fresh = convert_pages(pick(pages), pick(meta), cfg, None if terms is None else pick(terms), as_of, **hooks) \
         .filter(F.col("fail_reason").isNull()).drop("fail_reason")
-    kept = ST.live_documents(store, as_of, cfg).join(fp, ["page_id", "fingerprint"], "left_semi")
     return kept.select(*fresh.columns).unionByName(fresh)

@@ -47,6 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared `spark.checkpoint.dir`; set a scratch one only where
     none is configured (local tests)."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not d and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="pagemill-ckpt-", dir=os.environ.get("PAGEMILL_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)

@@ -12,7 +12,7 @@ from ..functions.urls import url_host, url_path
 from .pages import read_table
 
 AS_OF = "2024-06-01 00:00:00"
-# Request Accept headers by event_id % 11 (FIXTURES.md).
+# Request Accept headers by event_id modulo their number (FIXTURES.md).
 ACCEPT_HEADERS = [
     "text/markdown",
     "text/html,application/xhtml+xml,*/*;q=0.8",
@@ -25,6 +25,7 @@ ACCEPT_HEADERS = [
     "",
     "TEXT/Markdown ; Q=0.7, text/html;q=0.2",
     "text/markdown;level=1;q=0.4, text/*;q=0.3",
+    "text/markdown;q=high, text/html;q=0.1",
 ]
 # Method by event type.
 METHODS = {"click": "GET", "view": "HEAD", "purchase": "POST", "error": "GET", "signup": "GET"}
@@ -40,7 +41,7 @@ def pages_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     pub = F.to_timestamp(F.lit("2024-01-01 00:00:00")) + F.make_interval(hours=pid.cast("int"))
     m = pages.select(
         pid, (pid % 4).alias("site_id"),
-        F.element_at(F.array(F.lit("post"), F.lit("page"), F.lit("product")), (pid % 3 + 1).cast("int")).alias("type"),
+        F.element_at(F.array(F.lit("post"), F.lit("page"), F.lit("product")), (pid % 3 + 1).cast("int")).alias("any_type"),
         F.regexp_extract(path, r"([^/]+)/*$", 1).alias("slug"),
         F.regexp_extract("html", r"(?is)<title>(.*?)</title>", 1).alias("title"),
         F.when(pid % 7 == 0, F.concat(F.lit("Short <em>excerpt</em> &amp; more for page "), pid.cast("string")))
@@ -49,6 +50,8 @@ def pages_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
         (pub + F.make_interval(hours=(pid % 48).cast("int"))).alias("modified_at"),
         F.when(pid % 11 == 0, F.lit("draft")).otherwise(F.lit("publish")).alias("status"),
         (pid % 13 == 0).alias("password_protected"))
+    # A type is missing here and there.
+    m = m.withColumn("type", F.when(F.col("page_id") % 29 != 0, F.col("any_type"))).drop("any_type")
     return m.join(docs, "page_id", "left")
 
 
@@ -76,8 +79,9 @@ def page_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """requests(req_id, ts, path, method, accept) from events; the page is
-    event_id mod (number of pages) (a scalar subquery, no driver round trip)."""
+    """requests(req_id, ts, host, path, method, accept) from events; the page is
+    event_id mod (number of pages) (a scalar subquery, no driver round trip).  Some ask for
+    the root of their host, some for pages that don't exist."""
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     n = pages.agg(F.count("*")).scalar()
     ev = read_table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
@@ -88,8 +92,9 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     plain = F.when(url_path(F.col("url")) == "", F.lit("/")).otherwise(url_path(F.col("url")))
     p = (F.when(F.col("event_id") % 17 == 0, F.concat(F.lit("/no-such-page-"), F.col("event_id").cast("string")))
          .otherwise(plain))
-    p = F.when(F.col("event_id") % 2 == 0, F.concat(F.when(F.col("event_id") % 17 == 0, p).otherwise(path), F.lit(".md"))).otherwise(p)
+    p = F.when(F.col("event_id") % 19 == 0, F.lit("/")).otherwise(p)
+    p = F.when((F.col("event_id") % 2 == 0) & (F.col("event_id") % 19 != 0), F.concat(F.when(F.col("event_id") % 17 == 0, p).otherwise(path), F.lit(".md"))).otherwise(p)
     method = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in METHODS.items() for x in kv]), F.col("event_type")),
                         F.lit("GET"))
-    accept = F.element_at(F.array(*[F.lit(a) for a in ACCEPT_HEADERS]), (F.pmod("event_id", F.lit(11)) + 1).cast("int"))
-    return j.select(F.col("event_id").alias("req_id"), "ts", p.alias("path"), method.alias("method"), accept.alias("accept"))
+    accept = F.element_at(F.array(*[F.lit(a) for a in ACCEPT_HEADERS]), (F.pmod("event_id", F.lit(len(ACCEPT_HEADERS))) + 1).cast("int"))
+    return j.select(F.col("event_id").alias("req_id"), "ts", url_host(F.col("url")).alias("host"), p.alias("path"), method.alias("method"), accept.alias("accept"))

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAGES_SCHEMA = "page_id long, url string, html string"
-DOCUMENTS_SCHEMA = ("page_id long, site_id long, url string, markdown_url string, front_matter string, "
-                    "body string, document string, fingerprint string, generation int, converted_at timestamp")
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,19 +13,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Crawl output -> pages(page_id, url, html[, http_status, content_type]).
-    parquet / json read with an explicit schema; extra columns are kept."""
+    """Crawl output -> pages(page_id, url, html[, http_status, content_type]), read with an
+    explicit schema.  parquet: page_id, url, html.  json: those, http_status and content_type.
+    text: a page a file; its url is the file's path and its page_id a hash of that."""
     if fmt == "parquet":
-        return spark.read.parquet(path)
+        return spark.read.schema(PAGES_SCHEMA).parquet(path)
     if fmt == "json":
         return spark.read.schema(PAGES_SCHEMA + ", http_status int, content_type string").json(path)
+    if fmt == "text":
+        url = F.col("_metadata.file_path")
+        return spark.read.text(path, wholetext=True).select(F.xxhash64(url).alias("page_id"), url.alias("url"), F.col("value").alias("html"))
     raise ValueError(f"unsupported format {fmt!r}")
 
 
 def admit_pages(pages: DataFrame, max_html_bytes: int | None = None) -> DataFrame:
     """Adds `reject_reason` (NULL = admitted): non-2xx status, a content type that
-    is set and does not contain text/html (any case), blank HTML, or HTML over the
-    size limit (quarantined so one page cannot exceed a task's memory)."""
+    is set and does not contain text/html (any case), blank HTML, or HTML over a size
+    limit, if the caller sets one."""
     cols = set(pages.columns)
     status = F.col("http_status") if "http_status" in cols else F.lit(200)
     ctype = F.coalesce(F.col("content_type"), F.lit("")) if "content_type" in cols else F.lit("")

@@ -176,3 +176,87 @@ def response_pages(spark: SparkSession, sf: str) -> DataFrame:
     ctype = F.element_at(F.array(*[F.lit(x) for x in ("text/html; charset=utf-8", "TEXT/HTML", "", "application/json")]),
                          (pid % 4 + 1).cast("int"))
     return p.select("page_id", "url", "html", status.alias("http_status"), ctype.alias("content_type"))
+
+
+def strike_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Three struck tags, one of them empty, one nested in another."""
+    p = read_table(spark, sf, "part")
+    body = F.concat(F.lit("<p><s>"), esc("p_name"), F.lit("</s> x <strike>"), esc("p_brand"), F.lit("</strike><del> </del> <em><del>"),
+                    esc("p_type"), F.lit("</del></em></p>"))
+    return _page(p, F.col("p_partkey"), body)
+
+
+def bullet_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """One page per customer: a bullet list of its orders, closing tags left out every other time."""
+    o = read_table(spark, sf, "orders")
+    k = F.col("o_orderkey")
+    rows = o.groupBy("o_custkey").agg(_ordered_concat(k, F.concat(F.lit("<li>"), k.cast("string"), F.lit(" <b>"), esc("o_orderstatus"), F.lit("</b>"),
+                                                                  F.when(k % 2 == 0, F.lit("</li>")).otherwise(F.lit("")))).alias("r"))
+    return _page(rows, F.col("o_custkey"), F.concat(F.lit("<ul>"), F.col("r"), F.lit("</ul>")))
+
+
+def rule_pages(spark: SparkSession, sf: str) -> DataFrame:
+    p = read_table(spark, sf, "part")
+    return _page(p, F.col("p_partkey"), F.concat(F.lit("<p>"), esc("p_name"), F.lit("<hr>"), esc("p_brand"), F.lit("<hr/><hr /><p>"), esc("p_type")))
+
+
+def figure_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A figure in running text, its picture under one of two attributes."""
+    p = read_table(spark, sf, "part")
+    k = F.col("p_partkey")
+    attr = F.when(k % 2 == 0, F.lit("src")).otherwise(F.lit("data-src"))
+    return _page(p, k, F.concat(F.lit("before <figure> <img "), attr, F.lit("=/i?k="), k.cast("string"), F.lit(' alt="'), esc("p_brand"), F.lit('"> </figure> '), esc("p_name")))
+
+
+def caption_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A caption with emphasis, between text; images are off."""
+    p = read_table(spark, sf, "part")
+    return _page(p, F.col("p_partkey"), F.concat(F.lit("<figure><img src=/a.png>"), esc("p_type"), F.lit("<figcaption>"), esc("p_name"), F.lit(" <i>"), esc("p_brand"),
+                                                 F.lit("</i></figcaption></figure>tail")))
+
+
+def cell_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells with formatting, pipes, breaks and lists inside."""
+    p = read_table(spark, sf, "part")
+    return _page(p, F.col("p_partkey"), F.concat(F.lit("<table><tr><th>a|b<th> c </tr><tr><td><b>"), esc("p_name"), F.lit("</b>\n  x</td><td><ul><li>"), esc("p_brand"),
+                                                 F.lit("</li></ul>|</td></tr></table>")))
+
+
+def wrapper_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Tags that only wrap: unknown ones, and known ones without a meaning of their own."""
+    p = read_table(spark, sf, "part")
+    return _page(p, F.col("p_partkey"), F.concat(F.lit("<x-card><bdi>"), esc("p_name"), F.lit("</bdi><small> and </small><x-y z='1'>"), esc("p_brand"), F.lit("</x-y></x-card>")))
+
+
+def card_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A link around a heading and a paragraph, its href without quotes and with '='."""
+    p = read_table(spark, sf, "part")
+    k = F.col("p_partkey").cast("string")
+    return _page(p, F.col("p_partkey"), F.concat(F.lit("<a\nclass='card\n big' href=/p?id="), k, F.lit("><h3>"), esc("p_name"), F.lit("</h3><p>"), esc("p_brand"), F.lit("</p></a>")))
+
+
+def bold_block_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Bold around two paragraphs, then six levels of empty emphasis."""
+    p = read_table(spark, sf, "part")
+    return _page(p, F.col("p_partkey"), F.concat(F.lit("<b><p>"), esc("p_name"), F.lit("</p><p>"), esc("p_brand"), F.lit("</p></b><p>x"), F.lit("<b><i>" * 3 + "</i></b>" * 3), F.lit("y</p>")))
+
+
+def open_nav_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """An excluded element left open within a closed section, and one that is inline."""
+    p = read_table(spark, sf, "part")
+    return _page(p, F.col("p_partkey"), F.concat(F.lit("<section><nav>"), esc("p_name"), F.lit("</section><span class='a\nad'><div>AD</div></span><p>"), esc("p_brand"), F.lit("</p>")), root="main")
+
+
+def attribute_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Attribute values in every form, with references to be decoded once."""
+    p = read_table(spark, sf, "part")
+    k = F.col("p_partkey")
+    v = F.element_at(F.array(F.lit("/q?a=1&amp;b=2"), F.lit('"/&eacute;&#61;&#38;amp;"'), F.lit("'/a\nb'"), F.lit('"/&#000065;&#x00042;"')), (k % 4 + 1).cast("int"))
+    return _page(p, k, F.concat(F.lit("<?xml:namespace\nprefix = o ?><a id=\"x\"\nHREF = "), v, F.lit(" href=second>"), esc("p_name"), F.lit("</a>")))
+
+
+def reference_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Numeric references with zeros in front, and one beyond the last code point."""
+    p = read_table(spark, sf, "part")
+    k = F.col("p_partkey") % 26
+    return _page(p, F.col("p_partkey"), F.concat(F.lit("<p>&#00000000"), (k + 65).cast("string"), F.lit(";&#X0000000"), F.lower(F.hex(k + 97)), F.lit(";&#99999999999;")))

@@ -1,50 +1,72 @@
 """Structured Streaming: the same conversion over arriving page files.
 
-`readStream` (parquet, explicit schema) -> `foreachBatch(convert + append)`.  Row
-windows are not allowed on streaming DataFrames, so each micro-batch is converted as
-a batch DataFrame; the sink is idempotent per batch id (overwrite of that batch's
-directory), so a restarted query that replays a batch writes the same files."""
+`readStream` (parquet, explicit schema) -> `foreachBatch`.  Row windows are not allowed on
+streaming DataFrames, so each micro-batch is converted as a batch DataFrame: of a page that
+arrives more than once in it the last row by url and HTML counts; pages whose stored fingerprint
+still matches are left alone; metadata and terms are cut to the batch's pages first.  Each batch
+writes its own version of its pages (overwriting that batch's folder when it is replayed), and
+current_documents() takes the newest version of each page."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..plans.pipeline import convert_pages
+from ..operators import store as ST
+from ..plans.pipeline import BROADCAST_IDS, convert_pages
 from ..session import scratch_dir
 from ..sources import fixtures as FX
 from ..sources.pages import PAGES_SCHEMA, read_table
 
 
+def current_documents(spark: SparkSession, out_dir: str) -> DataFrame:
+    """One row a page: its newest version, with its failure if that failed."""
+    rows = spark.read.parquet(out_dir)
+    w = Window.partitionBy("page_id").orderBy(F.col("batch").desc())
+    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n", "batch")
+
+
+def _convert_batch(batch: DataFrame, meta: DataFrame, cfg: Config, terms: DataFrame | None, out_dir: str, batch_id: int) -> None:
+    spark = batch.sparkSession
+    pages = batch.groupBy("page_id").agg(F.max_by(F.struct("url", "html"), F.struct("url", "html")).alias("p")).select("page_id", "p.*")
+    path = scratch_dir(spark, "stream-batch")
+    pages.write.parquet(path)
+    pages = spark.read.schema(pages.schema).parquet(path)
+    ids = pages.select("page_id")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    meta, terms = (None if t is None else t.join(ids, "page_id", "left_semi") for t in (meta, terms))
+    if batch_id > 0:
+        done = current_documents(spark, out_dir).filter(F.col("fail_reason").isNull()).select("page_id", F.col("fingerprint").alias("done"))
+        hashed = pages.select("page_id", F.md5("html").alias("html_md5"))
+        now = hashed.join(meta.select("page_id", "site_id", "modified_at"), "page_id", "left").select("page_id", ST.fingerprint_of_hash(
+            F.col("site_id"), F.col("page_id"), F.col("modified_at"), F.col("html_md5"), cfg).alias("now"))
+        same = now.join(done, "page_id").filter(F.col("now") == F.col("done")).select("page_id")
+        pages = pages.join(same, "page_id", "left_anti")
+    docs = convert_pages(pages, meta, cfg, terms)
+    docs.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+
+
 def convert_stream(pages_stream: DataFrame, meta: DataFrame, cfg: Config, out_dir: str, checkpoint: str,
                    terms: DataFrame | None = None, available_now: bool = True):
     """Start the streaming conversion; returns the StreamingQuery."""
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        docs = convert_pages(batch, meta, cfg, terms)
-        docs.write.mode("overwrite").parquet(f"{out_dir}/batch={batch_id}")
+        _convert_batch(batch, meta, cfg, terms, out_dir, batch_id)
 
     w = pages_stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
 
 
-def stage_pages(spark: SparkSession, sf_dir: str, n_files: int = 4) -> str:
-    """Split the pages table into several files in the shared scratch area, so the
-    stream sees several arrivals."""
-    path = scratch_dir(spark, "pages-in")
-    read_table(spark, sf_dir, "pages").select("page_id", "url", "html") \
-        .repartition(n_files, "page_id").write.mode("overwrite").parquet(path)
-    return path
-
-
 def stream_pages(spark: SparkSession, sf_dir: str, cfg: Config) -> DataFrame:
-    """Run the stream to completion (availableNow, one file per trigger) and return
-    the converted documents read back."""
-    src = stage_pages(spark, sf_dir)
-    out = scratch_dir(spark, "docs-out")
-    ckpt = scratch_dir(spark, "ckpt")
+    """Stream the pages to completion (availableNow) and return the current documents.  The
+    pages are staged as files in the shared scratch folder, as many as the table's partitions
+    and two at least, so that they arrive in several batches; one page in ten arrives twice."""
+    src, out, ckpt = (scratch_dir(spark, n) for n in ("pages-in", "docs-out", "ckpt"))
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    pages.write.parquet(src)
+    pages.filter(F.col("page_id") % 10 == 0).write.mode("append").parquet(src)
     stream = spark.readStream.schema(PAGES_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
     q = convert_stream(stream, FX.pages_meta(spark, sf_dir), cfg, out, ckpt, FX.terms(spark, sf_dir))
     q.awaitTermination()
-    return spark.read.parquet(out).drop("batch").filter(F.col("fail_reason").isNull())
+    return current_documents(spark, out).filter(F.col("fail_reason").isNull())
