@@ -81,7 +81,7 @@ def refresh_documents(pages: DataFrame, meta: DataFrame, store: DataFrame, cfg:
     path = scratch_dir(spark, "fingerprints")
     state.write.parquet(path)
     state = spark.read.schema(state.schema).parquet(path)
-    kept = live.join(state.filter("not stale").select("page_id", "fingerprint"), ["page_id", "fingerprint"], "left_semi")
+    kept = live.join(state.filter("not stale").select("page_id", "fingerprint"), ["page_id", "fingerprint"], "left_semi").select(*store.columns)
     stale = state.filter("stale").select("page_id")
     n_stale = stale.count()
     if not n_stale:

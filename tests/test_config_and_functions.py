@@ -12,7 +12,7 @@ def test_selector_compiler():
     s = compile_selector("main > article.post#x.a.a  p")
     assert [st.tag for st in s] == ["main", "article", "p"]
     assert s[1].id == "x" and s[1].classes == ("post", "a") and s[1].child and not s[2].child
-    for bad in ["h1 + p", "[data-x]", "a:not(.b)", "> p", "p >"]:
+    for bad in ["h1 + p", "[data-x]", "a:not(.b)", "> p", "p >", "a#x#y"]:
         with pytest.raises(ConfigError):
             compile_selector(bad)
 
@@ -24,12 +24,16 @@ def test_config_defaults_and_limits():
     assert Config(post_types=("post", "attachment", "nope", "page", "post")).enabled_types == ("post", "page")
     assert Config().options_hash != Config(include_images=True).options_hash
     assert Config().bump_generation().generation == 2
+    with pytest.raises(ConfigError):
+        Config(document_root_selector=".a, " * 150 + "article")
+    with pytest.raises(ConfigError):
+        Config(ignore_selectors=".a, " * 600)
 
 
 def test_accept_table(spark):
     # (conservative, with wildcards) per header, FIXTURES.md
     want = [(True, True), (False, False), (False, True), (False, False), (True, True), (False, False),
-            (False, False), (False, False), (False, False), (True, True), (True, True)]
+            (False, False), (False, False), (False, False), (True, True), (True, True), (False, False)]
     df = spark.createDataFrame([(i, h) for i, h in enumerate(ACCEPT_HEADERS)], "i int, h string")
     got = df.select("i", A.prefers_markdown(F.col("h")).alias("c"), A.prefers_markdown(F.col("h"), True).alias("w")) \
         .orderBy("i").collect()
