@@ -102,10 +102,10 @@ def next_pos(df: DataFrame, events: dict, partition: list[str] | None = None) ->
 def element_spans(tokens: DataFrame) -> DataFrame:
     """Adds to every token: `list_d`, `tbl_d` (list / table nesting) and, on element
     open rows, `hi` (last position inside the element, inclusive) and `closed`."""
-    df = tokens.withColumn("_last", F.max("pos").over(Window.partitionBy("page_id")))
     # Family depths needed by the implicit-close rules.
-    df = nest_depths(df, {"list_d": (is_open(LIST_TAGS), is_close(LIST_TAGS)),
+    df = nest_depths(tokens, {"list_d": (is_open(LIST_TAGS), is_close(LIST_TAGS)),
                           "tbl_d": (is_open(["table"]), is_close(["table"]))})
+    df = df.withColumn("_last", F.max("pos").over(Window.partitionBy("page_id")))
     # Per-tag pairing of explicit closes: depth within the tag, then the next event
     # at the same tag and depth is the close when it is one.
     tagged = F.col("kind").isin("open", "close") & ~F.col("is_void")
@@ -120,11 +120,11 @@ def element_spans(tokens: DataFrame) -> DataFrame:
     inline = F.col("tag").isin(["p"] + INLINE_TAGS)
     df = df.withColumns({"_po": F.col("_pair").isNotNull() & ~inline, "_pc": paired_close & ~inline})
     df = nest_depth(df, "_pd", F.col("_po"), F.col("_pc"))
-    df = next_pos(df, {"_pend": F.col("_pc")}, ["_pd"])
-    # Terminators of `p` and open inline tags: any block-tag open or close.
+    # Terminators of `p` and open inline tags: any block-tag open or close (in page order, as above).
     block_ev = F.col("kind").isin("open", "close") & F.col("tag").isin(BLOCK_TAGS)
     df = df.withColumn("_bev", F.when(block_ev, F.col("pos")))
     df = df.withColumn("_nblk", F.expr("lead(_bev, 1) IGNORE NULLS OVER (PARTITION BY page_id ORDER BY pos)"))
+    df = next_pos(df, {"_pend": F.col("_pc")}, ["_pd"])
     # `li`: next item or list end at the same list depth.
     li_ev = (F.col("kind").isin("open", "close") & (F.col("tag") == "li")) | is_close(LIST_TAGS)
     df = next_pos(df, {"_nli": li_ev}, ["list_d"])
