@@ -142,3 +142,29 @@ def test_leaks(spark):
     blocks = decontam.leaks(docs, bench, block_chars=1)
     assert sorted(((r.doc_id, r.item_id, r.verbatim) for r in blocks.collect()), key=lambda g: (g[0] is None, g[0] or 0, g[1])) == got
     assert decontam.leaks(docs, bench.filter("false")).count() == 0 and decontam.leaks(make(spark, []), bench).count() == 0
+
+
+def test_leaks_match_a_count_of_windows(spark):
+    """Texts of plain words: an item leaks if 0.8 of its five-word windows are in the document."""
+    rng = random.Random(12)
+    items = [prose(rng, rng.randint(5, 60)) for _ in range(12)]
+    rows = []
+    for i in range(120):
+        words = items[i % 12].split()
+        a = rng.randint(0, max(0, len(words) // 3))
+        b = rng.randint(2 * len(words) // 3, len(words))
+        part = words[a:b] if i % 3 else list(words)
+        if i % 4 == 0:
+            part[rng.randrange(len(part))] = "changed"
+        rows.append((i, prose(rng, rng.randint(0, 40)) + " " + " ".join(part) + " " + prose(rng, 30), "s"))
+
+    def windows(text):
+        w = text.split()
+        return [tuple(w[i:i + 5]) for i in range(len(w) - 4)]
+    want = set()
+    for d, t, _ in rows:
+        there = set(windows(t))
+        want |= {(d, n) for n, x in enumerate(items) if sum(w in there for w in windows(x)) >= 0.8 * len(windows(x))}
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontam.leaks(make(spark, rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == want and 20 < len(want) < 119
