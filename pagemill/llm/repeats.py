@@ -22,6 +22,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -140,6 +141,59 @@ def _neighbours(rows: DataFrame, key: list[str], then: str) -> DataFrame:
                              "other_before": F.coalesce(before != own, no), "other_after": F.coalesce(after != own, no)})
 
 
+class KeyFilter:
+    """A Bloom filter of (doc_id, text_id) keys, to leave texts out of a shuffle that joins them
+    with those keys.  It has 16 MB whatever the number of keys (up to some ten million keys it lets
+    few others through, beyond them more), so it is safe to send to every task; the join decides.
+    Tasks set their bits locally; the parts that have any are united in Spark."""
+
+    BITS, PART = 27, 19  # of the filter and of one part, as powers of two
+
+    def __init__(self, keys: DataFrame):
+        bits, part = self.BITS, self.PART
+
+        def local(batches):
+            field = np.zeros(1 << (bits - 3), np.uint8)
+            for b in batches:
+                at = KeyFilter.places(np.asarray(b.column(0))).ravel()
+                np.bitwise_or.at(field, at >> 3, (1 << (at & 7)).astype(np.uint8))
+            parts = field.reshape(-1, 1 << (part - 3))
+            used = np.flatnonzero(parts.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["part", "field"])
+
+        def unite(batches):
+            held: dict[int, np.ndarray] = {}
+            for b in batches:
+                for i, f in zip(b.column(0).to_pylist(), b.column(1)):
+                    x = np.frombuffer(f.as_buffer(), np.uint8)
+                    held[i] = held[i] | x if i in held else x
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["part", "field"])
+
+        schema = "part int, field binary"
+        parts = keys.select(F.xxhash64("doc_id", "text_id").alias("key")).mapInArrow(local, schema).repartition(16, "part").mapInArrow(unite, schema)
+        field = np.zeros((1 << (bits - part), 1 << (part - 3)), np.uint8)
+        for r in parts.collect():  # 16 MB
+            field[r["part"]] = np.frombuffer(r["field"], np.uint8)
+        self.field = keys.sparkSession.sparkContext.broadcast(field.ravel())
+
+    @staticmethod
+    def places(keys: np.ndarray) -> np.ndarray:
+        """Four bit places a key."""
+        k = keys.astype(np.int64).view(np.uint64)
+        step = (k >> np.uint64(32)) | np.uint64(1)
+        return np.stack([((k + np.uint64(i) * step) * np.uint64(_M1)) >> np.uint64(64 - KeyFilter.BITS) for i in range(4)]).astype(np.int64)
+
+    def keep(self, texts: DataFrame) -> DataFrame:
+        field = self.field
+
+        @F.pandas_udf("boolean")
+        def there(keys: pd.Series) -> pd.Series:
+            at = KeyFilter.places(keys.to_numpy())
+            return pd.Series(((field.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0))
+
+        return texts.filter(there(F.xxhash64("doc_id", "text_id")))
+
+
 def repeated_spans(docs: DataFrame, length: int = 400, name: str = "repeats") -> DataFrame:
     """(doc_id, text_id, spans) for the texts with bytes to remove; text_id: xxhash64 of the text;
     spans: (start, end) in UTF-8 bytes, unsorted, they may overlap."""
@@ -153,17 +207,27 @@ def repeated_spans(docs: DataFrame, length: int = 400, name: str = "repeats") ->
             found = [(r, u) for r, u in found if len(u[0])]
             rows = np.repeat([r for r, _ in found], [len(u[0]) for _, u in found]).astype(np.int64)
             core, context, t, lo, hi = (np.concatenate([u[i] for _, u in found]) if found else np.zeros(0, np.int64) for i in range(5))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(core), pa.array(context), pa.array(_place(t, lo, hi))],
-                                             names=["doc_id", "text_id", "core", "context", "place"])
-
-    parsed = src.mapInArrow(parse, "doc_id long, text_id long, core long, context long, place long")
+            # Equal units of one text go as one row, which has the places of the others.
+            order = np.lexsort((t, context, core, rows))
+            rows, core, context, place = rows[order], core[order], context[order], _place(t, lo, hi)[order]
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:] != rows[:-1]) | (core[1:] != core[:-1]) | (context[1:] != context[:-1])
+            first = np.flatnonzero(new)
+            sizes = np.diff(np.append(first, len(rows))) - 1
+            offsets = pa.array(np.append(np.cumsum(sizes) - sizes, sizes.sum()), pa.int32(), mask=np.append(sizes == 0, False))
+            more = pa.ListArray.from_arrays(offsets, pa.array(place[~new]))
+            who = pa.array(rows[first])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(who), b.column(1).take(who), pa.array(core[first]), pa.array(context[first]), pa.array(place[first]), more],
+                                             names=["doc_id", "text_id", "core", "context", "place", "more"])
+
+    parsed = src.mapInArrow(parse, "doc_id long, text_id long, core long, context long, place long, more array<long>")
     near = _neighbours(parsed, ["core"], "context")
-    settled = F.col("same_before") | F.col("same_after")
+    settled = F.col("same_before") | F.col("same_after") | F.col("more").isNotNull()
     # The first and the last of equal units stand for them where other contexts meet the core.
     expand = F.col("other_before") | F.col("other_after")
-    marked = stash(near.filter(settled | expand).select("doc_id", "text_id", "place", settled.alias("settled"), expand.alias("expand")), f"{name}-units")
+    marked = stash(near.filter(settled | expand).select("doc_id", "text_id", "place", "more", settled.alias("settled"), expand.alias("expand")), f"{name}-units")
 
-    lists = marked.filter("expand").groupBy("doc_id", "text_id").agg(F.collect_list("place").alias("places"))
+    lists = stash(marked.filter("expand").groupBy("doc_id", "text_id").agg(F.collect_list("place").alias("places")), f"{name}-open")
 
     def positions(batches):
         for b in batches:
@@ -182,16 +246,18 @@ def repeated_spans(docs: DataFrame, length: int = 400, name: str = "repeats") ->
                         h2.append(roll.of(a, a + length // 2))
                         place.append(a + s)
                         rows.append(np.full(len(a), r))
+            half = [h & np.uint64(0xFFFFFFFF) for h in h2]  # 96 bits tell strings apart
             cat = lambda v, kind: np.concatenate(v) if v else np.zeros(0, kind)
             rows = pa.array(cat(rows, np.int64).astype(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(cat(h1, np.uint64).view(np.int64)),
-                                              pa.array(cat(h2, np.uint64).view(np.int64)), pa.array(cat(place, np.int64))], names=["doc_id", "text_id", "h1", "h2", "place"])
+                                              pa.array(cat(half, np.uint64).astype(np.uint32).view(np.int32)), pa.array(cat(place, np.int64))], names=["doc_id", "text_id", "h1", "h2", "place"])
 
-    open_texts = src.join(lists, (src["doc_id"].eqNullSafe(lists["doc_id"])) & (src["text_id"] == lists["text_id"])).select(src["doc_id"], src["text_id"], "data", "places")
-    single = open_texts.mapInArrow(positions, "doc_id long, text_id long, h1 long, h2 long, place long")
+    open_texts = KeyFilter(lists).keep(src).join(lists, (src["doc_id"].eqNullSafe(lists["doc_id"])) & (src["text_id"] == lists["text_id"])).select(src["doc_id"], src["text_id"], "data", "places")
+    single = open_texts.mapInArrow(positions, "doc_id long, text_id long, h1 long, h2 int, place long")
     equal = _neighbours(single, ["h1"], "h2").filter("same_before or same_after").select("doc_id", "text_id", "place")
     t, lo, hi = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(F.lit(1023)), F.col("place").bitwiseAND(F.lit(1023))
-    spans = marked.filter("settled").select("doc_id", "text_id", (t - hi).alias("start"), (t - lo + length).alias("end"))
+    everywhere = F.explode(F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<bigint>"))))
+    spans = marked.filter("settled").select("doc_id", "text_id", everywhere.alias("place")).select("doc_id", "text_id", (t - hi).alias("start"), (t - lo + length).alias("end"))
     spans = spans.unionByName(equal.select("doc_id", "text_id", F.col("place").alias("start"), (F.col("place") + length).alias("end")))
     return spans.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
@@ -221,7 +287,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, name: str = "repeats") ->
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())],
                                              names=["doc_id", "text_id", "n_removed", "n_spans", "cut_sha256"])
 
-    met = src.join(spans, src["doc_id"].eqNullSafe(spans["doc_id"]) & (src["text_id"] == spans["text_id"])).select(src["doc_id"], src["text_id"], "data", "spans")
+    met = KeyFilter(spans).keep(src).join(spans, src["doc_id"].eqNullSafe(spans["doc_id"]) & (src["text_id"] == spans["text_id"])).select(src["doc_id"], src["text_id"], "data", "spans")
     done = met.mapInArrow(cut, "doc_id long, text_id long, n_removed long, n_spans long, cut_sha256 string")
     done = stash(done, f"{name}-cut").dropDuplicates(["doc_id", "text_id"])
     out = whole.join(done.select(F.col("doc_id").alias("d"), F.col("text_id").alias("t"), "n_removed", "n_spans", "cut_sha256"),
