@@ -32,9 +32,10 @@ from pagemill.sources import fixtures as FX  # noqa: E402
 from pagemill.sources.pages import read_table  # noqa: E402
 
 
-def run(df) -> float:
+def run(make) -> float:
+    """Seconds to plan, prepare (some jobs write tables of their own first) and compute a query."""
     t = time.time()
-    df.write.format("noop").mode("overwrite").save()
+    make().write.format("noop").mode("overwrite").save()
     return time.time() - t
 
 
@@ -51,20 +52,20 @@ def main() -> None:
     as_of = F.to_timestamp(F.lit(FX.AS_OF))
     q = {}
     # Warm-up on the smallest scale so JIT / codegen costs are not charged to one query.
-    run(convert_pages(read_table(spark, "/root/testdata/sf0.001", "pages").select("page_id", "url", "html"),
+    run(lambda: convert_pages(read_table(spark, "/root/testdata/sf0.001", "pages").select("page_id", "url", "html"),
                       FX.pages_meta(spark, "/root/testdata/sf0.001"), cfg, FX.terms(spark, "/root/testdata/sf0.001")))
-    q["convert_pages"] = run(convert_pages(pages, meta, cfg, terms, as_of))
-    q["markdown_body"] = run(html_to_markdown(pages, cfg))
+    q["convert_pages"] = run(lambda: convert_pages(pages, meta, cfg, terms, as_of))
+    q["markdown_body"] = run(lambda: html_to_markdown(pages, cfg))
     # A store holding every page, written once to the shared scratch folder.
     store_path = scratch_dir(spark, "bench-store")
     convert_pages(pages, meta, cfg, terms, as_of).filter(F.col("fail_reason").isNull()).drop("fail_reason") \
         .write.mode("overwrite").parquet(store_path)
     store = spark.read.parquet(store_path)
-    q["refresh_none"] = run(refresh_documents(pages, meta, store, cfg, as_of, terms))
+    q["refresh_none"] = run(lambda: refresh_documents(pages, meta, store, cfg, as_of, terms))
     stale_store = store.filter(F.pmod(F.xxhash64("page_id"), F.lit(10)) != 0)
-    q["refresh_10pct"] = run(refresh_documents(pages, meta, stale_store, cfg, as_of, terms))
+    q["refresh_10pct"] = run(lambda: refresh_documents(pages, meta, stale_store, cfg, as_of, terms))
     servable = AC.servable_pages(meta, FX.page_flags(spark, sf), cfg)
-    q["classify_requests"] = run(RQ.classify_requests(FX.requests(spark, sf), pages, servable, store,
+    q["classify_requests"] = run(lambda: RQ.classify_requests(FX.requests(spark, sf), pages, servable, store,
                                                       cfg.replace(enable_content_negotiation=True)))
     total = sum(q.values())
     print(json.dumps({"metric": "total_sec", "value": round(total, 3), "unit": "sec",
