@@ -3,7 +3,9 @@
 Numbers, units and capitalised words (names) become typed placeholders, so a question whose
 parameters were changed keeps its template.  Windows of five template tokens are hash-joined
 with those of the benchmark; for what meets, the values in the placeholders must map one to
-one from the question to the document."""
+one from the question to the document.  Which words are names depends on their case, so windows
+of a second template, in which names are case-folded words as all others, are joined as well: a
+question in capitals or lower case meets there."""
 
 from __future__ import annotations
 
@@ -36,7 +38,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 def kind_and_value(word: bytes) -> tuple[int, int]:
     raw = word.decode()
     text = raw.strip(_EDGES) or raw
-    low = text.lower()
+    low = text.casefold()
     first = text[0]
     if low in UNITS:
         kind = UNIT
@@ -44,7 +46,7 @@ def kind_and_value(word: bytes) -> tuple[int, int]:
         kind = NAME if first.isupper() else LITERAL
     elif _NUMBER.match(text):
         kind = NUMBER
-    elif (m := _NUMBER_UNIT.match(text)) and m[1].lower() in UNITS:
+    elif (m := _NUMBER_UNIT.match(text)) and m[1].casefold() in UNITS:
         kind = QUANTITY
     else:
         kind = LITERAL
@@ -52,21 +54,25 @@ def kind_and_value(word: bytes) -> tuple[int, int]:
 
 
 class Tokens(dict):
-    """Template hash by word; a cache, emptied when it is full."""
+    """Template hash by word; a cache, emptied when it is full.  `folded`: names are words."""
+
+    def __init__(self, folded: bool):
+        super().__init__()
+        self.literal = (LITERAL, NAME) if folded else (LITERAL,)
 
     def __missing__(self, word: bytes) -> int:
         kind, value = kind_and_value(word)
         if len(self) >= 1 << 20:
             self.clear()
-        self[word] = out = _PLACEHOLDER[kind] if kind else value
+        self[word] = out = value if kind in self.literal else _PLACEHOLDER[kind]
         return out
 
 
-_TOKENS = Tokens()
+_TOKENS = Tokens(False), Tokens(True)
 
 
-def template(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_TOKENS.__getitem__, words), np.int64, len(words)).view(np.uint64)
+def template(words: list[bytes], folded: bool = False) -> np.ndarray:
+    return np.fromiter(map(_TOKENS[folded].__getitem__, words), np.int64, len(words)).view(np.uint64)
 
 
 def values(words: list[bytes]) -> np.ndarray:
@@ -88,54 +94,57 @@ class Block:
 
     def __init__(self, items: list[tuple[int, str]], width: int):
         self.width = width
-        self.items: list[tuple[int, np.ndarray, np.ndarray, int]] = []  # id, kinds and values, strong windows, width
-        entries: dict[int, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+        #: id, kinds and values, which windows are strong by (template, folded template), width
+        self.items: list[tuple[int, np.ndarray, tuple[np.ndarray, np.ndarray], int]] = []
+        entries: dict[tuple[int, bool], dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
         for item, text in items:
             words = text.encode().split()
             k = min(width, len(words))
             if not k:
                 continue
-            w, t = windows(template(words), k), values(words)
-            literal = np.convolve((t[0] == LITERAL).astype(np.int64), np.ones(k, np.int64), "valid")
-            strong = literal >= min(2, k)
-            no = len(self.items)
-            self.items.append((item, t, strong, k))
-            for i, h in enumerate(w.tolist()):
-                entries[k][h].append((no, i))
+            t, strong = values(words), []
+            for folded in (False, True):
+                plain = (t[0] == LITERAL) | (t[0] == NAME) & folded
+                strong.append(np.convolve(plain.astype(np.int64), np.ones(k, np.int64), "valid") >= min(2, k))
+                for i, h in enumerate(windows(template(words, folded), k).tolist()):
+                    entries[k, folded][h].append((len(self.items), i))
+            self.items.append((item, t, (strong[0], strong[1]), k))
         self.tables = []
-        for k, found in entries.items():
+        for (k, folded), found in entries.items():
             maybe = np.zeros(1 << 20, bool)
             keys = np.array(sorted(found), np.uint64)
             maybe[(keys >> np.uint64(44)).astype(np.int64)] = True
-            self.tables.append((k, keys, maybe, found))
+            self.tables.append((k, folded, keys, maybe, found))
 
     def match(self, text: str, similarity: float) -> list[tuple[int, int, int, float, int, bool]]:
         """(item_id, item windows, matched windows, similarity, slots, verbatim) of the items in `text`."""
         words = text.encode().split()
-        t = template(words)
-        pairs: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for k, keys, maybe, found in self.tables:
-            w = windows(t, k)
+        t = template(words), template(words, True)
+        pairs: dict[int, tuple[set[tuple[int, int]], set[tuple[int, int]]]] = defaultdict(lambda: (set(), set()))
+        for k, folded, keys, maybe, found in self.tables:
+            w = windows(t[folded], k)
             at = np.flatnonzero(maybe[(w >> np.uint64(44)).astype(np.int64)])
             if len(at):
                 j = np.searchsorted(keys, w[at]).clip(max=len(keys) - 1)
                 for p in at[keys[j] == w[at]].tolist():
                     for no, i in found[int(w[p])]:
-                        pairs[no].append((p, i))
+                        pairs[no][folded].add((p, i))
         out = []
-        pairs = {no: met for no, met in pairs.items() if len({i for _, i in met}) >= similarity * len(self.items[no][2])}
+        pairs = {no: met for no, met in pairs.items() if len({i for m in met for _, i in m}) >= similarity * len(self.items[no][2][0])}
         if pairs:
             t = values(words)
-        for no, met in pairs.items():
+        for no, (typed, folded) in pairs.items():
             item, it, strong, k = self.items[no]
-            n = len(strong)
-            best = max((self._occurrence(t, it, strong, k, occ) for occ in _occurrences(met, n)), key=lambda x: (x[0], x[2]))
+            n = len(strong[0])
+            # Each template alone, and both: a window that meets by one can complete the other's.
+            ways = [typed, folded, typed | folded] if folded - typed else [typed]
+            best = max((self._occurrence(t, it, strong, folded, k, occ) for met in ways for occ in _occurrences(met, n)), key=lambda x: (x[0], x[2]))
             if best[0] >= similarity * n:
                 out.append((item, n, best[0], best[0] / n, best[1], best[2]))
         return out
 
     @staticmethod
-    def _occurrence(t, it, strong, k, met) -> tuple[int, int, bool]:
+    def _occurrence(t, it, strong, folded, k, met) -> tuple[int, int, bool]:
         """(consistent windows, slots, verbatim) of one occurrence of an item in a document."""
         votes: dict[tuple[int, int], dict[int, int]] = defaultdict(lambda: defaultdict(int))
         slots = [j for j in range(it.shape[1]) if it[0][j] != LITERAL]
@@ -154,23 +163,22 @@ class Block:
                     taken.add((kind, doc_value))
                     break
         verbatim = all(v == d for (_, v), d in chosen.items())
-        good = set()
+        good, weak = set(), set()
         for p, i in met:
             if all(chosen.get((int(it[0][i + o]), int(it[1][i + o]))) == int(t[1][p + o]) for o in range(k) if i + o in slot_set):
-                if strong[i] or verbatim:
-                    good.add(i)
+                (good if verbatim or strong[(p, i) in folded][i] else weak).add(i)
         # Windows with too few plain words prove nothing alone: they count beside strong ones.
-        if not verbatim and strong.any() and good:
-            good |= {i for p, i in met if not strong[i] and all(chosen.get((int(it[0][i + o]), int(it[1][i + o]))) == int(t[1][p + o]) for o in range(k) if i + o in slot_set)}
+        if good:
+            good |= weak
         return len(good), len(slots), verbatim
 
 
-def _occurrences(met: list[tuple[int, int]], n: int) -> list[list[tuple[int, int]]]:
+def _occurrences(met: set[tuple[int, int]], n: int) -> list[list[tuple[int, int]]]:
     """Matched windows (document place, item place) by the place where the item would begin."""
     out: list[list[tuple[int, int]]] = []
     last = None
     slack = max(2, n // 4)
-    for p, i in sorted(met, key=lambda x: x[0] - x[1]):
+    for p, i in sorted(met, key=lambda x: (x[0] - x[1], x)):
         if last is None or p - i - last > slack:
             out.append([])
         out[-1].append((p, i))
@@ -184,7 +192,8 @@ SCHEMA = "doc_id long, item_id long, n_windows int, n_matched int, similarity do
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, similarity: float = 0.8, block_chars: int = 4_000_000) -> DataFrame:
     """(doc_id, item_id, ...) for each row of docs (doc_id, text) and each item of benchmark
     (item_id, text) whose template is in it: at least `similarity` of the item's windows of
-    `width` tokens, with consistent slots, in one place of the document.
+    `width` tokens, with consistent slots, in one place of the document.  A window is met by its
+    placeholders or, whatever the case of its words, by its case-folded words.
 
     The benchmark is the stated query set: it goes to the tasks in blocks of at most
     `block_chars` characters (one item more at most), each block a map-side hash join over all

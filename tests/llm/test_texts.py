@@ -144,6 +144,22 @@ def test_leaks(spark):
     assert decontam.leaks(docs, bench.filter("false")).count() == 0 and decontam.leaks(make(spark, []), bench).count() == 0
 
 
+def test_leaks_in_any_case(spark):
+    items = ["Tom has 3 apples and buys 5 kg of pears for 12 dollars, then Tom eats 3 apples and sells the other pears.",
+             "a train leaves at 9:30 and runs 120 km in two hours; how far does it run in 5 hours at the same speed",
+             "WHICH RIVER RUNS PAST 4 TOWNS AND ENDS 30 KM NORTH OF THE STRASSE", "Which Of The Old Kings Of Norway Ruled Longest"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rng = random.Random(13)
+    cases = [str.upper, str.lower, str.title, str.swapcase, lambda t: t]
+    rows = [(10 * n + c, prose(rng, 20) + " " + f(t) + " " + prose(rng, 20), "s") for n, t in enumerate(items) for c, f in enumerate(cases)]
+    rows += [(None, items[1].upper(), "s"), (50, items[2].replace("STRASSE", "stra\u00dfe"), "s")]
+    again = items[2].lower().replace("4", "7").replace("30", "80")
+    rows += [(51, again, "s"), (52, items[0].upper().replace("HAS 3", "HAS 8").replace("BUYS 5", "BUYS 3"), "s"), (53, prose(rng, 200).title(), "s"), (54, prose(rng, 200).upper(), "s")]
+    got = {(r.doc_id, r.item_id): r.verbatim for r in decontam.leaks(make(spark, rows), bench).collect()}
+    want = {(10 * n + c, n): True for n in range(4) for c in range(5)} | {(None, 1): True, (50, 2): True, (51, 2): False}
+    assert got == want  # 52: a value can't stand for two
+
+
 def test_leaks_match_a_count_of_windows(spark):
     """Texts of plain words: an item leaks if 0.8 of its five-word windows are in the document."""
     rng = random.Random(12)
