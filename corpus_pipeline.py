@@ -11,16 +11,15 @@ from pagemill.llm.common import documents, read_table, stash
 from pagemill.llm.decontam import leaks
 from pagemill.llm.mixing import mix, word_count
 from pagemill.llm.queries import ship
-from pagemill.llm.quality import line_rules, row_id
+from pagemill.llm.quality import clean_documents
 from pagemill.llm.sharding import minimax_shards
 from pagemill.llm.simhash import simhash_groups
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the line-frequency rule keep."""
+    """Documents that the base rules and the line-frequency rule keep, without the frequent lines."""
     ship(spark)
-    kept = line_rules(docs).filter("kept").select("row_id").distinct()
-    return documents(documents(docs).withColumn("row_id", row_id()).join(kept, "row_id", "left_semi"))
+    return documents(clean_documents(documents(docs)))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,7 +70,8 @@ def row_id() -> Column:
 
 
 def line_rules(docs: DataFrame, least_docs: int = 5, host_share: float = 0.05, depleted: float = 0.5, name: str = "quality") -> DataFrame:
-    """doc_id, row_id, the base counts, base_failed, n_line_words (words in lines above the limit), kept.
+    """doc_id, row_id, the base counts, base_failed, n_line_words (words in lines above the limit),
+    kept, and removed_lines: the places (from 0) of the lines above the limit, null without any.
 
     Lines are normalised and hashed (xxhash64), once a document.  A line is above the limit of a
     host (column source) if it is in at least `least_docs` distinct documents of the host and in
@@ -87,24 +88,42 @@ def line_rules(docs: DataFrame, least_docs: int = 5, host_share: float = 0.05, d
     base = stash(with_base_counts(rows, "doc_id", "source", "row_id").withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), f"{name}-base")
     line = F.col("line")
     lines = (rows.filter("text is not null")
-             .select("source", "row_id", "_text_id", F.explode(F.split("text", "\n")).alias("line"))
+             .select("source", "row_id", "_text_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
              .withColumn("n", F.regexp_count(line, F.lit(WORD))).filter("n > 0")
-             .select("source", "row_id", "_text_id", F.xxhash64(normal_line(line)).alias("h"), "n"))
+             .select("source", "row_id", "_text_id", F.xxhash64(normal_line(line)).alias("h"), "n", "pos"))
     lines = stash(lines, f"{name}-lines")
     hosts = (lines.select("source", "_text_id").distinct().groupBy("source").agg(F.count("*").alias("host_docs")))
     counts = lines.select("source", "h", "_text_id").distinct().groupBy("source", "h").agg(F.count("*").alias("docs")).filter(F.col("docs") >= least_docs)
     hosts, counts = stash(hosts, f"{name}-hosts"), stash(counts, f"{name}-counts")
     frequent = stash(salted_join(counts, hosts, "source", F.col("h"), 8).filter(F.col("docs") > host_share * F.col("host_docs"))
                      .select(F.xxhash64("source", "h").alias("key")).distinct(), f"{name}-frequent")
-    hit = salted_join(lines.select("row_id", "n", F.xxhash64("source", "h").alias("key")), frequent, "key", F.col("row_id"), 32)
-    removed = stash(hit.groupBy("row_id").agg(F.sum("n").cast("long").alias("all_line_words")), f"{name}-removed")
+    hit = salted_join(lines.select("row_id", "n", "pos", F.xxhash64("source", "h").alias("key")), frequent, "key", F.col("row_id"), 32)
+    removed = stash(hit.groupBy("row_id").agg(F.sum("n").cast("long").alias("all_line_words"), F.collect_set("pos").alias("removed_lines")), f"{name}-removed")
     copies = base.groupBy("row_id").agg(F.count("*").alias("copies"))
-    removed = removed.join(copies, "row_id").select("row_id", (F.col("all_line_words") / F.col("copies")).cast("long").alias("n_line_words"))
+    removed = removed.join(copies, "row_id").select("row_id", (F.col("all_line_words") / F.col("copies")).cast("long").alias("n_line_words"), "removed_lines")
     out = base.join(removed, "row_id", "left").withColumn("n_line_words", F.coalesce("n_line_words", F.lit(0).cast("long")))
     left = F.col("n_words") - F.col("n_line_words")
     return out.withColumn("kept", ~F.col("base_failed") & (left >= depleted * F.col("n_words"))).drop("source")
 
 
+def without_lines(text: Column, places: Column) -> Column:
+    """`text` without the lines at `places` (from 0): the others, in order.  Linear in its lines."""
+    lines = F.split(text, "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), places)
+    return F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
+
+
+def clean_documents(docs: DataFrame, name: str = "quality") -> DataFrame:
+    """The kept rows of docs (doc_id, source, text, n_chars and others), repeated rows included,
+    without their lines above the limit; n_chars counts what is left of such a text."""
+    rules = line_rules(docs, name=name).filter("kept").groupBy("row_id").agg(F.first("removed_lines").alias("_places"))
+    rows = docs.withColumn("_row_id", row_id()).join(rules.withColumnRenamed("row_id", "_rule_id"), F.col("_row_id") == F.col("_rule_id"))
+    cut = F.col("_places").isNotNull()
+    return (rows.withColumn("text", F.when(cut, without_lines(F.col("text"), F.col("_places"))).otherwise(F.col("text")))
+            .withColumn("n_chars", F.when(cut, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+            .drop("_row_id", "_rule_id", "_places"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_line_words", "kept")

@@ -127,6 +127,19 @@ def test_frequent_lines_deplete(spark):
     assert all(out[i][0].kept for i in [*range(200, 300), *range(300, 360), 400]) and not out[None][0].kept
 
 
+def test_frequent_lines_are_removed(spark):
+    rng = random.Random(10)
+    line = "  Share this PAGE with 12 friends "
+    bodies = [prose(rng, 60) + "\n\n" + prose(rng, 60) for _ in range(9)]
+    rows = [(i, f"{line}\n{b}\n\n{line.strip().lower()}\n", "h") for i, b in enumerate(bodies)]
+    rows += [(20, rows[0][1], "other"), (None, rows[1][1], "h"), rows[2], (21, prose(rng, 70) + "\n\n x ", "h"), (22, line, "h"), (23, None, "h"), (24, "", "h")]
+    want = Counter((i, f"{b}\n\n") for i, b in enumerate(bodies))
+    want += Counter([(20, rows[0][1]), (None, bodies[1] + "\n\n"), (2, bodies[2] + "\n\n"), (21, next(t for i, t, _ in rows if i == 21))])
+    out = quality.clean_documents(make(spark, rows)).collect()
+    assert Counter((r.doc_id, r.text) for r in out) == want
+    assert all(r.n_chars == len(r.text) for r in out)
+
+
 def brute_fp(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = WORDS.findall(low)
