@@ -7,13 +7,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import documents, read_table, stash
+from pagemill.llm.common import documents, read_table, row_key, stash
 from pagemill.llm.decontam import leaks
 from pagemill.llm.mixing import mix, word_count
 from pagemill.llm.queries import ship
 from pagemill.llm.quality import clean_documents
 from pagemill.llm.sharding import minimax_shards
-from pagemill.llm.simhash import simhash_groups
+from pagemill.llm.simhash import fingerprint_classes, fingerprints
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,23 +22,44 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return documents(clean_documents(documents(docs)))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with a key, _row, by which a stage carries them: doc_ids can be null or repeat."""
+    docs = documents(docs)
+    return docs.withColumn("_row", row_key(docs))
+
+
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each SimHash component; a repeated row once."""
-    first = simhash_groups(docs, name="dedup").filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return documents(docs).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """One row of each SimHash component: that with the smallest doc_id (nulls last), then the
+    smallest row key.  So a repeated row is kept once, a component without doc_ids keeps a row,
+    and different texts that share a doc_id are told apart."""
+    ship(spark)
+    rows = keyed(docs)
+    # fingerprints() hands the row key on as the id; the doc_id joins by it afterwards.
+    fps = stash(fingerprints(rows.select(F.col("_row").alias("doc_id"), "text")), "dedup-fps")
+    ids = rows.select("_row", "doc_id").distinct().withColumnRenamed("_row", "_id_row")
+    classes = fingerprint_classes(fps, name="dedup").select("fp", "root")
+    found = fps.select(F.col("doc_id").alias("_row"), "fp").join(classes, "fp").join(ids, F.col("_row") == F.col("_id_row"))
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).getField("_row").alias("_row"))
+    return documents(rows.join(first.select("_row"), "_row", "left_semi").dropDuplicates(["_row"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark question, verbatim or re-parameterised."""
-    bad = leaks(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return documents(docs).join(bad, "doc_id", "left_anti")
+    ship(spark)
+    rows = keyed(docs)
+    found = leaks(rows.select(F.col("_row").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
+    bad = found.select(F.col("doc_id").alias("_row")).distinct()
+    return documents(rows.join(bad, "_row", "left_anti"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, repeated so that each source's words come near its target."""
-    sized = documents(docs).withColumn("size", word_count())
-    plan = mix(sized.select("doc_id", "source", "size")).filter("repeats > 0").select("doc_id", "repeats")
-    many = documents(docs).join(plan, "doc_id")
+    ship(spark)
+    rows = keyed(docs)
+    plan = mix(rows.select("doc_id", "source", word_count().alias("size"), "_row")).filter("repeats > 0")
+    # The rows that share a key are equal: the first of them stands for the repetitions of all.
+    plan = plan.groupBy("_row").agg(F.sum("repeats").cast("int").alias("repeats"))
+    many = rows.join(plan, "_row").dropDuplicates(["_row"])
     return documents(many.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))))
 
 

@@ -35,6 +35,12 @@ def documents(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "text", "lang", "source", "n_chars")
 
 
+def row_key(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns of a row of `df`, nulls told from other values: repeated
+    rows share it, rows that share a doc_id or have none don't."""
+    return F.xxhash64(*df.columns, F.array(*[F.col(c).isNull() for c in df.columns]))
+
+
 def salted_join(big: DataFrame, small: DataFrame, key: str, salt_by: Column, salts: int = 64, how: str = "inner") -> DataFrame:
     """Null-safe join of `big` to `small` (unique on `key`), with every key of `big` spread over
     `salts` tasks by `salt_by`, so that a key with a third of all rows lands in no single task.

@@ -139,13 +139,18 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 2, name: str =
     copies never form pairs.  Repeated rows are kept; null doc_ids are kept and take the
     component of their fingerprint (null if it holds no doc_id)."""
     fps = stash(fingerprints(docs, shingle), f"{name}-fps")
+    out = fps.join(fingerprint_classes(fps, bits, name), "fp")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def fingerprint_classes(fps: DataFrame, bits: int = 2, name: str = "simhash") -> DataFrame:
+    """(fp, root, component_id) for every fingerprint of fps (doc_id, fp): a fingerprint of its
+    component, which all of the component share, and the smallest doc_id there, null without any."""
     distinct = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), f"{name}-distinct")
     star = stash(components(stash(links(distinct, bits), f"{name}-links"), f"{name}-cc"), f"{name}-star")
     rooted = stash(distinct.join(star, distinct["fp"] == star["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), f"{name}-rooted")
     smallest = stash(rooted.groupBy("root").agg(F.min("first").alias("component_id")), f"{name}-smallest")
-    classes = stash(rooted.join(smallest, "root").select("fp", "component_id"), f"{name}-classes")
-    out = fps.join(classes, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return stash(rooted.join(smallest, "root").select("fp", "root", "component_id"), f"{name}-classes")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,32 @@ def test_run(spark, tmp_path):
     assert all(len(v) == 1 for v in _shards(out).values())
 
 
+def test_null_and_repeated_ids(spark, tmp_path):
+    """Rows without a doc_id, and different rows with one doc_id, go through every stage."""
+    import corpus_pipeline as c
+    rng = random.Random(14)
+    item = prose(rng, 40)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clean = [(None, prose(rng, 90), "s0") for _ in range(6)] + [(7, prose(rng, 90), "s1") for _ in range(4)] + [(8, prose(rng, 90), None)]
+    copies = [(None, clean[0][1], "s1"), clean[1], clean[6], (9, clean[2][1], "s0")]    # of null ids, rows that repeat, one with an id
+    bad = [(None, prose(rng, 30) + " " + item, "s0"), (7, item + " " + prose(rng, 30), "s1")]
+    pairs = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    count = lambda rows: Counter((i, t) for i, t, _ in rows)
+    rows = clean + copies + bad
+    docs, path = make(spark, rows), str(tmp_path)
+    assert pairs(c.quality_rules(spark, docs, path)) == count(rows)
+    once = Counter({(9 if t == clean[2][1] else i, t): 1 for i, t, _ in clean + bad})
+    assert pairs(c.simhash_dedup(spark, docs, path)) == once
+    assert pairs(c.decontaminate(spark, docs, path)) == count(clean + copies)
+    got, size = pairs(c.mix_sources(spark, docs, path)), sum(len(t.split()) for _, t, _ in rows)
+    assert abs(sum(len(t.split()) * n for (_, t), n in got.items()) - 1.5 * size) <= 3 * 90   # half a row a source at most
+    assert all(n <= 2 * count(rows)[k] for k, n in got.items()) and {t for i, t in got if i is None}
+    assert pairs(c.shard(spark, docs, path)) == count(rows)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = {(r.doc_id, r.text) for r in c.run(spark, path).collect()}
+    assert out <= {k for k in once if item not in k[1]} and sum(i is None for i, _ in out) >= 3
+
+
 def _shards(out):
     by = defaultdict(set)
     for r in out:
