@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,21 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Hadoop's names of stores, by which pyarrow knows them.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path below the shared scratch folder, and the path in it."""
+    scheme, sep, rest = uri.partition("://")
+    if not sep:
+        return pafs.LocalFileSystem(), uri.removeprefix("file:")
+    try:
+        return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise ValueError(f"spark.checkpoint.dir is in a store ({scheme}) that pyarrow can't open: {e}") from e
+
+
 def documents(df: DataFrame) -> DataFrame:
     """The columns of `documents`, whatever else a caller's table carries."""
     return df.select("doc_id", "text", "lang", "source", "n_chars")
@@ -108,3 +124,24 @@ def running_totals(df: DataFrame, order: Sequence[str | Column], value: str, out
     table = F.broadcast(spark.createDataFrame(offsets, "_pid int, _start long"))  # a row a partition
     return (done.join(table, "_pid").withColumn(out, F.col("_local") + F.when(F.col("_lead"), F.col("_start")).otherwise(0))
             .drop("_pid", "_seq", "_lead", "_local", "_start"))
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, spread: str, count: str = "n", most: int = 1000) -> DataFrame:
+    """Left, null-safe join of `big` to `small` (unique on `key`, a written table), where `count` is
+    how many rows of `big` a key has at most.
+
+    Keys with over 1/`most` of all counted rows, so less than `most` of them, are broadcast; rows
+    that meet one are dealt by `spread` afterwards.  The other keys are joined as Spark chooses:
+    none is large enough to fill a task.  Columns of `small` but `key` and `count` are added."""
+    total = small.agg(F.sum(count)).first()[0] or 0
+    heavy = F.col(count) * most > total
+    add = [c for c in small.columns if c not in (key, count)]
+    name = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("null"))
+    side = small.select(name.alias("_small_key"), heavy.alias("_heavy"), F.struct(*add).alias("_added"))
+    hot, rest = (side.filter(c).select("_small_key", "_added") for c in ("_heavy", "not _heavy"))
+    b = big.withColumn("_big_key", name)
+    b = b.join(F.broadcast(hot.withColumnRenamed("_added", "_hot")), F.col("_big_key") == F.col("_small_key"), "left").drop("_small_key")
+    dealt = F.when(F.col("_hot").isNull(), F.col("_big_key")).otherwise(F.concat(F.lit("~"), F.xxhash64(spread).cast("string")))
+    b = b.withColumn("_big_key", dealt).join(rest, F.col("_big_key") == F.col("_small_key"), "left")
+    got = F.coalesce("_hot", "_added")
+    return b.select(*big.columns, *[got[c].alias(c) for c in add])

@@ -9,7 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, lm, mixing, quality, repeats, sharding, simhash, tokencount, tokenids
+from . import chat, decontam, lm, mixing, quality, repeats, resample, sharding, simhash, tokencount, tokenids, vectorcode, warc
 
 
 
@@ -46,5 +46,8 @@ QUERIES = {k: shipped(v) for k, v in {
     "op8_mixing": mixing.query,
     "op9_decontam": decontam.query,
     "op10_simhash": simhash.query,
+    "op11_warc": warc.query,
+    "op12_vectorcode": vectorcode.query,
+    "op13_resample": resample.query,
 }.items()}
-ORACLES = {"op2_quality": quality.ORACLE, "op6_chat": chat.ORACLE, "op8_mixing": mixing.ORACLE}
+ORACLES = {"op2_quality": quality.ORACLE, "op6_chat": chat.ORACLE, "op8_mixing": mixing.ORACLE, "op11_warc": warc.ORACLE, "op12_vectorcode": vectorcode.ORACLE}
