@@ -4,6 +4,8 @@ per row."""
 from __future__ import annotations
 
 import html.entities
+import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,11 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def among(column: str, values: Sequence[str]) -> Column:
+    """`column` IN fixed strings, as one expression (isin() makes a call to the JVM for each)."""
+    return F.expr(column + " IN (" + ", ".join(f"'{v}'" for v in values) + ")")
+
+
 def trim_ws(c) -> Column:
     """PHP-style trim(): only space, tab, LF, CR, NUL and VT."""
     return F.regexp_replace(_c(c), rf"^{TRIM_CHARS}+|{TRIM_CHARS}+$", "")
@@ -118,22 +125,61 @@ def table_cell_escape(c) -> Column:
 
 def strip_tags(c) -> Column:
     """Tag stripping used for excerpts: script/style with content, then any tag, then
-    whitespace runs -> one space, trimmed."""
-    v = F.regexp_replace(_c(c), r"(?is)<(script|style)[^>]*?>.*?</\1>", "")
-    v = F.regexp_replace(v, r"(?s)<!--.*?-->|<[^>]*>", "")
+    whitespace runs -> one space, trimmed.
+
+    Linear whatever the text: a search for an end that isn't there runs to the end of the text and
+    takes what it passed, so it is made once.  Of a script or style that never closes only the
+    tag goes; the second and third pass look into what followed the first such tag.  A comment or a
+    tag that never closes goes to the end."""
+    v = _c(c)
+    for names in ("script|style", "style", "script"):
+        v = F.regexp_replace(v, rf"(?is)<({names})[^>]*+(?:>(?>.*?</\1>|(.*+))|\z)", "$2")
+    v = F.regexp_replace(v, r"(?s)<!--(?>.*?-->|.*+)|<(?!\s)[^>]*+(?:>|\z)", "")
     v = F.regexp_replace(v, r"[\r\n\t ]+", " ")
     return trim_ws(v)
 
 
+# ---------------------------------------------------------------------------
+# Marks.  The conversion marks places in strings with the characters U+E000-E01F.  Texts that hold
+# such characters themselves are rewritten without them, reversibly.
+
+MARKS = "".join(map(chr, range(0xE000, 0xE020)))
+_STAND_INS = "".join(map(chr, range(0xE020, 0xE040)))
+_ESCAPE = "\ue040"
+
+
+def shield(c) -> Column:
+    """The text without any of MARKS: each is replaced by its stand-in (U+E020-E03F), and a
+    stand-in or U+E040 that was there before gets U+E040 in front.  unshield() restores it."""
+    v = _c(c)
+    freed = F.translate(F.regexp_replace(v, "[\ue020-\ue040]", _ESCAPE + "$0"), MARKS, _STAND_INS)
+    return F.when(v.rlike("[\ue000-\ue040]"), freed).otherwise(v)
+
+
+def unshield(c) -> Column:
+    """The text that was given to shield()."""
+    v = _c(c)
+    pieces = F.regexp_extract_all(v, F.lit("\ue040[\ue020-\ue040]|[^\ue040]++|\ue040"), 0)
+    back = F.transform(pieces, lambda p: F.when(p.startswith(_ESCAPE), F.substring(p, 2, 1)).otherwise(F.translate(p, _STAND_INS, MARKS)))
+    return F.when(v.rlike("[\ue020-\ue040]"), F.array_join(back, "")).otherwise(v)
+
+
 # ---------------------------------------------------------------------------
 # Entities.  The named-entity table is the HTML5 list shipped with Python's standard
 # library (a parameter, not transcribed); only names that end in ';' are decoded.
 
+_ENTITIES = json.dumps({k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")})
+
+
+def entity_map() -> Column:
+    """The HTML5 table as one constant map (about 2.1k entries), made from a single literal."""
+    return F.from_json(F.lit(_ENTITIES), "map<string, string>")
+
+
 def entity_table(spark: SparkSession) -> DataFrame:
     """(name, chars) for every HTML5 named entity; bounded size (~2.1k rows), so it
     is safe to broadcast."""
-    rows = [(k[:-1], v) for k, v in html.entities.html5.items() if k.endswith(";")]
-    return spark.createDataFrame(rows, "ent_name string, ent_chars string")
+    return spark.range(1, numPartitions=1).select(F.explode(entity_map()).alias("ent_name", "ent_chars"))
 
 
 def codepoint_char(cp: Column) -> Column:
@@ -159,16 +205,10 @@ def numeric_entity(tok: Column) -> Column:
 REFERENCE_RX = r"&(?:#[0-9]++|#[xX][0-9a-fA-F]++|[A-Za-z][A-Za-z0-9]{0,31});|[^&]++|&"
 
 
-def _entity_map() -> Column:
-    """The HTML5 table as one constant map (about 2.1k entries)."""
-    names = [k[:-1] for k in html.entities.html5 if k.endswith(";")]
-    return F.map_from_arrays(F.lit(names), F.lit([html.entities.html5[n + ";"] for n in names]))
-
-
 def decode_references(c) -> Column:
     """Character references decoded once, within one value: for short strings such as
     attribute values (page text goes through the token rows instead)."""
-    table = _entity_map()
+    table = entity_map()
 
     def one(p: Column) -> Column:
         name = F.regexp_extract(p, r"^&([A-Za-z][A-Za-z0-9]*);$", 1)

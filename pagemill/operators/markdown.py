@@ -5,8 +5,9 @@ Each content token is assigned to a *unit* by running windows:
 * a table cell (the cell at table depth 1; rows and tables are further ordered
   aggregations of cells),
 * a `pre` block (outermost `pre`),
-* a list item (last item opened at the token's list depth),
+* a list item (the last one opened, where the innermost container is a list),
 * a rule (`hr`),
+* a container's own open tag (block quote, list): it renders nothing, but says where blocks are,
 * otherwise a segment: the run of tokens since the last block-boundary tag.
 
 Every token emits a piece (text, emphasis sentinels, line-break sentinel, image
@@ -16,8 +17,9 @@ tokenizing serves every step and nothing is computed twice):
 
     tokens -> (span | run) -> unit -> table row -> block -> page
 
-String rules finish each level; the separator between two blocks comes from the
-previous non-empty block (running `last` window)."""
+String rules finish each level.  A block's lines are prefixed by its container path, the quotes and
+lists around it from the outside in, and the separator between two blocks comes from the
+previous non-empty block (running `last` window) and the path both share."""
 
 from __future__ import annotations
 
@@ -26,25 +28,25 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text as T
-from .nodes import BLOCK_TAGS, CELL_TAGS, LIST_TAGS, TABLE_SECTION_TAGS, before, nest_depths, running
+from .nodes import BIG, BLOCK_TAGS, CELL_TAGS, LIST_TAGS, TABLE_SECTION_TAGS, before, nest_depths, running
 
-# Private-use sentinels; any occurrence in input text is removed first.
+# Characters of T.MARKS; texts that hold them are shielded first and restored block by block.
 MARK, BR, LNL = "\ue001", "\ue002", "\ue003"
 EMPH = {"b": ("\ue010", "\ue011", "**"), "i": ("\ue012", "\ue013", "*"), "d": ("\ue014", "\ue015", "~~")}
 EMPH_TAGS = {"b": ["b", "strong"], "i": ["i", "em"], "d": ["del", "s", "strike"]}
-SENTINELS = "[\ue000-\ue01f]"
 HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 SPAN_TAGS = ["a", "code"]
+CONTAINERS = ["blockquote"] + LIST_TAGS
 # Characters that count as whitespace next to an emphasis sentinel.
 _EDGE = rf"(?:(?U)\s|[{MARK}{BR}{LNL}])+"
 
 
 def _opn(tags) -> Column:
-    return (F.col("kind") == "open") & F.col("tag").isin(tags)
+    return (F.col("kind") == "open") & T.among("tag", tags)
 
 
 def _cls(tags) -> Column:
-    return (F.col("kind") == "close") & F.col("tag").isin(tags)
+    return (F.col("kind") == "close") & T.among("tag", tags)
 
 
 def _ordered(key: str, val: Column, sep: str = "") -> Column:
@@ -93,54 +95,51 @@ def assign_units(content: DataFrame) -> DataFrame:
         # Inside a link or code span: flattened to text, so tags there structure nothing.
         "_flat": F.coalesce(F.max(F.when(_opn(SPAN_TAGS), F.col("hi"))).over(before(Window.partitionBy("page_id").orderBy("pos"))) > F.col("pos"), F.lit(False)),
         "has_content": F.max(nonblank).over(Window.partitionBy("page_id"))})
-    df = df.filter(~F.col("_drop") & ~F.col("kind").isin("raw", "decl")).drop("_drop")
-    df = df.withColumn("kind", F.when(F.col("_flat") & F.col("kind").isin("open", "close"), F.lit("flat")).otherwise(F.col("kind")))
-    df = nest_depths(df, {"q_d": (_opn(["blockquote"]), _cls(["blockquote"])),
+    df = df.filter(~F.col("_drop") & ~T.among("kind", ["raw", "decl"])).drop("_drop")
+    df = df.withColumn("kind", F.when(F.col("_flat") & T.among("kind", ["open", "close"]), F.lit("flat")).otherwise(F.col("kind")))
+    df = nest_depths(df, {"k_d": (_opn(CONTAINERS), _cls(CONTAINERS)),
                           "l_d": (_opn(LIST_TAGS), _cls(LIST_TAGS)),
                           "t_d": (_opn(["table"]), _cls(["table"])),
                           "pre_d": (_opn(["pre"]), _cls(["pre"])),
                           # Emphasis that has its close, over whatever blocks it holds.
                           **{f"_m{k}": (_opn(t) & F.col("closed"), _cls(t)) for k, t in EMPH_TAGS.items()}})
-    boundary = F.col("kind").isin("open", "close") & F.col("tag").isin(BLOCK_TAGS)
+    boundary = T.among("kind", ["open", "close"]) & T.among("tag", BLOCK_TAGS)
     top = F.col("t_d") == 1
     df = df.withColumns({
         "_seg": _last_struct(boundary, {"pos": F.col("pos"), "kind": F.col("kind"), "tag": F.col("tag")}, w),
         "_pre": F.last(F.when(_opn(["pre"]) & (F.col("pre_d") == 1), F.col("pos")), ignorenulls=True).over(w),
         "_tbl": F.last(F.when(_opn(["table"]) & top, F.col("pos")), ignorenulls=True).over(w),
-        "_row": _last_struct(top & F.col("tag").isin(["tr", "table"] + TABLE_SECTION_TAGS)
-                             & F.col("kind").isin("open", "close"), {"pos": F.col("pos"), "on": _opn(["tr"])}, w),
-        "_cell": _last_struct(top & F.col("tag").isin(["tr", "table"] + CELL_TAGS + TABLE_SECTION_TAGS)
-                              & F.col("kind").isin("open", "close"), {"pos": F.col("pos"), "on": _opn(CELL_TAGS)}, w),
+        "_row": _last_struct(top & T.among("tag", ["tr", "table"] + TABLE_SECTION_TAGS)
+                             & T.among("kind", ["open", "close"]), {"pos": F.col("pos"), "on": _opn(["tr"])}, w),
+        "_cell": _last_struct(top & T.among("tag", ["tr", "table"] + CELL_TAGS + TABLE_SECTION_TAGS)
+                              & T.among("kind", ["open", "close"]), {"pos": F.col("pos"), "on": _opn(CELL_TAGS)}, w),
         "root_list": F.last(F.when(_opn(LIST_TAGS) & (F.col("l_d") == 1), F.col("pos")), ignorenulls=True).over(w)})
-    # List items: events at the token's own list depth.
-    wl = running(Window.partitionBy("page_id", "l_d").orderBy("pos"))
-    li_ev = F.col("kind").isin("open", "close") & F.col("tag").isin(["li"] + LIST_TAGS)
+    # The innermost container, and its items if it is a list: events at the token's own depth.
+    wl = running(Window.partitionBy("page_id", "k_d").orderBy("pos"))
+    li_ev = T.among("kind", ["open", "close"]) & T.among("tag", ["li"] + CONTAINERS)
     df = df.withColumns({
         "_item": _last_struct(li_ev, {"pos": F.col("pos"), "on": _opn(["li"])}, wl),
         "_nli": F.sum(F.when(_opn(["li"]), 1).otherwise(0)).over(wl),
-        "_list": _last_struct(_opn(LIST_TAGS), {"pos": F.col("pos"), "ol": F.col("tag") == "ol"}, wl)})
-    df = df.withColumn("_list0", F.last(F.when(_opn(LIST_TAGS), F.col("_nli")), ignorenulls=True).over(wl))
-    ukind = (F.when(F.col("t_d") >= 1, F.lit("cell")).when(F.col("pre_d") >= 1, F.lit("pre"))
-             .when(F.col("l_d") >= 1, F.lit("item")).when(_opn(["hr"]), F.lit("hr")).otherwise(F.lit("seg")))
+        "_box": _last_struct(_opn(CONTAINERS), {"pos": F.col("pos"), "ol": F.col("tag") == "ol", "list": T.among("tag", LIST_TAGS)}, wl)})
+    df = df.withColumn("_list0", F.last(F.when(_opn(CONTAINERS), F.col("_nli")), ignorenulls=True).over(wl))
+    in_list = (F.col("k_d") >= 1) & F.coalesce(F.col("_box.list"), F.lit(False))
+    ukind = (F.when(F.col("t_d") >= 1, F.lit("cell")).when(F.col("pre_d") >= 1, F.lit("pre")).when(_opn(CONTAINERS), F.lit("box"))
+             .when(in_list, F.lit("item")).when(_opn(["hr"]), F.lit("hr")).otherwise(F.lit("seg")))
     df = df.withColumn("ukind", ukind)
     uid = (F.when(F.col("ukind") == "cell", F.when(F.col("_cell.on") & F.col("_row.on"), F.col("_cell.pos")))
            .when(F.col("ukind") == "pre", F.col("_pre"))
+           .when(T.among("ukind", ["box", "hr"]), F.col("pos"))
            .when(F.col("ukind") == "item", F.when(F.col("_item.on"), F.col("_item.pos")))
-           .when(F.col("ukind") == "hr", F.col("pos"))
            .otherwise(F.coalesce(F.col("_seg.pos"), F.lit(-1))))
-    heading = F.when((F.col("_seg.kind") == "open") & F.col("_seg.tag").isin(HEADINGS),
+    heading = F.when((F.col("_seg.kind") == "open") & T.among("_seg.tag", HEADINGS),
                      F.substring(F.col("_seg.tag"), 2, 1).cast("int"))
     df = df.withColumns({"uid": uid, "level": F.when(F.col("ukind") == "seg", heading),
-                         "list_id": F.col("_list.pos"), "ordered": F.col("_list.ol"),
+                         "list_id": F.col("_box.pos"), "ordered": F.col("_box.ol"), "in_list": in_list,
                          "idx": F.col("_nli") - F.col("_list0"),
                          "row_id": F.col("_row.pos"), "tbl_id": F.col("_tbl")})
     return df.filter(F.col("uid").isNotNull()).drop(
-        "_seg", "_pre", "_tbl", "_row", "_cell", "_item", "_nli", "_list", "_list0",
-        "q_d_stray", "l_d_stray", "t_d_stray", "pre_d_stray", "_flat")
-
-
-def _clean_text(c: Column) -> Column:
-    return F.regexp_replace(c, SENTINELS, "")
+        "_seg", "_pre", "_tbl", "_row", "_cell", "_item", "_nli", "_box", "_list0",
+        "k_d_stray", "l_d_stray", "t_d_stray", "pre_d_stray", "_flat")
 
 
 def token_pieces(units: DataFrame, cfg: Config) -> DataFrame:
@@ -148,7 +147,7 @@ def token_pieces(units: DataFrame, cfg: Config) -> DataFrame:
     run of tokens between spans), plus emphasis bookkeeping.  One sort:
     (page_id, ukind, uid, pos)."""
     wu = Window.partitionBy("page_id", "ukind", "uid").orderBy("pos")
-    inl = F.col("ukind").isin("seg", "item")
+    inl = T.among("ukind", ["seg", "item"])
     span_open = inl & _opn(SPAN_TAGS)
     df = units.withColumn("_sp", F.max(F.when(span_open, F.struct(
         F.col("hi").alias("h"), (-F.col("pos")).alias("nlo"), F.col("tag").alias("t"),
@@ -158,23 +157,25 @@ def token_pieces(units: DataFrame, cfg: Config) -> DataFrame:
     start = F.col("in_span") | prev_span.isNull() | prev_span
     df = df.withColumn("_start", F.when(F.col("in_span"), -F.col("_sp.nlo")).when(start, F.col("pos")))
     df = df.withColumn("g", F.last("_start", ignorenulls=True).over(running(wu)))
-    # Pieces.
-    text = _clean_text(F.col("text"))
+    # Pieces.  (The image is a column of its own, as shield() names what it is given more than once.)
+    if cfg.include_images:
+        df = df.withColumn("_img", F.when(_opn(["img"]), image_markdown(F.col("attrs"))))
+    text = T.shield("text")
     level_prefix = F.concat(F.lit(MARK), F.repeat(F.lit("#"), F.substring("tag", 2, 1).cast("int")), F.lit(" "))
-    piece = F.when(F.col("kind").isin("text", "entity"), text)
+    piece = F.when(T.among("kind", ["text", "entity"]), text)
     for k, tags in EMPH_TAGS.items():
         o, c, _ = EMPH[k]
         piece = piece.when(_opn(tags), F.lit(o)).when(_cls(tags) & ~F.col(f"_m{k}_stray"), F.lit(c))
     piece = piece.when(_opn(["br"]), F.lit(BR))
-    piece = piece.when(_opn(["img"]), image_markdown(F.col("attrs")) if cfg.include_images else F.lit(""))
+    piece = piece.when(_opn(["img"]), T.shield("_img") if cfg.include_images else F.lit(""))
     # Inside a list item, blocks are flattened onto the item's line.
     in_item = F.col("ukind") == "item"
     piece = piece.when(in_item & _opn(HEADINGS), level_prefix)
     piece = piece.when(in_item & _opn(["hr"]), F.lit(MARK + " --- "))
-    piece = piece.when(in_item & F.col("kind").isin("open", "close") & F.col("tag").isin(BLOCK_TAGS),
+    piece = piece.when(in_item & T.among("kind", ["open", "close"]) & T.among("tag", BLOCK_TAGS),
                        F.lit(MARK + " "))
     piece = piece.otherwise(F.lit(MARK))
-    piece = (F.when(F.col("ukind").isin("cell", "pre") | F.col("in_span"), F.coalesce(text, F.lit("")))
+    piece = (F.when(T.among("ukind", ["cell", "pre"]) | F.col("in_span"), F.coalesce(text, F.lit("")))
              .when(F.col("ukind") == "hr", F.lit("---")).otherwise(piece))
     eff = {f"e{k}": F.when(_opn(t) & inl & ~F.col("in_span"), 1)
            .when(_cls(t) & inl & ~F.col("in_span") & ~F.col(f"_m{k}_stray"), -1).otherwise(0)
@@ -234,19 +235,18 @@ def line_rules(c: Column) -> Column:
     return F.regexp_replace(v, r"\n{3,}", "\n\n")
 
 
-def quote_prefix(text: Column, q: Column) -> Column:
-    """Prefix every line with '> ' per quote level (lines right-trimmed first).  A
-    blank line is '> ' at level 1 and '> >' ... deeper, as nested quoting yields."""
-    lines = F.regexp_replace(text, r"(?m)[ \t\x0B\x00\r]+$", "")
-    pre = F.repeat(F.lit("> "), q)
-    v = F.concat(pre, F.replace(lines, F.lit("\n"), F.concat(F.lit("\n"), pre)))
-    deep = F.regexp_replace(v, r"(?m)[ ]+$", "")
-    return F.when(q <= 0, text).when(q == 1, v).otherwise(deep)
+def blank_prefix(prefix: Column) -> Column:
+    """What a blank line within containers of this prefix holds: each quote trims the lines inside it
+    and adds '> ', each list indents but blank lines."""
+    outer = F.regexp_extract(prefix, "^ *> ", 0)
+    return F.concat(outer, F.rtrim(F.substr(prefix, F.length(outer) + 1)))
 
 
-def quote_blank(q: Column) -> Column:
-    return (F.when(q <= 0, F.lit("")).when(q == 1, F.lit("> "))
-            .otherwise(F.concat(F.repeat(F.lit("> "), q - 1), F.lit(">"))))
+def prefix_lines(text: Column, prefix: Column) -> Column:
+    """`prefix` before every line; in a quote, lines are right-trimmed first."""
+    lines = F.when(prefix.contains(">"), F.regexp_replace(text, r"(?md)[ \t\x0B\x00\r]+$", "")).otherwise(text)
+    full = F.regexp_replace(lines, F.lit(r"(?md)^(?=[^\n])"), prefix)
+    return F.when(prefix == "", text).otherwise(F.regexp_replace(full, F.lit("(?md)^$"), blank_prefix(prefix)))
 
 
 def _first(c: str) -> Column:
@@ -254,7 +254,7 @@ def _first(c: str) -> Column:
 
 
 # Metadata carried up the aggregation chain: column -> how groups combine it.
-_META = {"q_d": F.min, "l_d": F.min, "level": _first, "list_id": _first, "ordered": _first, "idx": F.max,
+_META = {"k_d": F.min, "l_d": F.min, "level": _first, "list_id": _first, "ordered": _first, "in_list": _first, "idx": F.max,
          "root_list": _first, "row_id": _first, "tbl_id": _first, "has_content": F.max}
 
 
@@ -274,8 +274,9 @@ def table_markdown(rows: Column) -> Column:
 
 
 def markdown_blocks(content: DataFrame, cfg: Config) -> DataFrame:
-    """(page_id, upos, sub, bkind, text, q_d, l_d, list_id, root_list, has_content):
-    one row per block in document order by (upos, sub); `text` '' renders nothing."""
+    """(page_id, upos, sub, bkind, text, k_d, l_d, list_id, root_list, ordered, in_list, has_content):
+    one row per block in document order by (upos, sub); `text` '' renders nothing.  Rows of
+    bkind 'box' are the containers (k_d counts them themselves)."""
     pieces = token_pieces(assign_units(content), cfg)
     # Level 1: flattened spans and runs.
     g1 = pieces.groupBy("page_id", "ukind", "uid", "g").agg(
@@ -283,7 +284,8 @@ def markdown_blocks(content: DataFrame, cfg: Config) -> DataFrame:
         F.first(F.when(F.col("pos") == F.col("g"), F.col("_sp")), ignorenulls=True).alias("sp"),
         *[F.sum(f"e{k}").alias(f"e{k}") for k in EMPH], *[F.min_by(f"c{k}", "pos").alias(f"c{k}") for k in EMPH], *_meta_aggs())
     link_text = T.normalize_inline(F.col("s"))
-    href = T.trim_ws(F.coalesce(F.col("sp.href"), F.lit("")))
+    g1 = g1.withColumn("href", T.trim_ws(F.coalesce(F.col("sp.href"), F.lit(""))))
+    href = T.shield("href")
     link = (F.when(href == "", link_text)
             .otherwise(F.concat(F.lit("["), F.when(link_text == "", href).otherwise(link_text),
                                 F.lit("]("), href, F.lit(")"), F.lit(LNL))))
@@ -299,18 +301,18 @@ def markdown_blocks(content: DataFrame, cfg: Config) -> DataFrame:
     t = finish_inline(F.concat(openers, "s", closers))
     heading = F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), T.collapse_ws(t))
     marker = F.when(F.col("ordered"), F.concat(F.col("idx").cast("string"), F.lit(". "))).otherwise(F.lit("- "))
-    item = F.concat(F.repeat(F.lit("  "), F.col("l_d") - 1), marker, T.collapse_ws(t))
+    item = F.concat(marker, T.collapse_ws(t))
     kind = F.col("ukind")
     text = (F.when(kind == "cell", T.table_cell_escape(T.normalize_inline(F.col("s"))))
             .when(kind == "pre", T.fenced_code(T.normalize_code_block(F.col("s"))))
-            .when(kind == "hr", F.lit("---"))
+            .when(kind == "hr", F.lit("---")).when(kind == "box", F.lit(""))
             .when(kind == "item", line_rules(item))
             .when(t == "", F.lit(""))
             .when(F.col("level").isNotNull(), line_rules(heading))
             .otherwise(line_rules(t)))
     u = u.withColumns({"text": text,
                        "bkind": F.when(kind == "cell", "table").when(kind == "pre", "code").when(kind == "hr", "rule")
-                       .when(kind == "item", "item").when(F.col("level").isNotNull(), "heading").otherwise("para"),
+                       .when(kind.isin("box", "item"), kind).when(F.col("level").isNotNull(), "heading").otherwise("para"),
                        "bkey": F.when(kind == "cell", F.col("tbl_id")).otherwise(F.col("uid")),
                        "rkey": F.when(kind == "cell", F.col("row_id")).otherwise(F.lit(0))})
     # Level 3: table rows (other blocks pass through as one-cell rows).
@@ -323,32 +325,66 @@ def markdown_blocks(content: DataFrame, cfg: Config) -> DataFrame:
         *_meta_aggs())
     btext = F.when(F.col("bkind") == "table", table_markdown(F.col("rows"))) \
         .otherwise(F.try_element_at(F.try_element_at(F.col("rows"), F.lit(1)), F.lit(1)))
+    b = b.withColumn("text", F.coalesce(btext, F.lit("")))
     return b.select("page_id", F.col("bkey").alias("upos"),
-                    F.when(F.col("bkind") == "rule", 0).otherwise(1).alias("sub"), "bkind",
-                    F.coalesce(btext, F.lit("")).alias("text"), F.coalesce("q_d", F.lit(0)).alias("q_d"),
-                    F.coalesce("l_d", F.lit(0)).alias("l_d"), "list_id", "root_list", "has_content")
+                    F.when(T.among("bkind", ["rule", "box"]), 0).otherwise(1).alias("sub"), "bkind",
+                    T.unshield("text").alias("text"), F.coalesce("k_d", F.lit(0)).alias("k_d"),
+                    F.coalesce("l_d", F.lit(0)).alias("l_d"), "list_id", "root_list", "ordered", "in_list", "has_content")
+
+
+def container_paths(blocks: DataFrame) -> DataFrame:
+    """The blocks with `keep` (it renders something) and `path`: ARRAY<STRUCT<id, quote>>, the
+    containers around a block from the outside in (of an item, without its own list).
+
+    A block at depth n looks for the container opened last at each depth up to n; depths are
+    dealt to rows, so the work is that of writing the prefixes."""
+    none = F.lit(None).cast("struct<id: int, quote: boolean>")
+    here = F.struct(F.col("upos").cast("int").alias("id"), (~F.col("in_list")).alias("quote"))
+    keep = (F.col("text") != "") | (F.col("bkind") == "item")
+    look = F.transform(F.sequence(F.lit(0), F.col("k_d").cast("int")), lambda d: F.struct(d.alias("depth"), F.lit(1).alias("role"), none.alias("box")))
+    roles = (F.when(F.col("bkind") == "box", F.array(F.struct(F.col("k_d").cast("int").alias("depth"), F.lit(0).alias("role"), here.alias("box"))))
+             .otherwise(F.when(keep, look).otherwise(F.slice(look, 1, 1))))
+    x = blocks.withColumn("keep", keep).withColumn("_r", F.explode(roles)).select("*", "_r.*").drop("_r")
+    w = running(Window.partitionBy("page_id", "depth").orderBy("upos", "sub", "role"))
+    x = x.withColumn("_in", F.last("box", ignorenulls=True).over(w)).filter("role = 1")
+    others = ["keep"] + [c for c in blocks.columns if c not in ("page_id", "upos", "sub", "bkind")]
+    g = x.groupBy("page_id", "upos", "sub", "bkind").agg(*[F.first(c).alias(c) for c in others], F.array_sort(F.collect_list(
+        F.when(F.col("depth") > 0, F.struct("depth", F.col("_in").alias("box"))))).alias("path"))
+    # Containers within a table cell or a pre have no row: they prefix nothing.
+    own = F.when(F.col("bkind") == "item", F.col("k_d")).otherwise(F.lit(BIG))
+    return g.withColumn("path", F.transform(F.filter("path", lambda p: p["box"].isNotNull() & (p["depth"] < own)), lambda p: p["box"]))
+
+
+def path_prefix(path: Column, inside: Column) -> Column:
+    """'> ' a quote, two blanks a list; three for the last one if that is the ordered list a block
+    stands in (`inside`)."""
+    return F.concat(F.array_join(F.transform(path, lambda p: F.when(p["quote"], F.lit("> ")).otherwise(F.lit("  "))), ""),
+                    F.when(inside, F.lit(" ")).otherwise(F.lit("")))
 
 
 def assemble_body(blocks: DataFrame) -> DataFrame:
     """(page_id, body, has_content): blocks joined in order.  Items of one list are
     separated by a newline, except after a nested list ends or between two lists
-    (blank line); any other pair by a blank line, quoted when both are quoted."""
+    (blank line); any other pair by a blank line, which the containers that hold both prefix."""
+    blocks = container_paths(blocks)
     w = before(Window.partitionBy("page_id").orderBy("upos", "sub"))
-    keep = (F.col("text") != "") | (F.col("bkind") == "item")
-    prev = F.last(F.when(keep, F.struct("bkind", "l_d", "q_d", "list_id", "root_list")), ignorenulls=True).over(w)
-    b = blocks.withColumns({"_keep": keep, "_p": prev})
+    prev = F.last(F.when(F.col("keep"), F.struct("bkind", "l_d", "path", "list_id", "root_list")), ignorenulls=True).over(w)
+    b = blocks.withColumn("_p", prev)
     p = lambda c: F.col(f"_p.{c}")
     same_list = (F.col("bkind") == "item") & (p("bkind") == "item") & (F.col("root_list") == p("root_list"))
     tight = same_list & ((F.col("l_d") > p("l_d")) | ((F.col("l_d") == p("l_d")) & (F.col("list_id") == p("list_id"))))
+    # Paths are of containers that nest, so those that both hold are the leading ones.
+    shared = F.array_intersect(F.col("path"), F.coalesce(p("path"), F.expr("slice(path, 1, 0)")))
+    inside = F.coalesce(F.col("in_list") & F.col("ordered"), F.lit(False)) & (F.col("bkind") != "item")
     sep = (F.when(F.col("_p").isNull(), F.lit(""))
            .when(tight, F.lit("\n"))
-           .otherwise(F.concat(F.lit("\n"), quote_blank(F.least(F.col("q_d"), p("q_d"))), F.lit("\n"))))
-    b = b.withColumn("piece", F.when(F.col("_keep"), F.concat(sep, quote_prefix(F.col("text"), F.col("q_d")))))
-    return (b.groupBy("page_id")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(
-                F.col("piece").isNotNull(), F.struct("upos", "sub", "piece")))), lambda x: x["piece"]), "").alias("body"),
-                 F.max("has_content").alias("has_content"))
-            .select("page_id", T.trim_ws(F.col("body")).alias("body"), "has_content"))
+           .otherwise(F.concat(F.lit("\n"), blank_prefix(path_prefix(shared, F.lit(False))), F.lit("\n"))))
+    b = b.withColumn("piece", F.when(F.col("keep"), F.concat(sep, prefix_lines(F.col("text"), path_prefix(F.col("path"), inside)))))
+    body = (b.groupBy("page_id")
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(
+                F.when(F.col("piece").isNotNull(), F.struct("upos", "sub", "piece")))), lambda x: x["piece"]), "").alias("body"),
+                 F.max("has_content").alias("has_content")))
+    return body.select("page_id", T.trim_ws(F.col("body")).alias("body"), "has_content")
 
 
 def markdown_body(content: DataFrame, cfg: Config) -> DataFrame:

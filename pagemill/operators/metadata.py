@@ -10,31 +10,30 @@ from ..config import Config
 from ..functions import text as T
 from ..functions.urls import markdown_url
 
-_SEP = "\ue0ff"
-
-
 def decode_entities(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     """Decode character references in `cols` exactly once (so '&amp;lt;' -> '&lt;').
-    The strings are cut into text / reference pieces, references resolved by a
-    broadcast lookup of the bounded HTML5 table (numeric ones by arithmetic), and
-    pieces re-joined in order per key.  One aggregation on `key`."""
-    spark = df.sparkSession
-    joined = F.concat_ws(_SEP, *[F.regexp_replace(F.coalesce(F.col(c), F.lit("")), _SEP, "") for c in cols])
+    The strings are cut into text / reference pieces, each with its column; references are
+    resolved by a broadcast lookup of the bounded HTML5 table (numeric ones by arithmetic), and
+    the pieces of a column re-joined in order per key.  One aggregation on `key`."""
+    ents = T.entity_table(df.sparkSession)
+
+    def cut(i: int, c: str) -> Column:
+        found = F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(T.REFERENCE_RX), 0)
+        return F.transform(found, lambda t: F.struct(F.lit(i).alias("col"), t.alias("t")))
+
     others = [c for c in df.columns if c != key]
-    x = df.select(key, *others, F.posexplode_outer(F.regexp_extract_all(joined, F.lit(T.REFERENCE_RX), 0)).alias("_p", "_t"))
-    ents = T.entity_table(spark)
+    x = df.select(key, *others, F.posexplode_outer(F.concat(*[cut(i, c) for i, c in enumerate(cols)])).alias("_p", "_s"))
+    x = x.withColumn("_t", F.col("_s.t"))
     name = F.regexp_extract("_t", r"^&([A-Za-z][A-Za-z0-9]*);$", 1)
     x = x.withColumn("_k", F.when(F.col("_t").startswith("&") & (name != ""), name))
     x = x.join(F.broadcast(ents), x["_k"] == ents["ent_name"], "left")
     piece = F.coalesce(F.col("ent_chars"), T.numeric_entity(F.col("_t")), F.col("_t"))
-    g = x.groupBy(key).agg(*[F.first(c).alias(c) for c in others],
-                           F.array_join(F.transform(F.array_sort(F.collect_list(
-                               F.when(F.col("_t").isNotNull(), F.struct("_p", piece.alias("s"))))),
-                               lambda s: s["s"]), "").alias("_dec"))
-    parts = F.split(F.col("_dec"), _SEP, -1)
+    whole = [F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_s.col") == i, F.struct("_p", piece.alias("s"))))),
+                                      lambda s: s["s"]), "").alias(f"_dec{i}") for i in range(len(cols))]
+    g = x.groupBy(key).agg(*[F.first(c).alias(c) for c in others], *whole)
     for i, c in enumerate(cols):
-        g = g.withColumn(c, F.when(F.col(c).isNotNull(), F.coalesce(F.try_element_at(parts, F.lit(i + 1)), F.lit(""))))
-    return g.drop("_dec")
+        g = g.withColumn(c, F.when(F.col(c).isNotNull(), F.col(f"_dec{i}")))
+    return g.drop(*[f"_dec{i}" for i in range(len(cols))])
 
 
 def excerpt_source(excerpt: Column, content: Column) -> Column:

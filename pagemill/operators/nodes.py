@@ -12,14 +12,17 @@ exchange beyond the one before tokenizing):
 
 Broken-markup contract: void tags never open; `p` ends at the next block boundary, and so
 does an inline tag without a close of its own in its parent; `li` ends at the next item or
-the end of its list; `td`/`th`/`tr` at the next cell/row or the end of their table; stray
-closes are dropped; any other unclosed element ends where its parent ends."""
+the end of its list, `dt`/`dd` at the next of them or the end of theirs; `td`/`th`/`tr` at the
+next cell/row or the end of their table; stray closes are dropped; any other unclosed element
+ends where its parent ends, and so does one whose close comes after its parent's."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
+
 # Tags that start or end a block (terminate `p` and open inline tags).
 BLOCK_TAGS = ["address", "article", "aside", "blockquote", "body", "caption", "dd", "details",
               "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form",
@@ -33,6 +36,7 @@ INLINE_TAGS = ["a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "del", "df
 LIST_TAGS = ["ul", "ol"]
 TABLE_SECTION_TAGS = ["thead", "tbody", "tfoot"]
 CELL_TAGS = ["td", "th"]
+DEFINITION_TAGS = ["dt", "dd"]
 
 BIG = 2 ** 31 - 1
 
@@ -51,12 +55,12 @@ def before(w: Window) -> Window:
 
 def is_open(tags=None) -> Column:
     c = (F.col("kind") == "open") & ~F.col("is_void")
-    return c if tags is None else c & F.col("tag").isin(tags)
+    return c if tags is None else c & T.among("tag", tags)
 
 
 def is_close(tags=None) -> Column:
     c = F.col("kind") == "close"
-    return c if tags is None else c & F.col("tag").isin(tags)
+    return c if tags is None else c & T.among("tag", tags)
 
 
 def nest_depths(df: DataFrame, fams: dict, partition: list[str] | None = None) -> DataFrame:
@@ -103,12 +107,13 @@ def element_spans(tokens: DataFrame) -> DataFrame:
     """Adds to every token: `list_d`, `tbl_d` (list / table nesting) and, on element
     open rows, `hi` (last position inside the element, inclusive) and `closed`."""
     # Family depths needed by the implicit-close rules.
-    df = nest_depths(tokens, {"list_d": (is_open(LIST_TAGS), is_close(LIST_TAGS)),
+    lists = LIST_TAGS + ["dl"]
+    df = nest_depths(tokens, {"list_d": (is_open(lists), is_close(lists)),
                           "tbl_d": (is_open(["table"]), is_close(["table"]))})
     df = df.withColumn("_last", F.max("pos").over(Window.partitionBy("page_id")))
     # Per-tag pairing of explicit closes: depth within the tag, then the next event
     # at the same tag and depth is the close when it is one.
-    tagged = F.col("kind").isin("open", "close") & ~F.col("is_void")
+    tagged = T.among("kind", ["open", "close"]) & ~F.col("is_void")
     df = nest_depth(df.withColumn("_tg", F.when(tagged, F.col("tag"))), "_td",
                     is_open() & F.col("_tg").isNotNull(), is_close() & F.col("_tg").isNotNull(), ["_tg"])
     wp = Window.partitionBy("page_id", "_tg", "_td").orderBy("pos")
@@ -117,40 +122,45 @@ def element_spans(tokens: DataFrame) -> DataFrame:
     # depth, counting only containers with a close (so opens and closes balance).
     wpair = Window.partitionBy("page_id", "_tg", "_td").orderBy("pos")
     paired_close = is_close() & (F.lag("kind").over(wpair) == "open")
-    inline = F.col("tag").isin(["p"] + INLINE_TAGS)
+    inline = T.among("tag", ["p"] + INLINE_TAGS)
     df = df.withColumns({"_po": F.col("_pair").isNotNull() & ~inline, "_pc": paired_close & ~inline})
     df = nest_depth(df, "_pd", F.col("_po"), F.col("_pc"))
     # Terminators of `p` and open inline tags: any block-tag open or close (in page order, as above).
-    block_ev = F.col("kind").isin("open", "close") & F.col("tag").isin(BLOCK_TAGS)
+    block_ev = T.among("kind", ["open", "close"]) & T.among("tag", BLOCK_TAGS)
     df = df.withColumn("_bev", F.when(block_ev, F.col("pos")))
     df = df.withColumn("_nblk", F.expr("lead(_bev, 1) IGNORE NULLS OVER (PARTITION BY page_id ORDER BY pos)"))
     df = next_pos(df, {"_pend": F.col("_pc")}, ["_pd"])
     # `li`: next item or list end at the same list depth.
-    li_ev = (F.col("kind").isin("open", "close") & (F.col("tag") == "li")) | is_close(LIST_TAGS)
-    df = next_pos(df, {"_nli": li_ev}, ["list_d"])
+    li_ev = (T.among("kind", ["open", "close"]) & (F.col("tag") == "li")) | is_close(LIST_TAGS)
+    dt_ev = (T.among("kind", ["open", "close"]) & T.among("tag", DEFINITION_TAGS)) | is_close(["dl"])
+    df = next_pos(df, {"_nli": li_ev, "_ndt": dt_ev}, ["list_d"])
     # Cells and rows: next cell / row / section event or table end at the same depth.
-    row_ev = (F.col("kind").isin("open", "close") & F.col("tag").isin(["tr"] + TABLE_SECTION_TAGS)) \
+    row_ev = (T.among("kind", ["open", "close"]) & T.among("tag", ["tr"] + TABLE_SECTION_TAGS)) \
         | is_close(["table"])
-    cell_ev = row_ev | (F.col("kind").isin("open", "close") & F.col("tag").isin(CELL_TAGS))
+    cell_ev = row_ev | (T.among("kind", ["open", "close"]) & T.among("tag", CELL_TAGS))
     df = next_pos(df, {"_ncell": cell_ev, "_nrow": row_ev}, ["tbl_d"])
     tag = F.col("tag")
-    term = (F.when(tag.isin(["p"] + INLINE_TAGS), F.col("_nblk"))
+    term = (F.when(T.among("tag", ["p"] + INLINE_TAGS), F.col("_nblk"))
             .when(tag == "li", F.col("_nli"))
-            .when(tag.isin(CELL_TAGS), F.col("_ncell"))
+            .when(T.among("tag", DEFINITION_TAGS), F.col("_ndt"))
+            .when(T.among("tag", CELL_TAGS), F.col("_ncell"))
             .when(tag == "tr", F.col("_nrow")))
     pair = F.col("_pair")
     parent_end = F.coalesce(F.col("_pend") - 1, F.lit(BIG))
     # An inline element with a close inside its parent ends there, whatever blocks it
-    # holds; any other element ends at its close unless a terminator comes first.
-    term = F.when(F.col("tag").isin(INLINE_TAGS) & (pair <= parent_end), F.lit(None)).otherwise(term)
+    # holds; any other element ends at its close unless a terminator or the end of its parent
+    # comes first.  (At a container that has a close, _pend is where as many containers have
+    # closed as opened since: its own close, unless an outer one's came before that.)
+    term = F.when(T.among("tag", INLINE_TAGS) & (pair <= parent_end), F.lit(None)).otherwise(term)
+    within = F.when(F.col("_po"), F.coalesce(F.col("_pend"), F.lit(BIG))).otherwise(parent_end)
     hi = (F.when(F.col("kind") == "raw", F.col("pos"))
           .when(F.col("is_void"), F.col("pos"))
           .when(F.col("kind") == "open",
-                F.when(pair.isNotNull() & (pair <= F.coalesce(term, F.lit(BIG))), pair)
+                F.when(pair.isNotNull() & (pair <= F.coalesce(term, F.lit(BIG))) & (pair <= within), pair)
                 .otherwise(F.least(F.coalesce(term - 1, F.lit(BIG)), parent_end, F.col("_last")))))
     df = df.withColumn("hi", hi)
     df = df.withColumn("closed", F.when(F.col("kind") == "open", pair.isNotNull() & (pair == F.col("hi"))))
-    return df.drop("_tg", "_td", "_td_stray", "_pair", "_nblk", "_bev", "_nli", "_ncell", "_nrow", "_last",
+    return df.drop("_tg", "_td", "_td_stray", "_pair", "_nblk", "_bev", "_nli", "_ndt", "_ncell", "_nrow", "_last",
                    "_po", "_pc", "_pd", "_pd_stray", "_pend",
                    "list_d_stray", "tbl_d_stray")
 
@@ -159,7 +169,7 @@ def with_tree(spans: DataFrame) -> DataFrame:
     """Adds `depth` (elements containing the token, itself included for element rows),
     `parent` (open position of the innermost strictly enclosing element) and `parent_tag`
     to every token row.  Two explode-and-window passes; partitioning is kept."""
-    elem = (F.col("kind").isin("open", "raw"))
+    elem = (T.among("kind", ["open", "raw"]))
     # Pass 1: +1 at an element's open, -1 just after its last position.
     ev = F.when(elem & ~F.col("is_void") & (F.col("kind") == "open"), F.array(
         F.struct(F.col("pos").alias("epos"), F.lit(1).alias("eord"), F.lit(1).alias("d"), F.lit(True).alias("own")),
@@ -221,7 +231,7 @@ def page_nodes(tokens: DataFrame) -> DataFrame:
     lo, hi, closed).  `node_id` and `lo` are the open tag's position; `hi` is the last
     position inside the element (its close tag when it has one)."""
     t = with_tree(element_spans(tokens))
-    return (t.filter(F.col("kind").isin("open", "raw"))
+    return (t.filter(T.among("kind", ["open", "raw"]))
             .select("page_id", F.col("pos").alias("node_id"), F.col("parent").alias("parent_id"), "tag",
                     F.col("attrs").getItem("id").alias("id"), class_list(F.col("attrs")).alias("classes"),
                     "attrs", "depth", F.col("pos").alias("lo"), "hi", F.coalesce("closed", F.lit(False)).alias("closed")))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ALWAYS_IGNORED, ROOT_FALLBACKS, Config, Step, compile_selector_list
+from ..functions import text as T
 from .nodes import before, class_list, running
 
 _ids = count()
@@ -18,7 +19,7 @@ _ids = count()
 
 def simple_match(step: Step) -> Column:
     """One simple selector on element rows (open tags and raw script/style)."""
-    c = F.col("kind").isin("open", "raw")
+    c = T.among("kind", ["open", "raw"])
     if step.tag != "*":
         c = c & (F.col("tag") == step.tag)
     if step.id is not None:
@@ -37,7 +38,7 @@ def _inside(flag: str) -> Column:
 def _parent_has(df: DataFrame, flag: str, out: str) -> DataFrame:
     """`out` = the token's parent element has `flag`.  Element rows are candidates at
     their own depth and look one level up for their parent."""
-    elem = F.col("kind").isin("open", "raw")
+    elem = T.among("kind", ["open", "raw"])
     look = F.when(elem, F.col("depth") - 1).otherwise(F.col("depth"))
     roles = F.when(elem, F.array(
         F.struct(F.col("depth").alias("_k"), F.lit(0).alias("_role"), F.col(flag).alias("_v")),

@@ -15,16 +15,24 @@ from ..functions import text as T
 # tag (possessive quantifiers: a tag with tens of thousands of attributes must not
 # overflow the regex stack), declaration / processing instruction, character
 # reference, text run, lone '<' or '&'.
+#
+# Linear on any input: where an end is missing, the search for it ran to the end of the page, and
+# the token takes what was searched.  A comment or raw element without an end hides the rest
+# of the page; a tag or declaration without one is text (_split_tail).  A quote that nothing closes is
+# an ordinary character of its tag.
 TOKEN_RX = (
-    r"(?i)<!--[\s\S]*?-->"
-    r"|<script\b[^>]*+>[\s\S]*?</script\s*>"
-    r"|<style\b[^>]*+>[\s\S]*?</style\s*>"
-    r"|</?[a-z][^\s/>]*+(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
-    r"|<[!?][^>]*+>"
+    r"(?i)<!--(?>-?>|[\s\S]*?-->|[\s\S]*+)"
+    r"|<script(?=[\s/>])[^>]*+>(?>[\s\S]*?</script\s*+>|[\s\S]*+)"
+    r"|<style(?=[\s/>])[^>]*+>(?>[\s\S]*?</style\s*+>|[\s\S]*+)"
+    r"|</?[a-z][^\s/>]*+(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+(?:>|\z)"
+    r"|<[!?][^>]*+(?:>|\z)"
     r"|&(?:#[0-9]++|#x[0-9a-f]++|[a-z][a-z0-9]{0,31});"
     r"|[^<&]++"
     r"|[<&]"
 )
+_RAW_RX = r"(?i)^<(?:script|style)(?=[\s/>])[^>]*+>"
+# Tokens of text alone.
+TEXT_RX = r"(?i)&(?:#[0-9]++|#x[0-9a-f]++|[a-z][a-z0-9]{0,31});|[^<&]++|[<&]"
 
 # Elements that never have content.
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link",
@@ -34,12 +42,19 @@ VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "keygen
 ATTR_RX = r"""([^\s"'>/=]+)(?:\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?"""
 
 
+def _split_tail(found: Column) -> Column:
+    """The tokens of a page, with a last one that is an unclosed tag or declaration read as text."""
+    last = F.try_element_at(found, F.lit(-1))
+    opened = last.rlike(r"^<[!?/A-Za-z]") & ~last.endswith(">") & ~last.startswith("<!--") & ~last.rlike(_RAW_RX)
+    return F.when(opened, F.concat(F.slice(found, 1, F.size(found) - 1), F.regexp_extract_all(last, F.lit(TEXT_RX), 0))).otherwise(found)
+
+
 def _kind(tok: Column) -> Column:
-    return (F.when(tok.startswith("<!--") & (F.length(tok) >= 7), F.lit("comment"))
-            .when(tok.rlike(r"(?is)^<(script|style)\b.*</(script|style)\s*>$"), F.lit("raw"))
+    return (F.when(tok.startswith("<!--"), F.lit("comment"))
+            .when(tok.rlike(_RAW_RX), F.lit("raw"))
             .when(tok.rlike(r"^</[A-Za-z]"), F.lit("close"))
             .when(tok.rlike(r"^<[A-Za-z]"), F.lit("open"))
-            .when(tok.rlike(r"(?s)^<[!?].*>$"), F.lit("decl"))
+            .when(tok.rlike(r"^<[!?]"), F.lit("decl"))
             .when(tok.rlike(r"^&.+;$"), F.lit("entity"))
             .otherwise(F.lit("text")))
 
@@ -85,14 +100,15 @@ def page_tokens(pages: DataFrame, partitioned: bool = False, partitions: int | N
     spark = pages.sparkSession
     if not partitioned:
         pages = pages.repartition(page_partitions(pages, partitions), "page_id")
-    toks = pages.select("page_id", F.posexplode(F.regexp_extract_all(
-        F.col("html"), F.lit(TOKEN_RX), 0)).alias("pos", "tok"))
+    # The array is made before it is looked at, so that the pattern runs once a page.
+    found = pages.select("page_id", F.regexp_extract_all(F.col("html"), F.lit(TOKEN_RX), 0).alias("found"))
+    toks = found.select("page_id", F.posexplode(F.get(F.transform(F.array("found"), _split_tail), F.lit(0))).alias("pos", "tok"))
     kind = _kind(F.col("tok"))
     toks = toks.withColumn("kind", kind)
     tag = T.ascii_lower(F.regexp_extract("tok", r"^</?([A-Za-z][^\s/>]*)", 1))
-    toks = toks.withColumn("tag", F.when(F.col("kind").isin("open", "close", "raw"), tag))
+    toks = toks.withColumn("tag", F.when(T.among("kind", ["open", "close", "raw"]), tag))
     toks = toks.withColumn("is_void", (F.col("kind") == "open") & (
-        F.col("tag").isin(VOID_TAGS) | F.col("tok").endswith("/>")))
+        T.among("tag", VOID_TAGS) | F.col("tok").endswith("/>")))
     toks = toks.withColumn("attrs", F.when(F.col("kind") == "open", tag_attributes(F.col("tok"))))
     # Character references: numeric ones by arithmetic, named ones through a
     # broadcast lookup of the bounded HTML5 table.
@@ -110,14 +126,15 @@ def plain_text(tokens: DataFrame) -> DataFrame:
     """No-DOM fallback: drop tags, comments, script and style; decode; whitespace
     runs -> one space; CR normalised; 3+ newlines -> 2; trimmed.  (page_id, text)."""
     # Whitespace is collapsed before decoding, so whitespace produced by a character
-    # reference is shielded with private-use stand-ins while runs are collapsed.
-    shield, plain = "\n\t \r", "\ue0a0\ue0a1\ue0a2\ue0a3"
-    t = tokens.filter(F.col("kind").isin("text", "entity"))
-    piece = F.when(F.col("kind") == "entity", F.translate("text", shield, plain)).otherwise(F.col("text"))
+    # reference is marked while runs are collapsed; the text's own mark characters are shielded.
+    space, marked = "\n\t \r", T.MARKS[:4]
+    t = tokens.filter(T.among("kind", ["text", "entity"]))
+    own = T.shield("text")
+    piece = F.when(F.col("kind") == "entity", F.translate(own, space, marked)).otherwise(own)
     agg = t.groupBy("page_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", piece.alias("s")))), lambda x: x["s"]), "").alias("raw"))
     v = T.trim_ws(F.regexp_replace(F.col("raw"), r"[\r\n\t ]+", " "))
-    v = F.translate(v, plain, shield)
+    v = T.unshield(F.translate(v, marked, space))
     v = F.regexp_replace(v, r"\r\n?", "\n")
     v = F.regexp_replace(v, r"\n{3,}", "\n\n")
     return agg.select("page_id", T.trim_ws(v).alias("text"))

@@ -154,7 +154,7 @@ def q_match_selector(spark, sf):
         t = S.match_selector(t, compile_selector_list(s)[0], f"m_{name}")
     key = F.regexp_extract(F.col("attrs").getItem("id"), r"^n(\d+)$", 1)
     return t.groupBy("page_id").agg(*[F.array_join(F.array_sort(F.collect_list(
-        F.when(F.col(f"m_{n}"), F.lpad(key, 2, "0")))), ",").alias(n) for n in sels])
+        F.when(F.col(f"m_{n}"), F.lpad(key, 12, "0")))), ",").alias(n) for n in sels])
 
 
 def q_match_any(spark, sf):
@@ -295,8 +295,27 @@ def q_image_url_clean(spark, sf):
 
 
 def q_md_tables(spark, sf):
-    return _body(SY.table_pages(spark, sf)).unionByName(
-        _body(SY.uneven_table_pages(spark, sf)).withColumn("page_id", F.col("page_id") + 100))
+    return _body(SY.table_pages(spark, sf).unionByName(_apart(SY.uneven_table_pages(spark, sf))))
+
+
+def q_md_quote_in_list(spark, sf):
+    return _body(SY.quote_in_list_pages(spark, sf))
+
+
+def q_md_list_in_quote(spark, sf):
+    return _body(SY.list_in_quote_pages(spark, sf))
+
+
+def q_md_code_in_item(spark, sf):
+    return _body(SY.code_in_item_pages(spark, sf))
+
+
+def q_md_table_in_item(spark, sf):
+    return _body(SY.table_in_item_pages(spark, sf))
+
+
+def q_md_private_use(spark, sf):
+    return _body(SY.private_use_pages(spark, sf))
 
 
 def q_md_table_cells(spark, sf):

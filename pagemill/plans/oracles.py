@@ -293,12 +293,10 @@ def oracles() -> dict[str, str]:
     UNION ALL SELECT 10000000000 + p_partkey, 3, chr(CAST(p_partkey % 26 + 65 AS INTEGER)) || chr(CAST(p_partkey % 26 + 97 AS INTEGER)) || chr(65533) FROM part"""
     stripped = _strip("html")
     md["plain_text"] = f"SELECT page_id, {trim(chr(10).join([]) or dec(stripped))} AS text FROM pages"
-    md["match_selector"] = """SELECT n_regionkey AS page_id,
-      coalesce(string_agg(CASE WHEN n_nationkey % 3 = 1 THEN lpad(CAST(n_nationkey AS VARCHAR), 2, '0') END, ',' ORDER BY lpad(CAST(n_nationkey AS VARCHAR), 2, '0')), '') AS child,
-      coalesce(string_agg(CASE WHEN n_nationkey % 4 = 0 THEN lpad(CAST(n_nationkey AS VARCHAR), 2, '0') END, ',' ORDER BY lpad(CAST(n_nationkey AS VARCHAR), 2, '0')), '') AS "desc",
-      coalesce(string_agg(CASE WHEN n_nationkey % 3 = 2 THEN lpad(CAST(n_nationkey AS VARCHAR), 2, '0') END, ',' ORDER BY lpad(CAST(n_nationkey AS VARCHAR), 2, '0')), '') AS compound,
-      coalesce(string_agg(CASE WHEN n_nationkey = 3 THEN lpad(CAST(n_nationkey AS VARCHAR), 2, '0') END, ','), '') AS id
-    FROM nation GROUP BY n_regionkey"""
+    ok = "lpad(CAST(o_orderkey AS VARCHAR), 12, '0')"
+    md["match_selector"] = "SELECT o_custkey AS page_id, " + ", ".join(
+        f"coalesce(string_agg(CASE WHEN {c} THEN {ok} END, ',' ORDER BY {ok}), '') AS {n}" for n, c in (
+            ("child", "o_orderkey % 3 = 1"), ('"desc"', "o_orderkey % 4 = 0"), ("compound", "o_orderkey % 3 = 2"), ("id", "o_orderkey = 3"))) + " FROM orders GROUP BY o_custkey"
     md["match_any"] = ("SELECT page_id, CAST(len(regexp_extract_all(html, '<h1[\\s>]')) + len(regexp_extract_all(html, "
                        "'class=\"ad\"')) + len(regexp_extract_all(html, '<nav[\\s>]')) + len(regexp_extract_all(html, '<li[\\s>]')) "
                        "AS BIGINT) AS n_matches FROM pages")
@@ -342,9 +340,22 @@ def oracles() -> dict[str, str]:
     md["md_unordered_lists"] = "SELECT o_custkey AS page_id, string_agg('- ' || o_orderkey || ' **' || o_orderstatus || '**', chr(10) ORDER BY o_orderkey) AS body FROM orders GROUP BY o_custkey"
     md["md_ordered_lists"] = f"""SELECT o_custkey AS page_id, string_agg(rn || '. ' || o_orderkey || ' ' || {inline('o_orderpriority')}, chr(10) ORDER BY o_orderkey) AS body
       FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS rn FROM orders) GROUP BY o_custkey"""
-    md["md_nested_lists"] = f"""SELECT r.r_regionkey AS page_id, '- ' || {inline('r.r_name || ' + lit('tail'))} || chr(10) || n.items || chr(10) || chr(10) || '- after' AS body
-      FROM region r JOIN (SELECT n_regionkey, string_agg('  - ' || {inline('n_name')}, chr(10) ORDER BY n_nationkey) AS items FROM nation GROUP BY 1) n
-      ON n.n_regionkey = r.r_regionkey"""
+    of_customer = f"""SELECT c_custkey, c_name, string_agg('@- ' || {inline('o_orderpriority')}, chr(10) ORDER BY o_orderkey) AS items
+      FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2"""
+    md["md_nested_lists"] = f"""SELECT c_custkey AS page_id, '- ' || {inline('c_name || ' + lit('tail'))} || chr(10) || replace(items, '@', '  ') || chr(10) || chr(10) || '- after' AS body
+      FROM ({of_customer})"""
+    md["md_list_in_quote"] = f"""SELECT c_custkey AS page_id, '> ' || {inline('c_name')} || chr(10) || '> ' || chr(10) || replace(items, '@', '> ') || chr(10) || chr(10) || 'after' AS body
+      FROM ({of_customer})"""
+    md["md_quote_in_list"] = f"""SELECT conv_id AS page_id, string_agg('- ' || role || chr(10) || chr(10) || '  > ' || {inline(chr(40) + lit('x') + " || coalesce(text, '')" + chr(41))} || chr(10) || '  > ' || chr(10) || '  > > ' || role,
+      chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id"""
+    md["md_code_in_item"] = (f"SELECT event_id AS page_id, '1. ' || event_id || chr(10) || chr(10) || '   ' || {fence(longest('props'), 3)} || chr(10) || '   a' || chr(10) || chr(10) || '   ' || props || chr(10) || "
+                             f"'     b' || chr(10) || '   ' || {fence(longest('props'), 3)} || chr(10) || chr(10) || '2. end' AS body FROM events")
+    md["md_table_in_item"] = """SELECT l_orderkey AS page_id, '- ' || l_orderkey || chr(10) || chr(10) || '  | key | name |' || chr(10) || '  | --- | --- |' || chr(10) ||
+        string_agg('  | ' || l_linenumber || ' | ' || l_partkey || ' |', chr(10) ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR)) || chr(10) || chr(10) || '- end' AS body
+      FROM lineitem GROUP BY l_orderkey"""
+    pu, two = "chr(CAST(57344 + p_partkey % 6400 AS INTEGER))", "chr(10) || chr(10)"
+    md["md_private_use"] = f"""SELECT p_partkey AS page_id, {pu} || 'a**' || {pu} || {inline('p_name')} || '**[' || {pu} || '](/' || {pu} || ')' || {two} || '- ' || {pu} || {two}
+        || '```' || chr(10) || {pu} || chr(10) || '```' || {two} || '| ' || {pu} || ' |' || chr(10) || '| --- |' AS body FROM part"""
     md["md_blockquotes"] = f"""SELECT conv_id AS page_id, string_agg(CASE WHEN {inline('text')} = '' THEN '---' ELSE '> ' || {inline('text')} || chr(10) || chr(10) || '---' END,
       chr(10) || chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id"""
     nl = " || chr(10) || chr(10) || "
@@ -365,17 +376,18 @@ def oracles() -> dict[str, str]:
     md["image_escape"] = (f"SELECT p_partkey AS page_id, {inline(chr(40) + 'replace(replace(' + alt + ', ' + lit('[') + ', ' + lit('\\[') + '), ' + lit(']') + ', ' + lit('\\]') + ')' + chr(41))} AS alt, "
                           f"{title_esc} AS title FROM part")
     md["image_url_clean"] = f"SELECT p_partkey AS page_id, {has} AS kept FROM part"
-    cell2 = f"replace({inline(chr(40) + 'CASE WHEN n_nationkey % 5 = 0 THEN n_name || ' + lit(' | x') + ' ELSE n_name END' + chr(41))}, '|', '\\|')"
-    md["md_tables"] = f"""SELECT n_regionkey AS page_id, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) ||
-        string_agg('| ' || n_nationkey || ' | ' || {inline('n_name')} || ' |', chr(10) ORDER BY n_nationkey) AS body FROM nation GROUP BY 1
+    cell2 = f"replace({inline(chr(40) + 'CASE WHEN k % 5 = 0 THEN name || ' + lit(' | x') + ' ELSE name END' + chr(41))}, '|', '\\|')"
+    rows = "(SELECT l_orderkey, l_linenumber AS k, CAST(l_partkey AS VARCHAR) AS name FROM lineitem)"
+    md["md_tables"] = f"""SELECT l_orderkey AS page_id, '| key | name |' || chr(10) || '| --- | --- |' || chr(10) ||
+        string_agg('| ' || k || ' | ' || {inline('name')} || ' |', chr(10) ORDER BY k, name) AS body FROM {rows} GROUP BY 1
       UNION ALL
-      SELECT n_regionkey + 100 AS page_id, string_agg(CASE WHEN rn = 1 THEN line || chr(10) || '|' || repeat(' --- |', CAST(ncol AS INTEGER)) ELSE line END,
-          chr(10) ORDER BY n_nationkey) AS body
-      FROM (SELECT *, '| ' || n_nationkey || CASE WHEN n_nationkey % 3 = 0 THEN (CASE WHEN ncol = 2 THEN ' |  |' ELSE ' |' END)
+      SELECT l_orderkey + 10000000000 AS page_id, string_agg(CASE WHEN rn = 1 THEN line || chr(10) || '|' || repeat(' --- |', CAST(ncol AS INTEGER)) ELSE line END,
+          chr(10) ORDER BY k, name) AS body
+      FROM (SELECT *, '| ' || k || CASE WHEN k % 3 = 0 THEN (CASE WHEN ncol = 2 THEN ' |  |' ELSE ' |' END)
                 ELSE ' | ' || {cell2} || ' |' END AS line
-            FROM (SELECT *, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn,
-                   max(CASE WHEN n_nationkey % 3 = 0 THEN 1 ELSE 2 END) OVER (PARTITION BY n_regionkey) AS ncol FROM nation))
-      GROUP BY n_regionkey"""
+            FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY k, name) AS rn,
+                   max(CASE WHEN k % 3 = 0 THEN 1 ELSE 2 END) OVER (PARTITION BY l_orderkey) AS ncol FROM {rows}))
+      GROUP BY l_orderkey"""
     md["md_table_cells"] = f"SELECT p_partkey AS page_id, '| a\\|b | c |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || {inline('p_name')} || ' x | ' || {inline('p_brand')} || '\\| |' AS body FROM part"
     md["drop_elements"] = f"SELECT p_partkey AS page_id, {inline(chr(40) + 'p_name || ' + lit(' ') + ' || p_brand || ' + lit(' ') + ' || p_type' + chr(41))} AS body FROM part"
     md["transparent_elements"] = f"SELECT p_partkey AS page_id, {inline('p_name')} || ' and ' || {inline('p_brand')} AS body FROM part"

@@ -25,6 +25,9 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "pagem
                .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
                .config("spark.sql.shuffle.partitions", str(partitions))
                .config("spark.driver.memory", "16g")
+               # Off: each Column call otherwise tells the JVM its line of Python, which doubles
+               # the time it takes to build the conversion plan.
+               .config("spark.python.sql.dataFrameDebugging.enabled", "false")
                # The conversion plan generates several hundred classes; with the
                # default cache (100 entries) every run recompiles them.
                .config("spark.sql.codegen.cache.maxEntries", "4000"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from .pages import read_table
 
 
@@ -32,26 +33,28 @@ def _page(df: DataFrame, pid: Column, body: Column, root: str = "article") -> Da
                      .alias("url"), _wrap(body, root).alias("html"))
 
 
+def _item_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return read_table(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("k"), F.col("l_partkey").cast("string").alias("name"))
+
+
 def table_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """One page per region: a table of its nations with a thead header row."""
-    n = read_table(spark, sf, "nation")
-    rows = n.groupBy("n_regionkey").agg(_ordered_concat(F.col("n_nationkey"), F.concat(
-        F.lit("<tr><td>"), F.col("n_nationkey").cast("string"), F.lit("<td>"), esc("n_name"), F.lit("</tr>"))).alias("r"))
+    """One page per order: a table of its items with a thead header row."""
+    rows = _item_rows(spark, sf).groupBy("l_orderkey").agg(_ordered_concat(F.struct("k", "name"), F.concat(
+        F.lit("<tr><td>"), F.col("k").cast("string"), F.lit("<td>"), F.col("name"), F.lit("</tr>"))).alias("r"))
     body = F.concat(F.lit("<table><thead><tr><th>key<th>name</tr></thead><tbody>"), F.col("r"),
                     F.lit("</tbody></table>"))
-    return _page(rows, F.col("n_regionkey"), body)
+    return _page(rows, F.col("l_orderkey"), body)
 
 
 def uneven_table_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Rows without thead; the name cell is missing when key % 3 = 0 and holds a pipe
     when key % 5 = 0."""
-    n = read_table(spark, sf, "nation")
-    k = F.col("n_nationkey")
-    name = F.when(k % 5 == 0, F.concat(F.col("n_name"), F.lit(" | x"))).otherwise(F.col("n_name"))
+    k = F.col("k")
+    name = F.when(k % 5 == 0, F.concat(F.col("name"), F.lit(" | x"))).otherwise(F.col("name"))
     cell2 = F.when(k % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("<td>"), esc(name), F.lit("</td>")))
-    rows = n.groupBy("n_regionkey").agg(_ordered_concat(k, F.concat(
+    rows = _item_rows(spark, sf).groupBy("l_orderkey").agg(_ordered_concat(F.struct("k", "name"), F.concat(
         F.lit("<tr><td>"), k.cast("string"), F.lit("</td>"), cell2, F.lit("</tr>"))).alias("r"))
-    return _page(rows, F.col("n_regionkey"), F.concat(F.lit("<table>"), F.col("r"), F.lit("</table>")))
+    return _page(rows, F.col("l_orderkey"), F.concat(F.lit("<table>"), F.col("r"), F.lit("</table>")))
 
 
 def ordered_list_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,16 +65,61 @@ def ordered_list_pages(spark: SparkSession, sf: str) -> DataFrame:
     return _page(rows, F.col("o_custkey"), F.concat(F.lit("<ol>"), F.col("r"), F.lit("</ol>")))
 
 
+def _customer_orders(spark: SparkSession, sf: str, piece: Column) -> DataFrame:
+    """c_custkey, c_name and r: `piece` of the customer's orders by key."""
+    orders = read_table(spark, sf, "orders").groupBy("o_custkey").agg(_ordered_concat(F.col("o_orderkey"), piece).alias("r"))
+    c = read_table(spark, sf, "customer")
+    return orders.join(c, orders["o_custkey"] == c["c_custkey"]).select("c_custkey", "c_name", "r")
+
+
 def nested_list_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """One page per region: the region as an item with its nations nested, text after
-    the nested list, then a closing item."""
-    n = read_table(spark, sf, "nation")
-    r = read_table(spark, sf, "region")
-    items = n.groupBy("n_regionkey").agg(_ordered_concat(F.col("n_nationkey"), F.concat(
-        F.lit("<li>"), esc("n_name"), F.lit("</li>"))).alias("r"))
-    j = items.join(r, items["n_regionkey"] == r["r_regionkey"])
-    body = F.concat(F.lit("<ul><li>"), esc("r_name"), F.lit("<ul>"), F.col("r"), F.lit("</ul>tail</li><li>after</li></ul>"))
-    return _page(j, F.col("r_regionkey"), body)
+    """One page per customer with orders: the customer as an item with the orders nested, text
+    after the nested list, then a closing item."""
+    j = _customer_orders(spark, sf, F.concat(F.lit("<li>"), esc("o_orderpriority"), F.lit("</li>")))
+    body = F.concat(F.lit("<ul><li>"), esc("c_name"), F.lit("<ul>"), F.col("r"), F.lit("</ul>tail</li><li>after</li></ul>"))
+    return _page(j, F.col("c_custkey"), body)
+
+
+def list_in_quote_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """One page per customer with orders: a quote of a paragraph and a list, then a paragraph."""
+    j = _customer_orders(spark, sf, F.concat(F.lit("<li>"), esc("o_orderpriority")))
+    return _page(j, F.col("c_custkey"), F.concat(F.lit("<blockquote><p>"), esc("c_name"), F.lit("</p><ul>"), F.col("r"), F.lit("</ul></blockquote><p>after")))
+
+
+def quote_in_list_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """One page per conversation: a list of its turns, each an item of the role with a quote of the
+    text and, in that, a quote of the role."""
+    c = read_table(spark, sf, "conversations")
+    rows = c.groupBy("conv_id").agg(_ordered_concat(F.struct("turn", "role", "text"), F.concat(
+        F.lit("<li>"), esc("role"), F.lit("<blockquote><p>x"), esc("text"), F.lit("</p><blockquote>"), esc("role"), F.lit("</blockquote></blockquote></li>"))).alias("r"))
+    return _page(rows, F.col("conv_id"), F.concat(F.lit("<ul>"), F.col("r"), F.lit("</ul>")))
+
+
+def code_in_item_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """One page per event: an ordered list whose first item holds its JSON props as code between
+    other lines, one of them blank."""
+    e = read_table(spark, sf, "events")
+    return _page(e, F.col("event_id"), F.concat(F.lit("<ol><li>"), F.col("event_id").cast("string"), F.lit("<pre>a\n\n"), esc("props"),
+                                                F.lit("\n  b</pre></li><li>end</li></ol>")))
+
+
+def table_in_item_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """One page per order: a list item that holds the table of its items, then another item."""
+    rows = _item_rows(spark, sf).groupBy("l_orderkey").agg(_ordered_concat(F.struct("k", "name"), F.concat(
+        F.lit("<tr><td>"), F.col("k").cast("string"), F.lit("<td>"), F.col("name"))).alias("r"))
+    return _page(rows, F.col("l_orderkey"), F.concat(F.lit("<ul><li>"), F.col("l_orderkey").cast("string"), F.lit("<table><tr><th>key<th>name"), F.col("r"),
+                                                     F.lit("</table></li><li>end</ul>")))
+
+
+def private_use_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """One page per part: a private-use character (by p_partkey, U+E000-F8FF) beside names, in
+    emphasis, a link, its target, an item, a cell and code, as itself and as a reference."""
+    p = read_table(spark, sf, "part")
+    code = F.lit(0xE000) + F.col("p_partkey") % 6400
+    c, ref = T.codepoint_char(code), F.concat(F.lit("&#"), code.cast("string"), F.lit(";"))
+    body = F.concat(F.lit("<p>"), c, F.lit("a<b>"), ref, esc("p_name"), F.lit('</b><a href="/'), c, F.lit('">'), ref, F.lit("</a></p><ul><li>"), ref, F.lit("</ul><pre>"),
+                    c, F.lit("</pre><table><tr><td>"), c, F.lit("</table>"))
+    return _page(p, F.col("p_partkey"), body)
 
 
 def code_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -154,18 +202,17 @@ def quote_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def selector_pages(spark: SparkSession, sf: str) -> DataFrame:
-    """One page per region: nations as divs with id and classes inside a section
+    """One page per customer with orders: these as divs with id and classes inside a section
     under main; one decoy outside main."""
-    n = read_table(spark, sf, "nation")
-    k = F.col("n_nationkey")
+    k = F.col("o_orderkey")
     cls = F.concat(F.lit("nation k"), (k % 3).cast("string"), F.when(k % 4 == 0, F.lit(" hot")).otherwise(F.lit("")))
-    rows = n.groupBy("n_regionkey").agg(_ordered_concat(k, F.concat(
-        F.lit('<div id="n'), k.cast("string"), F.lit('" class="'), cls, F.lit('"><p>'), esc("n_name"),
+    rows = read_table(spark, sf, "orders").groupBy("o_custkey").agg(_ordered_concat(k, F.concat(
+        F.lit('<div id="n'), k.cast("string"), F.lit('" class="'), cls, F.lit('"><p>'), esc("o_orderpriority"),
         F.lit("</p></div>"))).alias("r"))
-    rk = F.col("n_regionkey").cast("string")
-    body = F.concat(F.lit('<main><section id="r'), rk, F.lit('" class="region r'), rk, F.lit('">'), F.col("r"),
+    ck = F.col("o_custkey").cast("string")
+    body = F.concat(F.lit('<main><section id="r'), ck, F.lit('" class="region r'), ck, F.lit('">'), F.col("r"),
                     F.lit('</section></main><div class="k1 hot">outside</div>'))
-    return _page(rows, F.col("n_regionkey"), body, root="div")
+    return _page(rows, F.col("o_custkey"), body, root="div")
 
 
 def response_pages(spark: SparkSession, sf: str) -> DataFrame:

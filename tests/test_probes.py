@@ -31,7 +31,7 @@ CASES = [
     ("text<h2>head</h2>text", "text\n\n## head\n\ntext"),                     # every block on its own line
     ("<pre>\n  # no heading\n\n\n\nx</pre>", "```\n  # no heading\n\n\n\nx\n```"),  # code untouched by line rules
     ("<p><b>a</b> <i>b</i></p>", "**a** *b*"),                                # space between inline elements kept
-    ("<ul><li>a<pre>x</pre></li></ul>", "- a\n\n```\nx\n```"),                # pre inside an item stays a block
+    ("<ul><li>a<pre>x</pre></li></ul>", "- a\n\n  ```\n  x\n  ```"),                # pre inside an item stays a block
 ]
 
 
