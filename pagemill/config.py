@@ -17,7 +17,7 @@ ALWAYS_IGNORED = "script,style,noscript,template"
 ROOT_FALLBACKS = ("main", "article", "body")
 DEFAULT_POST_TYPES = ("post", "page")
 CACHE_TTL_SECONDS = 12 * 3600
-CONVERTER_VERSION = 2
+CONVERTER_VERSION = 3
 ROOT_SELECTOR_MAX = 500
 IGNORE_SELECTORS_MAX = 2000
 

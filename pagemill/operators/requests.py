@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config, ConfigError
@@ -53,7 +53,10 @@ def _routed(requests: DataFrame) -> DataFrame:
 
 def _resolve(keys: DataFrame, pages: DataFrame, cfg: Config) -> DataFrame:
     """Distinct keys + page_id (NULL when unresolved)."""
-    routes = page_routes(pages)
+    return _resolve_routes(keys, page_routes(pages), cfg)
+
+
+def _resolve_routes(keys: DataFrame, routes: DataFrame, cfg: Config) -> DataFrame:
     if "host" in keys.columns:
         out = keys.join(routes, (T_lower(F.col("host")) == F.col("route_host")) & (F.col("route_key") == F.col("route")), "left")
     else:  # one site: the host doesn't matter
@@ -105,9 +108,22 @@ def classify_requests(requests: DataFrame, pages: DataFrame, servable: DataFrame
     Decisions are made once for each distinct (route, method, Accept)."""
     r = _routed(requests)
     keys = [*_route_keys(requests), "method", "accept"]
-    page_state = (servable.select("page_id", "deny_reason", F.lit(True).alias("known"))
-                  .join(documents.select("page_id").distinct().withColumn("has_doc", F.lit(True)), "page_id", "left"))
-    rr = _resolve(r.select(*keys).distinct(), pages, cfg).join(page_state, "page_id", "left")
+    rr = _resolve(r.select(*keys).distinct(), pages, cfg).join(page_states(servable, documents), "page_id", "left")
+    return _attach(r, _decide(rr, cfg).select(*keys, *DECISION), keys).select("req_id", "page_id", "is_md", *DECISION[1:])
+
+
+#: What is decided for a request.
+DECISION = ["page_id", "representation", "status", "reason", "varies_on_accept"]
+
+
+def page_states(servable: DataFrame, documents: DataFrame) -> DataFrame:
+    """page_id, deny_reason, known, has_doc of each page with metadata."""
+    return (servable.select("page_id", "deny_reason", F.lit(True).alias("known"))
+            .join(documents.select("page_id").distinct().withColumn("has_doc", F.lit(True)), "page_id", "left"))
+
+
+def _decide(rr: DataFrame, cfg: Config) -> DataFrame:
+    """Rows with is_md, method, accept, page_id and its state, with DECISION's columns."""
     rr = rr.withColumn("_ranges", accept_ranges(F.col("accept")))
     rr = rr.withColumn("wants", markdown_preferred(F.col("_ranges"), cfg.accept_markdown_wildcards))
     servable_now = F.col("page_id").isNotNull() & F.coalesce(F.col("known"), F.lit(False)) & F.col("deny_reason").isNull()
@@ -128,6 +144,43 @@ def classify_requests(requests: DataFrame, pages: DataFrame, servable: DataFrame
     reason = (F.when(md & F.col("page_id").isNull(), F.lit("unresolved"))
               .when(md & ~ok, F.coalesce("deny_reason", F.lit("no_metadata")))
               .when((md | (neg & wants)) & ~has_doc, F.lit("no_document")))
-    decided = rr.select(*keys, "page_id", representation.alias("representation"), status.cast("int").alias("status"),
-                        reason.alias("reason"), neg.alias("varies_on_accept"))
-    return _attach(r, decided, keys).select("req_id", "page_id", "is_md", "representation", "status", "reason", "varies_on_accept")
+    return rr.withColumns({"representation": representation, "status": status.cast("int"), "reason": reason, "varies_on_accept": neg})
+
+
+# ---------------------------------------------------------------------------
+# Routes and page states as stored tables, for requests that come as a stream.
+
+def write_route_index(pages: DataFrame, servable: DataFrame, documents: DataFrame, path: str) -> None:
+    """Store what decisions need of the pages: routes, and page states."""
+    page_routes(pages).write.mode("overwrite").parquet(f"{path}/routes")
+    page_states(servable, documents).write.mode("overwrite").parquet(f"{path}/states")
+
+
+def read_route_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return (spark.read.schema("route_host string, route string, routed_id long").parquet(f"{path}/routes"),
+            spark.read.schema("page_id long, deny_reason string, known boolean, has_doc boolean").parquet(f"{path}/states"))
+
+
+def _salted(small: DataFrame) -> DataFrame:
+    return small.withColumn("_small_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
+def classify_rows(requests: DataFrame, routes: DataFrame, states: DataFrame, cfg: Config) -> DataFrame:
+    """classify_requests row by row, from stored routes and states: joins with tables at rest alone, so
+    `requests` can be a stream.  Requests are spread over SALTS tasks a route and page, as nothing
+    gathers them to distinct ones first."""
+    r = _routed(requests).withColumn("_salt", F.pmod(F.xxhash64("req_id"), F.lit(SALTS)).cast("int"))
+    if "host" in requests.columns:
+        on = (T_lower(F.col("host")) == F.col("route_host")) & (F.col("route_key") == F.col("route"))
+    else:
+        routes = routes.groupBy("route").agg(F.min("routed_id").alias("routed_id"))
+        on = F.col("route_key") == F.col("route")
+    rr = r.join(_salted(routes), on & (F.col("_salt") == F.col("_small_salt")), "left").drop("_small_salt")
+    front = _front_page(cfg, F.col("site_id") if "site_id" in requests.columns else None)
+    page = F.col("routed_id")
+    if front is not None:
+        page = F.when(F.col("route_key").isin("", INDEX), F.coalesce(front, page)).otherwise(page)
+    rr = rr.withColumn("page_id", page)
+    states = _salted(states.withColumnRenamed("page_id", "_state_page"))
+    rr = rr.join(states, (F.col("page_id") == F.col("_state_page")) & (F.col("_salt") == F.col("_small_salt")), "left")
+    return _decide(rr, cfg).select("req_id", "page_id", "is_md", *DECISION[1:])

@@ -26,7 +26,7 @@ from ..sources import fixtures as FX
 from ..sources import synthetic as SY
 from ..sources.pages import admit_pages, load_pages, read_table, write_documents
 from .convert import html_to_markdown
-from .pipeline import convert_pages, refresh_documents
+from .pipeline import convert_pages, refresh_documents, refresh_store
 
 def _as_of():
     return F.to_timestamp(F.lit(FX.AS_OF))
@@ -498,6 +498,14 @@ def q_classify_requests(spark, sf):
     return _classified(spark, sf).select("req_id", "page_id", "representation", "status", "reason")
 
 
+def q_classify_stream(spark, sf):
+    """The same decisions on the requests as a stream."""
+    from ..streaming.stream import stream_requests
+    live = ST.live_documents(_docs_store(spark, sf, NEGOTIATE), _as_of(), NEGOTIATE)
+    out = stream_requests(FX.requests(spark, sf), _pages(spark, sf), _servable(spark, sf, NEGOTIATE), live, NEGOTIATE)
+    return out.select("req_id", "page_id", "representation", "status", "reason")
+
+
 def q_varies_on_accept(spark, sf):
     return _classified(spark, sf).select("req_id", "varies_on_accept")
 
@@ -535,6 +543,26 @@ def q_refresh_documents(spark, sf):
     return snap.select("page_id", "generation", "document", (F.col("body") == "stored").alias("from_store"))
 
 
+def _written_store(spark, sf, **kw) -> str:
+    path = scratch_dir(spark, "store")
+    ST.write_store(_docs_store(spark, sf, **kw), path)
+    return path
+
+
+def q_refresh_store(spark, sf):
+    """refresh_documents on a written store, in place."""
+    path = _written_store(spark, sf, absent=True)
+    refresh_store(_pages(spark, sf), FX.pages_meta(spark, sf), path, Config(), _as_of(), FX.terms(spark, sf))
+    return ST.read_store(spark, path).select("page_id", "generation", "document", (F.col("body") == "stored").alias("from_store"))
+
+
+def q_purge_store(spark, sf):
+    """purge_site on a written store: the site's folders go."""
+    path = _written_store(spark, sf)
+    ST.purge_store(spark, path, [2])
+    return ST.read_store(spark, path).select("page_id", "site_id")
+
+
 def q_purge_site(spark, sf):
     return ST.purge_site(_docs_store(spark, sf), [2]).select("page_id", "site_id")
 

@@ -443,7 +443,7 @@ def oracles() -> dict[str, str]:
            WHEN is_md THEN 200 WHEN neg AND wants AND NOT has_doc THEN 503 WHEN neg AND wants THEN 200 END AS status,
       CASE WHEN is_md AND page_id IS NULL THEN 'unresolved' WHEN is_md AND NOT ok THEN deny_reason
            WHEN (is_md OR (neg AND wants)) AND NOT has_doc THEN 'no_document' END AS reason) y"""
-    md["classify_requests"] = cls
+    md["classify_requests"] = md["classify_stream"] = cls
     md["varies_on_accept"] = _with(META, SERVABLE, REQ, RESOLVED) + """SELECT r.req_id,
       coalesce(NOT r.is_md AND upper(r.method) IN ('GET', 'HEAD') AND r.page_id IS NOT NULL AND s.deny_reason IS NULL, false) AS varies_on_accept
       FROM resolved r LEFT JOIN servable s ON s.page_id = r.page_id"""
@@ -457,7 +457,8 @@ def oracles() -> dict[str, str]:
         from_store, CASE WHEN from_store THEN '---' || chr(10) || 'url: ' || url || chr(10) || '---' || chr(10) || chr(10) || 'stored' || chr(10) ELSE document END AS document
       FROM (SELECT fp.page_id, url, document, (fp.page_id, fingerprint) IN (SELECT (page_id, fingerprint) FROM live) AS from_store
         FROM fp JOIN meta USING (page_id) JOIN docs USING (page_id))"""
-    md["purge_site"] = _with(META, _store(cfg)) + "SELECT page_id, site_id FROM store WHERE site_id <> 2"
+    md["refresh_store"] = md["refresh_documents"]
+    md["purge_site"] = md["purge_store"] = _with(META, _store(cfg)) + "SELECT page_id, site_id FROM store WHERE site_id <> 2"
     md["retired_documents"] = _with(META, SERVABLE, _store(cfg)) + \
         "SELECT st.page_id FROM store st LEFT JOIN servable s USING (page_id) WHERE s.deny_reason IS NOT NULL OR s.page_id IS NULL"
     return md

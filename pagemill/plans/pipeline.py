@@ -10,6 +10,7 @@ from ..operators import metadata as MD
 from ..operators import store as ST
 from ..operators import tokens as K
 from ..session import scratch_dir
+from ..sources import parts as PT
 from ..sources.pages import admit_pages
 from .convert import html_to_markdown
 
@@ -70,24 +71,69 @@ def refresh_documents(pages: DataFrame, meta: DataFrame, store: DataFrame, cfg:
     any exchange, so only their HTML moves; beyond BROADCAST_IDS stale pages Spark's own join
     picks them.  With nothing stale no page is read again.  ttl: seconds, a Column over the
     store (default: the job's)."""
+    live = ST.live_documents(store, as_of, cfg, ttl)
+    state = _page_state(pages, meta, live, cfg)
+    kept = live.join(state.filter("not stale").select("page_id", "fingerprint"), ["page_id", "fingerprint"], "left_semi").select(*store.columns)
+    fresh = _fresh_documents(state, pages, meta, cfg, as_of, terms, hooks)
+    return kept if fresh is None else kept.select(*fresh.columns).unionByName(fresh)
+
+
+def _page_state(pages: DataFrame, meta: DataFrame, live: DataFrame, cfg: Config) -> DataFrame:
+    """page_id, fingerprint, stale (no live document has that fingerprint) of each page, a narrow
+    table written to the scratch folder."""
     spark = pages.sparkSession
     hashed = pages.select("page_id", F.md5("html").alias("html_md5"))
     fp = meta.join(hashed, "page_id").select(
         "page_id", ST.fingerprint_of_hash(F.col("site_id"), F.col("page_id"), F.col("modified_at"),
                                           F.col("html_md5"), cfg).alias("fingerprint"))
-    live = ST.live_documents(store, as_of, cfg, ttl)
     known = live.select("page_id", "fingerprint").distinct().withColumn("live", F.lit(True))
     state = fp.join(known, ["page_id", "fingerprint"], "left").withColumn("stale", F.col("live").isNull()).drop("live")
     path = scratch_dir(spark, "fingerprints")
     state.write.parquet(path)
-    state = spark.read.schema(state.schema).parquet(path)
-    kept = live.join(state.filter("not stale").select("page_id", "fingerprint"), ["page_id", "fingerprint"], "left_semi").select(*store.columns)
+    return spark.read.schema(state.schema).parquet(path)
+
+
+def _fresh_documents(state: DataFrame, pages: DataFrame, meta: DataFrame, cfg: Config, as_of: Column, terms: DataFrame | None, hooks: dict) -> DataFrame | None:
+    """The stale pages' documents; None if no page is stale."""
     stale = state.filter("stale").select("page_id")
     n_stale = stale.count()
     if not n_stale:
-        return kept
+        return None
     ids = F.broadcast(stale) if n_stale <= BROADCAST_IDS else stale
     pick = lambda df: df.join(ids, "page_id", "left_semi")
-    fresh = convert_pages(pick(pages), pick(meta), cfg, None if terms is None else pick(terms), as_of, **hooks) \
+    return convert_pages(pick(pages), pick(meta), cfg, None if terms is None else pick(terms), as_of, **hooks) \
         .filter(F.col("fail_reason").isNull()).drop("fail_reason")
-    return kept.select(*fresh.columns).unionByName(fresh)
+
+
+def refresh_store(pages: DataFrame, meta: DataFrame, path: str, cfg: Config, as_of: Column, terms: DataFrame | None = None,
+                  ttl: Column | None = None, buckets: int = PT.BUCKETS, **hooks) -> list[PT.Part]:
+    """refresh_documents() on a written store, in place; returns the parts (site_id, bucket) changed.
+
+    Only the narrow columns of the store are scanned to find what is stale or to be dropped (lapsed,
+    changed, of pages that are gone).  The parts those pages are in are read whole, and written anew with
+    the fresh documents; all other folders stay as they are."""
+    spark = pages.sparkSession
+    # Whatever is stored has a document (store_rows), so that column needn't be read for this.
+    narrow = ST.read_store(spark, path).drop("document", "body", "front_matter").withColumn("document", F.lit("-"))
+    state = _page_state(pages, meta, ST.live_documents(narrow, as_of, cfg, ttl), cfg)
+    current = state.filter("not stale").select("page_id", "fingerprint")
+
+    def keep(rows: DataFrame) -> DataFrame:
+        return ST.live_documents(rows, as_of, cfg, ttl).join(current, ["page_id", "fingerprint"], "left_semi")
+
+    # A stored row counts as dropped by what keep() keeps: row by row, as a key can be stored twice.
+    marked = narrow.withColumn("live", ST.is_live(as_of, cfg, ttl)).join(
+        current.withColumn("same", F.lit(True)), ["page_id", "fingerprint"], "left")
+    parts = set(PT.touched(marked.filter("not live or same is null"), ST.STORE_PARTS))
+    fresh = _fresh_documents(state, pages, meta, cfg, as_of, terms, hooks)
+    if fresh is not None:
+        aside = scratch_dir(spark, "fresh")
+        rows = ST.store_rows(fresh, buckets)
+        rows.write.parquet(aside)
+        fresh = spark.read.schema(rows.schema).parquet(aside)
+        parts |= set(PT.touched(fresh, ST.STORE_PARTS))
+    if parts:
+        old = ST.read_store(spark, path, sorted(parts, key=str))
+        rows = keep(old).select(*old.columns)
+        PT.replace_parts(rows if fresh is None else rows.unionByName(fresh), path, ST.STORE_PARTS, list(parts))
+    return sorted(parts, key=str)
