@@ -13,14 +13,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.session import scratch_dir
 
-from .common import read_table, stash
+from .common import open_folder, read_table, stash
 from .eliasfano import EliasFano, encode
 
 _FOOT = "<8sBIQQQ"
@@ -33,12 +32,13 @@ class ChunkEncoder:
     A text is cut before each blank or line feed that stands between two other characters.  No
     pre-token goes over such a place, so the ids of the chunks, one after another, are the ids of
     the text.  Each distinct chunk is encoded once, many in a call.  Texts in which some chunk
-    begins or ends with white space (runs of blanks, tabs) are encoded whole."""
+    begins or ends with white space (runs of blanks, tabs), or that hold the string of an added
+    token (which the library finds before it cuts words), are encoded whole."""
 
-    def __init__(self, path: str, max_kept: int = 1 << 20):
+    def __init__(self, path: str, max_kept: int = 3 << 19):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.max_kept = max_kept
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
@@ -88,7 +88,7 @@ class ChunkEncoder:
         out: list[bytes] = []
         for t, head, rest, first in zip(texts, heads, rows, self._plain(heads)):
             parts = list(map(known, rest))
-            if rest and (not head or head[-1].isspace()) or None in parts:
+            if rest and (not head or head[-1].isspace()) or None in parts or any(map(t.__contains__, self.added)):
                 out.extend(self._plain([t]))
             else:
                 out.append(first + b"".join(parts))
@@ -105,10 +105,6 @@ def encoder(path: str) -> ChunkEncoder:
     return _ENCODERS[path]
 
 
-def _open(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if not uri.startswith("file:") else "file://" + uri[5:])
-
-
 def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 0, name: str = "token-files") -> DataFrame:
     """Write the ids of every text and return the manifest: file, first (place of its first
     document in doc_id order), n_docs, n_ids, in the order of the files' ranges.
@@ -128,13 +124,13 @@ def write_token_files(docs: DataFrame, vocabulary: str, end_id: int = 0, name: s
             if not b.num_rows:
                 continue
             if out is None:
-                where, base = _open(folder)
+                where, base = open_folder(folder)
                 where.create_dir(base, recursive=True)
                 path = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.ids"
                 out = where.open_output_stream(f"{base}/{path}")
             texts = [t.as_py() or "" for t in b.column(1)]
-            for s in range(0, len(texts), 500):
-                done = enc.encode(texts[s:s + 500])
+            for s in range(0, len(texts), 2000):
+                done = enc.encode(texts[s:s + 2000])
                 sizes = np.array([len(x) // enc.dtype.itemsize + 1 for x in done], np.int64)
                 out.write(end.join([*done, b""]))
                 ends.append(at + np.cumsum(sizes))
@@ -159,7 +155,7 @@ class TokenFile:
     """A file of write_token_files(): documents by their place in it."""
 
     def __init__(self, uri: str):
-        where, path = _open(uri)
+        where, path = open_folder(uri)
         self.file = where.open_input_file(path)
         size = self.file.size()
         magic, self.width, self.nulls, self.ids_size, ends, keys = struct.unpack(_FOOT, self.file.read_at(struct.calcsize(_FOOT), size - struct.calcsize(_FOOT)))

@@ -114,23 +114,23 @@ def test_quality_counts(spark, odd_rows):
 def test_frequent_lines_deplete(spark):
     rng = random.Random(9)
     line = " ".join(prose(rng, 1) for _ in range(40))
-    rows = [(i, line.upper() + "  \n" + prose(rng, 30), "h") for i in range(12)]          # 40 of 70 words are the line
-    rows += [(100 + i, line + "\n" + prose(rng, 100), "h") for i in range(8)]              # kept, mostly their own
+    rows = [(i, line.upper() + "  \n" + prose(rng, 30), "h") for i in range(22)]          # 40 of 70 words are the line
+    rows += [(100 + i, line + "\n" + prose(rng, 100), "h") for i in range(20)]              # kept, mostly their own
     rows += [(200 + i, prose(rng, 60), "h") for i in range(100)]                           # clean
     rows += [(300 + i, rows[-1][1], "h") for i in range(60)]                               # copies count once
     rows += [(400, rows[0][1], "other"), (None, rows[0][1], "h"), rows[3]]                 # another host; null id; repeated row
     out = {}
     for r in quality.line_rules(make(spark, rows)).collect():
         out.setdefault(r.doc_id, []).append(r)
-    assert all(not r.kept and r.n_line_words == 40 for i in range(12) for r in out[i]) and len(out[3]) == 2
-    assert all(out[100 + i][0].kept and out[100 + i][0].n_line_words == 40 for i in range(8))
+    assert all(not r.kept and r.n_line_words == 40 for i in range(22) for r in out[i]) and len(out[3]) == 2
+    assert all(out[100 + i][0].kept and out[100 + i][0].n_line_words == 40 for i in range(20))
     assert all(out[i][0].kept for i in [*range(200, 300), *range(300, 360), 400]) and not out[None][0].kept
 
 
 def test_frequent_lines_are_removed(spark):
     rng = random.Random(10)
     line = "  Share this PAGE with 12 friends "
-    bodies = [prose(rng, 60) + "\n\n" + prose(rng, 60) for _ in range(9)]
+    bodies = [prose(rng, 60) + "\n\n" + prose(rng, 60) for _ in range(19)]
     rows = [(i, f"{line}\n{b}\n\n{line.strip().lower()}\n", "h") for i, b in enumerate(bodies)]
     rows += [(20, rows[0][1], "other"), (None, rows[1][1], "h"), rows[2], (21, prose(rng, 70) + "\n\n x ", "h"), (22, line, "h"), (23, None, "h"), (24, "", "h")]
     want = Counter((i, f"{b}\n\n") for i, b in enumerate(bodies))

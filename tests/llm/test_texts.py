@@ -106,7 +106,6 @@ def test_token_files(spark, odd_rows):
     from tokenizers import Tokenizer
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     odd = [" ", "a \n b", "  a  b", "a\tb c\n\nd", "x <|endoftext|> y", "it's we'll\n'tis", "a b c", "a, b. c! d\n.e f.' h's, 1, ,", "a\x85 b"]
     rows = odd_rows + [(70 + i, t, "s0") for i, t in enumerate(odd)] + [(-5, "negative", None)]
     out = tokenids.read_token_files(tokenids.write_token_files(make(spark, rows), path)).collect()
