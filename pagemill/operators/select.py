@@ -1,7 +1,8 @@
 """CSS-subset selection over token rows: tag, #id, .class, combined forms, descendant
-and child combinators.  Each selector step is a column predicate; a descendant step
-is one running-max window ("inside an element matched by the previous step"), a
-child step one window over (page_id, depth).  No joins, no exchange."""
+and child combinators.  All selectors advance together, a step at a time: the n-th steps of
+all of them take one running-max window for descendants ("inside an element matched by the step
+before") and one window over (page_id, depth) for children.  So the plan grows with the longest
+selector, not with their number.  No joins, no exchange."""
 
 from __future__ import annotations
 
@@ -35,62 +36,62 @@ def _inside(flag: str) -> Column:
     return F.coalesce(F.max(F.when(F.col(flag), F.col("hi"))).over(w) >= F.col("pos"), F.lit(False))
 
 
-def _parent_has(df: DataFrame, flag: str, out: str) -> DataFrame:
-    """`out` = the token's parent element has `flag`.  Element rows are candidates at
-    their own depth and look one level up for their parent."""
+def _parents_have(df: DataFrame, flags: dict[str, str]) -> DataFrame:
+    """For each out -> flag: `out` = the token's parent element has `flag`.  Element rows are
+    candidates at their own depth and look one level up for their parent."""
     elem = T.among("kind", ["open", "raw"])
     look = F.when(elem, F.col("depth") - 1).otherwise(F.col("depth"))
-    roles = F.when(elem, F.array(
-        F.struct(F.col("depth").alias("_k"), F.lit(0).alias("_role"), F.col(flag).alias("_v")),
-        F.struct(look.alias("_k"), F.lit(1).alias("_role"), F.lit(None).cast("boolean").alias("_v"))
-    )).otherwise(F.array(F.struct(look.alias("_k"), F.lit(1).alias("_role"),
-                                  F.lit(None).cast("boolean").alias("_v"))))
+    own = F.struct(*[F.col(f).alias(out) for out, f in flags.items()])
+    none = F.lit(None).cast("struct<" + ", ".join(f"{out}: boolean" for out in flags) + ">")
+    seek = F.struct(look.alias("_k"), F.lit(1).alias("_role"), none.alias("_v"))
+    roles = F.when(elem, F.array(F.struct(F.col("depth").alias("_k"), F.lit(0).alias("_role"), own.alias("_v")), seek)).otherwise(F.array(seek))
     x = df.withColumn("_x", F.explode(roles)).select("*", "_x.*").drop("_x")
     w = running(Window.partitionBy("page_id", "_k").orderBy("pos", "_role"))
-    x = x.withColumn(out, F.coalesce(F.last("_v", ignorenulls=True).over(w), F.lit(False)))
-    return x.filter(F.col("_role") == 1).drop("_k", "_role", "_v")
+    x = x.withColumn("_got", F.last("_v", ignorenulls=True).over(w)).filter("_role = 1")
+    return x.withColumns({out: F.coalesce(F.col("_got")[out], F.lit(False)) for out in flags}).drop("_k", "_role", "_v", "_got")
+
+
+def match_selectors(df: DataFrame, selectors: dict[str, tuple[Step, ...]], scope: Column | None = None) -> DataFrame:
+    """Adds a boolean for each out -> compiled selector: element rows that match it.  `scope`
+    restricts the first steps (relative selection inside a context element)."""
+    run = next(_ids)
+    at = {out: f"_m{run}_{i}" for i, out in enumerate(selectors)}  # by selector: the column of the step it has reached
+    for n in range(max(map(len, selectors.values()), default=0)):
+        here = {out: steps[n] for out, steps in selectors.items() if n < len(steps)}
+        if n == 0:
+            df = df.withColumns({at[out]: simple_match(st) if scope is None else simple_match(st) & scope for out, st in here.items()})
+            continue
+        children = {f"{at[out]}_p": at[out] for out, st in here.items() if st.child}
+        if children:
+            df = _parents_have(df, children)
+        under = {f"{at[out]}_p": _inside(at[out]) for out, st in here.items() if not st.child}
+        if under:
+            df = df.withColumns(under)
+        df = df.withColumns({at[out]: simple_match(st) & F.col(f"{at[out]}_p") for out, st in here.items()}).drop(*[f"{at[out]}_p" for out in here])
+    return df.withColumnsRenamed({c: out for out, c in at.items()})
 
 
 def match_selector(df: DataFrame, steps: tuple[Step, ...], out: str,
                    scope: Column | None = None) -> DataFrame:
-    """Adds boolean `out`: element rows matching the compiled selector.  `scope`
-    restricts the first step (relative selection inside a context element)."""
-    tag = next(_ids)
-    prev = None
-    for i, st in enumerate(steps):
-        name = f"_m{tag}_{i}"
-        cond = simple_match(st)
-        if prev is None:
-            if scope is not None:
-                cond = cond & scope
-            df = df.withColumn(name, cond)
-        elif st.child:
-            df = _parent_has(df, prev, f"{name}_p")
-            df = df.withColumn(name, cond & F.col(f"{name}_p")).drop(f"{name}_p")
-        else:
-            df = df.withColumn(name, cond & _inside(prev))
-        if prev is not None:
-            df = df.drop(prev)
-        prev = name
-    return df.withColumnRenamed(prev, out)
+    """Adds boolean `out`: element rows matching the compiled selector."""
+    return match_selectors(df, {out: steps}, scope)
 
 
 def match_any(df: DataFrame, selectors: tuple[tuple[Step, ...], ...], out: str,
               scope: Column | None = None) -> DataFrame:
     """Union of several selectors (comma / newline alternatives)."""
-    simple = [s for s in selectors if len(s) == 1]
-    complex_ = [s for s in selectors if len(s) > 1]
-    cond = F.lit(False)
-    for s in simple:
-        cond = cond | simple_match(s[0])
+    run = next(_ids)
+    names = {f"_any{run}_{i}": s for i, s in enumerate(selectors) if len(s) > 1}
+    df = match_selectors(df, names, scope)
+    plain = F.lit(False)
+    for s in selectors:
+        if len(s) == 1:
+            plain = plain | simple_match(s[0])
     if scope is not None:
-        cond = cond & scope
-    df = df.withColumn(out, cond)
-    for s in complex_:
-        tmp = f"_any{next(_ids)}"
-        df = match_selector(df, s, tmp, scope)
-        df = df.withColumn(out, F.col(out) | F.col(tmp)).drop(tmp)
-    return df
+        plain = plain & scope
+    for n in names:
+        plain = plain | F.col(n)
+    return df.withColumn(out, plain).drop(*names)
 
 
 def main_content(df: DataFrame, cfg: Config) -> DataFrame:
@@ -99,14 +100,8 @@ def main_content(df: DataFrame, cfg: Config) -> DataFrame:
     then `main`, `article`, `body`.  Pages with no root get NULLs."""
     selectors = list(cfg.root_steps) + list(compile_selector_list(",".join(ROOT_FALLBACKS)))
     prio = F.lit(None).cast("int")
-    names = []
-    for i, steps in enumerate(selectors):
-        name = f"_root{i}"
-        if len(steps) == 1:
-            df = df.withColumn(name, simple_match(steps[0]))
-        else:
-            df = match_selector(df, steps, name)
-        names.append(name)
+    names = [f"_root{i}" for i in range(len(selectors))]
+    df = match_selectors(df, dict(zip(names, selectors)))
     for i in reversed(range(len(names))):
         prio = F.when(F.col(names[i]), F.lit(i)).otherwise(prio)
     inner_hi = F.when(F.col("closed"), F.col("hi") - 1).otherwise(F.col("hi"))

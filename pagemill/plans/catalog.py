@@ -150,8 +150,7 @@ def _with_tree(pages):
 def q_match_selector(spark, sf):
     t = _with_tree(SY.selector_pages(spark, sf))
     sels = {"child": ".region > .k1", "desc": "main .hot", "compound": "div.nation.k2", "id": "#n3"}
-    for name, s in sels.items():
-        t = S.match_selector(t, compile_selector_list(s)[0], f"m_{name}")
+    t = S.match_selectors(t, {f"m_{name}": compile_selector_list(s)[0] for name, s in sels.items()})
     key = F.regexp_extract(F.col("attrs").getItem("id"), r"^n(\d+)$", 1)
     return t.groupBy("page_id").agg(*[F.array_join(F.array_sort(F.collect_list(
         F.when(F.col(f"m_{n}"), F.lpad(key, 12, "0")))), ",").alias(n) for n in sels])

@@ -101,3 +101,25 @@ def test_strip_tags(spark):
              ("a < b > c <d", "a < b > c"), ("x<!--y <b>z", "x"), ("<p>a</p>\n <i>b</i>", "a b")]
     got = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i int, h string").select("i", T.strip_tags("h").alias("t")).collect()
     assert [r.t for r in sorted(got)] == [w for _, w in cases]
+
+
+def test_plans_dont_grow_with_selectors(spark):
+    """Ten selectors of two or three steps take as many windows and sorts as two; what each selects
+    is what it selects alone."""
+    from pagemill.config import compile_selector_list
+    from pagemill.operators import select as S
+    html = "<div class='a'><p id='x'>1</p><section><p>2<b>3</b></p></section></div><ul><li>4<ul><li><p>5</p></ul></ul><p>6</p>"
+    t = N.with_tree(N.element_spans(K.page_tokens(spark.createDataFrame([(1, "u", html)], PAGES)))).cache()
+    texts = ["div p", "div > p", "ul li p", "ul > li > p", ".a section > p", "li li", "div > section b", "p > b", "ul ul > li", "section p b"]
+    many = {f"s{i}": compile_selector_list(x)[0] for i, x in enumerate(texts)}
+
+    def steps(names):
+        plan = S.match_selectors(t, {n: many[n] for n in names})._jdf.queryExecution().sparkPlan().toString()
+        return plan.count("Window "), plan.count("Sort "), plan.count("Generate ")
+    assert steps(many) == steps(["s2", "s3"])
+    rows = S.match_selectors(t, many).filter(F.col("kind") == "open").collect()
+    for n, sel in many.items():
+        alone = S.match_selector(t, sel, "m").filter("m").collect()
+        assert sorted(r.pos for r in rows if r[n]) == sorted(r.pos for r in alone)
+    got = {x: len([r for r in rows if r[f"s{i}"]]) for i, x in enumerate(texts)}
+    assert got == {"div p": 2, "div > p": 1, "ul li p": 1, "ul > li > p": 1, ".a section > p": 1, "li li": 1, "div > section b": 1, "p > b": 1, "ul ul > li": 1, "section p b": 1}
