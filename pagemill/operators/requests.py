@@ -24,10 +24,19 @@ def page_routes(pages: DataFrame) -> DataFrame:
     """(route_host, route, routed_id): the page of each host's URL path (without surrounding
     slashes, decoded).  '' is the host's root, INDEX the page named index, else the root.
     Where several pages of a host share a path (queries), the lowest page_id wins."""
+    return _first_routes(_route_candidates(pages))
+
+
+def _route_candidates(pages: DataFrame) -> DataFrame:
+    """(route_host, route, rank, page_id): every page under each of its routes."""
     p = pages.select("page_id", url_host(F.col("url")).alias("route_host"), _key(url_path(F.col("url"))).alias("route"))
     own = p.select("route_host", "route", F.lit(0).alias("rank"), "page_id")
     index = p.filter(F.lower("route").isin("index", "")).select("route_host", F.lit(INDEX).alias("route"), F.when(F.col("route") == "", 1).otherwise(0).alias("rank"), "page_id")
-    return (own.unionByName(index).groupBy("route_host", "route").agg(F.min(F.struct("rank", "page_id")).alias("first"))
+    return own.unionByName(index)
+
+
+def _first_routes(candidates: DataFrame) -> DataFrame:
+    return (candidates.groupBy("route_host", "route").agg(F.min(F.struct("rank", "page_id")).alias("first"))
             .select("route_host", "route", F.col("first.page_id").alias("routed_id")))
 
 
@@ -84,8 +93,23 @@ def _route_keys(requests: DataFrame) -> list[str]:
     return [*[c for c in ("host", "site_id") if c in requests.columns], "is_md", "route_key"]
 
 
-def resolve_requests(requests: DataFrame, pages: DataFrame, cfg: Config) -> DataFrame:
-    """requests + is_md, route_key, page_id (NULL when unresolved).
+def save_routes(pages: DataFrame, table: str, path: str, buckets: int = 32) -> None:
+    """Keep the routes of `pages` as a table bucketed and sorted by (host, route), its files in
+    `path`, a shared folder: a bucket a file."""
+    rows = _route_candidates(pages).repartition(buckets, "route_host", "route")
+    (rows.write.bucketBy(buckets, "route_host", "route").sortBy("route_host", "route")
+     .option("path", path).mode("overwrite").saveAsTable(table))
+
+
+def saved_routes(spark: SparkSession, table: str) -> DataFrame:
+    """page_routes() of a saved table: its rows stay in their buckets, for the choice of the first page
+    of a route as for joins by (host, route)."""
+    return _first_routes(spark.table(table))
+
+
+def resolve_requests(requests: DataFrame, pages: DataFrame, cfg: Config, routes: DataFrame | None = None) -> DataFrame:
+    """requests + is_md, route_key, page_id (NULL when unresolved).  routes: saved_routes() in place
+    of those of `pages`; then requests alone are moved, to the buckets of their routes.
 
     requests: req_id, path, and host where there are several sites (site_id for front pages by
     site).  '.md' routes use the captured route, other requests their own path; '/' and
@@ -93,7 +117,8 @@ def resolve_requests(requests: DataFrame, pages: DataFrame, cfg: Config) -> Data
     aggregated to their routes before the join with the pages, then take the answer back."""
     r = _routed(requests)
     keys = _route_keys(requests)
-    return _attach(r, _resolve(r.select(*keys).distinct(), pages, cfg), keys)
+    found = _resolve_routes(r.select(*keys).distinct(), page_routes(pages) if routes is None else routes, cfg)
+    return _attach(r, found, keys)
 
 
 def classify_requests(requests: DataFrame, pages: DataFrame, servable: DataFrame, documents: DataFrame,

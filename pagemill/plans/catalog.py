@@ -443,6 +443,15 @@ def q_resolve_requests(spark, sf):
     return r.select("req_id", "is_md", "page_id")
 
 
+def q_resolve_indexed(spark, sf):
+    """The same with a saved, bucketed table of the routes."""
+    path = scratch_dir(spark, "routes")
+    table = path.rsplit("/", 1)[1].replace("-", "_")
+    RQ.save_routes(_pages(spark, sf), table, path)
+    r = RQ.resolve_requests(FX.requests(spark, sf), None, Config(), RQ.saved_routes(spark, table))
+    return r.select("req_id", "is_md", "page_id")
+
+
 def _q1000(c):
     return F.round(c * 1000).cast("long")
 

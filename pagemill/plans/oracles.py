@@ -422,7 +422,7 @@ def oracles() -> dict[str, str]:
     md["not_noindex"] = _with(META) + "SELECT page_id FROM meta WHERE page_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)"
     md["servable_pages"] = _with(META, SERVABLE) + "SELECT page_id, deny_reason FROM servable"
     md["markdown_route"] = _with(REQ) + f"SELECT req_id, path, {_route('path')} AS route FROM req2"
-    md["resolve_requests"] = _with(REQ, RESOLVED) + "SELECT req_id, is_md, page_id FROM resolved"
+    md["resolve_requests"] = md["resolve_indexed"] = _with(REQ, RESOLVED) + "SELECT req_id, is_md, page_id FROM resolved"
     rg = _ranges("accept")
     md["accept_ranges"] = _with(REQ) + f"""SELECT req_id, CAST(len({rg}) AS BIGINT) AS n_ranges,
       array_to_string(list_transform({rg}, lambda r: r.type || '/' || r.subtype || ';' || CAST(CAST(round(r.quality * 1000) AS BIGINT) AS VARCHAR)), ',') AS ranges FROM req2"""

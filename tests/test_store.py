@@ -123,3 +123,30 @@ def test_requests_row_by_row(spark, tmp_path):
         whole = RQ.classify_requests(reqs, pages, servable, docs, cfg)
         by_row = RQ.classify_rows(reqs, *RQ.read_route_index(spark, str(tmp_path / "index")), cfg)
         assert by_row.columns == whole.columns and sorted(map(str, by_row.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_saved_routes_stay_in_their_buckets(spark, tmp_path):
+    """Resolving against the saved table moves requests alone."""
+    from pagemill.operators import requests as RQ
+    pages = spark.createDataFrame([(i, f"http://{'ab'[i % 2]}.t/p{i // 3}", "") for i in range(60)] + [(90, "http://a.t/", "")], "page_id long, url string, html string")
+    requests = spark.createDataFrame([(i, f"{'aB'[i % 2]}.t", f"/p{i % 25}{'.md' * (i % 3 == 0)}" if i else "/index.md") for i in range(80)], "req_id long, host string, path string")
+    RQ.save_routes(pages, "routes_test", str(tmp_path / "routes"), 4)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        routes = RQ.saved_routes(spark, "routes_test")
+        by_table = RQ.resolve_requests(requests, None, Config(), routes)
+        assert sorted(map(str, by_table.collect())) == sorted(map(str, RQ.resolve_requests(requests, pages, Config()).collect()))
+        keys = RQ._routed(requests).select("host", "is_md", "route_key").distinct()
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+
+        def exchanges(df):
+            return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        # Two for the requests (distinct ones, then to the buckets), none for the routes.
+        assert exchanges(RQ.saved_routes(spark, "routes_test")) == 0
+        assert exchanges(RQ._resolve_routes(keys, routes, Config())) == 2
+        assert exchanges(RQ._resolve_routes(keys, RQ.page_routes(pages), Config())) > 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sql("DROP TABLE routes_test")
