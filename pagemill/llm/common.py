@@ -57,22 +57,35 @@ def row_key(df: DataFrame) -> Column:
     return F.xxhash64(*df.columns, F.array(*[F.col(c).isNull() for c in df.columns]))
 
 
+def unused(columns: Sequence[str], *names: str) -> list[str]:
+    """The names with underscores in front until none is among `columns` (whatever the
+    case), for columns of our own beside a caller's."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for n in names:
+        n = f"_{n}"
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def salted_join(big: DataFrame, small: DataFrame, key: str, salt_by: Column, salts: int = 64, how: str = "inner") -> DataFrame:
     """Null-safe join of `big` to `small` (unique on `key`), with every key of `big` spread over
     `salts` tasks by `salt_by`, so that a key with a third of all rows lands in no single task.
     `small` is repeated `salts` times."""
-    b = big.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
-    s = (small.withColumnRenamed(key, "_key")
-         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    s = s.withColumnRenamed("_salt", "_small_salt")
-    cond = b[key].eqNullSafe(s["_key"]) & (b["_salt"] == s["_small_salt"])
-    return b.join(s, cond, how).drop("_key", "_salt", "_small_salt")
+    salt, small_salt, small_key = unused([*big.columns, *small.columns], "salt", "small_salt", "small_key")
+    b = big.withColumn(salt, F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int"))
+    s = small.withColumnRenamed(key, small_key).withColumn(small_salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    cond = F.col(key).eqNullSafe(F.col(small_key)) & (F.col(salt) == F.col(small_salt))
+    return b.join(s, cond, how).drop(small_key, salt, small_salt)
 
 
 def running_totals(df: DataFrame, order: Sequence[str | Column], value: str, out: str, group: str | None = None,
                    name: str = "totals") -> DataFrame:
-    """Add `out`: the inclusive running total of the non-negative long column `value`, in
-    `order`, within each `group` (all rows without one).
+    """Add `out` (in place of a column of that name): the inclusive running total of the non-negative
+    long column `value`, in `order`, within each `group` (all rows without one).  Other columns, of
+    whatever names, are kept.
 
     Rows are range-partitioned by (group, order), so a hot group spans many partitions.  Each
     task totals its own rows as a stream; a group can continue from one partition into the next,
@@ -81,8 +94,9 @@ def running_totals(df: DataFrame, order: Sequence[str | Column], value: str, out
     spark = df.sparkSession
     keys = ([F.col(group).asc_nulls_last()] if group else []) + [F.col(c) if isinstance(c, str) else c for c in order]
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    schema = T.StructType([*df.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_seq", T.LongType()),
-                           T.StructField("_lead", T.BooleanType()), T.StructField("_local", T.LongType())])
+    pid_, seq_, lead_, local_, start_ = own = unused([*df.columns, out], "pid", "seq", "lead", "local", "start")
+    schema = T.StructType([*df.schema.fields, T.StructField(pid_, T.IntegerType()), T.StructField(seq_, T.LongType()),
+                           T.StructField(lead_, T.BooleanType()), T.StructField(local_, T.LongType())])
 
     def total(batches):
         pid, seq, carry, lead, last = TaskContext.get().partitionId(), 0, 0, True, None
@@ -108,22 +122,22 @@ def running_totals(df: DataFrame, order: Sequence[str | Column], value: str, out
             leads = (run == 0) & lead
             yield pa.RecordBatch.from_arrays(
                 [*b.columns, pa.array(np.full(n, pid, np.int32)), pa.array(np.arange(seq, seq + n)), pa.array(leads),
-                 pa.array(local)], names=[*b.schema.names, "_pid", "_seq", "_lead", "_local"])
+                 pa.array(local)], names=[*b.schema.names, *own[:4]])
             seq += n
             carry, lead = int(local[-1]), bool(leads[-1])
 
     done = stash(ranged.mapInArrow(total, schema), name)
     g = F.col(group) if group else F.lit(0)
-    ends = (done.groupBy("_pid").agg(F.min_by(F.struct(g), "_seq").alias("first"), F.max_by(F.struct(g, "_local", "_lead"), "_seq").alias("last"))
-            .orderBy("_pid").collect())  # a row a partition
+    ends = (done.groupBy(F.col(pid_).alias("pid")).agg(F.min_by(F.struct(g), seq_).alias("first"), F.max_by(F.struct(g, local_, lead_), seq_).alias("last"))
+            .orderBy("pid").collect())  # a row a partition
     offsets, run_group, run_total = [], None, 0
     for r in ends:
         start = run_total if run_group is not None and run_group == (r["first"][0],) else 0
-        offsets.append((r["_pid"], start))
+        offsets.append((r["pid"], start))
         run_group, run_total = (r["last"][0],), r["last"][1] + (start if r["last"][2] else 0)
-    table = F.broadcast(spark.createDataFrame(offsets, "_pid int, _start long"))  # a row a partition
-    return (done.join(table, "_pid").withColumn(out, F.col("_local") + F.when(F.col("_lead"), F.col("_start")).otherwise(0))
-            .drop("_pid", "_seq", "_lead", "_local", "_start"))
+    table = F.broadcast(spark.createDataFrame(offsets, f"{pid_} int, {start_} long"))  # a row a partition
+    return (done.join(table, pid_).withColumn(out, F.col(local_) + F.when(F.col(lead_), F.col(start_)).otherwise(0))
+            .drop(*own))
 
 
 def spread_join(big: DataFrame, small: DataFrame, key: str, spread: str, count: str = "n", most: int = 1000) -> DataFrame:

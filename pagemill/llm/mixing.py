@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, read_table, running_totals, salted_join, stash
+from .common import WORD, read_table, running_totals, salted_join, stash, unused
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -37,20 +37,23 @@ def mix(rows: DataFrame, share: float = 1.5, max_epochs: float = 2.0, weights: t
     the rest.  So a source's taken words are within half a row of its target, no row is
     repeated more than max_epochs times, and reruns agree.  Ties in the order (one doc_id
     more than once) fall back to the size.  Null sources form a source of their own, the last;
-    null doc_ids come last in their source.  Sources without words get target 0."""
-    base = stash(rows.withColumn("_order", F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")).cast("binary"))), "mix-rows")
+    null doc_ids come last in their source.  Sources without words get target 0.  Columns named
+    source_size, target or repeats are replaced; others, of whatever names, are kept."""
+    rows = rows.drop("source_size", "target", "repeats")
+    order, total = unused(rows.columns, "order", "total")
+    base = stash(rows.withColumn(order, F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string")).cast("binary"))), "mix-rows")
     sums = base.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.lit(1).cast("long").alias("_one"))
     ranked = running_totals(sums, [F.col("source").asc_nulls_last()], "_one", "_rank", name="mix-sources")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.pmod(F.col("_rank") - 1, F.lit(len(weights))).cast("int") + 1)
     sources = stash(ranked.select("source", "source_size", weight.alias("weight")), "mix-weights")
     targets = water_fill(sources, share, max_epochs).select("source", "source_size", "target")
-    placed = running_totals(base, [F.col("_order").asc_nulls_last(), "doc_id", "size"], "size", "_total", group="source", name="mix-order")
-    out = salted_join(placed, targets, "source", F.col("_total"))
+    placed = running_totals(base, [F.col(order).asc_nulls_last(), "doc_id", "size"], "size", total, group="source", name="mix-order")
+    out = salted_join(placed, targets, "source", F.col(total))
     whole = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     rest = F.col("target") - whole * F.col("source_size")
-    extra = (F.col("_total") - F.col("size") / 2.0 <= rest).cast("int")
+    extra = (F.col(total) - F.col("size") / 2.0 <= rest).cast("int")
     return (out.withColumn("repeats", F.when(F.col("size") > 0, whole + extra).otherwise(whole).cast("int"))
-            .drop("_order", "_total"))
+            .drop(order, total))
 
 
 def word_count(text: str = "text"):

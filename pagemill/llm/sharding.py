@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, running_totals, stash
+from .common import read_table, running_totals, stash, unused
 
 #: Capacities tested at once in a round of the search.
 WIDTH = 4096
@@ -96,7 +96,8 @@ def minimax_shards(df: DataFrame, key: str, size: str, shards: int, order: list[
     key: a long column; rows with equal keys stay together, and shards are ranges of it.
     size: a positive long column.  Hot keys are summed before the shuffle; rows never meet by
     key, since a shard is a range of keys.  An empty table gives an empty table; null keys form
-    one group, which comes first."""
+    one group, which comes first.  Columns named shard or slot are replaced; others, of whatever
+    names, are kept."""
     base = stash(df, f"{name}-rows")
     sums = base.groupBy(F.coalesce(F.col(key), F.lit(-(1 << 63))).alias("key")).agg(F.sum(size).cast("long").alias("_sum"))
     groups = running_totals(sums, ["key"], "_sum", "end", name=f"{name}-groups").withColumn("start", F.col("end") - F.col("_sum"))
@@ -107,8 +108,9 @@ def minimax_shards(df: DataFrame, key: str, size: str, shards: int, order: list[
     for c in cuts:
         if c is not None:
             shard = shard + (F.coalesce(F.col(key), F.lit(-(1 << 63))) >= F.lit(c)).cast("int")
-    placed = base.withColumn("shard", shard.cast("int")).withColumn("_one", F.lit(1).cast("long"))
-    return running_totals(placed, order, "_one", "slot", group="shard", name=f"{name}-slots").withColumn("slot", F.col("slot") - 1).drop("_one")
+    one, = unused(base.columns, "one")
+    placed = base.withColumn("shard", shard.cast("int")).withColumn(one, F.lit(1).cast("long"))
+    return running_totals(placed, order, one, "slot", group="shard", name=f"{name}-slots").withColumn("slot", F.col("slot") - 1).drop(one)
 
 
 def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:

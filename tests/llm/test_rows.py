@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import xxhash
+from pyspark.sql import functions as F
 
 from pagemill.llm import mixing, quality, sharding, simhash
 
@@ -188,3 +189,20 @@ def test_links_and_components(spark):
         got[r.root].add(r.node)
         assert r.root <= r.node
     assert {frozenset(map(signed, s)) for s in want.values() if len(s) > 1} == {frozenset(s) for s in got.values()}
+
+
+def test_callers_columns_of_our_names(spark):
+    """Columns that a caller names as the operators name theirs are kept, with their values."""
+    names = ["_pid", "_seq", "_lead", "_local", "_start", "_one", "_order", "_total", "_salt", "_small_salt", "_key", "_SEQ2", "__pid", "_small_key"]
+    rows = [(i % 7 if i % 5 else None, f"s{i % 2}" if i % 3 else None, i % 4 + 1, i) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, size long, no int")
+    plain = {"mix": mixing.mix(df.select("doc_id", "source", "size", "no")), "shard": sharding.minimax_shards(df, "doc_id", "size", 3, ["no"])}
+    for n in names:
+        df = df.withColumn(n, F.concat(F.lit(n), F.col("no").cast("string")))
+    odd = df.withColumns({c: F.lit("old") for c in ("source_size", "target", "repeats", "shard", "slot")})
+    got = {"mix": mixing.mix(odd), "shard": sharding.minimax_shards(odd, "doc_id", "size", 3, ["no"])}
+    for k, new in (("mix", ["source_size", "target", "repeats"]), ("shard", ["shard", "slot"])):
+        out = got[k].collect()
+        assert all(r[n] == f"{n}{r.no}" for r in out for n in names)
+        want = Counter((r.no, *[r[c] for c in new]) for r in plain[k].collect())
+        assert Counter((r.no, *[r[c] for c in new]) for r in out) == want
