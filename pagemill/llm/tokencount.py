@@ -36,8 +36,8 @@ class Trie:
 
     New pre-tokens are visited in sorted order, the depth-first order of their trie, so only the
     path to the current node is held: the best score and the number of pieces up to each
-    character.  A node is scored once however many pre-tokens go through it, and each terminal's
-    count is stored.  A character outside the vocabulary costs as many tokens as it has UTF-8
+    character.  In a call of insert() a node is scored once however many pre-tokens go through it;
+    the next call scores the nodes of its own new pre-tokens again.  Each terminal's count is stored.  A character outside the vocabulary costs as many tokens as it has UTF-8
     bytes.  Equal scores go to the longest last piece."""
 
     def __init__(self, scores: dict[str, float], byte_score: float):
