@@ -17,7 +17,10 @@ from pagemill.llm.simhash import fingerprint_classes, fingerprints
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules and the line-frequency rule keep, without the frequent lines."""
+    """Documents that the base rules and the line-frequency rule keep, without the frequent lines.
+
+    A null text has no words and goes; a null source is a host of its own; null doc_ids are kept, and
+    repeated rows are kept or go together."""
     ship(spark)
     return documents(clean_documents(documents(docs)))
 
@@ -44,7 +47,10 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark question, verbatim or re-parameterised."""
+    """Documents without a benchmark question, verbatim or re-parameterised.
+
+    Rows are told apart by all their columns, so null and repeated doc_ids do no harm; repeated rows
+    are kept or go together, and a null text holds no question."""
     ship(spark)
     rows = keyed(docs)
     found = leaks(rows.select(F.col("_row").alias("doc_id"), "text"), read_table(spark, sf_dir, "benchmark"))
@@ -53,7 +59,11 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, repeated so that each source's words come near its target."""
+    """Whole documents, repeated so that each source's words come near its target.
+
+    Null sources are a source of their own; null doc_ids come last in theirs; rows that tie in the
+    seeded order (one doc_id more than once) follow their size.  A null text has no words and is taken
+    as its source's whole repetitions say."""
     ship(spark)
     rows = keyed(docs)
     plan = mix(rows.select("doc_id", "source", word_count().alias("size"), "_row")).filter("repeats > 0")
@@ -64,7 +74,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed documents with shard (0 to 7) and slot; equal texts share a shard."""
+    """The mixed documents with shard (0 to 7) and slot; equal texts share a shard, null texts too;
+    a null doc_id comes first in its shard, and repeated rows each have a slot."""
     rows = documents(docs).withColumn("size", (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long")).withColumn("_key", F.xxhash64("text"))
     return minimax_shards(rows, "_key", "size", 8, ["doc_id"], name="mixed").drop("_key")
 
