@@ -50,12 +50,15 @@ def _split_tail(found: Column) -> Column:
 
 
 def _kind(tok: Column) -> Column:
-    return (F.when(tok.startswith("<!--"), F.lit("comment"))
-            .when(tok.rlike(_RAW_RX), F.lit("raw"))
-            .when(tok.rlike(r"^</[A-Za-z]"), F.lit("close"))
+    # By the first characters where these decide; most tokens need no pattern.
+    raw = F.lower(F.substring(tok, 2, 5)).isin("scrip", "style")
+    return (F.when(~tok.startswith("<") & ~tok.startswith("&"), F.lit("text"))
+            .when(tok.startswith("&"), F.when(tok.rlike(r"^&.+;$"), F.lit("entity")).otherwise(F.lit("text")))
+            .when(tok.startswith("<!--"), F.lit("comment"))
+            .when(raw & tok.rlike(_RAW_RX), F.lit("raw"))
+            .when(tok.startswith("</"), F.when(tok.rlike(r"^</[A-Za-z]"), F.lit("close")).otherwise(F.lit("text")))
             .when(tok.rlike(r"^<[A-Za-z]"), F.lit("open"))
             .when(tok.rlike(r"^<[!?]"), F.lit("decl"))
-            .when(tok.rlike(r"^&.+;$"), F.lit("entity"))
             .otherwise(F.lit("text")))
 
 
@@ -85,9 +88,30 @@ def tag_attributes(tok: Column) -> Column:
     return F.map_from_arrays(F.lit(ATTR_KEYS), unquoted)
 
 
-def page_partitions(df: DataFrame, partitions: int | None = None) -> int:
-    """Number of tasks for the page_id exchange: the job's setting, else the session's."""
-    return partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def bare_tag() -> Column:
+    """Over open tags: nothing stands between the name and the '>'."""
+    return (F.length("tok") == F.length("tag") + 2) & F.col("tok").endswith(">")
+
+
+def no_attributes() -> Column:
+    return F.map_from_arrays(F.lit(ATTR_KEYS), F.array_repeat(F.lit(None).cast("string"), len(ATTR_KEYS)))
+
+
+#: Characters of HTML in a task of the page_id exchange.  Structure keeps some ten sorted copies of a
+#: task's token rows, so this bounds a task's memory, and none spills however large the input is.
+TASK_CHARS = 1 << 21
+
+
+def page_partitions(pages: DataFrame, partitions: int | None = None) -> int:
+    """Number of tasks for the page_id exchange: the job's setting, else the session's, or more where the
+    pages have more than TASK_CHARS for each (one aggregate over them)."""
+    if partitions:
+        return partitions
+    least = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if pages.isStreaming:
+        return least
+    chars = pages.agg(F.sum(F.length("html"))).first()[0] or 0
+    return max(least, -(-chars // TASK_CHARS))
 
 
 def page_tokens(pages: DataFrame, partitioned: bool = False, partitions: int | None = None) -> DataFrame:
@@ -109,7 +133,7 @@ def page_tokens(pages: DataFrame, partitioned: bool = False, partitions: int | N
     toks = toks.withColumn("tag", F.when(T.among("kind", ["open", "close", "raw"]), tag))
     toks = toks.withColumn("is_void", (F.col("kind") == "open") & (
         T.among("tag", VOID_TAGS) | F.col("tok").endswith("/>")))
-    toks = toks.withColumn("attrs", F.when(F.col("kind") == "open", tag_attributes(F.col("tok"))))
+    toks = toks.withColumn("attrs", F.when(F.col("kind") == "open", F.when(bare_tag(), no_attributes()).otherwise(tag_attributes(F.col("tok")))))
     # Character references: numeric ones by arithmetic, named ones through a
     # broadcast lookup of the bounded HTML5 table.
     entities = T.entity_table(spark)

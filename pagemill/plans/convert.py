@@ -17,11 +17,12 @@ def _needs_tree(cfg: Config) -> bool:
     return any(st.child for steps in cfg.root_steps + cfg.ignore_steps for st in steps)
 
 
-def structured_tokens(pages: DataFrame, cfg: Config, partitioned: bool = False) -> DataFrame:
+def structured_tokens(pages: DataFrame, cfg: Config, partitioned: bool = False, partitions: int | None = None) -> DataFrame:
     """Tokens with element spans, root range and exclusion flag."""
     # Only what later steps read: the raw token text (script bodies included) is
-    # dropped so every sort moves narrow rows.
-    t = K.page_tokens(pages, partitioned, cfg.page_partitions).select("page_id", "pos", "kind", "tag", "is_void", "attrs", "text")
+    # dropped so every sort moves narrow rows, as are the keys of tags without attributes.
+    t = K.page_tokens(pages, partitioned, partitions or cfg.page_partitions)
+    t = t.select("page_id", "pos", "kind", "tag", "is_void", F.when(~K.bare_tag(), F.col("attrs")).alias("attrs"), "text")
     t = N.element_spans(t)
     if _needs_tree(cfg):
         t = N.with_tree(t)
@@ -29,10 +30,10 @@ def structured_tokens(pages: DataFrame, cfg: Config, partitioned: bool = False)
     return S.drop_excluded(t, cfg)
 
 
-def html_to_markdown(pages: DataFrame, cfg: Config, partitioned: bool = False) -> DataFrame:
+def html_to_markdown(pages: DataFrame, cfg: Config, partitioned: bool = False, partitions: int | None = None) -> DataFrame:
     """(page_id, body, extracted) for pages that have a root: `extracted` false means
     a blank extraction (failure).  Pages with no root produce no row.  One linear
     plan from tokens to body."""
-    st = structured_tokens(pages, cfg, partitioned)
+    st = structured_tokens(pages, cfg, partitioned, partitions)
     body = M.markdown_body(S.content_subtree(st), cfg)
     return body.select("page_id", "body", F.coalesce("has_content", F.lit(False)).alias("extracted"))

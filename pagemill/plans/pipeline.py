@@ -37,7 +37,7 @@ def convert_pages(pages: DataFrame, meta: DataFrame, cfg: Config, terms: DataFra
     pm = pm.join(meta.withColumn("has_meta", F.lit(True)).repartition(n, "page_id"), "page_id", "left")
     pm = pm.withColumn("fingerprint", ST.fingerprint_of_hash(F.col("site_id"), F.col("page_id"), F.col("modified_at"),
                                                              F.col("html_md5"), cfg))
-    md = html_to_markdown(admitted.filter(F.col("reject_reason").isNull()).select("page_id", "html"), cfg)
+    md = html_to_markdown(admitted.filter(F.col("reject_reason").isNull()).select("page_id", "html"), cfg, partitions=n)
     fm = MD.front_matter_rows(pm.filter("has_meta"), terms, include_taxonomy, partitions=n)
     if front_matter_fn is not None:
         fm = front_matter_fn(fm)
