@@ -21,8 +21,10 @@ def decode_entities(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
         found = F.regexp_extract_all(F.coalesce(F.col(c), F.lit("")), F.lit(T.REFERENCE_RX), 0)
         return F.transform(found, lambda t: F.struct(F.lit(i).alias("col"), t.alias("t")))
 
-    others = [c for c in df.columns if c != key]
-    x = df.select(key, *others, F.posexplode_outer(F.concat(*[cut(i, c) for i, c in enumerate(cols)])).alias("_p", "_s"))
+    # The strings themselves stay behind: a copy with each of its pieces would grow with their square.
+    given = {c: f"_given{i}" for i, c in enumerate(cols)}
+    others = [c for c in df.columns if c != key and c not in given]
+    x = df.select(key, *others, *[F.col(c).isNotNull().alias(g) for c, g in given.items()], F.posexplode_outer(F.concat(*[cut(i, c) for i, c in enumerate(cols)])).alias("_p", "_s"))
     x = x.withColumn("_t", F.col("_s.t"))
     name = F.regexp_extract("_t", r"^&([A-Za-z][A-Za-z0-9]*);$", 1)
     x = x.withColumn("_k", F.when(F.col("_t").startswith("&") & (name != ""), name))
@@ -30,10 +32,9 @@ def decode_entities(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
     piece = F.coalesce(F.col("ent_chars"), T.numeric_entity(F.col("_t")), F.col("_t"))
     whole = [F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_s.col") == i, F.struct("_p", piece.alias("s"))))),
                                       lambda s: s["s"]), "").alias(f"_dec{i}") for i in range(len(cols))]
-    g = x.groupBy(key).agg(*[F.first(c).alias(c) for c in others], *whole)
-    for i, c in enumerate(cols):
-        g = g.withColumn(c, F.when(F.col(c).isNotNull(), F.col(f"_dec{i}")))
-    return g.drop(*[f"_dec{i}" for i in range(len(cols))])
+    g = x.groupBy(key).agg(*[F.first(c).alias(c) for c in [*others, *given.values()]], *whole)
+    decoded = {c: F.when(F.col(given[c]), F.col(f"_dec{i}")).alias(c) for i, c in enumerate(cols)}
+    return g.select(*[decoded.get(c, F.col(c)) for c in df.columns])
 
 
 def excerpt_source(excerpt: Column, content: Column) -> Column:
