@@ -82,15 +82,25 @@ def convert_stream(pages_stream: DataFrame, meta: DataFrame, cfg: Config, out_di
     return w.start()
 
 
+#: Batches in which staged files arrive.  Each has a fixed cost (planning, state, commits), so their
+#: number doesn't grow with the files.
+BATCHES = 4
+
+
+def _files_a_batch(spark: SparkSession, path: str) -> int:
+    return max(1, -(-len(spark.read.parquet(path).inputFiles()) // BATCHES))
+
+
 def stream_pages(spark: SparkSession, sf_dir: str, cfg: Config) -> DataFrame:
     """Stream the pages to completion (availableNow) and return the current documents.  The
     pages are staged as files in the shared scratch folder, as many as the table's partitions
-    and two at least, so that they arrive in several batches; one page in ten arrives twice."""
+    and two at least, so that they arrive in several batches, BATCHES about; one page in ten arrives
+    twice."""
     src, out, ckpt = (scratch_dir(spark, n) for n in ("pages-in", "docs-out", "ckpt"))
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url", "html")
     pages.write.parquet(src)
     pages.filter(F.col("page_id") % 10 == 0).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(PAGES_SCHEMA).option("maxFilesPerTrigger", 1).parquet(src)
+    stream = spark.readStream.schema(PAGES_SCHEMA).option("maxFilesPerTrigger", _files_a_batch(spark, src)).parquet(src)
     q = convert_stream(stream, FX.pages_meta(spark, sf_dir), cfg, out, ckpt, FX.terms(spark, sf_dir))
     q.awaitTermination()
     return current_documents(spark, out).filter(F.col("fail_reason").isNull())
@@ -111,6 +121,6 @@ def stream_requests(requests: DataFrame, pages: DataFrame, servable: DataFrame,
     src, out, ckpt, index = (scratch_dir(spark, n) for n in ("requests-in", "requests-out", "requests-ckpt", "routes"))
     requests.write.parquet(src)
     RQ.write_route_index(pages, servable, documents, index)
-    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 2).parquet(src)
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", _files_a_batch(spark, src)).parquet(src)
     classify_stream(stream, index, cfg, out, ckpt).awaitTermination()
     return spark.read.parquet(out)
