@@ -187,7 +187,9 @@ def read_route_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFra
 
 
 def _salted(small: DataFrame) -> DataFrame:
-    return small.withColumn("_small_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    """A row for each salt.  Never broadcast: a stream's plan goes by the size of the files, which says
+    nothing of SALTS rows for each of theirs in memory."""
+    return small.withColumn("_small_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
 
 
 def classify_rows(requests: DataFrame, routes: DataFrame, states: DataFrame, cfg: Config) -> DataFrame:
