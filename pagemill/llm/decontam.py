@@ -54,25 +54,39 @@ def kind_and_value(word: bytes) -> tuple[int, int]:
 
 
 class Tokens(dict):
-    """Template hash by word; a cache, emptied when it is full.  `folded`: names are words."""
+    """Number by word, and by number the template hashes: as typed, and with names as words.  A cache,
+    emptied when it is full."""
 
-    def __init__(self, folded: bool):
+    FULL = 1 << 19
+
+    def __init__(self):
         super().__init__()
-        self.literal = (LITERAL, NAME) if folded else (LITERAL,)
+        self.hashes = np.zeros((2, 1 << 12), np.int64)
 
     def __missing__(self, word: bytes) -> int:
         kind, value = kind_and_value(word)
-        if len(self) >= 1 << 20:
+        n = len(self)
+        if n == self.hashes.shape[1]:
+            self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)], axis=1)
+        self.hashes[0, n] = value if kind == LITERAL else _PLACEHOLDER[kind]
+        self.hashes[1, n] = value if kind in (LITERAL, NAME) else _PLACEHOLDER[kind]
+        self[word] = n
+        return n
+
+    def templates(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes of the words, typed and folded."""
+        if len(self) >= self.FULL:
             self.clear()
-        self[word] = out = value if kind in self.literal else _PLACEHOLDER[kind]
-        return out
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        typed, folded = self.hashes.view(np.uint64)
+        return typed[at], folded[at]
 
 
-_TOKENS = Tokens(False), Tokens(True)
+_TOKENS = Tokens()
 
 
 def template(words: list[bytes], folded: bool = False) -> np.ndarray:
-    return np.fromiter(map(_TOKENS[folded].__getitem__, words), np.int64, len(words)).view(np.uint64)
+    return _TOKENS.templates(words)[folded]
 
 
 def values(words: list[bytes]) -> np.ndarray:
@@ -119,7 +133,7 @@ class Block:
     def match(self, text: str, similarity: float) -> list[tuple[int, int, int, float, int, bool]]:
         """(item_id, item windows, matched windows, similarity, slots, verbatim) of the items in `text`."""
         words = text.encode().split()
-        t = template(words), template(words, True)
+        t = _TOKENS.templates(words)
         pairs: dict[int, tuple[set[tuple[int, int]], set[tuple[int, int]]]] = defaultdict(lambda: (set(), set()))
         for k, folded, keys, maybe, found in self.tables:
             w = windows(t[folded], k)

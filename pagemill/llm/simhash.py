@@ -146,11 +146,13 @@ def simhash_groups(docs: DataFrame, shingle: int = 3, bits: int = 2, name: str =
 def fingerprint_classes(fps: DataFrame, bits: int = 2, name: str = "simhash") -> DataFrame:
     """(fp, root, component_id) for every fingerprint of fps (doc_id, fp): a fingerprint of its
     component, which all of the component share, and the smallest doc_id there, null without any."""
-    distinct = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), f"{name}-distinct")
-    star = stash(components(stash(links(distinct, bits), f"{name}-links"), f"{name}-cc"), f"{name}-star")
-    rooted = stash(distinct.join(star, distinct["fp"] == star["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), f"{name}-rooted")
-    smallest = stash(rooted.groupBy("root").agg(F.min("first").alias("component_id")), f"{name}-smallest")
-    return stash(rooted.join(smallest, "root").select("fp", "root", "component_id"), f"{name}-classes")
+    distinct = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), f"{name}-distinct", fps.count())
+    n = distinct.count()
+    met = stash(links(distinct, bits), f"{name}-links", len(PAIRS) * n)  # by what it reads: it verifies as it writes
+    star = stash(components(met, f"{name}-cc"), f"{name}-star", n)
+    rooted = stash(distinct.join(star, distinct["fp"] == star["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), f"{name}-rooted", n)
+    smallest = stash(rooted.groupBy("root").agg(F.min("first").alias("component_id")), f"{name}-smallest", n)
+    return stash(rooted.join(smallest, "root").select("fp", "root", "component_id"), f"{name}-classes", n)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
