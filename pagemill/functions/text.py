@@ -205,13 +205,17 @@ def numeric_entity(tok: Column) -> Column:
 REFERENCE_RX = r"&(?:#[0-9]++|#[xX][0-9a-fA-F]++|[A-Za-z][A-Za-z0-9]{0,31});|[^&]++|&"
 
 
+#: Names looked up first: a map is searched from its start.
+_FREQUENT = json.dumps({k: html.entities.html5[f"{k};"] for k in ("amp", "quot", "lt", "gt", "nbsp", "apos")})
+
+
 def decode_references(c) -> Column:
-    """Character references decoded once, within one value: for short strings such as
-    attribute values (page text goes through the token rows instead)."""
-    table = entity_map()
+    """Character references decoded once, within one value."""
+    table, frequent = entity_map(), F.from_json(F.lit(_FREQUENT), "map<string, string>")
 
     def one(p: Column) -> Column:
         name = F.regexp_extract(p, r"^&([A-Za-z][A-Za-z0-9]*);$", 1)
-        return F.when(p.startswith("&"), F.coalesce(F.when(name != "", F.try_element_at(table, name)), numeric_entity(p), p)).otherwise(p)
+        named = F.when(name != "", F.coalesce(F.try_element_at(frequent, name), F.try_element_at(table, name)))
+        return F.when(p.startswith("&"), F.coalesce(named, numeric_entity(p), p)).otherwise(p)
     v = _c(c)
     return F.when(v.contains("&"), F.array_join(F.transform(F.regexp_extract_all(v, F.lit(REFERENCE_RX), 0), one), "")).otherwise(v)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text as T
-from .nodes import BIG, BLOCK_TAGS, CELL_TAGS, LIST_TAGS, TABLE_SECTION_TAGS, before, nest_depths, running
+from .nodes import BIG, BLOCK_TAGS, CELL_TAGS, LIST_TAGS, TABLE_SECTION_TAGS, before, nest_depths, running, whole
 
 # Characters of T.MARKS; texts that hold them are shielded first and restored block by block.
 MARK, BR, LNL = "\ue001", "\ue002", "\ue003"
@@ -94,7 +94,7 @@ def assign_units(content: DataFrame) -> DataFrame:
         "_drop": F.coalesce(F.max(F.when(_opn(["iframe"]), F.col("hi"))).over(w) >= F.col("pos"), F.lit(False)),
         # Inside a link or code span: flattened to text, so tags there structure nothing.
         "_flat": F.coalesce(F.max(F.when(_opn(SPAN_TAGS), F.col("hi"))).over(before(Window.partitionBy("page_id").orderBy("pos"))) > F.col("pos"), F.lit(False)),
-        "has_content": F.max(nonblank).over(Window.partitionBy("page_id"))})
+        "has_content": F.max(nonblank).over(whole(Window.partitionBy("page_id").orderBy("pos")))})
     df = df.filter(~F.col("_drop") & ~T.among("kind", ["raw", "decl"])).drop("_drop")
     df = df.withColumn("kind", F.when(F.col("_flat") & T.among("kind", ["open", "close"]), F.lit("flat")).otherwise(F.col("kind")))
     df = nest_depths(df, {"k_d": (_opn(CONTAINERS), _cls(CONTAINERS)),
@@ -149,13 +149,15 @@ def token_pieces(units: DataFrame, cfg: Config) -> DataFrame:
     wu = Window.partitionBy("page_id", "ukind", "uid").orderBy("pos")
     inl = T.among("ukind", ["seg", "item"])
     span_open = inl & _opn(SPAN_TAGS)
-    df = units.withColumn("_sp", F.max(F.when(span_open, F.struct(
-        F.col("hi").alias("h"), (-F.col("pos")).alias("nlo"), F.col("tag").alias("t"),
-        F.col("attrs").getItem("href").alias("href")))).over(running(wu)))
+    span = F.when(span_open, F.struct(F.col("hi").alias("h"), (-F.col("pos")).alias("nlo"), F.col("tag").alias("t"),
+                                      F.col("attrs").getItem("href").alias("href")))
+    # The span that reaches furthest, at the token and at the one before: one pass gives both.
+    df = units.withColumn("_own", span)
+    df = df.withColumns({"_before": F.max("_own").over(before(wu)), "_prev": F.lag("pos").over(wu)})
+    df = df.withColumn("_sp", F.greatest("_before", "_own"))
     df = df.withColumn("in_span", F.coalesce(F.col("_sp.h") >= F.col("pos"), F.lit(False)))
-    prev_span = F.lag("in_span").over(wu)
-    start = F.col("in_span") | prev_span.isNull() | prev_span
-    df = df.withColumn("_start", F.when(F.col("in_span"), -F.col("_sp.nlo")).when(start, F.col("pos")))
+    start = F.col("in_span") | F.col("_prev").isNull() | F.coalesce(F.col("_before.h") >= F.col("_prev"), F.lit(False))
+    df = df.withColumn("_start", F.when(F.col("in_span"), -F.col("_sp.nlo")).when(start, F.col("pos"))).drop("_own", "_before", "_prev")
     df = df.withColumn("g", F.last("_start", ignorenulls=True).over(running(wu)))
     # Pieces.  (The image is a column of its own, as shield() names what it is given more than once.)
     if cfg.include_images:

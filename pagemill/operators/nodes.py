@@ -63,31 +63,33 @@ def is_close(tags=None) -> Column:
     return c if tags is None else c & T.among("tag", tags)
 
 
-def nest_depths(df: DataFrame, fams: dict, partition: list[str] | None = None) -> DataFrame:
+def whole(w: Window) -> Window:
+    return w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+
+
+def nest_depths(df: DataFrame, fams: dict, partition: list[str] | None = None, beside: dict[str, Column] | None = None) -> DataFrame:
     """Depth of nesting for families of tags, per token, in document order.
 
     `fams` maps a column name to (opens, closes).  Opens count themselves; a close
     reports the depth of what it closes; stray closes (nothing open) are ignored and
     flagged in `{name}_stray`.  Two window passes over one sort, whatever the number
-    of families."""
+    of families.  `beside`: other window columns over the same partitions and order, which the
+    first pass takes along."""
     keys = ["page_id"] + (partition or [])
     w = Window.partitionBy(*keys).orderBy("pos")
-    df = df.withColumns({f"_{n}_r": F.sum(F.when(o, 1).when(c, -1).otherwise(0)).over(running(w))
-                         for n, (o, c) in fams.items()})
-    mins = {}
-    for n in fams:
-        mins[f"_{n}_mn"] = F.min(f"_{n}_r").over(running(w))
-        mins[f"_{n}_pm"] = F.coalesce(F.min(f"_{n}_r").over(before(w)), F.lit(0))
-    df = df.withColumns(mins)
+    df = df.withColumns({**{f"_{n}_r": F.sum(F.when(o, 1).when(c, -1).otherwise(0)).over(running(w))
+                            for n, (o, c) in fams.items()}, **(beside or {})})
+    # The least so far is that before the row or the row's own: one frame gives both.
+    df = df.withColumns({f"_{n}_pm": F.least(F.lit(0), F.min(f"_{n}_r").over(before(w))) for n in fams})
     out = {}
     for n, (o, c) in fams.items():
-        r, mn, pm = F.col(f"_{n}_r"), F.col(f"_{n}_mn"), F.col(f"_{n}_pm")
-        stray = c & (r < F.least(F.lit(0), pm))
-        eff = r - F.least(F.lit(0), mn)
+        r, pm = F.col(f"_{n}_r"), F.col(f"_{n}_pm")
+        stray = c & (r < pm)
+        eff = r - F.least(pm, r)
         out[f"{n}_stray"] = stray
         out[n] = F.when(c & ~stray, eff + 1).otherwise(eff)
     df = df.withColumns(out)
-    return df.drop(*[f"_{n}_{x}" for n in fams for x in ("r", "mn", "pm")])
+    return df.drop(*[f"_{n}_{x}" for n in fams for x in ("r", "pm")])
 
 
 def nest_depth(df: DataFrame, name: str, opens: Column, closes: Column,
@@ -106,11 +108,15 @@ def next_pos(df: DataFrame, events: dict, partition: list[str] | None = None) ->
 def element_spans(tokens: DataFrame) -> DataFrame:
     """Adds to every token: `list_d`, `tbl_d` (list / table nesting) and, on element
     open rows, `hi` (last position inside the element, inclusive) and `closed`."""
-    # Family depths needed by the implicit-close rules.
+    # Family depths needed by the implicit-close rules; with them, the page's end and the terminators of
+    # `p` and open inline tags: any block-tag open or close.
     lists = LIST_TAGS + ["dl"]
-    df = nest_depths(tokens, {"list_d": (is_open(lists), is_close(lists)),
-                          "tbl_d": (is_open(["table"]), is_close(["table"]))})
-    df = df.withColumn("_last", F.max("pos").over(Window.partitionBy("page_id")))
+    block_ev = T.among("kind", ["open", "close"]) & T.among("tag", BLOCK_TAGS)
+    df = tokens.withColumn("_bev", F.when(block_ev, F.col("pos")))
+    df = nest_depths(df, {"list_d": (is_open(lists), is_close(lists)),
+                          "tbl_d": (is_open(["table"]), is_close(["table"]))}, beside={
+        "_last": F.max("pos").over(whole(page_order())),
+        "_nblk": F.expr("lead(_bev, 1) IGNORE NULLS OVER (PARTITION BY page_id ORDER BY pos)")})
     # Per-tag pairing of explicit closes: depth within the tag, then the next event
     # at the same tag and depth is the close when it is one.
     tagged = T.among("kind", ["open", "close"]) & ~F.col("is_void")
@@ -125,20 +131,19 @@ def element_spans(tokens: DataFrame) -> DataFrame:
     inline = T.among("tag", ["p"] + INLINE_TAGS)
     df = df.withColumns({"_po": F.col("_pair").isNotNull() & ~inline, "_pc": paired_close & ~inline})
     df = nest_depth(df, "_pd", F.col("_po"), F.col("_pc"))
-    # Terminators of `p` and open inline tags: any block-tag open or close (in page order, as above).
-    block_ev = T.among("kind", ["open", "close"]) & T.among("tag", BLOCK_TAGS)
-    df = df.withColumn("_bev", F.when(block_ev, F.col("pos")))
-    df = df.withColumn("_nblk", F.expr("lead(_bev, 1) IGNORE NULLS OVER (PARTITION BY page_id ORDER BY pos)"))
     df = next_pos(df, {"_pend": F.col("_pc")}, ["_pd"])
     # `li`: next item or list end at the same list depth.
     li_ev = (T.among("kind", ["open", "close"]) & (F.col("tag") == "li")) | is_close(LIST_TAGS)
     dt_ev = (T.among("kind", ["open", "close"]) & T.among("tag", DEFINITION_TAGS)) | is_close(["dl"])
-    df = next_pos(df, {"_nli": li_ev, "_ndt": dt_ev}, ["list_d"])
     # Cells and rows: next cell / row / section event or table end at the same depth.
     row_ev = (T.among("kind", ["open", "close"]) & T.among("tag", ["tr"] + TABLE_SECTION_TAGS)) \
         | is_close(["table"])
     cell_ev = row_ev | (T.among("kind", ["open", "close"]) & T.among("tag", CELL_TAGS))
-    df = next_pos(df, {"_ncell": cell_ev, "_nrow": row_ev}, ["tbl_d"])
+    # Tags of lists and of tables are different ones, so one sort serves both; other rows have no part in it.
+    in_list, in_table = T.among("tag", ["li"] + DEFINITION_TAGS + lists), T.among("tag", ["table", "tr"] + CELL_TAGS + TABLE_SECTION_TAGS)
+    df = df.withColumn("_fam", F.when(in_list, F.lit(1)).when(in_table, F.lit(2)))
+    df = df.withColumn("_famd", F.when(F.col("_fam") == 1, F.col("list_d")).when(F.col("_fam") == 2, F.col("tbl_d")))
+    df = next_pos(df, {"_nli": li_ev, "_ndt": dt_ev, "_ncell": cell_ev, "_nrow": row_ev}, ["_fam", "_famd"])
     tag = F.col("tag")
     term = (F.when(T.among("tag", ["p"] + INLINE_TAGS), F.col("_nblk"))
             .when(tag == "li", F.col("_nli"))
@@ -161,7 +166,7 @@ def element_spans(tokens: DataFrame) -> DataFrame:
     df = df.withColumn("hi", hi)
     df = df.withColumn("closed", F.when(F.col("kind") == "open", pair.isNotNull() & (pair == F.col("hi"))))
     return df.drop("_tg", "_td", "_td_stray", "_pair", "_nblk", "_bev", "_nli", "_ndt", "_ncell", "_nrow", "_last",
-                   "_po", "_pc", "_pd", "_pd_stray", "_pend",
+                   "_fam", "_famd", "_po", "_pc", "_pd", "_pd_stray", "_pend",
                    "list_d_stray", "tbl_d_stray")
 
 

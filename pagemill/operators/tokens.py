@@ -20,19 +20,20 @@ from ..functions import text as T
 # the token takes what was searched.  A comment or raw element without an end hides the rest
 # of the page; a tag or declaration without one is text (_split_tail).  A quote that nothing closes is
 # an ordinary character of its tag.
-TOKEN_RX = (
+_MARKUP_RX = (
     r"(?i)<!--(?>-?>|[\s\S]*?-->|[\s\S]*+)"
     r"|<script(?=[\s/>])[^>]*+>(?>[\s\S]*?</script\s*+>|[\s\S]*+)"
     r"|<style(?=[\s/>])[^>]*+>(?>[\s\S]*?</style\s*+>|[\s\S]*+)"
     r"|</?[a-z][^\s/>]*+(?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+(?:>|\z)"
     r"|<[!?][^>]*+(?:>|\z)"
-    r"|&(?:#[0-9]++|#x[0-9a-f]++|[a-z][a-z0-9]{0,31});"
-    r"|[^<&]++"
-    r"|[<&]"
 )
+_REFERENCE_RX = r"&(?:#[0-9]++|#x[0-9a-f]++|[a-z][a-z0-9]{0,31});"
+_TEXT_RX = _REFERENCE_RX + r"|[^<&]++|[<&]"
+TOKEN_RX = _MARKUP_RX + "|" + _TEXT_RX
+# The same with a text and the references in it as one token.
+_RUN_RX = r"[^<]++|<"
+RUNS_RX = _MARKUP_RX + "|" + _RUN_RX
 _RAW_RX = r"(?i)^<(?:script|style)(?=[\s/>])[^>]*+>"
-# Tokens of text alone.
-TEXT_RX = r"(?i)&(?:#[0-9]++|#x[0-9a-f]++|[a-z][a-z0-9]{0,31});|[^<&]++|[<&]"
 
 # Elements that never have content.
 VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "keygen", "link",
@@ -42,11 +43,11 @@ VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "keygen
 ATTR_RX = r"""([^\s"'>/=]+)(?:\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+))?"""
 
 
-def _split_tail(found: Column) -> Column:
+def _split_tail(found: Column, text_rx: str = "(?i)" + _TEXT_RX) -> Column:
     """The tokens of a page, with a last one that is an unclosed tag or declaration read as text."""
     last = F.try_element_at(found, F.lit(-1))
     opened = last.rlike(r"^<[!?/A-Za-z]") & ~last.endswith(">") & ~last.startswith("<!--") & ~last.rlike(_RAW_RX)
-    return F.when(opened, F.concat(F.slice(found, 1, F.size(found) - 1), F.regexp_extract_all(last, F.lit(TEXT_RX), 0))).otherwise(found)
+    return F.when(opened, F.concat(F.slice(found, 1, F.size(found) - 1), F.regexp_extract_all(last, F.lit(text_rx), 0))).otherwise(found)
 
 
 def _kind(tok: Column) -> Column:
@@ -114,26 +115,34 @@ def page_partitions(pages: DataFrame, partitions: int | None = None) -> int:
     return max(least, -(-chars // TASK_CHARS))
 
 
-def page_tokens(pages: DataFrame, partitioned: bool = False, partitions: int | None = None) -> DataFrame:
+def page_tokens(pages: DataFrame, partitioned: bool = False, partitions: int | None = None, runs: bool = False) -> DataFrame:
     """(page_id, pos, tok, kind, tag, is_void, attrs, text).
 
     `kind`: comment | raw | open | close | decl | entity | text.  `text` is the
-    decoded character data for text and entity tokens (NULL otherwise).  Pass
+    decoded character data for text and entity tokens (NULL otherwise).  With `runs`, the text
+    between two tags is one token whatever references it holds (entity if it holds any), so
+    a page has about as many rows as markup, and nothing is joined.  Pass
     `partitioned=True` when `pages` is already hash-partitioned by page_id (for
     instance the output of a join on page_id)."""
     spark = pages.sparkSession
     if not partitioned:
         pages = pages.repartition(page_partitions(pages, partitions), "page_id")
     # The array is made before it is looked at, so that the pattern runs once a page.
-    found = pages.select("page_id", F.regexp_extract_all(F.col("html"), F.lit(TOKEN_RX), 0).alias("found"))
-    toks = found.select("page_id", F.posexplode(F.get(F.transform(F.array("found"), _split_tail), F.lit(0))).alias("pos", "tok"))
+    found = pages.select("page_id", F.regexp_extract_all(F.col("html"), F.lit(RUNS_RX if runs else TOKEN_RX), 0).alias("found"))
+    split = (lambda a: _split_tail(a, _RUN_RX)) if runs else (lambda a: _split_tail(a))
+    toks = found.select("page_id", F.posexplode(F.get(F.transform(F.array("found"), split), F.lit(0))).alias("pos", "tok"))
     kind = _kind(F.col("tok"))
+    if runs:
+        refers = F.col("tok").contains("&") & F.col("tok").rlike("(?i)" + _REFERENCE_RX)
+        kind = F.when(F.col("tok").startswith("<"), kind).when(refers, F.lit("entity")).otherwise(F.lit("text"))
     toks = toks.withColumn("kind", kind)
     tag = T.ascii_lower(F.regexp_extract("tok", r"^</?([A-Za-z][^\s/>]*)", 1))
     toks = toks.withColumn("tag", F.when(T.among("kind", ["open", "close", "raw"]), tag))
     toks = toks.withColumn("is_void", (F.col("kind") == "open") & (
         T.among("tag", VOID_TAGS) | F.col("tok").endswith("/>")))
     toks = toks.withColumn("attrs", F.when(F.col("kind") == "open", F.when(bare_tag(), no_attributes()).otherwise(tag_attributes(F.col("tok")))))
+    if runs:
+        return toks.withColumn("text", F.when(F.col("kind") == "text", F.col("tok")).when(F.col("kind") == "entity", T.decode_references(F.col("tok"))))
     # Character references: numeric ones by arithmetic, named ones through a
     # broadcast lookup of the bounded HTML5 table.
     entities = T.entity_table(spark)

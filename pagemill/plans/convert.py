@@ -21,7 +21,7 @@ def structured_tokens(pages: DataFrame, cfg: Config, partitioned: bool = False,
     """Tokens with element spans, root range and exclusion flag."""
     # Only what later steps read: the raw token text (script bodies included) is
     # dropped so every sort moves narrow rows, as are the keys of tags without attributes.
-    t = K.page_tokens(pages, partitioned, partitions or cfg.page_partitions)
+    t = K.page_tokens(pages, partitioned, partitions or cfg.page_partitions, runs=True)
     t = t.select("page_id", "pos", "kind", "tag", "is_void", F.when(~K.bare_tag(), F.col("attrs")).alias("attrs"), "text")
     t = N.element_spans(t)
     if _needs_tree(cfg):

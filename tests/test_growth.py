@@ -53,3 +53,29 @@ def test_frequent_in_a_small_host(spark):
     rows = [(i, "s", f"one common line here\n{own(i)}" if i < 6 else own(i)) for i in range(40)]
     out = quality.line_rules(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
     assert {r.doc_id for r in out if r.n_line_words} == set(range(6))
+
+
+def test_text_and_its_references_are_one_row(spark):
+    html = ["a &amp; b &quot;c&quot;<b>x</b>", " &#32;<i>y</i>", "&nosuch; & 1 < 2 &#65;&Aacute;&#x110000;", "t &lt;b&gt; <unclosed"]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    one, many = ({i: [r for r in K.page_tokens(pages, runs=runs).orderBy("page_id", "pos").collect() if r.page_id == i] for i in range(len(html))} for runs in (True, False))
+    for i in range(len(html)):
+        assert "".join(r.tok for r in one[i]) == "".join(r.tok for r in many[i]) == html[i]
+        assert "".join(r.text or "" for r in one[i]) == "".join(r.text or "" for r in many[i])
+        assert [r.tok for r in one[i] if r.kind in ("open", "close")] == [r.tok for r in many[i] if r.kind in ("open", "close")]
+    assert [r.kind for r in one[0]] == ["entity", "open", "text", "close"] and len(many[0]) == 9
+    assert [r.kind for r in one[1]] == ["entity", "open", "text", "close"]
+    assert len(one[2]) == 3 and len(one[3]) == 3
+
+
+def test_passes_over_token_rows(spark):
+    from pagemill.plans.convert import html_to_markdown
+    tune(spark)
+    pages = spark.createDataFrame([(1, "u", "<p>x")], "page_id long, url string, html string")
+    plan = html_to_markdown(pages, Config())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") <= 22 and plan.count("Sort [") <= 13 and "BroadcastHashJoin" not in plan
+
+
+def test_lists_and_tables_end_as_before_in_one_sort(spark, render):
+    got = render(["<ul><li>a<table><tr><td>1<td>2<tr><td>3</table><li>b<dl><dt>x<dd>y</dl><li>c</ul>"])[0]
+    assert got is not None and [w for w in got.split() if w.isalnum()] == ["a", "1", "2", "3", "b", "x", "y", "c"]
