@@ -15,7 +15,7 @@ Markdown).  Links and inline code are flattened spans.  The plan is one linear c
 of aggregations, all keyed by page_id (so the single page_id exchange before
 tokenizing serves every step and nothing is computed twice):
 
-    tokens -> (span | run) -> unit -> table row -> block -> page
+    tokens -> (span | run) -> unit -> block -> page
 
 String rules finish each level.  A block's lines are prefixed by its container path, the quotes and
 lists around it from the outside in, and the separator between two blocks comes from the
@@ -264,6 +264,18 @@ def _meta_aggs() -> list[Column]:
     return [f(c).alias(c) for c, f in _META.items()]
 
 
+def table_rows(cells: Column) -> Column:
+    """Cells (rkey, uid, text), in order, -> rows of cell strings.  Cells have none of T.MARKS, so two of
+    them mark where rows and cells begin, and the string is cut there: linear in the cells."""
+    def joined(cs: Column) -> Column:
+        def begun(c: Column, i: Column) -> Column:
+            return F.concat(F.when(i == 0, F.lit("")).when(F.get(cs, i - 1)["rkey"].eqNullSafe(c["rkey"]), F.lit(BR)).otherwise(F.lit(LNL)), c["text"])
+        return F.array_join(F.transform(cs, begun), "")
+    # In a transform of its own, so that the sorted cells are made once.
+    line = F.get(F.transform(F.array(cells), joined), F.lit(0))
+    return F.transform(F.split(line, LNL), lambda r: F.split(r, BR))
+
+
 def table_markdown(rows: Column) -> Column:
     """Rows of cell strings -> Markdown table: first row is the header, rows padded
     to the widest, `---` separator."""
@@ -284,7 +296,7 @@ def markdown_blocks(content: DataFrame, cfg: Config) -> DataFrame:
     g1 = pieces.groupBy("page_id", "ukind", "uid", "g").agg(
         _ordered("pos", F.col("piece")).alias("s"), F.max("in_span").alias("is_span"),
         F.first(F.when(F.col("pos") == F.col("g"), F.col("_sp")), ignorenulls=True).alias("sp"),
-        *[F.sum(f"e{k}").alias(f"e{k}") for k in EMPH], *[F.min_by(f"c{k}", "pos").alias(f"c{k}") for k in EMPH], *_meta_aggs())
+        *[F.sum(f"e{k}").alias(f"e{k}") for k in EMPH], F.min_by(F.struct(*[f"c{k}" for k in EMPH]), "pos").alias("carry"), *_meta_aggs())
     link_text = T.normalize_inline(F.col("s"))
     g1 = g1.withColumn("href", T.trim_ws(F.coalesce(F.col("sp.href"), F.lit(""))))
     href = T.shield("href")
@@ -297,9 +309,9 @@ def markdown_blocks(content: DataFrame, cfg: Config) -> DataFrame:
     # Level 2: units.
     u = g1.groupBy("page_id", "ukind", "uid").agg(
         _ordered("g", F.col("s")).alias("s"), *[F.sum(f"e{k}").alias(f"e{k}") for k in EMPH],
-        *[F.min_by(f"c{k}", "g").alias(f"c{k}") for k in EMPH], *_meta_aggs())
-    openers = F.concat(*[F.repeat(F.lit(EMPH[k][0]), F.col(f"c{k}").cast("int")) for k in ("b", "i", "d")])
-    closers = F.concat(*[F.repeat(F.lit(EMPH[k][1]), F.greatest(F.col(f"e{k}") + F.col(f"c{k}"), F.lit(0)).cast("int")) for k in ("d", "i", "b")])
+        F.min_by("carry", "g").alias("carry"), *_meta_aggs())
+    openers = F.concat(*[F.repeat(F.lit(EMPH[k][0]), F.col(f"carry.c{k}").cast("int")) for k in ("b", "i", "d")])
+    closers = F.concat(*[F.repeat(F.lit(EMPH[k][1]), F.greatest(F.col(f"e{k}") + F.col(f"carry.c{k}"), F.lit(0)).cast("int")) for k in ("d", "i", "b")])
     t = finish_inline(F.concat(openers, "s", closers))
     heading = F.concat(F.repeat(F.lit("#"), F.col("level")), F.lit(" "), T.collapse_ws(t))
     marker = F.when(F.col("ordered"), F.concat(F.col("idx").cast("string"), F.lit(". "))).otherwise(F.lit("- "))
@@ -317,16 +329,11 @@ def markdown_blocks(content: DataFrame, cfg: Config) -> DataFrame:
                        .when(kind.isin("box", "item"), kind).when(F.col("level").isNotNull(), "heading").otherwise("para"),
                        "bkey": F.when(kind == "cell", F.col("tbl_id")).otherwise(F.col("uid")),
                        "rkey": F.when(kind == "cell", F.col("row_id")).otherwise(F.lit(0))})
-    # Level 3: table rows (other blocks pass through as one-cell rows).
-    r = u.groupBy("page_id", "bkind", "bkey", "rkey").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("uid", "text"))), lambda x: x["text"]).alias("cells"),
-        *_meta_aggs())
-    # Level 4: blocks.
-    b = r.groupBy("page_id", "bkind", "bkey").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rkey", "cells"))), lambda x: x["cells"]).alias("rows"),
-        *_meta_aggs())
-    btext = F.when(F.col("bkind") == "table", table_markdown(F.col("rows"))) \
-        .otherwise(F.try_element_at(F.try_element_at(F.col("rows"), F.lit(1)), F.lit(1)))
+    # Level 3: blocks.
+    b = u.groupBy("page_id", "bkind", "bkey").agg(
+        F.array_sort(F.collect_list(F.struct("rkey", "uid", "text"))).alias("cells"), *_meta_aggs())
+    btext = F.when(F.col("bkind") == "table", table_markdown(table_rows(F.col("cells")))) \
+        .otherwise(F.try_element_at("cells", F.lit(1))["text"])
     b = b.withColumn("text", F.coalesce(btext, F.lit("")))
     return b.select("page_id", F.col("bkey").alias("upos"),
                     F.when(T.among("bkind", ["rule", "box"]), 0).otherwise(1).alias("sub"), "bkind",

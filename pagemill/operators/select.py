@@ -125,7 +125,11 @@ def drop_excluded(df: DataFrame, cfg: Config) -> DataFrame:
     return df.drop("_excl")
 
 
+def within_root(df: DataFrame) -> DataFrame:
+    """Tokens strictly inside the root (not the root tag itself)."""
+    return df.filter((F.col("pos") > F.col("root_lo")) & (F.col("pos") <= F.col("root_hi")))
+
+
 def content_subtree(df: DataFrame) -> DataFrame:
     """Tokens strictly inside the root (not the root tag itself), not excluded."""
-    return df.filter((F.col("pos") > F.col("root_lo")) & (F.col("pos") <= F.col("root_hi"))
-                     & ~F.col("excluded"))
+    return within_root(df).filter(~F.col("excluded"))

@@ -18,7 +18,7 @@ def _needs_tree(cfg: Config) -> bool:
 
 
 def structured_tokens(pages: DataFrame, cfg: Config, partitioned: bool = False, partitions: int | None = None) -> DataFrame:
-    """Tokens with element spans, root range and exclusion flag."""
+    """The tokens of a page's root, with element spans, root range and exclusion flag."""
     # Only what later steps read: the raw token text (script bodies included) is
     # dropped so every sort moves narrow rows, as are the keys of tags without attributes.
     t = K.page_tokens(pages, partitioned, partitions or cfg.page_partitions, runs=True)
@@ -26,8 +26,8 @@ def structured_tokens(pages: DataFrame, cfg: Config, partitioned: bool = False,
     t = N.element_spans(t)
     if _needs_tree(cfg):
         t = N.with_tree(t)
-    t = S.main_content(t, cfg)
-    return S.drop_excluded(t, cfg)
+    # What lies outside the root excludes nothing in it.
+    return S.drop_excluded(S.within_root(S.main_content(t, cfg)), cfg)
 
 
 def html_to_markdown(pages: DataFrame, cfg: Config, partitioned: bool = False, partitions: int | None = None) -> DataFrame:

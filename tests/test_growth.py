@@ -79,3 +79,22 @@ def test_passes_over_token_rows(spark):
 def test_lists_and_tables_end_as_before_in_one_sort(spark, render):
     got = render(["<ul><li>a<table><tr><td>1<td>2<tr><td>3</table><li>b<dl><dt>x<dd>y</dl><li>c</ul>"])[0]
     assert got is not None and [w for w in got.split() if w.isalnum()] == ["a", "1", "2", "3", "b", "x", "y", "c"]
+
+
+def test_rows_outside_the_root_go_before_exclusions(spark):
+    from pagemill.plans.convert import structured_tokens
+    html = "<head><title>t</title></head><body><nav>n</nav><article>a<nav>x</nav>b</article>c</body>"
+    pages = spark.createDataFrame([(1, "u", html), (2, "u", "<p>no root")], "page_id long, url string, html string")
+    out = structured_tokens(pages, Config()).orderBy("page_id", "pos").collect()
+    assert all(r.page_id == 1 and r.root_lo < r.pos <= r.root_hi for r in out)
+    assert [r.text for r in out if r.text and not r.excluded] == ["a", "b"] and [r.text for r in out if r.text and r.excluded] == ["x"]
+
+
+def test_blocks_and_their_cells_are_gathered_in_one_aggregation(spark, render):
+    from pagemill.plans.convert import html_to_markdown
+    tune(spark)
+    pages = spark.createDataFrame([(1, "u", "<p>x")], "page_id long, url string, html string")
+    plan = html_to_markdown(pages, Config())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortAggregate(") <= 10
+    got = render(["<table><tr><td></table>", "<table><tr><th>a|b<th><tr><td><td>c<td><tr><td>d</table>"])
+    assert got == ["|  |\n| --- |", "| a\\|b |  |  |\n| --- | --- | --- |\n|  | c |  |\n| d |  |  |"]
