@@ -23,11 +23,13 @@ previous non-empty block (running `last` window) and the path both share."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import text as T
+from ..session import ship
 from .nodes import BIG, BLOCK_TAGS, CELL_TAGS, LIST_TAGS, TABLE_SECTION_TAGS, before, nest_depths, running, whole
 
 # Characters of T.MARKS; texts that hold them are shielded first and restored block by block.
@@ -288,6 +290,19 @@ def table_markdown(rows: Column) -> Column:
 
 
 def markdown_blocks(content: DataFrame, cfg: Config) -> DataFrame:
+    """block_rows(), a page at a time: the tokens of a page are gathered, and its blocks made in one pass (page.py)."""
+    from . import page as P
+    ship(content.sparkSession)
+    images = cfg.include_images
+
+    @F.arrow_udf(f"array<struct<{P.BLOCK}>>")
+    def made(pages: pa.Array) -> pa.Array:
+        return P.some_by_some(lambda some: P.block_lists(some, images), pages)
+    whole = content.groupBy("page_id").agg(F.collect_list(F.struct(*P.CONTENT)).alias("tokens"))
+    return whole.select("page_id", made("tokens").alias("_b")).select("page_id", F.explode("_b").alias("_b")).select("page_id", "_b.*")
+
+
+def block_rows(content: DataFrame, cfg: Config) -> DataFrame:
     """(page_id, upos, sub, bkind, text, k_d, l_d, list_id, root_list, ordered, in_list, has_content):
     one row per block in document order by (upos, sub); `text` '' renders nothing.  Rows of
     bkind 'box' are the containers (k_d counts them themselves)."""
@@ -397,4 +412,4 @@ def assemble_body(blocks: DataFrame) -> DataFrame:
 
 
 def markdown_body(content: DataFrame, cfg: Config) -> DataFrame:
-    return assemble_body(markdown_blocks(content, cfg))
+    return assemble_body(block_rows(content, cfg))

@@ -8,7 +8,9 @@ import time
 from pyspark.sql import functions as F
 
 from pagemill.config import Config
+from pagemill.operators import markdown as M
 from pagemill.operators import page as P
+from pagemill.operators import select as S
 from pagemill.plans import convert as C
 from pagemill.session import tune
 
@@ -61,6 +63,24 @@ def test_pages_that_share_an_id(spark):
     assert old == new and len({r[0] for r in new}) == len(new) > 30
 
 
+def test_blocks_from_token_rows(spark):
+    """Tokens and blocks made a page at a time are those of the operators over token rows."""
+    tune(spark)
+    rng = random.Random(23)
+    rows = [(i, "u", soup(rng)) for i in range(150)]
+    pages = spark.createDataFrame(rows + rows[:20] + [(None, "u", "<article>no id"), (999, "u", "none")], "page_id long, url string, html string")
+    cfg = Config(include_images=True, ignore_selectors="ul > li, .hot")
+    old, new = C.structured_rows(pages, cfg), C.structured_tokens(pages, cfg)
+    columns = ["page_id", "pos", "kind", "tag", "is_void", "text", "list_d", "tbl_d", "hi", "closed", "root_lo", "root_hi", "root_rank", "excluded", F.col("attrs")["href"].alias("h")]
+    assert {(f.name, f.dataType) for f in old.select(*columns).schema} == {(f.name, f.dataType) for f in new.select(*columns).schema}
+    assert sorted(map(str, old.select(*columns).collect())) == sorted(map(str, new.select(*columns).collect()))
+    old, new = M.block_rows(S.content_subtree(old), cfg), M.markdown_blocks(S.content_subtree(new), cfg)
+    assert [(f.name, f.dataType) for f in old.schema] == [(f.name, f.dataType) for f in new.schema]
+    got = new.collect()
+    assert sorted(map(str, old.collect())) == sorted(map(str, got)) and len(got) > 300
+    assert "Window" not in new._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_pass_over_token_rows(spark):
     """The HTML is moved and sorted once, by page; no window, no row a token."""
     tune(spark)
